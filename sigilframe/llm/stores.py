@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+#: Ids that may be broadcast: some 16 MB.
+MAX_BROADCAST_IDS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -17,7 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
-        return held.get()
+        return re.sub("^file:/(?!/)", "file:///", held.get())
     own = f"file://{tempfile.mkdtemp(prefix='sigilframe-')}"
     spark.sparkContext.setCheckpointDir(own)
     return own
@@ -42,3 +46,12 @@ def drop(df: DataFrame) -> None:
     for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(parent)
         path.getFileSystem(conf).delete(path, True)
+
+
+def with_ids(df: DataFrame, ids: DataFrame, how: str, limit: int = MAX_BROADCAST_IDS) -> DataFrame:
+    """left_semi or left_anti of wide rows with one column of distinct ids.
+
+    The ids are broadcast where a count shows that they are few; beyond that both sides are shuffled.
+    """
+    few = ids.limit(limit + 1).count() <= limit
+    return df.join(F.broadcast(ids) if few else ids, ids.columns, how)
