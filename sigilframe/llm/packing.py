@@ -235,4 +235,5 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     histogram = {r.length: r["count"] for r in cut.groupBy("length").count().collect()}  # capacity rows at most
     slots = plan(histogram, capacity).sort_values(["length", "rank"])
     slots = cut.sparkSession.sparkContext.broadcast(tuple(slots[c].to_numpy() for c in ("length", "rank", "sequence", "offset")))
-    return _ranked(cut).mapInArrow(_placer(slots), schema + ", sequence_id long, offset long")
+    columns = [x.split(" ")[0] for x in schema.split(", ")]
+    return _ranked(cut).select(*columns, "rank").mapInArrow(_placer(slots), schema + ", sequence_id long, offset long")
