@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, packing, quality, secrets, warc
+from . import chat, embeddings, packing, quality, secrets, warc
 from .minhash import near_duplicates
 from .substring import remove_repeats
 
@@ -21,6 +21,10 @@ def op3_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.expand(chat.with_control_conversation(_table(spark, sf_dir, "conversations"))))
 
@@ -46,6 +50,7 @@ QUERIES = {
     for f in (
         op2_substring_dedup,
         op3_warc_writer,
+        op5_embedding_near_dedup,
         op6_chat_formatting,
         op7_best_fit_packing,
         op8_secret_scans,
@@ -78,6 +83,15 @@ ORACLE_SQL = {
         SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
         FROM docs LEFT JOIN cut USING (doc_id) LEFT JOIN kept USING (doc_id)
     """,
+    "op5_embedding_near_dedup": """
+        WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+        reach AS (SELECT vec_id, vec_id AS r FROM v UNION SELECT reach.vec_id, links.y FROM reach JOIN links ON links.x = reach.r),
+        comp AS (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id),
+        n AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+        SELECT comp.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, comp.vec_id = component_id AS kept
+        FROM comp LEFT JOIN n ON n.x = comp.vec_id
+    """,
     "op10_minhash_near_dedup": r"""
         WITH RECURSIVE docs AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
