@@ -32,11 +32,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .text import U, _sums, blocks, mix, ragged, stream
+from .text import U, _power, _sums, blocks, mix, ragged, stream
 
 K, SHARPNESS, SHIFT = 2, 1.0, 10.0
 MODEL = "piece_bpe_32k.model"
-BLOCK = 2 << 20
+BLOCK = 3 << 20
 _MARK = 0x2581
 _GOLD, _ODD = U(0x9E3779B97F4A7C15), U(0xD1B54A32D192ED03)
 
@@ -66,15 +66,19 @@ class Pieces:
             if self.model.is_byte(i):
                 self.bytes[int(names[i][3:5], 16)] = i
         own = [i for i in range(n) if not (self.model.is_byte(i) or self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_unused(i))]
-        text = np.frombuffer("".join(names[i] for i in own).encode("utf-32-le"), np.uint32)
-        length = np.array([len(names[i]) for i in own])
+        # Every beginning of a piece is held too, with id -1 unless it is a piece itself.
+        heads = {x[:n]: -1 for x in (names[i] for i in own) for n in range(1, len(x))} | {names[i]: i for i in own}
+        text = np.frombuffer("".join(heads).encode("utf-32-le"), np.uint32)
+        length = np.array([len(x) for x in heads])
         end = np.cumsum(length)
         with np.errstate(over="ignore"):
             h = self.key(_sums(text.astype(U), end - length, end - 1), length)
         order = np.argsort(h)
-        self.hash, self.id, self.longest = h[order], np.array(own)[order], int(length.max())
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[h >> U(44)] = True
+        self.hash, self.id, self.longest = h[order], np.array(list(heads.values()))[order], int(length.max())
+        # Slot of the hash's first 20 bits: a piece's place, -1 for none, -2 for several.
+        slot, place, times = np.unique(self.hash >> U(44), return_index=True, return_counts=True)
+        self.slot = np.full(1 << 20, -1, np.int32)
+        self.slot[slot] = np.where(times == 1, place, -2)
         # Rank in the vocabulary's order; bytes stand at its end.
         self.weight = -sharpness * np.log(np.arange(n) - own[0] + 1 + SHIFT, where=np.arange(n) >= own[0], out=np.full(n, np.log(n + SHIFT)))
         self.weight[: own[0]] = -sharpness * np.log(n + SHIFT)
@@ -88,10 +92,12 @@ class Pieces:
         return mix(sums * _ODD + np.asarray(length).astype(U))
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places in h, piece ids) of the hashes that are pieces."""
-        at = np.flatnonzero(self.seen[h >> U(44)])
-        k = np.searchsorted(self.hash, h[at])
-        k[k == len(self.hash)] = 0
+        """(places in h, piece ids) of the hashes that begin a piece."""
+        k = self.slot[h >> U(44)]
+        at = np.flatnonzero(k != -1)
+        k = k[at].astype(np.int64)
+        several = k == -2
+        k[several] = np.minimum(np.searchsorted(self.hash, h[at[several]]), len(self.hash) - 1)
         hit = self.hash[k] == h[at]
         return at[hit], self.id[k[hit]]
 
@@ -121,24 +127,31 @@ class Lattice:
         self.last = node[begin + count - 1]
         left = count[chunk] - place  # characters from here to the chunk's end
         start_of = np.where(place == 0, -1, node[np.maximum(np.arange(len(cp)) - 1, 0)])
-        values = cp.astype(U)
+        powers, inverse = _power(len(cp))
+        sums = np.zeros(len(cp) + 1, U)
+        np.cumsum(cp.astype(U) * powers, out=sums[1:])
         ends, starts, ids = [], [], []
-        known = np.zeros(len(cp), bool)
+        at = np.arange(len(cp))
         for n in range(1, pieces.longest + 1):
-            at = np.flatnonzero(left >= n)
-            if not len(at):
-                break
-            hit, piece = pieces.find(pieces.key(_sums(values, at, at + n - 1), np.full(len(at), n)))
-            at = at[hit]
+            at = at[left[at] >= n]
+            hit, piece = pieces.find(pieces.key((sums[at + n] - sums[at]) * inverse[at], n))
             if n == 1:
-                known[at] = True
-                other = np.flatnonzero(~known)
+                known = np.zeros(len(cp), bool)
+                known[at[hit[piece >= 0]]] = True
                 # Other characters: one byte is its byte piece; more go by place, below the ids.
-                at, piece = np.concatenate([at, other]), np.concatenate([piece, np.where(cp[other] < 128, pieces.bytes[np.minimum(cp[other], 127)], -1 - cp[other])])
-            ends.append(node[at + n - 1])
-            starts.append(start_of[at])
-            ids.append(piece)
-        end, start, piece = (np.concatenate(x) for x in (ends, starts, ids))
+                other = np.flatnonzero(~known)
+                ends.append(node[other])
+                starts.append(start_of[other])
+                ids.append(np.where(cp[other] < 128, pieces.bytes[np.minimum(cp[other], 127)], -1 - cp[other]))
+            at = at[hit]
+            if not len(at):
+                break
+            own = at[piece >= 0]
+            ends.append(node[own + n - 1])
+            starts.append(start_of[own])
+            ids.append(piece[piece >= 0])
+        # Long pieces stand first at a node: they are mostly the likely ones.
+        end, start, piece = (np.concatenate(x[::-1]) for x in (ends, starts, ids))
         order = np.argsort(end, kind="stable")
         self.end, self.start, self.piece = end[order], start[order], piece[order]
         self.first = np.searchsorted(self.end, np.arange(len(cp) + 1))
@@ -158,11 +171,16 @@ class Lattice:
         p = np.exp(self.logp)
         total = np.cumsum(p)
         base = total[self.first[:-1]] - p[self.first[:-1]]
-        self.cut = self.end + np.minimum(total - base[self.end], 1.0)
-        self.cut[self.first[1:] - 1] = np.arange(len(cp)) + 1.0
+        self.cut = total - base[self.end]  # probability of an edge and those before it at its node
+        self.cut[self.first[1:] - 1] = 1.0
 
     def edges(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
-        return np.minimum(np.searchsorted(self.cut, node + u, "right"), self.first[node + 1] - 1)
+        e = self.first[node]
+        at = np.flatnonzero(self.cut[e] <= u)
+        while len(at):
+            e[at] += 1
+            at = at[self.cut[e[at]] <= u[at]]
+        return e
 
     def draw(self, node: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sample from each node back to its chunk's beginning: (edges of all paths in turn, steps of each)."""

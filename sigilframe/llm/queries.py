@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, embeddings, packing, quality, scoring, secrets, warc
+from . import chat, embeddings, lattice, packing, quality, scoring, secrets, warc
 from .minhash import near_duplicates
 from .substring import remove_repeats
 
@@ -25,6 +25,10 @@ def op3_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op4_sampled_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.sample_encodings(_table(spark, sf_dir, "documents"))
+
+
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
@@ -55,6 +59,7 @@ QUERIES = {
         op1_lm_scoring,
         op2_substring_dedup,
         op3_warc_writer,
+        op4_sampled_segmentation,
         op5_embedding_near_dedup,
         op6_chat_formatting,
         op7_best_fit_packing,
