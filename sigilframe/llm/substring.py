@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .stores import keep
+from .stores import keep, with_ids
 from .text import U, Words, mix, sliding_min, stream, word_blocks
 
 WINDOW, ANCHOR = 50, 16
@@ -181,25 +181,35 @@ def _anchor_rows(window: int, anchor: int, width_bits: int):
     return rows
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, window starts) -> (doc_id, first and last of each run of neighbouring starts)."""
+    for batch in batches:
+        out = []
+        for starts in batch.column(1):
+            at = np.unique(starts.values.to_numpy())
+            step = np.flatnonzero(np.diff(at) != 1)
+            out.append(np.column_stack([at[np.concatenate([[0], step + 1])], at[np.concatenate([step, [len(at) - 1]])]]).reshape(-1))
+        yield pa.record_batch([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "runs"])
+
+
 def _cutter(window: int, with_text: bool):
-    """(row columns..., text, starts) -> digest columns, and the text left where asked for."""
+    """(doc_id, text, runs of removed windows) -> digest columns, and the text left where asked for."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
-                texts, starts = batch.column(1), batch.column(2)
+                texts, runs = batch.column(1), batch.column(2)
                 out = []
                 for lo, hi, w in word_blocks(texts):
                     first = w.first()
                     mark = text_mark(w, first)
                     gone = np.zeros(len(w.start) + 1, np.int64)
-                    own = starts.slice(lo, hi - lo)
-                    count = np.diff(own.offsets.to_numpy())
-                    at, text = own.flatten().to_numpy(), np.repeat(np.arange(hi - lo), count)
-                    ours = (at >> 32) == mark[text]
-                    at = (at[ours] & 0xFFFFFFFF) + first[text[ours]]
-                    np.add.at(gone, at, 1)
-                    np.add.at(gone, at + window, -1)
+                    own = runs.slice(lo, hi - lo)
+                    at, text = own.flatten().to_numpy().reshape(-1, 2), np.repeat(np.arange(hi - lo), np.diff(own.offsets.to_numpy()) // 2)
+                    ours = (at[:, 0] >> 32) == mark[text]
+                    at = (at[ours] & 0xFFFFFFFF) + first[text[ours]][:, None]
+                    np.add.at(gone, at[:, 0], 1)
+                    np.add.at(gone, at[:, 1] + window, -1)
                     gone = np.cumsum(gone)[:-1] > 0
                     # A removed run takes the space behind it, up to the next kept word.
                     data = w.buf.tobytes()
@@ -241,7 +251,10 @@ def width_for(docs: DataFrame) -> int:
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, width_bits: int | None = None, full: float = FULL) -> DataFrame:
-    """(doc_id, starts): the window starts of each document that also start in an earlier one."""
+    """(doc_id, runs): the window starts of each document that also start in an earlier one.
+
+    A run is its first and its last start, each with the text's mark in its high half.
+    """
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text").filter("doc_id is not null and text is not null")
     width_bits = width_bits or width_for(texts)
@@ -258,7 +271,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
         windows = texts.join(own, "doc_id").select("doc_id", "text", "keys").mapInArrow(_windower(window, anchor, width_bits, None, True), schema)
     dup = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
     found = windows.join(dup, ["h1", "h2"]).filter("doc_id > least")
-    return found.groupBy("doc_id").agg(F.collect_list("pos").alias("starts"))
+    return found.groupBy("doc_id").agg(F.collect_list("pos").alias("starts")).mapInArrow(_runs, "doc_id long, runs array<long>")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, with_text: bool = False, **sketch) -> DataFrame:
@@ -267,6 +280,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     kept_text is the text itself where nothing is removed; elsewhere removed runs go together with
     the space behind them, and all other white space stays.
     """
-    repeats = repeated_windows(docs, window, anchor, **sketch)
-    rows = docs.select("doc_id", "text").join(repeats, "doc_id", "left").select("doc_id", "text", F.coalesce("starts", F.array().cast("array<long>")).alias("starts"))
-    return rows.mapInArrow(_cutter(window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    repeats = keep(repeated_windows(docs, window, anchor, **sketch), "repeats")
+    ids, texts = repeats.select("doc_id"), docs.select("doc_id", "text")
+    # Only texts that lose something are shuffled, as long as their ids are few enough to send.
+    whole = with_ids(texts, ids, "left_anti").withColumn("runs", F.array().cast("array<long>"))
+    hit = with_ids(texts, ids, "left_semi").join(repeats, "doc_id").select("doc_id", "text", "runs")
+    return whole.union(hit).mapInArrow(_cutter(window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
