@@ -28,7 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .stores import keep
+from .stores import MAX_BROADCAST_IDS, keep
 from .text import U, Words, ragged, word_blocks
 
 CAPACITY, SEPARATOR = 4096, 1
@@ -200,6 +200,9 @@ def _ranked(cut: DataFrame) -> DataFrame:
     """Adds ``rank``, each piece's number among those of its length, without bringing a length together."""
     by_task = cut.groupBy("task", "length").agg(F.count("*").alias("n"))
     before = by_task.select("task", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("before"))
+    before = keep(before, "before")
+    if before.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS:
+        before = F.broadcast(before)
     return cut.join(before, ["task", "length"]).withColumn("rank", F.col("before") + F.col("within")).drop("before", "within", "task")
 
 

@@ -111,6 +111,10 @@ def statistics(w: Words) -> dict[str, np.ndarray]:
     return out
 
 
+def _base_failed(t: dict[str, np.ndarray]) -> np.ndarray:
+    return (t["n_words"] < MIN_WORDS) | (100 * t["n_repeat_words"] > MAX_REPEAT_PERCENT * t["n_words"])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = (*COUNTS, *EXTRA)
     for batch in batches:
@@ -232,16 +236,40 @@ def calibrate(scored: DataFrame, labels: DataFrame, good_loss: float = GOOD_LOSS
     return float(best) / BINS
 
 
-def judge(docs: DataFrame, labels: DataFrame, trees: int = TREES, psi: int = PSI, good_loss: float = GOOD_LOSS, seed: int = SEED) -> DataFrame:
-    """Per row: doc_id, the counts, base_failed, kept, and the anomaly score (null where not asked)."""
+def _judged(docs: DataFrame, labels: DataFrame, trees: int, psi: int, good_loss: float, seed: int):
+    """(statistics, scores of those that pass the fixed rules or None, threshold or None, forest or None)."""
     counted = keep(count(docs).withColumn("base_failed", F.expr(f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words")), "counts")
-    passed, failed = counted.filter("not base_failed").drop("base_failed"), counted.filter("base_failed").drop("base_failed")
+    passed = counted.filter("not base_failed").drop("base_failed")
     forest = fit_forest(passed, trees, psi, seed)
     if forest is None:
-        scored, threshold = passed.withColumn("score", F.lit(None).cast("double")), None
-    else:
-        scored = keep(score(passed, forest), "scores")
-        threshold = calibrate(scored, labels, good_loss)
+        return counted, None, None, None
+    scored = keep(score(passed, forest), "scores")
+    return counted, scored, calibrate(scored, labels, good_loss), forest
+
+
+def judge(docs: DataFrame, labels: DataFrame, trees: int = TREES, psi: int = PSI, good_loss: float = GOOD_LOSS, seed: int = SEED) -> DataFrame:
+    """Per row: doc_id, the counts, base_failed, kept, and the anomaly score (null where not asked)."""
+    counted, scored, threshold, _ = _judged(docs, labels, trees, psi, good_loss, seed)
+    columns, failed = ["doc_id", *COUNTS], counted.filter("base_failed")
+    if scored is None:
+        scored = counted.filter("not base_failed").withColumn("score", F.lit(None).cast("double"))
     verdict = F.lit(True) if threshold is None else F.floor(F.col("score") * BINS) < F.lit(threshold * BINS)
-    columns = ["doc_id", *COUNTS]
     return scored.select(*columns, F.lit(False).alias("base_failed"), verdict.alias("kept"), "score").union(failed.select(*columns, F.lit(True), F.lit(False), F.lit(None).cast("double")))
+
+
+def kept_rows(docs: DataFrame, labels: DataFrame, trees: int = TREES, psi: int = PSI, good_loss: float = GOOD_LOSS, seed: int = SEED) -> DataFrame:
+    """The rows of ``docs`` that judge() keeps, with all their columns; each row is judged by its own text, without a join."""
+    _, _, threshold, forest = _judged(docs, labels, trees, psi, good_loss, seed)
+    at = docs.columns.index("text")
+
+    def keep_good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = np.zeros(batch.num_rows, bool)
+            for lo, hi, w in word_blocks(batch.column(at)):
+                t = statistics(w)
+                good[lo:hi] = ~_base_failed(t)
+                if threshold is not None:
+                    good[lo:hi] &= np.floor(forest.value.scores(features(t)) * BINS) < threshold * BINS
+            yield batch.filter(pa.array(good))
+
+    return docs.mapInArrow(keep_good, docs.schema)

@@ -23,8 +23,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql import DataFrame
 
 from .text import word_blocks
 
@@ -202,11 +201,4 @@ def redacted(docs: DataFrame) -> DataFrame:
             made = [redact(text, spans) if spans else old.as_py() for old, (text, spans) in zip(texts, _scans(texts))]
             yield batch.set_column(at, batch.schema.field(at).name, pa.array(made, texts.type))
 
-    schema = StructType([StructField(f.name, StringType() if f.name == "text" else f.dataType, True) for f in docs.schema.fields])
-    return docs.mapInArrow(rewrite, schema)
-
-
-def with_redacted_text(docs: DataFrame) -> DataFrame:
-    """redacted(), with ``n_chars`` counted anew where the table has it."""
-    out = redacted(docs)
-    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
+    return docs.mapInArrow(rewrite, docs.schema)

@@ -192,56 +192,65 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column(0), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "runs"])
 
 
-def _cutter(window: int, with_text: bool):
-    """(doc_id, text, runs of removed windows) -> digest columns, and the text left where asked for."""
+def _gone(w: Words, first: np.ndarray, runs: pa.Array, window: int) -> np.ndarray:
+    """Which words the runs of each text cover."""
+    mark = text_mark(w, first)
+    gone = np.zeros(len(w.start) + 1, np.int64)
+    at, text = runs.flatten().to_numpy().reshape(-1, 2), np.repeat(np.arange(len(runs)), np.diff(runs.offsets.to_numpy()) // 2)
+    ours = (at[:, 0] >> 32) == mark[text]
+    at = (at[ours] & 0xFFFFFFFF) + first[text[ours]][:, None]
+    np.add.at(gone, at[:, 0], 1)
+    np.add.at(gone, at[:, 1] + window, -1)
+    return np.cumsum(gone)[:-1] > 0
+
+
+def _left(w: Words, t: int, text: bytes, off: np.ndarray, i: int, j: int) -> str:
+    """A text without its removed runs, each of which takes the space behind it."""
+    base, parts, done = w.offsets[t], [], 0
+    for a, b in np.flatnonzero(np.diff(np.concatenate([[False], off, [False]]).astype(np.int8))).reshape(-1, 2).tolist():
+        parts.append(text[done : w.start[i + a] - base])
+        done = w.start[i + b] - base if i + b < j else w.end[j - 1] - base
+    return b"".join([*parts, text[done:]]).decode()
+
+
+def _cutter(window: int):
+    """(doc_id, text, runs of removed windows) -> digest columns."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with np.errstate(over="ignore"):
             for batch in batches:
-                texts, runs = batch.column(1), batch.column(2)
-                out = []
-                for lo, hi, w in word_blocks(texts):
+                for lo, hi, w in word_blocks(batch.column(1)):
                     first = w.first()
-                    mark = text_mark(w, first)
-                    gone = np.zeros(len(w.start) + 1, np.int64)
-                    own = runs.slice(lo, hi - lo)
-                    at, text = own.flatten().to_numpy().reshape(-1, 2), np.repeat(np.arange(hi - lo), np.diff(own.offsets.to_numpy()) // 2)
-                    ours = (at[:, 0] >> 32) == mark[text]
-                    at = (at[ours] & 0xFFFFFFFF) + first[text[ours]][:, None]
-                    np.add.at(gone, at[:, 0], 1)
-                    np.add.at(gone, at[:, 1] + window, -1)
-                    gone = np.cumsum(gone)[:-1] > 0
-                    # A removed run takes the space behind it, up to the next kept word.
+                    gone = _gone(w, first, batch.column(2).slice(lo, hi - lo), window)
+                    data, removed, digests = w.buf.tobytes(), [], []
+                    for t in range(hi - lo):
+                        off = gone[first[t] : first[t + 1]]
+                        words = data[w.offsets[t] : w.offsets[t + 1]].split()
+                        removed.append(int(off.sum()))
+                        kept = [words[k] for k in np.flatnonzero(~off).tolist()] if removed[-1] else words
+                        digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
+                    yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(first)), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+
+    return cut
+
+
+def _rewriter(at: int, window: int):
+    """Rows with their runs as the last column -> the rows, their texts without the runs."""
+
+    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                made, runs = [], batch.column(batch.num_columns - 1)
+                for lo, hi, w in word_blocks(batch.column(at)):
+                    first = w.first()
+                    gone = _gone(w, first, runs.slice(lo, hi - lo), window)
                     data = w.buf.tobytes()
                     for t in range(hi - lo):
                         i, j = first[t], first[t + 1]
-                        text_bytes = data[w.offsets[t] : w.offsets[t + 1]]
-                        off = gone[i:j]
-                        n_removed = int(off.sum())
-                        if n_removed:
-                            keep_at = np.flatnonzero(~off)
-                            words = text_bytes.split()
-                            kept = b" ".join([words[k] for k in keep_at.tolist()])
-                        else:
-                            kept = b" ".join(text_bytes.split())
-                        left = None
-                        if with_text:
-                            left = texts[lo + t].as_py()
-                            if n_removed:
-                                base = w.offsets[t]
-                                edge = np.flatnonzero(np.diff(np.concatenate([[False], off, [False]]).astype(np.int8)))
-                                parts, done = [], 0
-                                for a, b in edge.reshape(-1, 2).tolist():
-                                    parts.append(text_bytes[done : w.start[i + a] - base])
-                                    done = w.start[i + b] - base if i + b < j else w.end[j - 1] - base
-                                parts.append(text_bytes[done:])
-                                left = b"".join(parts).decode()
-                        out.append((int(j - i), n_removed, hashlib.sha256(kept).hexdigest(), left))
-                cols = list(zip(*out)) or [[], [], [], []]
-                made = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string())] + ([pa.array(cols[3], pa.string())] if with_text else [])
-                yield pa.record_batch([batch.column(0), *made], ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text)
+                        made.append(_left(w, t, data[w.offsets[t] : w.offsets[t + 1]], gone[i:j], i, j) if gone[i:j].any() else batch.column(at)[lo + t].as_py())
+                yield pa.record_batch([pa.array(made, pa.string()) if k == at else batch.column(k) for k in range(batch.num_columns - 1)], batch.schema.names[:-1])
 
-    return cut
+    return rewrite
 
 
 def width_for(docs: DataFrame) -> int:
@@ -274,15 +283,24 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     return found.groupBy("doc_id").agg(F.collect_list("pos").alias("starts")).mapInArrow(_runs, "doc_id long, runs array<long>")
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, with_text: bool = False, **sketch) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text.
+def _with_runs(docs: DataFrame, columns: list[str], window: int, anchor: int, sketch: dict) -> tuple[DataFrame, DataFrame]:
+    """The rows that lose nothing, and those that do with their ``runs``.
 
-    kept_text is the text itself where nothing is removed; elsewhere removed runs go together with
-    the space behind them, and all other white space stays.
+    Only the latter are shuffled, as long as their ids are few enough to send.
     """
     repeats = keep(repeated_windows(docs, window, anchor, **sketch), "repeats")
-    ids, texts = repeats.select("doc_id"), docs.select("doc_id", "text")
-    # Only texts that lose something are shuffled, as long as their ids are few enough to send.
-    whole = with_ids(texts, ids, "left_anti").withColumn("runs", F.array().cast("array<long>"))
-    hit = with_ids(texts, ids, "left_semi").join(repeats, "doc_id").select("doc_id", "text", "runs")
-    return whole.union(hit).mapInArrow(_cutter(window, with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text)
+    ids, rows = repeats.select("doc_id"), docs.select(columns)
+    return with_ids(rows, ids, "left_anti"), with_ids(rows, ids, "left_semi").join(repeats, "doc_id").select(*columns, "runs")
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, **sketch) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256: what is left of every text."""
+    whole, hit = _with_runs(docs, ["doc_id", "text"], window, anchor, sketch)
+    rows = whole.withColumn("runs", F.array().cast("array<long>")).union(hit)
+    return rows.mapInArrow(_cutter(window), "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, **sketch) -> DataFrame:
+    """All columns of ``docs``; repeated words are cut out of ``text``, each run with the space behind it."""
+    whole, hit = _with_runs(docs, docs.columns, window, anchor, sketch)
+    return whole.union(hit.mapInArrow(_rewriter(docs.columns.index("text"), window), docs.schema))
