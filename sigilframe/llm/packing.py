@@ -21,7 +21,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,7 +32,7 @@ from .text import U, Words, ragged, word_blocks
 
 CAPACITY, SEPARATOR = 4096, 1
 TOKENIZER = "word_bpe_49k.json"
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -54,6 +53,8 @@ class _WordIds:
 
     def __init__(self, path: str, limit: int = 1 << 20):
         self.tokenizer, self.limit = _tokenizer(path), limit
+        number, token = next(iter(self.tokenizer.get_added_tokens_decoder().items()))
+        self.part, self.end = token.content, np.array([number], np.uint32)
         self.clear()
 
     def clear(self) -> None:
@@ -64,6 +65,20 @@ class _WordIds:
         at[at == len(self.hash)] = 0
         return at, self.hash[at] == hashes if len(self.hash) else np.zeros(len(hashes), bool)
 
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the words in turn, how many each has); a special token parts the words of one call."""
+        parts = []
+        for k in range(0, len(words), 100):
+            own = words[k : k + 100]
+            if any("<|" in x for x in own):  # a word may hold the parting token itself
+                for x in own:
+                    parts += [np.array(self.tokenizer.encode(x.replace(self.part, ""), add_special_tokens=False).ids, np.uint32), self.end]
+            else:
+                parts += [np.array(self.tokenizer.encode(self.part.join(own), add_special_tokens=False).ids, np.uint32), self.end]
+        ids = np.concatenate(parts)
+        cut = np.flatnonzero(ids == self.end[0])
+        return ids[ids != self.end[0]], np.diff(cut, prepend=-1) - 1
+
     def ids(self, w: Words, data: bytes) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in turn, how many each has)."""
         if not len(w.hash):
@@ -76,9 +91,7 @@ class _WordIds:
                 known[:] = False
             new = first[~known]
             words = [data[s:e].decode() for s, e in zip(w.start[new].tolist(), w.end[new].tolist())]
-            coded = [x.ids for k in range(0, len(words), 4096) for x in self.tokenizer.encode_batch_fast(words[k : k + 4096], add_special_tokens=False)]
-            length = np.fromiter(map(len, coded), np.int64, len(coded))
-            flat = np.fromiter(chain.from_iterable(coded), np.uint32, int(length.sum()))
+            flat, length = self._encode(words)
             hashes = np.concatenate([self.hash, distinct[~known]])
             order = np.argsort(hashes, kind="stable")
             self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(length) - length])[order]
@@ -97,12 +110,13 @@ def _word_ids(path: str) -> _WordIds:
 def token_ids(texts: pa.Array, path: str, size: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, ids of the texts in turn, offsets), without separators.
 
-    The tokenizer drops white space and never joins across it, so each distinct word is encoded once
-    while a worker remembers it.  Texts that hold one of its special tokens are encoded whole.
+    The tokenizer lower-cases, drops white space and joins neither across it nor from letters or digits
+    to points, so each distinct word is encoded once while a worker remembers it.  Texts that hold one
+    of its special tokens are encoded whole.
     """
     t = _tokenizer(path)
     special = [x.content.encode() for x in t.get_added_tokens_decoder().values()]
-    for lo, hi, w in word_blocks(texts, size):
+    for lo, hi, w in word_blocks(texts, size, lower=True, tails=True):
         data = w.buf.tobytes()
         ids, lengths = _word_ids(path).ids(w, data)
         ends = np.concatenate([[0], np.cumsum(lengths)])[w.first()]

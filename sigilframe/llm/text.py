@@ -94,7 +94,14 @@ class Words:
         return mix(_sums(self.hash, first, last) + (last - first + 1).astype(U))
 
 
-def split_words(buf: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
+_ALNUM = np.zeros(256, bool)
+_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_TAIL = np.zeros(256, bool)
+_TAIL[list(b".,;:!?")] = True
+
+
+def split_words(buf: np.ndarray, offsets: np.ndarray, lower: bool = False, tails: bool = False) -> Words:
+    """lower: A-Z hash as a-z.  tails: a point, comma or the like behind an ASCII letter or digit starts a new word."""
     n = len(buf)
     if not n:
         none = np.zeros(0, np.int64)
@@ -104,6 +111,9 @@ def split_words(buf: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Wo
     begins[1:], ends[:-1] = space[:-1], space[1:]
     begins[offsets[:-1][offsets[:-1] < n]] = True
     ends[offsets[1:][offsets[1:] > 0] - 1] = True
+    if tails:
+        at = np.flatnonzero(_TAIL[buf[1:]] & _ALNUM[buf[:-1]]) + 1
+        begins[at] = ends[at - 1] = True
     start, end = np.flatnonzero(begins & ~space), np.flatnonzero(ends & ~space) + 1
     text = np.searchsorted(offsets, start, "right") - 1
     h = np.zeros(0, U)
@@ -130,10 +140,10 @@ def blocks(texts: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, int, np.nd
         lo = hi
 
 
-def word_blocks(texts: pa.Array, size: int = BLOCK, lower: bool = False) -> Iterator[tuple[int, int, Words]]:
+def word_blocks(texts: pa.Array, size: int = BLOCK, lower: bool = False, tails: bool = False) -> Iterator[tuple[int, int, Words]]:
     with np.errstate(over="ignore"):
         for lo, hi, buf, offsets in blocks(texts, size):
-            yield lo, hi, split_words(buf, offsets, lower)
+            yield lo, hi, split_words(buf, offsets, lower, tails)
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
