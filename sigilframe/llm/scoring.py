@@ -274,7 +274,7 @@ def score(docs: DataFrame, vocab: Vocabulary, net: Network) -> DataFrame:
                 for a in range(0, len(ids), 1 << 16):
                     at = np.arange(a, min(len(ids), a + (1 << 16)))
                     logs[at] = net.log_probs(net.contexts(ids, w.text, at), ids[at])
-                n, total = np.bincount(w.text, minlength=hi - lo), np.bincount(w.text, logs, hi - lo)
+                n, total = np.bincount(w.text, minlength=hi - lo), np.bincount(w.text, logs, hi - lo).astype(np.float64)
                 mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(total), mean], ["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
 

@@ -118,7 +118,8 @@ def _bitmap(spark: SparkSession, hot: DataFrame, width_bits: int):
     slices = hot.repartition(F.expr(f"shiftright(cell, {SLICE_BITS})")).sortWithinPartitions("cell").mapInArrow(_slicer, "part long, bits binary")
     for row in slices.toLocalIterator():
         lo = row.part << (SLICE_BITS - 3)
-        whole[lo : lo + (1 << (SLICE_BITS - 3))] = np.frombuffer(row.bits, np.uint8)
+        part = whole[lo : lo + (1 << (SLICE_BITS - 3))]
+        part[:] = np.frombuffer(row.bits, np.uint8)[: len(part)]
     return spark.sparkContext.broadcast(whole)
 
 
@@ -290,7 +291,12 @@ def _with_runs(docs: DataFrame, columns: list[str], window: int, anchor: int, sk
     """
     repeats = keep(repeated_windows(docs, window, anchor, **sketch), "repeats")
     ids, rows = repeats.select("doc_id"), docs.select(columns)
-    return with_ids(rows, ids, "left_anti"), with_ids(rows, ids, "left_semi").join(repeats, "doc_id").select(*columns, "runs")
+    # The rows may have a column named runs already.
+    own = "runs"
+    while own in {c.lower() for c in columns}:
+        own += "_"
+    hit = with_ids(rows, ids, "left_semi").join(repeats.withColumnRenamed("runs", own), "doc_id")
+    return with_ids(rows, ids, "left_anti"), hit.select(*columns, own)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, **sketch) -> DataFrame:
