@@ -2,11 +2,29 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from .stores import keep
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A star to its least node for each component of the links a - b."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        new = label.copy()
+        np.minimum.at(new, i, label[j])
+        np.minimum.at(new, j, label[i])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    off = label != np.arange(len(nodes))
+    return nodes[off], nodes[label[off]]
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges: (a, b) with a > b.  Hook every neighbour of a node to the least one around it."""
     e = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .components import components
+from .components import components, forest
 from .stores import keep
 
 SIMILARITY = 0.9
@@ -105,23 +105,6 @@ class _Block:
         self.cells = batch["cells"].flatten().to_numpy().reshape(len(self.node), -1)
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A star to its least node for each component of the links a - b."""
-    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    i, j = at[: len(a)], at[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        new = label.copy()
-        np.minimum.at(new, i, label[j])
-        np.minimum.at(new, j, label[i])
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    off = label != np.arange(len(nodes))
-    return nodes[off], nodes[label[off]]
-
-
 def _comparer(width: int, similarity: float):
     """Rows sorted by (table, cell, left block, right block, side) -> (node, links) sums and (node, other) edges."""
 
@@ -157,7 +140,7 @@ def _comparer(width: int, similarity: float):
                         continue
                     sums = [(part.node, np.bincount(i, block.weight[j], len(part.node))), (block.node, np.bincount(j, part.weight[i], len(block.node)))]
                     node, n = np.concatenate([s[0] for s in sums]), np.concatenate([s[1] for s in sums]).astype(np.int64)
-                    a, b = _forest(part.node[i], block.node[j])
+                    a, b = forest(part.node[i], block.node[j])
                     some = n > 0
                     node, n = node[some], n[some]
                     yield pa.record_batch(
