@@ -136,3 +136,19 @@ def detached_operators(operators: DataFrame, lines: DataFrame, reach: float = 5.
     o = operators.withColumn("cy", (F.col("top") + F.col("bottom")) / 2).select("paper_id", "page", F.col("index"), "cy")
     hit = o.join(lines.select("paper_id", "page", "line", "bbox"), ["paper_id", "page"]).filter(F.col("cy").between(F.col("bbox")[1] - reach, F.col("bbox")[3] + reach))
     return hit.groupBy("paper_id", "page", "index").agg(F.min("line").alias("line"))
+
+
+def surface_counts(candidates: DataFrame, surfaces: list[str]) -> DataFrame:
+    """Per page, how often each of the given surfaces stands on it, one column each."""
+    return candidates.groupBy("paper_id", "page").agg(*(F.count_if(F.col("surface") == s).alias(s) for s in surfaces))
+
+
+def seen_codes(glyphs: DataFrame) -> DataFrame:
+    """The distinct private codes of each font."""
+    code = X.glyph_code("text")
+    return glyphs.select("paper_id", "fontname", code.alias("code")).filter("code is not null").groupBy("paper_id", "fontname").agg(F.array_sort(F.collect_set("code")).alias("codes"))
+
+
+def in_boxes(candidates: DataFrame, boxes: DataFrame) -> DataFrame:
+    """boxes: (box_id, paper_id, page, area): the glyphs whose box overlaps an audited area of their page."""
+    return boxes.join(candidates, ["paper_id", "page"]).filter(X.boxes_overlap(F.col("area"), F.col("bbox"))).select("box_id", *candidates.columns)

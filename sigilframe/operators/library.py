@@ -87,6 +87,12 @@ def first_symbol_at(occurrences: DataFrame, symbols: DataFrame) -> DataFrame:
     return hit.groupBy("paper_id", "token_id").agg(F.min_by("symbol_id", "ordinal").alias("symbol_id"))
 
 
+def visible_occurrences(occurrences: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Occurrences of a page that belong to some symbol of the paper, by whichever name the identity is stored under."""
+    named = symbols.select("paper_id", identity().alias("key")).distinct()
+    return occurrences.withColumn("key", identity()).join(named, ["paper_id", "key"], "left_semi").drop("key")
+
+
 def others_with_counts(symbols: DataFrame, symbol_id: str) -> DataFrame:
     return symbols.filter(F.col("id") != symbol_id).select("id", "surface", "occurrences")
 
@@ -199,3 +205,16 @@ def apply_meanings(symbols: DataFrame, last: DataFrame, source: str) -> DataFram
 def page_navigation(history: DataFrame) -> DataFrame:
     """history: (paper_id, ordinal, page): each visit with the page to go back to, the one just before it."""
     return history.withColumn("back", F.lag("page").over(Window.partitionBy("paper_id").orderBy("ordinal")))
+
+
+def publish(table: DataFrame, path: str) -> None:
+    """Write a new version of a table; the committer shows it only when it is whole."""
+    table.write.mode("overwrite").parquet(path)
+
+
+def read_store(spark, path: str, schema: str) -> DataFrame:
+    """A stored table; empty where nothing was stored yet, an error where it is not readable."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)

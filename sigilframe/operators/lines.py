@@ -161,6 +161,15 @@ class Line:
         word = lambda k: "".join(g.text for g in self.g[edges[k] : edges[k + 1]]).lower() if 0 <= k < len(cuts) else ""
         return word(at - 1), word(at + 1)
 
+    def visual_words(self) -> list[tuple[str, float, float]]:
+        """(lower-case word, x0, x1) of each run of letters without a word gap."""
+        out: list[list[Glyph]] = []
+        for i, g in enumerate(self.g):
+            near = i and self.g[i - 1].letter and self.gap(i) <= clamp(1.5, 0.32 * min(g.size, self.g[i - 1].size), 4.0)
+            if g.letter:
+                out[-1].append(g) if near else out.append([g])
+        return [("".join(g.text for g in w).lower(), w[0].x0, w[-1].x1) for w in out]
+
     # Single letters -------------------------------------------------------------------------
 
     def _script_pair(self, i: int, j: int) -> bool:

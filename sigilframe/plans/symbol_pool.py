@@ -16,7 +16,7 @@ from ..functions import columns as X
 from ..functions import gloss
 from ..operators.events import EventFinder
 from ..operators.layout import column_boundary, follows_boundary
-from ..operators.lines import HEADING, STRUCTURAL_FONT, Glyph, box, group_lines
+from ..operators.lines import HEADING, Glyph, box, group_lines
 
 PAGE = ["paper_id", "page"]
 CONTEXT = 6
@@ -198,19 +198,28 @@ def with_gloss(pool: DataFrame) -> DataFrame:
     return out.withColumn("location", X.page_label("def_page")).withColumn("meaning_source", F.lit("local")).drop("evidence", "source_text", "texts", "event_text")
 
 
-def totals(pages: DataFrame, pool: DataFrame) -> DataFrame:
-    """The counters of a paper."""
+def totals(pages: DataFrame, pool: DataFrame, regions: DataFrame | None = None) -> DataFrame:
+    """The counters of a paper; ``regions`` are sources.documents.image_regions, where images are known."""
     lines = line_table(pages).groupBy("paper_id").agg(F.count_if("definition_like").alias("definition_lines"), F.count_if(F.col("formula_like") & ~F.col("definition_like")).alias("formula_lines"))
     queue = review_queue(pages).groupBy("paper_id").agg(F.count("*").alias("visual_review_items"))
-    candidates = candidate_table(pages).groupBy("paper_id").agg(F.count("*").alias("candidate_chars"), F.count_if(F.col("status") == "unresolved").alias("unresolved_chars"))
+    candidates = candidate_table(pages).groupBy("paper_id").agg(F.count("*").alias("candidate_chars"), F.count_if(F.col("status") == "unresolved").alias("unresolved_candidates"))
     events = event_table(pages).groupBy("paper_id").agg(F.count("*").alias("definition_events"))
     symbols = pool.groupBy("paper_id").agg(F.count("*").alias("final_symbols"), F.count_if(F.col("status") == "review").alias("review_symbols"))
+    images = pages.select("paper_id").distinct().withColumn("visual_fallback_regions", F.lit(0)) if regions is None else regions.groupBy("paper_id").agg(F.count("*").alias("visual_fallback_regions"))
     out = pages.groupBy("paper_id").agg(F.count("*").alias("pages"))
-    for part in (lines, queue, candidates, events, symbols):
+    for part in (lines, queue, candidates, events, symbols, images):
         out = out.join(part, "paper_id", "left")
     return out.na.fill(0)
 
 
+def documents(papers: "Papers") -> DataFrame:
+    """One nested document a paper: symbols, events and review queue in order, and the totals."""
+    nested = lambda df, name, *order: df.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct(*order, *(c for c in df.columns if c not in ("paper_id", *order))))).alias(name))
+    out = papers.pages.groupBy("paper_id").agg(F.max("page").alias("last_page"))
+    out = out.join(nested(papers.pool, "symbols", "ordinal"), "paper_id", "left").join(nested(papers.events, "definition_events", "page", "ordinal"), "paper_id", "left")
+    return out.join(nested(papers.review_queue, "review_queue", "page", "review_id"), "paper_id", "left").join(totals(papers.pages, papers.pool).select("paper_id", F.struct("definition_lines", "formula_lines", "visual_review_items", "candidate_chars", "unresolved_candidates", "visual_fallback_regions", F.col("final_symbols"), "review_symbols").alias("totals")), "paper_id", "left")
+
+
 class Papers:
     """The tables of some papers, each a lazy DataFrame over the parsed pages."""
 
@@ -221,6 +230,3 @@ class Papers:
         self.pool = with_gloss(with_occurrences(symbol_pool(self.events), self.occurrences))
         self.review_queue, self.candidates = review_queue(self.pages), candidate_table(self.pages)
 
-
-def structural_font(family: str) -> bool:
-    return STRUCTURAL_FONT.search(family) is not None

@@ -202,3 +202,17 @@ def test_update_stream(spark, tmp_path):
     q.awaitTermination()
     last = max((tmp_path / "out").glob("version=*"), key=lambda p: int(p.name.split("=")[1]))
     assert got(spark.read.parquet(str(last)), "id", "meaning", "meaning_source") == [("s", "three", "remote")]
+
+
+def test_store_and_views(spark, tmp_path, folders):
+    path = str(tmp_path / "folders")
+    assert library.read_store(spark, path, S.FOLDER).count() == 0
+    library.publish(folders, path)
+    assert got(library.read_store(spark, path, S.FOLDER)) == got(folders)
+    schema = "paper_id string, token_id string, identityKey string, identity_key string, surface string"
+    seen = table(spark, [("P", "1", None, "x|b", "x"), ("P", "2", None, None, "y"), ("P", "3", "z|i", None, "z")], schema)
+    pool = table(spark, [("P", "s", None, "x|b", "x"), ("P", "t", None, None, "y")], schema)
+    assert got(library.visible_occurrences(seen, pool), "token_id") == [("1",), ("2",)]
+    marks = table(spark, [("P", 1, "x", "(cid:3)", "F"), ("P", 1, "x", "(cid:5)", "F"), ("P", 2, "y", "y", "F")], "paper_id string, page int, surface string, text string, fontname string")
+    assert got(evaluation.surface_counts(marks, ["x", "y"])) == [("P", 1, 2, 0), ("P", 2, 0, 1)]
+    assert evaluation.seen_codes(marks).first().codes == [3, 5]

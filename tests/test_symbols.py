@@ -8,7 +8,7 @@ from sigilframe.functions import gloss
 from sigilframe.operators.events import EventFinder
 from sigilframe.operators.layout import column_boundary, follows_boundary, sides
 from sigilframe.operators.lines import Glyph, Line, box, definition_like, formula_signal, group_lines
-from sigilframe.plans.symbol_pool import Papers, totals
+from sigilframe.plans.symbol_pool import Papers, documents, totals
 
 from .glyphs import rows, run
 
@@ -187,7 +187,10 @@ def test_review_queue_and_totals(papers):
     queue = papers.review_queue.collect()
     assert [(r.kind, r.surface) for r in queue] == [("unresolved_glyph_identity", "(cid:7)")]
     t = totals(papers.pages, papers.pool).first()
-    assert (t.pages, t.definition_lines, t.visual_review_items, t.unresolved_chars) == (3, 1, 1, 1)
+    assert (t.pages, t.definition_lines, t.visual_review_items, t.unresolved_candidates) == (3, 1, 1, 1)
+    d = documents(papers).first()
+    # Q is defined behind the references: its page has no heading of its own, so events start there still.
+    assert [s.surface for s in d.symbols] == ["A", "B", "x", "Q"] and d.totals.final_symbols == 4 and len(d.review_queue) == 1
 
 
 def test_font_table_recovers_identities(spark):
@@ -202,3 +205,18 @@ def test_font_table_recovers_identities(spark):
 def test_no_pages(spark):
     papers = Papers(spark.createDataFrame([], S.GLYPH), spark.createDataFrame([], S.PAGE))
     assert papers.pool.count() == papers.review_queue.count() == 0
+
+
+def test_visual_words():
+    assert [w for w, _, _ in Line(run("Let x = ab  cd"), 1, 0).visual_words()] == ["let", "x", "ab", "cd"]
+
+
+def test_job(spark, tmp_path):
+    from sigilframe.__main__ import main
+
+    rows_ = rows(run("where A represents the mixing matrix.", font="CMR10", fonts={6: "CMMI10"}))
+    spark.createDataFrame(rows_, S.GLYPH).write.parquet(str(tmp_path / "glyphs"))
+    spark.createDataFrame([("P", 1, 600.0, 800.0)], S.PAGE).write.parquet(str(tmp_path / "pages"))
+    assert main([str(tmp_path / "glyphs"), str(tmp_path / "pages"), "--out", str(tmp_path / "out")]) == 0
+    assert spark.read.json(str(tmp_path / "out")).select("paper_id", "symbols.surface").first() == ("P", ["A"])
+    assert main([str(tmp_path / "nothing"), str(tmp_path / "pages"), "--out", str(tmp_path / "out2")]) == 2
