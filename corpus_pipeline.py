@@ -9,12 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sigilframe.llm import minhash, packing, quality, secrets, substring
-from sigilframe.llm.stores import keep
+from sigilframe.llm.stores import bound_batches, keep
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the fixed rules or the isolation forest reject go."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    labels = bound_batches(spark).read.parquet(f"{sf_dir}/labels.parquet")
     kept = quality.kept_rows(docs, labels)
     return kept.select(docs.columns)
 

@@ -25,6 +25,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .stores import MAX_BROADCAST_IDS, keep
@@ -51,7 +52,7 @@ def _tokenizer(path: str):
 class _WordIds:
     """The ids of words met so far by word hash, as flat arrays; started anew beyond ``limit`` words."""
 
-    def __init__(self, path: str, limit: int = 1 << 20):
+    def __init__(self, path: str, limit: int = 1 << 19):
         self.tokenizer, self.limit = _tokenizer(path), limit
         number, token = next(iter(self.tokenizer.get_added_tokens_decoder().items()))
         self.part, self.end = token.content, np.array([number], np.uint32)
@@ -131,10 +132,13 @@ def token_ids(texts: pa.Array, path: str, size: int = BLOCK) -> Iterator[tuple[i
 
 
 def _cutter(path: str, capacity: int, separator: int, with_ids: bool):
+    """Texts -> pieces, each with its task and its number among the task's pieces of its length."""
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for lo, hi, ids, ends in token_ids(batch.column(1), path):
-                row, piece, start, length, crc, own = [], [], [], [], [], []
+                row, piece, start, length, crc, within, own = [], [], [], [], [], [], []
                 for k in range(hi - lo):
                     doc = np.append(ids[ends[k] : ends[k + 1]], np.uint32(separator)).astype("<u4")
                     for n, at in enumerate(range(0, len(doc), capacity)):
@@ -143,19 +147,25 @@ def _cutter(path: str, capacity: int, separator: int, with_ids: bool):
                         piece.append(n)
                         start.append(at)
                         length.append(len(part))
+                        within.append(int(seen[len(part)]))
+                        seen[len(part)] += 1
                         data = part.tobytes()
                         crc.append(zlib.crc32(data))
                         if with_ids:
                             own.append(data)
                 cols = [batch.column(0).slice(lo, hi - lo).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-                yield pa.record_batch(cols + ([pa.array(own, pa.binary())] if with_ids else []), ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids)
+                cols += [pa.array(own, pa.binary())] * with_ids + [pa.array([task] * len(row), pa.int64()), pa.array(within, pa.int64())]
+                yield pa.record_batch(cols, ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, "task", "within"])
 
     return cut
 
 
+def _schema(with_ids: bool) -> str:
+    return "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
+
+
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, separator: int = SEPARATOR, with_ids: bool = False) -> DataFrame:
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(_cutter(path, capacity, separator, with_ids), schema)
+    return docs.select("doc_id", "text").mapInArrow(_cutter(path, capacity, separator, with_ids), _schema(with_ids) + ", task long, within long")
 
 
 def fullest(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
@@ -220,17 +230,6 @@ def _ranked(cut: DataFrame) -> DataFrame:
     return cut.join(before, ["task", "length"]).withColumn("rank", F.col("before") + F.col("within")).drop("before", "within", "task")
 
 
-def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Appends each row's number among the rows of its length and task; the task is column 'task'."""
-    seen: dict[tuple[int, int], int] = {}
-    for batch in batches:
-        out = np.empty(batch.num_rows, np.int64)
-        for i, key in enumerate(zip(batch["task"].to_pylist(), batch["length"].to_pylist())):
-            n = seen.get(key, 0)
-            out[i], seen[key] = n, n + 1
-        yield batch.append_column("within", pa.array(out))
-
-
 def _placer(slots):
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         length, rank, sequence, offset = slots.value
@@ -246,9 +245,8 @@ def _placer(slots):
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, separator: int = SEPARATOR, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset and, if asked for, ids (little-endian 32-bit)."""
-    cut = pieces(docs, tokenizer or tokenizer_path(), capacity, separator, with_ids).withColumn("task", F.spark_partition_id().cast("long"))
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    cut = keep(cut.mapInArrow(_number, schema + ", task long, within long"), "pieces")
+    schema = _schema(with_ids)
+    cut = keep(pieces(docs, tokenizer or tokenizer_path(), capacity, separator, with_ids), "pieces")
     histogram = {r.length: r["count"] for r in cut.groupBy("length").count().collect()}  # capacity rows at most
     slots = plan(histogram, capacity).sort_values(["length", "rank"])
     slots = cut.sparkSession.sparkContext.broadcast(tuple(slots[c].to_numpy() for c in ("length", "rank", "sequence", "offset")))

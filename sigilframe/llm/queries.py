@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, embeddings, lattice, packing, quality, scoring, secrets, warc
 from .minhash import near_duplicates
+from .stores import bound_batches
 from .substring import remove_repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bound_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

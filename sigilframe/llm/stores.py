@@ -12,6 +12,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 MAX_BROADCAST_IDS = 1_000_000
 
 
+#: Bytes of a batch between the JVM and Python; a task holds a few of them on either side.
+BATCH_BYTES = "16m"
+
+
+def bound_batches(spark: SparkSession) -> SparkSession:
+    """Keep Arrow batches small whatever the rows' widths, so that long texts do not add up in memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; where that is unset, as in tests, one of our own is set."""
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
