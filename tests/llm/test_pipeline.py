@@ -6,6 +6,7 @@ import re
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,7 +108,7 @@ def test_oracle(spark, name):
     ours, theirs = QUERIES[name](spark, str(SF)).toPandas(), con.execute(ORACLE_SQL[name]).df()
     cols = sorted(ours.columns)
     assert cols == sorted(theirs.columns)
-    text = lambda df: sorted(re.sub(r"\.0\b", "", "|".join("" if v is None or v != v else str(v) for v in r)) for r in df[cols].astype(object).itertuples(index=False))
+    text = lambda df: sorted(re.sub(r"\.0\b", "", "|".join("" if pd.isna(v) else str(v) for v in r)) for r in df[cols].astype(object).itertuples(index=False))
     assert text(ours) == text(theirs)
 
 
