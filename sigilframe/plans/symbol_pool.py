@@ -15,7 +15,7 @@ from ..functions import characters as C
 from ..functions import columns as X
 from ..functions import gloss
 from ..operators.events import EventFinder
-from ..operators.layout import column_boundary, follows_boundary
+from ..operators.layout import follows_boundary, gutter
 from ..operators.lines import HEADING, Glyph, box, group_lines
 
 PAGE = ["paper_id", "page"]
@@ -54,14 +54,17 @@ def _renamed(glyphs: DataFrame) -> DataFrame:
 
 
 def page_boundaries(glyphs: DataFrame, pages: DataFrame) -> DataFrame:
-    """(paper_id, page, boundary): each page's own gutter, null without one."""
+    """(paper_id, page, boundary): each page's own gutter, null without one; only positions are shuffled."""
+    visible = X.nonspace("decoded", "upright")
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    marks = glyphs.select("paper_id", "page", visible.alias("visible"), zero("x0"), zero("x1"), zero("top"))
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = pdf.iloc[0]
-        width = None if pd.isna(row.width) else row.width
-        return pd.DataFrame([(row.paper_id, row.page, column_boundary(_page_glyphs(pdf), width))], columns=["paper_id", "page", "boundary"])
+        first, seen = pdf.iloc[0], pdf[pdf.visible]
+        width = None if pd.isna(first.width) else first.width
+        return pd.DataFrame([(first.paper_id, first.page, gutter(seen.x0.to_numpy(), seen.x1.to_numpy(), seen.top.to_numpy(), width))], columns=["paper_id", "page", "boundary"])
 
-    return _renamed(glyphs).join(pages.select(*PAGE, "width"), PAGE, "left").groupBy(PAGE).applyInPandas(find, "paper_id string, page int, boundary double")
+    return marks.join(pages.select(*PAGE, "width"), PAGE, "left").groupBy(PAGE).applyInPandas(find, "paper_id string, page int, boundary double")
 
 
 def with_paper_boundary(boundaries: DataFrame) -> DataFrame:
