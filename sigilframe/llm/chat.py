@@ -75,7 +75,7 @@ _EXAMPLES = "conv_id long, example long, text string, loss_start long, loss_end
 def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by conversation and turn -> examples."""
     out, size = [], 0
-    at, prefix, example, pending = object(), [], 0, None
+    at, prefix, before, example, pending = object(), [], 0, 0, None
 
     def flush() -> pa.RecordBatch:
         cols = list(zip(*out))
@@ -93,7 +93,7 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for conv, role, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
             if conv != at:
                 finish()
-                at, prefix, example, pending = conv, [], 0, None
+                at, prefix, before, example, pending = conv, [], 0, 0, None
             elif pending is not None:
                 out.append((*pending, False))
                 size += len(pending[2])
@@ -102,11 +102,12 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     yield flush()
                     out, size = [], 0
             turn, lo, hi = render(role or "", text or "")
-            before = sum(map(len, prefix))
-            prefix = ["".join(prefix), turn]
-            if role == TARGET:
-                pending = (conv, example, "".join(prefix), before + lo, before + hi)
+            prefix.append(turn)
+            if role == TARGET:  # only here is the context put together
+                prefix = ["".join(prefix)]
+                pending = (conv, example, prefix[0], before + lo, before + hi)
                 example += 1
+            before += len(turn)
     finish()
     if out:
         yield flush()
