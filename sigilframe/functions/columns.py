@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, functions as F
 
 from . import patterns as P
@@ -15,8 +13,10 @@ def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def any_of(text: Column | str, patterns, flags: str = "(?iU)") -> Column:
-    return reduce(lambda a, b: a | b, (_col(text).rlike(flags + p) for p in patterns))
+def any_of(text: Column | str, patterns, exact: str | None = None) -> Column:
+    """One alternation, so that a text is prepared and walked once; ``exact`` heeds case."""
+    parts = [f"(?:{p})" for p in patterns] + ([f"(?-i:{exact})"] if exact else [])
+    return _col(text).rlike("(?iU)" + "|".join(parts))
 
 
 def collapse(text: Column | str) -> Column:
@@ -100,13 +100,11 @@ def is_bold_math_glyph(font: Column | str, unicode_style: Column | str) -> Colum
 
 
 def definition_like(text: Column | str) -> Column:
-    t = collapse(text)
-    return any_of(t, P.DEFINITION) | t.rlike("(?U)" + P.GIVEN_CAPITAL)
+    return any_of(collapse(text), P.DEFINITION, P.GIVEN_CAPITAL)
 
 
 def formula_signal(text: Column | str) -> Column:
-    t = collapse(text)
-    return any_of(t, P.FORMULA_SIGNAL) | t.rlike("(?U)" + P.GIVEN_CAPITAL)
+    return any_of(collapse(text), P.FORMULA_SIGNAL, P.GIVEN_CAPITAL)
 
 
 def formula_like(text: Column | str, operators: Column | str, math: Column | str, family: Column | str) -> Column:
