@@ -49,15 +49,6 @@ def keep(df: DataFrame, kind: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop(df: DataFrame) -> None:
-    """Remove the files of a table made by keep(), once nothing reads it any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)
-
-
 def with_ids(df: DataFrame, ids: DataFrame, how: str, limit: int = MAX_BROADCAST_IDS) -> DataFrame:
     """left_semi or left_anti of wide rows with one column of distinct ids.
 
