@@ -216,3 +216,48 @@ def test_store_and_views(spark, tmp_path, folders):
     marks = table(spark, [("P", 1, "x", "(cid:3)", "F"), ("P", 1, "x", "(cid:5)", "F"), ("P", 2, "y", "y", "F")], "paper_id string, page int, surface string, text string, fontname string")
     assert got(evaluation.surface_counts(marks, ["x", "y"])) == [("P", 1, 2, 0), ("P", 2, 0, 1)]
     assert evaluation.seen_codes(marks).first().codes == [3, 5]
+
+
+def test_import_counts(spark, tmp_path):
+    schema = "arrived timestamp, name string, mime string"
+    rows = spark.sql("SELECT timestamp'2024-01-01 00:10:00' AS arrived, 'a.pdf' AS name, cast(null AS string) AS mime UNION ALL SELECT timestamp'2024-01-01 00:20:00', 'b.txt', null UNION ALL SELECT timestamp'2024-01-01 01:00:00', 'c', 'application/pdf'")
+    rows.write.parquet(str(tmp_path / "in"))
+    seen = streams.import_counts(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    q = seen.select("accepted", "rejected").writeStream.outputMode("complete").format("memory").queryName("imports").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert got(spark.table("imports")) == [(1, 0), (1, 1)]
+
+
+def test_pdf_source_registers(spark):
+    from sigilframe.sources import pdf
+
+    pdf.register(spark)
+    assert spark.read.format("pdf_glyphs").option("paths", "/nowhere/a.pdf").load().columns == [c.split(" ")[0] for c in S.GLYPH.split(", ")]
+
+
+def test_small_commands(spark, membership):
+    places = table(spark, [("a", 3), ("b", 4)], "paper_id string, page int")
+    assert got(library.upsert_positions(places, table(spark, [("b", 9)], "paper_id string, page int"))) == [("a", 3), ("b", 9)]
+    occurrences = table(spark, [("P", "t1", "x|b", 1), ("P", "t2", "q|b", 2)], "paper_id string, token_id string, identity_key string, page int")
+    symbols = table(spark, [("P", "x|b", 1, "late", "x", 2), ("P", "x|b", 0, "early", "x", 3)], "paper_id string, identity_key string, ordinal int, id string, surface string, occurrences int")
+    assert got(library.first_symbol_at(occurrences, symbols), "token_id", "symbol_id") == [("t1", "early")]
+    assert got(library.occurrences_on_page(occurrences, 2), "token_id") == [("t2",)]
+    assert got(library.others_with_counts(symbols, "early")) == [("late", "x", 2)]
+    numbered = summaries.batches(table(spark, [(k, "d" * 2000) for k in range(17)], "ordinal int, definition string"))
+    assert got(numbered.groupBy("batch").count()) == [(0, 16), (1, 1)] and numbered.first().sent == "d" * 1200
+
+
+def test_audits(spark):
+    lines = table(spark, [("P", 1, 0, 5, 2), ("P", 1, 1, 9, 2), ("P", 1, 2, 0, 0)], "paper_id string, page int, line int, meaningful int, math int")
+    assert got(evaluation.math_dominant(lines), "line") == [(0,)]
+    bands = table(spark, [("P", 1, 0, [0.0, 10.0, 9.0, 20.0]), ("P", 1, 1, [0.0, 18.0, 9.0, 30.0])], "paper_id string, page int, line int, bbox array<double>")
+    marks = table(spark, [("P", 1, 7, 20.0, 24.0), ("P", 1, 8, 90.0, 94.0)], "paper_id string, page int, index int, top double, bottom double")
+    assert got(evaluation.detached_operators(marks, bands)) == [("P", 1, 7, 0)]
+    runs = table(spark, [("g", True), ("h", False)], "gold_id string, final_pool_link boolean")
+    assert got(evaluation.compare(runs, runs, "final_pool_link")) == [("g", True, True), ("h", False, False)]
+    glyphs = table(spark, [("F", "x", 1, 0, [0.0], "l0"), ("F", "x", 2, 0, [1.0], "l1"), ("G", "y", 1, 1, [2.0], "l0")], "fontname string, text string, page int, index int, bbox array<double>, line_id string")
+    top = {r.text: r for r in evaluation.glyph_inventory(glyphs).collect()}["x"]
+    assert (top.n, top.pages, top.boxes, top.lines) == (2, 2, [[0.0], [1.0]], ["l0", "l1"])
+    assert [r.fontname for r in evaluation.font_frequency(glyphs).collect()] == ["F", "G"]
+    areas = table(spark, [("b", "P", 1, [0.0, 0.0, 5.0, 15.0])], "box_id string, paper_id string, page int, area array<double>")
+    assert got(evaluation.in_boxes(bands, areas), "line") == [(0,)]
