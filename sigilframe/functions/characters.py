@@ -60,15 +60,37 @@ def normal_form(text: str | None) -> str | None:
     return text and "".join(unicodedata.normalize("NFKC", c) for c in text)
 
 
+#: Standard glyph names of characters that are no letters or differ from their Greek name's letter.
+GLYPH_NAMES = dict(pair.split() for pair in """
+Delta ∆|Omega Ω|mu µ|theta1 ϑ|phi1 ϕ|sigma1 ς|omega1 ϖ|Upsilon1 ϒ
+zero 0|one 1|two 2|three 3|four 4|five 5|six 6|seven 7|eight 8|nine 9
+plus +|minus −|equal =|less <|greater >|lessequal ≤|greaterequal ≥|notequal ≠|approxequal ≈|equivalence ≡|similar ∼|congruent ≅|proportional ∝
+plusminus ±|multiply ×|divide ÷|asteriskmath ∗|dotmath ⋅|periodcentered ·|circleplus ⊕|circlemultiply ⊗|fraction ⁄
+summation ∑|product ∏|integral ∫|radical √|partialdiff ∂|gradient ∇|infinity ∞|element ∈|notelement ∉|suchthat ∋|emptyset ∅
+union ∪|intersection ∩|propersubset ⊂|reflexsubset ⊆|propersuperset ⊃|reflexsuperset ⊇|notsubset ⊄|universal ∀|existential ∃|logicaland ∧|logicalor ∨|logicalnot ¬|perpendicular ⊥|therefore ∴
+arrowleft ←|arrowright →|arrowup ↑|arrowdown ↓|arrowboth ↔|arrowdblleft ⇐|arrowdblright ⇒|arrowdblboth ⇔|angleleft 〈|angleright 〉|angle ∠
+parenleft (|parenright )|bracketleft [|bracketright ]|braceleft {|braceright }|slash /|backslash \\|asterisk *|hyphen -|underscore _|asciicircum ^|asciitilde ~
+period .|comma ,|colon :|semicolon ;|exclam !|question ?|percent %|ampersand &|numbersign #|at @|dollar $|degree °|prime ′|minute ′|second ″
+aleph ℵ|Ifraktur ℑ|Rfraktur ℜ|weierstrass ℘|dagger †|daggerdbl ‡|bullet •|lozenge ◊|ellipsis …|endash –|emdash —
+""".strip().replace("\n", "|").split("|")) | {"bar": "|", "space": " "}
+
+
 def glyph_name_char(name: str | None) -> str | None:
-    """The character of a glyph name: Greek names give lower case, ``uniXXXX`` and single letters themselves."""
-    for key in ((name or "").lstrip("/"), (name or "").lstrip("/").rstrip("0123456789")):
+    """The character of a glyph name, tried whole and without its trailing digits.
+
+    Greek names give the capital where only their first letter is one, else the small letter.
+    """
+    whole = (name or "").lstrip("/")
+    for key in (whole, whole.rstrip("0123456789")):
         if len(key) == 1:
             return key
+        if key in GLYPH_NAMES:
+            return GLYPH_NAMES[key]
         if re.fullmatch("uni[0-9A-F]{4}", key):
             return chr(int(key[3:], 16))
         if key.upper() in GREEK:
-            return GREEK[key.upper()]
+            letter = GREEK[key.upper()]
+            return letter.upper() if key == key.capitalize() else letter
     return None
 
 

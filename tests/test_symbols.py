@@ -153,6 +153,7 @@ def test_characters():
     assert C.text_style("𝐱𝑦") == "mixed:bold+italic" and C.text_style("x") is None
     assert C.normal_form("𝑥ﬁ²µ") == "xfi2μ"
     assert [C.glyph_name_char(n) for n in ("alpha", "A123", "lambda", "unknown", None)] == ["α", "A", "λ", None, None]
+    assert [C.glyph_name_char(n) for n in ("Gamma", "GAMMA", "Delta", "theta1", "summation", "bar", "/uni03B1", "backslash")] == ["Γ", "γ", "∆", "ϑ", "∑", "|", "α", "\\"]
     assert C.font_style("ABCDEF+CMR9") == "roman" and C.font_style("MSBM10") == "blackboard" and C.font_style("Foo") == "font:Foo"
 
 
