@@ -280,6 +280,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
         own = rows.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
         windows = texts.join(own, "doc_id").select("doc_id", "text", "keys").mapInArrow(_windower(window, anchor, width_bits, None, True), schema)
     dup = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").drop("most")
+    # As a table of its own, so that the join's partitions of a hot window can be split.
+    dup = keep(dup, "repeated")
     found = windows.join(dup, ["h1", "h2"]).filter("doc_id > least")
     return found.groupBy("doc_id").agg(F.collect_list("pos").alias("starts")).mapInArrow(_runs, "doc_id long, runs array<long>")
 
