@@ -29,6 +29,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -48,8 +49,15 @@ def model_path(name: str = MODEL) -> str:
 
 
 def _uniform(x: np.ndarray) -> np.ndarray:
-    """(0, 1) from 64-bit keys."""
-    return ((mix(x) >> U(11)).astype(np.float64) + 0.5) * 2.0**-53
+    """(0, 1) from 64-bit keys; never 1 itself."""
+    return ((mix(x) >> U(12)).astype(np.float64) + 0.5) * 2.0**-52
+
+
+def _order(x: np.ndarray) -> np.ndarray:
+    """Stable order of non-negative numbers below 2**32, by their 16-bit digits, which numpy sorts in linear time."""
+    order = np.argsort((x & 0xFFFF).astype(np.uint16), kind="stable")
+    high = (x >> 16).astype(np.uint16)
+    return order[np.argsort(high[order], kind="stable")] if len(x) and high.max() else order
 
 
 class Pieces:
@@ -121,7 +129,7 @@ class Lattice:
         chunk = np.repeat(np.arange(len(count)), count)
         begin = np.cumsum(count) - count
         place = np.arange(len(cp)) - begin[chunk]
-        order = np.argsort(place, kind="stable")
+        order = _order(place)
         node = np.empty(len(cp), np.int64)
         node[order] = np.arange(len(cp))
         self.last = node[begin + count - 1]
@@ -152,7 +160,7 @@ class Lattice:
             ids.append(piece[piece >= 0])
         # Long pieces stand first at a node: they are mostly the likely ones.
         end, start, piece = (np.concatenate(x[::-1]) for x in (ends, starts, ids))
-        order = np.argsort(end, kind="stable")
+        order = _order(end)
         self.end, self.start, self.piece = end[order], start[order], piece[order]
         self.first = np.searchsorted(self.end, np.arange(len(cp) + 1))
         weight = np.where(self.piece >= 0, pieces.weight[np.maximum(self.piece, 0)], 4 * pieces.weight[0])
@@ -200,11 +208,20 @@ class Lattice:
         return out, steps
 
 
+#: -log of the largest uniform below 1 is over e**-37, so an entry is at most REACH above its log mass.
+REACH, FLOOR = 37.0, -80.0
+
+
 class _Path:
-    """One sample of a text: its edges and chunks in search order, and the agenda entries it left."""
+    """One sample of a text: its edges and chunks in search order, and the agenda entries it left.
 
-    def __init__(self, edge, occ, score, rest, prefix, barred):
-        self.edge, self.occ, self.score, self.rest, self.prefix, self.barred = edge, occ, score, rest, prefix, barred
+    Entries whose log mass is under FLOOR are not worked out (-inf) until the agenda's best is so low
+    that one of them could come before it.
+    """
+
+    def __init__(self, r, edge, occ, score, rest, prefix, barred, own):
+        self.r, self.edge, self.occ, self.score, self.rest, self.prefix, self.barred, self.own = r, edge, occ, score, rest, prefix, barred, own
+        self.whole = False
 
 
 def _rest(log_mass: np.ndarray, bound, u: np.ndarray) -> np.ndarray:
@@ -249,7 +266,9 @@ def sample_texts(pieces: Pieces, buf: np.ndarray, offsets: np.ndarray, keys: np.
         return
     with np.errstate(over="ignore"):
         h = mix(_sums(stream(23, 256)[data], start, end - 1) + (end - start).astype(U))
-    _, pick, kind = np.unique(h, return_index=True, return_inverse=True)
+    kind, distinct = pd.factorize(h)
+    pick = np.empty(len(distinct), np.int64)
+    pick[kind] = np.arange(len(h))  # any of the equal chunks
     lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     own = ragged(start[pick], (end - start)[pick])
     lattice = Lattice(pieces, data[own].tobytes(), (lead[end] - lead[start])[pick])
@@ -257,11 +276,28 @@ def sample_texts(pieces: Pieces, buf: np.ndarray, offsets: np.ndarray, keys: np.
     number = np.arange(len(start)) - first[text]
     final = lattice.last[kind]
 
-    def entries(r: int, edge: np.ndarray, step: np.ndarray, doc: np.ndarray, before: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    def entries(r: int, edge: np.ndarray, step: np.ndarray, doc: np.ndarray, before: np.ndarray, bound: np.ndarray, low: bool = False) -> np.ndarray:
         """The agenda entry each choice leaves for its other edges."""
-        u = _uniform(mix(keys[doc] + U(2 * r + 1) * _ODD) + step.astype(U) * _GOLD)
-        one = lattice.first[lattice.end[edge] + 1] - lattice.first[lattice.end[edge]] == 1
-        return np.where(one, -np.inf, _rest(before + _log1mexp(lattice.logp[edge]), bound, u))
+        node = lattice.end[edge]
+        at = np.flatnonzero((lattice.first[node + 1] - lattice.first[node] > 1) & ((before > FLOOR) != low))
+        out = np.full(len(edge), -np.inf)
+        u = _uniform(mix(keys[doc[at]] + U(2 * r + 1) * _ODD) + step[at].astype(U) * _GOLD)
+        out[at] = _rest(before[at] + _log1mexp(lattice.logp[edge[at]]), bound[at], u)
+        return out
+
+    def best_entry(d: int) -> tuple[float, _Path | None, int]:
+        best, path, where = -np.inf, None, 0
+        for p in paths[d]:
+            if len(p.rest) and p.rest[s := int(p.rest.argmax())] > best:
+                best, path, where = p.rest[s], p, s
+        if best < FLOOR + REACH and not all(p.whole for p in paths[d]):
+            for p in paths[d]:
+                if not p.whole:
+                    own, n = slice(p.own, None), len(p.edge) - p.own
+                    p.rest[own] = np.maximum(p.rest[own], entries(p.r, p.edge[own], np.arange(p.own, len(p.edge)), np.full(n, d), p.prefix[own], np.full(n, p.score), True))
+                    p.whole = True
+            return best_entry(d)
+        return best, path, where
 
     seeds = lambda r, doc, occ: mix(keys[doc] + U(2 * r) * _ODD) + (occ.astype(U) << U(24)) * _GOLD
     edge, steps = lattice.draw(final, seeds(0, text, number))
@@ -273,23 +309,17 @@ def sample_texts(pieces: Pieces, buf: np.ndarray, offsets: np.ndarray, keys: np.
     prefix = total[:-1] - total[at[doc]]
     root = -np.log(-np.log(_uniform(mix(keys + U(77)))))
     rest = entries(0, edge, np.arange(len(edge)) - at[doc], doc, prefix, root[doc])
-    paths: list[list[_Path]] = [[_Path(edge[at[d] : at[d + 1]], occ[at[d] : at[d + 1]], root[d], rest[at[d] : at[d + 1]], prefix[at[d] : at[d + 1]], {})] for d in range(n)]
+    paths: list[list[_Path]] = [[_Path(0, edge[at[d] : at[d + 1]], occ[at[d] : at[d + 1]], root[d], rest[at[d] : at[d + 1]], prefix[at[d] : at[d + 1]], {}, 0)] for d in range(n)]
     kappa = np.full(n, -np.inf)
     for r in range(1, k + 1):
         jobs = []
         for d in range(n):
-            best, where = -np.inf, None
-            for p in paths[d] if len(paths[d]) == r else []:
-                if len(p.rest):
-                    s = int(p.rest.argmax())
-                    if p.rest[s] > best:
-                        best, where = p.rest[s], (p, s)
-            if where is None:
+            best, p, s = best_entry(d) if len(paths[d]) == r else (-np.inf, None, 0)
+            if p is None:
                 continue
             if r == k:
                 kappa[d] = best
                 continue
-            p, s = where
             p.rest[s] = -np.inf
             node = lattice.end[p.edge[s]]
             barred = p.barred.get(s, [p.edge[s]])
@@ -324,12 +354,14 @@ def sample_texts(pieces: Pieces, buf: np.ndarray, offsets: np.ndarray, keys: np.
             own = slice(at[i], at[i + 1])
             u = _uniform(np.array([keys[d] + U(9001 + r)]))
             kept = _rest(np.array([p.prefix[s] + np.log(left)]), best, u) if left > 0 else np.array([-np.inf])
-            paths[d].append(_Path(np.concatenate([p.edge[:s], [new], edge[own]]), np.concatenate([p.occ[: s + 1], occ[own]]), best, np.concatenate([np.full(s, -np.inf), kept, rest[own]]), np.concatenate([p.prefix[: s + 1], prefix[own]]), {s: barred}))
+            paths[d].append(_Path(r, np.concatenate([p.edge[:s], [new], edge[own]]), np.concatenate([p.occ[: s + 1], occ[own]]), best, np.concatenate([np.full(s, -np.inf), kept, rest[own]]), np.concatenate([p.prefix[: s + 1], prefix[own]]), {s: barred}, s + 1))
     for d in range(n):
         out = []
         for p in paths[d]:
-            turn = np.argsort(p.occ[::-1], kind="stable")
-            ids = lattice.piece[p.edge[::-1][turn]]
+            # Chunks stand in order, each searched from its end: turn each one round.
+            cut = np.flatnonzero(np.diff(p.occ, prepend=-1, append=-1))
+            turn = np.repeat(cut[:-1] + cut[1:] - 1, np.diff(cut)) - np.arange(len(p.occ))
+            ids = lattice.piece[p.edge[turn]]
             if (ids < 0).any():
                 ids = np.concatenate([pieces.bytes[list(chr(-1 - i).encode())] if i < 0 else [i] for i in ids.tolist()])
             log_p = float(lattice.logp[p.edge].sum())
