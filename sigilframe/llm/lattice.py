@@ -29,7 +29,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -37,7 +36,7 @@ from .text import U, _power, _sums, blocks, mix, ragged, stream
 
 K, SHARPNESS, SHIFT = 2, 1.0, 10.0
 MODEL = "piece_bpe_32k.model"
-BLOCK = 3 << 20
+BLOCK = 2 << 20
 _MARK = 0x2581
 _GOLD, _ODD = U(0x9E3779B97F4A7C15), U(0xD1B54A32D192ED03)
 
@@ -266,9 +265,7 @@ def sample_texts(pieces: Pieces, buf: np.ndarray, offsets: np.ndarray, keys: np.
         return
     with np.errstate(over="ignore"):
         h = mix(_sums(stream(23, 256)[data], start, end - 1) + (end - start).astype(U))
-    kind, distinct = pd.factorize(h)
-    pick = np.empty(len(distinct), np.int64)
-    pick[kind] = np.arange(len(h))  # any of the equal chunks
+    _, pick, kind = np.unique(h, return_index=True, return_inverse=True)
     lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     own = ragged(start[pick], (end - start)[pick])
     lattice = Lattice(pieces, data[own].tobytes(), (lead[end] - lead[start])[pick])
