@@ -7,11 +7,19 @@ pairs at or above the threshold are links.  A pair near a border can fall into t
 with probability near n ** -((1-s)/(1+s)), 0.75 for 226 cells at 0.9, so twelve tables miss such a
 pair about once in ten million.  A pair counts in the first table where it meets.
 
+That holds where no centroid falls inside a group of neighbours.  Groups dense enough to draw several
+centroids would be cut apart in every table, so they have an exact way of their own: balls of the
+threshold's angle around dense places of the sample.  A vector inside a ball (its home, the nearest)
+leaves the tables and meets every vector within twice the angle of the ball's centre, which by the
+triangle inequality are all it can link with.  A pair counts in the lower of its two homes.
+
 Scale.  Equal vectors are one node with a weight, so copies never multiply.  Cells are kept near
 ``cell_rows`` members: a codebook has at most ``MAX_CENTROIDS``, and larger inputs take the pair (or
 triple, ...) of two (three, ...) codebooks' numbers as the cell.  Crowded cells are cut in blocks of
-``BLOCK_ROWS`` that meet two by two.  Blocks emit sums and a spanning forest, never pairs.  The only
-things on the driver are the sample and the codebooks, both bounded.
+``BLOCK_ROWS`` that meet two by two.  Blocks emit sums and a spanning forest, never pairs.  A ball's
+own vectors are compared with each other and its border in full, so the work on a dense group of
+distinct vectors grows with the square of its size.  The only things on the driver are the sample, the
+codebooks and the balls' centres, all bounded.
 
 Defined results.  Vectors that are null, empty, zero or hold null or non-finite components, and null
 ids, link with nothing.  Shorter vectors are filled with zeros.  Rows that repeat a vector link with
@@ -33,6 +41,8 @@ from .stores import keep
 SIMILARITY = 0.9
 TABLES, MAX_CENTROIDS, CELL_ROWS, SAMPLE_ROWS, ROUNDS, SEED = 12, 1024, 256, 8192, 5, 5
 BLOCK_ROWS = 2048
+BALLS = -1  # in place of a table's number
+ROW = ["table", "cell", "node", "weight", "vec", "cells", "home"]
 
 
 def matrix(vectors: pa.Array, width: int) -> np.ndarray:
@@ -64,8 +74,25 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int, rng) -> np.ndarray:
     return centroids
 
 
-def fit(nodes: DataFrame, width: int, tables: int, cell_rows: int, sample_rows: int, seed: int):
-    """Broadcast codebooks, tables x depth x (centroids, width); None below two rows."""
+def dense_balls(x: np.ndarray, least: int, similarity: float) -> np.ndarray:
+    """Unit centres of balls such that every row outside them has under ``least`` linked rows outside them."""
+    hit = np.concatenate([x[lo : lo + 1024] @ x.T >= similarity for lo in range(0, len(x), 1024)])
+    count, alive, centres = hit.sum(1), np.ones(len(x), bool), []
+    while True:
+        i = int(np.where(alive, count, 0).argmax())
+        if not alive[i] or count[i] < least:
+            return np.array(centres).reshape(-1, x.shape[1])
+        centre = x[hit[i] & alive].sum(0)
+        centre /= np.linalg.norm(centre)  # row i is within the angle: all rows summed are, seen from it
+        gone = alive & (x @ centre >= similarity)
+        gone[i] = True
+        centres.append(centre)
+        alive &= ~gone
+        count -= hit[gone].sum(0)
+
+
+def fit(nodes: DataFrame, width: int, tables: int, cell_rows: int, sample_rows: int, seed: int, similarity: float):
+    """Broadcast (codebooks, tables x depth x (centroids, width), and centres of dense balls); None below two rows."""
     n = nodes.count()
     salt = F.xxhash64("node", F.lit(seed))
     share = nodes if n <= 2 * sample_rows else nodes.filter(F.pmod(salt, F.lit(1 << 30)) < int((1 << 30) * 1.3 * sample_rows / n))
@@ -73,6 +100,12 @@ def fit(nodes: DataFrame, width: int, tables: int, cell_rows: int, sample_rows:
     if len(sample) < 2:
         return None
     x = unit(matrix(sample, width))
+    # A quarter of a cell, as the sample shows it.
+    balls = dense_balls(x, max(4, -(-cell_rows * len(x) // (4 * n))), similarity)
+    if len(balls):
+        sparse = x[((x @ balls.T) < similarity).all(1)]
+        n = n * len(sparse) // len(x)
+        x = sparse if len(sparse) > 1 else x
     depth, k = 1, max(1, n // cell_rows)
     while k > MAX_CENTROIDS:
         depth += 1
@@ -80,20 +113,30 @@ def fit(nodes: DataFrame, width: int, tables: int, cell_rows: int, sample_rows:
     k = min(k, len(x))
     rng = np.random.default_rng(seed)
     books = [[spherical_kmeans(x[rng.permutation(len(x))[: max(k, len(x) // 2)]], k, ROUNDS, rng) for _ in range(depth)] for _ in range(tables)]
-    return nodes.sparkSession.sparkContext.broadcast(np.array(books))
+    return nodes.sparkSession.sparkContext.broadcast((np.array(books), balls))
 
 
-def _assigner(books, width: int):
+def _assigner(shared, width: int, similarity: float):
+    border = 2 * max(similarity, 0.0) ** 2 - 1 - 1e-9  # cosine of twice the angle
+
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
+            books, centres = shared.value
             x = unit(matrix(batch["vec"], width))
-            cells = np.zeros((len(x), len(books.value)), np.int64)
-            for t, levels in enumerate(books.value):
+            cells = np.zeros((len(x), len(books)), np.int64)
+            for t, levels in enumerate(books):
                 for book in levels:
                     cells[:, t] = cells[:, t] * len(book) + (x @ book.T).argmax(1)
-            yield batch.append_column("cells", pa.FixedSizeListArray.from_arrays(pa.array(cells.reshape(-1)), cells.shape[1]).cast(pa.list_(pa.int64())))
+            home, row, ball = np.full(len(x), -1), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            if len(centres):
+                cos = x @ centres.T
+                home = np.where(cos.max(1) >= similarity, cos.argmax(1), -1)
+                row, ball = np.nonzero(cos >= border)
+            near = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(x) + 1)), pa.int32()), pa.array(ball, pa.int64()))
+            batch = batch.append_column("cells", pa.FixedSizeListArray.from_arrays(pa.array(cells.reshape(-1)), cells.shape[1]).cast(pa.list_(pa.int64())))
+            yield batch.append_column("home", pa.array(home, pa.int64())).append_column("near", near)
 
     return assign
 
@@ -103,22 +146,42 @@ class _Block:
         self.node, self.weight = batch["node"].to_numpy(), batch["weight"].to_numpy()
         self.x = unit(matrix(batch["vec"], width))
         self.cells = batch["cells"].flatten().to_numpy().reshape(len(self.node), -1)
+        home = batch["home"].to_numpy()
+        self.home = np.where(home < 0, np.iinfo(np.int64).max, home)
+
+
+def _dense_forest(hit: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """forest() of the pairs set in ``hit``, without listing them."""
+    nodes, at = np.unique(np.concatenate([left, right]), return_inverse=True)
+    i, j = at[: len(left)], at[len(left) :]
+    label, none = np.arange(len(nodes)), len(nodes)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, i, np.where(hit, label[j], none).min(1))
+        np.minimum.at(new, j, np.where(hit, label[i][:, None], none).min(0))
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    off = label != np.arange(len(nodes))
+    return nodes[off], nodes[label[off]]
 
 
 def _comparer(width: int, similarity: float):
     """Rows sorted by (table, cell, left block, right block, side) -> (node, links) sums and (node, other) edges."""
 
-    def meet(left: _Block, right: _Block, table: int, same: bool):
+    def meet(left: _Block, right: _Block, table: int, cell: int, same: bool) -> np.ndarray:
         hit = left.x @ right.x.T >= similarity
-        i, j = np.nonzero(hit)
-        ok = left.node[i] != right.node[j]
+        hit &= left.node[:, None] != right.node
         if same:
-            ok &= i < j
-        i, j = i[ok], j[ok]
-        if table and len(i):
-            new = ~(left.cells[i, :table] == right.cells[j, :table]).any(1)
-            i, j = i[new], j[new]
-        return i, j
+            hit = np.triu(hit, 1)
+        if table == BALLS:
+            hit &= np.minimum(left.home[:, None], right.home) == cell
+        elif table and hit.any():
+            i, j = np.nonzero(hit)
+            seen = (left.cells[i, :table] == right.cells[j, :table]).any(1)
+            hit[i[seen], j[seen]] = False
+        return hit
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, left = None, []
@@ -135,12 +198,17 @@ def _comparer(width: int, similarity: float):
                 if not side:
                     left.append(block)
                 for part in left if side or bi == bj else []:
-                    i, j = meet(part, block, table, part is block)
-                    if not len(i):
+                    hit = meet(part, block, table, cell, part is block)
+                    n_hits = int(np.count_nonzero(hit))
+                    if not n_hits:
                         continue
-                    sums = [(part.node, np.bincount(i, block.weight[j], len(part.node))), (block.node, np.bincount(j, part.weight[i], len(block.node)))]
+                    sums = [(part.node, hit @ block.weight.astype(np.float64)), (block.node, part.weight.astype(np.float64) @ hit)]
                     node, n = np.concatenate([s[0] for s in sums]), np.concatenate([s[1] for s in sums]).astype(np.int64)
-                    a, b = forest(part.node[i], block.node[j])
+                    if n_hits > 16 * sum(hit.shape):
+                        a, b = _dense_forest(hit, part.node, block.node)
+                    else:
+                        i, j = np.nonzero(hit)
+                        a, b = forest(part.node[i], block.node[j])
                     some = n > 0
                     node, n = node[some], n[some]
                     yield pa.record_batch(
@@ -158,17 +226,24 @@ def near_duplicates(rows: DataFrame, similarity: float = SIMILARITY, tables: int
     vectors = vectors.withColumn("node", F.when(F.col("vec").isNotNull(), F.xxhash64("vec")))
     nodes = keep(vectors.filter("node is not null").groupBy("node").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"), F.first("vec").alias("vec")), "vectors")
     width = nodes.agg(F.max(F.size("vec"))).first()[0] or 1
-    books = fit(nodes, width, tables, cell_rows, sample_rows, seed)
+    shared = fit(nodes, width, tables, cell_rows, sample_rows, seed, similarity)
     own = F.greatest("weight", F.lit(1)) - 1
-    if books is None:
+    if shared is None:
         out = vectors.select("vec_id", "node").join(nodes.select("node", own.alias("n_links"), F.col("least").alias("component_id")), "node", "left")
     else:
-        placed = nodes.select("node", "weight", "vec").mapInArrow(_assigner(books, width), "node long, weight long, vec array<double>, cells array<long>")
+        placed = nodes.select("node", "weight", "vec").mapInArrow(_assigner(shared, width, similarity), "node long, weight long, vec array<double>, cells array<long>, home long, near array<long>")
         placed = keep(placed, "cells")
-        crowded = placed.select(F.posexplode("cells").alias("table", "cell")).groupBy("table", "cell").count().filter(f"count > {BLOCK_ROWS}").select("table", "cell", F.expr(f"cast(ceil(count / {BLOCK_ROWS}) as int)").alias("blocks"))
-        spread = placed.select("*", F.posexplode("cells").alias("table", "cell")).join(crowded, ["table", "cell"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        spread = spread.withColumn("home", F.expr("cast(pmod(node, blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        spread = spread.select("table", "cell", F.least("home", "other").alias("bi"), F.greatest("home", "other").alias("bj"), F.expr("cast(home > other as int)").alias("side"), "node", "weight", "vec", "cells")
+        sparse = placed.filter("home < 0")
+        crowded = sparse.select(F.posexplode("cells").alias("table", "cell")).groupBy("table", "cell").count().filter(f"count > {BLOCK_ROWS}").select("table", "cell", F.expr(f"cast(ceil(count / {BLOCK_ROWS}) as int)").alias("blocks"))
+        spread = sparse.select("*", F.posexplode("cells").alias("table", "cell")).join(crowded, ["table", "cell"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        spread = spread.withColumn("block", F.expr("cast(pmod(node, blocks) as int)")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+        # In a ball, blocks of its own vectors come first and meet all; blocks of its border meet only those.
+        balled = placed.select("*", F.lit(BALLS).alias("table"), F.explode("near").alias("cell")).withColumn("core", F.expr("home = cell"))
+        in_ball = balled.groupBy("cell").agg(*[F.expr(f"cast(ceil(count_if({c}) / {BLOCK_ROWS}) as int)").alias(n) for c, n in (("core", "cores"), ("not core", "borders"))])
+        balled = balled.join(F.broadcast(in_ball.filter("cores > 0")), "cell").withColumn("block", F.expr("cast(if(core, pmod(node, cores), cores + pmod(node, borders)) as int)"))
+        balled = balled.withColumn("other", F.explode(F.expr("sequence(0, if(core, cores + borders, cores) - 1)")))
+        spread = spread.select(*ROW, "block", "other").unionByName(balled.select(*ROW, "block", "other"))
+        spread = spread.select(*ROW, F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), F.expr("cast(block > other as int)").alias("side"))
         found = spread.repartition("table", "cell", "bi", "bj").sortWithinPartitions("table", "cell", "bi", "bj", "side").mapInArrow(_comparer(width, similarity), "node long, n long, other long")
         found = keep(found, "found")
         sums = found.groupBy("node").agg(F.sum("n").alias("n"))

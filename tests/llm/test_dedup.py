@@ -117,6 +117,22 @@ def test_embeddings(spark, monkeypatch, block):
     assert all(out[k] == (0, k, True) for k in range(1000, 1006)) and out[None] == (0, None, True)
 
 
+def test_embeddings_dense_group(spark):
+    """A third of 50,000 distinct vectors around one direction: every link is counted."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((50_000, 64)) / 8
+    hot = rng.permutation(len(x))[: len(x) // 3]
+    x[hot] = x[0] / np.linalg.norm(x[0]) + rng.uniform(0.1, 0.28, (len(hot), 1)) * x[hot]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = np.concatenate([(u[lo : lo + 2000] @ u.T >= 0.9).sum(1) for lo in range(0, len(u), 2000)]) - 1
+    table = pa.table({"vec_id": pa.array(range(len(x))), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), 64).cast(pa.list_(pa.float64()))})
+    found = embeddings.near_duplicates(spark.createDataFrame(table).repartition(6)).toPandas().set_index("vec_id")["n_links"].sort_index().to_numpy()
+    assert links.sum() > 2e8
+    assert (found == links).all(), (int(found.sum()), int(links.sum()))
+
+
 def test_embeddings_small(spark):
     schema = "vec_id long, embedding array<float>"
     assert embeddings.near_duplicates(spark.createDataFrame([], schema)).count() == 0
