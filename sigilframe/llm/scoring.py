@@ -6,15 +6,18 @@ probability of the word given its neighbours.  Each neighbour's place has its ow
 the sum goes through tanh, and a two-step softmax (class of words, word in class) gives the
 probabilities.  Everything is trained here, in numpy.
 
-The vocabulary is the most frequent words of all documents; other words share hashed ids.  Training
+The vocabulary is the most frequent words of all documents; how many follows the root of the number of
+distinct words, and so does the number of classes.  Other words share hashed ids in the network, and an
+id's probability is divided among its words by their counts, so every word has one of its own.  Training
 starts with ``WARM_ROWS`` documents on the driver and then goes over all documents: every task trains
 a copy of the network on the masked positions of its texts (one in ``MASK`` by hash of place and
 word), and the copies are averaged with the number of positions as weights.
 
 Scale.  Word counts are summed per task, then by shuffle.  Copies are averaged in rounds that each
 join ``FAN_IN`` partial sums of one slice of the network, so no task holds more than that; what
-reaches the driver is the network and the vocabulary, whose sizes are parameters.  Scoring is one
-narrow pass over the whole texts.
+reaches the driver is the network and the vocabulary, which grow as the root of the distinct words.
+Scoring is one narrow pass over the whole texts; it also writes the words outside the vocabulary, which
+are joined with the table of counts and summed by row.
 
 Defined results.  Null and wordless texts score 0 with no tokens and a null mean.  Null ids and
 repeated rows are scored each.  An empty table gives an empty table.  Columns other than ``doc_id``
@@ -28,12 +31,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from .stores import keep
 from .text import U, Words, mix, word_blocks
 
 WINDOW, HIDDEN = 2, 32
-CLASSES, CLASS_SIZE, HASHED = 64, 72, 512
+LEAST_IDS, ROOT, HASHED_SHARE = 4608, 4, 9  # ids at least; ids per root of the distinct words; one in so many is hashed
 MASK, BATCH, RATE = 8, 8192, 0.08
 WARM_ROWS, WARM_EPOCHS, SEED = 512, 3, 11
 FAN_IN, SLICES = 8, 16
@@ -57,6 +62,10 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
         return np.where(self.hash[at] == h, self.id[at] + 1, other)
 
+    def others(self, ids: np.ndarray) -> np.ndarray:
+        """Places of ids that several words share."""
+        return np.flatnonzero(ids > self.size)
+
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, counts, n = [], [], 0
@@ -82,12 +91,25 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(c)], ["word", "n"])
 
 
-def vocabulary(docs: DataFrame, size: int, hashed: int) -> Vocabulary:
-    counts = docs.select("text").mapInArrow(_counter, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word (hash), n of all words."""
+    return keep(docs.select("text").mapInArrow(_counter, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+
+
+def vocabulary(counts: DataFrame, size: int, hashed: int) -> tuple[Vocabulary, DataFrame]:
+    """The most frequent words, and the others as word, share: log of the word's part of its hashed id."""
     top = counts.orderBy(F.desc("n"), "word").limit(size).toPandas()
     h = top["word"].to_numpy(np.int64).view(U)
     order = np.argsort(h)
-    return Vocabulary(h[order], order.astype(np.int64), size, hashed)
+    if len(top) < size:
+        others = counts.limit(0)
+    else:
+        n, word = (int(x) for x in top.iloc[-1][["n", "word"]])
+        others = counts.filter((F.col("n") < n) | ((F.col("n") == n) & (F.col("word") > word)))
+    others = others.withColumn("id", F.shiftrightunsigned("word", 20) % hashed)
+    totals = others.groupBy("id").agg(F.sum("n").alias("total"))  # ``hashed`` rows at most
+    shares = others.join(F.broadcast(totals), "id").select("word", F.log(F.col("n") / F.col("total")).alias("share"))
+    return Vocabulary(h[order], order.astype(np.int64), size, hashed), shares
 
 
 class Network:
@@ -217,7 +239,7 @@ def _learn(net: Network, parts: Iterator[tuple[np.ndarray, np.ndarray]], batch:
     return total + n
 
 
-def train(docs: DataFrame, vocab: Vocabulary, classes: int = CLASSES, class_size: int = CLASS_SIZE, mask: int = MASK, rate: float = RATE, warm_rows: int = WARM_ROWS, seed: int = SEED) -> Network:
+def train(docs: DataFrame, vocab: Vocabulary, classes: int, class_size: int, mask: int = MASK, rate: float = RATE, warm_rows: int = WARM_ROWS, seed: int = SEED) -> Network:
     spark = docs.sparkSession
     net = Network(vocab.size + vocab.hashed + 1, classes, class_size, seed=seed)
     warm = docs.select("text").filter("text is not null").limit(warm_rows).toArrow()["text"]
@@ -260,13 +282,14 @@ def train(docs: DataFrame, vocab: Vocabulary, classes: int = CLASSES, class_size
     return net
 
 
-def score(docs: DataFrame, vocab: Vocabulary, net: Network) -> DataFrame:
+def score(docs: DataFrame, vocab: Vocabulary, shares: DataFrame, net: Network) -> DataFrame:
     """doc_id, n_tokens, log_prob, mean_log_prob."""
     net.sums = {}
     shared = docs.sparkSession.sparkContext.broadcast((vocab, net))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, net = shared.value
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for lo, hi, w in word_blocks(batch.column(1), lower=True):
                 ids = vocab.ids(w.hash)
@@ -275,13 +298,31 @@ def score(docs: DataFrame, vocab: Vocabulary, net: Network) -> DataFrame:
                     at = np.arange(a, min(len(ids), a + (1 << 16)))
                     logs[at] = net.log_probs(net.contexts(ids, w.text, at), ids[at])
                 n, total = np.bincount(w.text, minlength=hi - lo), np.bincount(w.text, logs, hi - lo).astype(np.float64)
-                mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(total), mean], ["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
-
-
-def score_documents(docs: DataFrame, classes: int = CLASSES, class_size: int = CLASS_SIZE, hashed: int = HASHED, **training) -> DataFrame:
-    """Vocabulary, training and scores, all from ``docs``."""
-    vocab = vocabulary(docs, classes * class_size - hashed, hashed)
-    return score(docs, vocab, train(docs, vocab, classes, class_size, **training))
+                at = vocab.others(ids)
+                others = pa.ListArray.from_arrays(pa.array(np.searchsorted(w.text[at], np.arange(hi - lo + 1)), pa.int32()), pa.array(w.hash[at].view(np.int64)))
+                rows = pa.array(np.arange(row, row + hi - lo))
+                row += hi - lo
+                yield pa.record_batch([rows, batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(total), others], ["row", "doc_id", "n_tokens", "log_prob", "others"])
+
+    rows = keep(docs.select("doc_id", "text").mapInArrow(run, "row long, doc_id long, n_tokens long, log_prob double, others array<long>"), "scored")
+    parts = rows.select("row", F.explode("others").alias("word")).join(shares, "word").groupBy("row").agg(F.sum("share").alias("share"))
+    total = F.col("log_prob") + F.coalesce("share", F.lit(0.0))
+    mean = F.when(F.col("n_tokens") > 0, total / F.col("n_tokens"))
+    return rows.drop("others").join(parts, "row", "left").select("doc_id", "n_tokens", total.alias("log_prob"), mean.alias("mean_log_prob"))
+
+
+def sizes(distinct: int) -> tuple[int, int, int]:
+    """(classes, words of a class, hashed ids) for so many distinct words."""
+    ids = max(LEAST_IDS, int(np.ceil(ROOT * distinct**0.5)))
+    classes = int(np.ceil(ids**0.5))
+    class_size = -(-ids // classes)
+    return classes, class_size, classes * class_size // HASHED_SHARE
+
+
+def score_documents(docs: DataFrame, classes: int | None = None, class_size: int | None = None, hashed: int | None = None, **training) -> DataFrame:
+    """Vocabulary, training and scores, all from ``docs``; sizes not given follow the corpus."""
+    counts = word_counts(docs)
+    own = sizes(counts.count())
+    classes, class_size, hashed = (x if x is not None else y for x, y in zip((classes, class_size, hashed), own))
+    vocab, shares = vocabulary(counts, classes * class_size - hashed, hashed)
+    return score(docs, vocab, shares, train(docs, vocab, classes, class_size, **training))

@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import pyarrow as pa
 
 from sigilframe.llm import quality, scoring, secrets
@@ -174,6 +175,21 @@ def test_scores_odd_rows(spark):
     assert small(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_words_of_a_hashed_id_have_their_own_probabilities(spark):
+    """Words beyond the vocabulary: twelve times as frequent is log 12 more; the shares of an id sum to one."""
+    rows = [(k, "a b c d " * 20 + "rare") for k in range(12)] + [(100, "a b c d " * 20 + "junk")]
+    docs = spark.createDataFrame(rows, DOCS)
+    _, shares = scoring.vocabulary(scoring.word_counts(docs), 4, 1)
+    assert sorted(np.exp(r.share) for r in shares.collect()) == pytest.approx([1 / 13, 12 / 13])
+    one = {r.doc_id: r.log_prob for r in scoring.score_documents(docs, classes=1, class_size=5, hashed=1, mask=1).collect()}
+    assert one[0] - one[100] == pytest.approx(np.log(12), abs=1e-4)
+
+
+def test_vocabulary_follows_the_corpus():
+    small, large = scoring.sizes(10**7), scoring.sizes(10**9)
+    assert large[0] * large[1] > 9 * small[0] * small[1] and large[0] > 3 * small[0] > 300
+
+
 def test_probabilities_sum_to_one():
     net = scoring.Network(64 + 1, 8, 8)
     context = np.array([[3], [0], [9], [64]])
