@@ -10,8 +10,8 @@ The vocabulary is the most frequent words of all documents; how many follows the
 distinct words, and so does the number of classes.  Other words share hashed ids in the network, and an
 id's probability is divided among its words by their counts, so every word has one of its own.  Training
 starts with ``WARM_ROWS`` documents on the driver and then goes over all documents: every task trains
-a copy of the network on the masked positions of its texts (one in ``MASK`` by hash of place and
-word), and the copies are averaged with the number of positions as weights.
+a copy of the network on every position of its texts, each masked once (a block's positions come in
+``MASK`` turns by hash of place and word, so that a batch mixes many texts), and the copies are averaged with the number of positions as weights.
 
 Scale.  Word counts are summed per task, then by shuffle.  Copies are averaged in rounds that each
 join ``FAN_IN`` partial sums of one slice of the network, so no task holds more than that; what
@@ -208,18 +208,19 @@ def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (own - np.log(np.exp(x, out=x).sum(1))).astype(np.float64)
 
 
-def masked(w: Words, mask: int) -> np.ndarray:
-    """The positions to learn from: one in ``mask``, by hash of the place in its text and the word."""
+def turns(w: Words, mask: int) -> list[np.ndarray]:
+    """All positions in ``mask`` turns, by hash of the place in its text and the word."""
     place = np.arange(len(w.hash)) - w.first()[w.text] if len(w.hash) else np.zeros(0, np.int64)
-    return np.flatnonzero(mix(w.hash + place.astype(U)) % U(mask) == 0)
+    turn = (mix(w.hash + place.astype(U)) % U(mask)).astype(np.uint16)
+    return np.split(np.argsort(turn, kind="stable"), np.cumsum(np.bincount(turn, minlength=mask))[:-1])
 
 
 def _positions(texts: pa.Array, vocab: Vocabulary, net: Network, mask: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for _, _, w in word_blocks(texts, lower=True):
         ids = vocab.ids(w.hash)
-        at = masked(w, mask)
-        if len(at):
-            yield net.contexts(ids, w.text, at), ids[at]
+        for at in turns(w, mask):
+            if len(at):
+                yield net.contexts(ids, w.text, at), ids[at]
 
 
 def _learn(net: Network, parts: Iterator[tuple[np.ndarray, np.ndarray]], batch: int, rate: float) -> int:

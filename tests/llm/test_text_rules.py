@@ -185,6 +185,15 @@ def test_words_of_a_hashed_id_have_their_own_probabilities(spark):
     assert one[0] - one[100] == pytest.approx(np.log(12), abs=1e-4)
 
 
+def test_every_position_trains():
+    import pyarrow as pa
+
+    texts = pa.array(["a b c d e f g h i j k", None, "a b", "x " * 500])
+    vocab = scoring.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64), 32, 32)
+    parts = list(scoring._positions(texts, vocab, scoring.Network(65, 8, 8), scoring.MASK))
+    assert sum(len(y) for _, y in parts) == 11 + 2 + 500
+
+
 def test_vocabulary_follows_the_corpus():
     small, large = scoring.sizes(10**7), scoring.sizes(10**9)
     assert large[0] * large[1] > 9 * small[0] * small[1] and large[0] > 3 * small[0] > 300
