@@ -25,6 +25,7 @@ table.  Columns other than ``doc_id`` and ``text`` are not read.
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,8 +37,10 @@ from pyspark.sql import DataFrame
 from .text import U, _power, _sums, blocks, mix, ragged, stream
 
 K, SHARPNESS, SHIFT = 2, 1.0, 10.0
+K_QUERY = 4  # samples a document in the registered query
 MODEL = "piece_bpe_32k.model"
 BLOCK = 2 << 20
+SCHEMA = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double, ids_crc32 long"
 _MARK = 0x2581
 _GOLD, _ODD = U(0x9E3779B97F4A7C15), U(0xD1B54A32D192ED03)
 
@@ -369,7 +372,8 @@ def sample_texts(pieces: Pieces, buf: np.ndarray, offsets: np.ndarray, keys: np.
         yield out
 
 
-def _sampler(path: str, k: int, sharpness: float, with_ids: bool):
+def _sampler(path: str, k: int, sharpness: float, with_ids: bool, decoded: bool = False):
+    # Decoding is part of the same pass: a pass of its own would hold a second worker with its own vocabulary.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(path, sharpness)
         with np.errstate(over="ignore"):
@@ -377,26 +381,35 @@ def _sampler(path: str, k: int, sharpness: float, with_ids: bool):
                 ids = batch.column(0)
                 keys = mix(ids.fill_null(0).to_numpy().astype(np.int64).view(U) + U(4))
                 for lo, hi, buf, offsets in blocks(batch.column(1), BLOCK):
-                    row, cols = [], [[] for _ in range(7)]
+                    row, cols = [], [[] for _ in range(9)]
                     for d, samples in enumerate(sample_texts(pieces, buf, offsets, keys[lo:hi], k)):
                         for r, (own, log_p, score, inside) in enumerate(samples):
                             row.append(lo + d)
                             data = own.astype("<u4").tobytes()
                             for c, v in zip(cols, (r, len(own), log_p, score, inside, zlib.crc32(data), data)):
                                 c.append(v)
-                    kinds = (pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.binary())
-                    made = [pa.array(c, t) for c, t in zip(cols, kinds)][: 7 if with_ids else 6]
-                    yield pa.record_batch([ids.take(pa.array(row, pa.int64())), *made], ["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", "ids_crc32", "ids"][: len(made) + 1])
+                            if decoded:
+                                text = pieces.model.decode(own.tolist())
+                                cols[7].append(len(text))
+                                cols[8].append(hashlib.sha256(text.encode()).hexdigest())
+                    kinds = (pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.binary(), pa.int64(), pa.string())
+                    made = [pa.array(c, t) for c, t in zip(cols, kinds)][: 9 if decoded else 7 if with_ids else 6]
+                    yield pa.record_batch([ids.take(pa.array(row, pa.int64())), *made], ["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", "ids_crc32", "ids", "decoded_chars", "decoded_sha256"][: len(made) + 1])
 
     return run
 
 
 def sample_encodings(docs: DataFrame, model: str | None = None, k: int = K, sharpness: float = SHARPNESS, with_ids: bool = False) -> DataFrame:
     """Up to k rows a document: doc_id, sample, n_pieces, log_prob, perturbed, log_inclusion, ids_crc32 and, if asked for, ids."""
-    schema = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double, ids_crc32 long" + ", ids binary" * with_ids
+    schema = SCHEMA + ", ids binary" * with_ids
     return docs.select("doc_id", "text").mapInArrow(_sampler(model or model_path(), k, sharpness, with_ids), schema)
 
 
+def round_trip(docs: DataFrame, model: str | None = None, k: int = K_QUERY, sharpness: float = SHARPNESS) -> DataFrame:
+    """The encodings with their ids, and decoded_chars and decoded_sha256 of the text that each gives back."""
+    return docs.select("doc_id", "text").mapInArrow(_sampler(model or model_path(), k, sharpness, True, True), f"{SCHEMA}, ids binary, decoded_chars long, decoded_sha256 string")
+
+
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
     """The rows with ``text`` in place of ``ids`` (little-endian 32-bit ids, or null)."""
     path = model or model_path()

@@ -27,7 +27,7 @@ def op3_warc_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sampled_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lattice.sample_encodings(_table(spark, sf_dir, "documents"))
+    return lattice.round_trip(_table(spark, sf_dir, "documents"))
 
 
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -164,6 +164,20 @@ def test_decoding_gives_the_text_back(spark):
     assert all(r.ids_crc32 == zlib.crc32(bytes(r.ids)) and len(r.ids) == 4 * r.n_pieces for r in got.collect())
 
 
+def test_query_gives_ids_and_decodes_them(spark, tmp_path):
+    from sigilframe.llm.queries import QUERIES
+
+    rows = corpus() + [(9000, "  two  spaces \n"), (9001, "日本語 𝔸 word " * 20_000), (9002, "word " * 40_000)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    out = QUERIES["op4_sampled_segmentation"](spark, str(tmp_path)).collect()
+    want = {i: t or "" for i, t in rows}
+    assert all(r.decoded_sha256 == hashlib.sha256(want[r.doc_id].encode()).hexdigest() and r.decoded_chars == len(want[r.doc_id]) for r in out)
+    assert all(r.ids_crc32 == zlib.crc32(bytes(r.ids)) and len(r.ids) == 4 * r.n_pieces for r in out)
+    samples = Counter(r.doc_id for r in out)
+    assert set(samples) == set(want) and samples[9001] == samples[9002] == 4
+    assert len({bytes(r.ids) for r in out if r.doc_id == 9001}) == 4
+
+
 def test_samples_do_not_depend_on_partitions(spark):
     df = spark.createDataFrame(corpus(), DOCS)
     a, b = (sorted(map(tuple, lattice.sample_encodings(df.repartition(n)).select("doc_id", "sample", "ids_crc32").collect())) for n in (1, 7))
