@@ -3,7 +3,10 @@
 Method.  Three base patterns report assignments, access ids and long hex runs.  Beyond these, runs of
 base64 or hex are decoded and reported only if the bytes parse as a private key (DER with nested
 lengths that fill their parents exactly, or the length-prefixed fields of an OpenSSH key), and dotted
-triples only if header and payload decode to the JSON objects of a signed token.
+triples only if header and payload decode to the JSON objects of a signed token.  Both base64 alphabets
+count.  Line ends inside a key may be real or escaped (backslash and n), and string quotes may close and
+open again around them; without a PEM header the lines are joined, up to the length that the key's first
+bytes tell.
 
 One narrow pass over the rows: no shuffle, and memory follows the longest text.  Regular expressions
 run only on texts that hold a keyword or a word long enough, which no match can do without.
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -33,11 +37,18 @@ BASE = KINDS[:3]
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
-_LONG = re.compile(r"[^\x20\x09-\x0D]{32,}")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40,}={0,2}")
+#: What may stand between two lines of a key: line ends, real or escaped, blanks, signs of quoting, and string quotes.
+_BREAK = r"""(?:\\+[nrt]|[\x20\x09-\x0D"'>,#*|\\]|(?<=["'\x20\x09])\+(?=["'\x20\x09-\x0D]))++"""
+_BREAKS = re.compile(_BREAK)
+_ALPHABETS = ("A-Za-z0-9+/", "A-Za-z0-9_-")
+#: Keys begin with a DER sequence or OpenSSH's magic; an escaped line end before them has a letter that is none of theirs.
+_BASE64 = [re.compile(rf"(?:(?<![A-Za-z0-9+/])|(?<=\\[nrt]))(?=M[A-P]|b3Bl)[{a}]{{40,}}={{0,2}}") for a in _ALPHABETS]
+_LINE = [re.compile(rf"{_BREAK}([{a}]+={{0,2}})") for a in _ALPHABETS]
 _ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])([A-Za-z0-9_-]{8,})\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([A-Za-z0-9+/=\x20\x09-\x0D]+)-----END \1-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:[A-Za-z0-9+/=]++|" + _BREAK + r")++)-----END \1-----")
+#: Bytes of the shortest word that _TOKEN takes, and of the shortest that a key, or a line of one, or a hex run can stand in.
+_TOKEN_BYTES, _LONG_BYTES = 12, 32
 _KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 
 
@@ -115,30 +126,64 @@ def _object(text: str):
     return value if isinstance(value, dict) else None
 
 
-def _structural(text: str) -> set[tuple[int, int, int]]:
+def _joined(text: str, first: re.Match, line: re.Pattern) -> int | None:
+    """The end of the key that begins with the run ``first``, alone or with the lines after it.
+
+    A DER key tells its length; an OpenSSH key ends with its first line of another width.
+    """
+    whole = _decode64(first[0])
+    if whole and _is_der_key(whole):
+        return first.end()
+    head = _decode64(first[0][:40]) or b"\0\0"
+    ssh = head[0] != 0x30
+    if ssh:
+        need = len(text)
+    else:
+        size = head[1] & 0x7F if head[1] & 0x80 else 0
+        need = -(-4 * (2 + size + (int.from_bytes(head[2 : 2 + size], "big") if size else head[1])) // 3)
+        if need > len(text) - first.start():
+            return None
+    parts, got, end = [first[0]], len(first[0].rstrip("=")), first.end()
+    while got < need and not parts[-1].endswith("=") and (not ssh or len(parts[-1]) == len(parts[0])):
+        m = line.match(text, end)
+        if not m or (ssh and len(m[1]) > len(parts[0])):
+            break
+        parts.append(m[1])
+        end, got = m.end(), got + len(m[1].rstrip("="))
+    data = _decode64("".join(parts))
+    if data and (ssh or got == need) and is_private_key(data):
+        return end
+    return first.end() if whole and is_private_key(whole) else None
+
+
+def _structural(text: str, long: bool, short: bool) -> set[tuple[int, int, int]]:
     found = set()
     key, token = KINDS.index("key"), KINDS.index("token")
-    for m in _PEM.finditer(text):
-        data = _decode64("".join(m[2].split()))
-        if data and is_private_key(data):
-            found.add((m.start(), key, m.end()))
-    for word in _LONG.finditer(text):
-        lo, hi = word.span()
-        for m in _BASE64.finditer(text, lo, hi):
-            data = _decode64(m[0])
+    if long:
+        for m in _PEM.finditer(text):
+            data = _decode64(_BREAKS.sub("", m[2]))
             if data and is_private_key(data):
                 found.add((m.start(), key, m.end()))
-        for m in _ANY_HEX.finditer(text, lo, hi):
+        pems = sorted(found)
+        for pattern, line in zip(_BASE64, _LINE):
+            for m in pattern.finditer(text):
+                k = bisect.bisect(pems, (m.start(), key, len(text))) - 1
+                if k >= 0 and m.start() < pems[k][2]:
+                    continue  # the body of a key found already
+                end = _joined(text, m, line)
+                if end:
+                    found.add((m.start(), key, end))
+        for m in _ANY_HEX.finditer(text):
             if is_private_key(bytes.fromhex(m[0])):
                 found.add((m.start(), key, m.end()))
-        for m in _TOKEN.finditer(text, lo, hi):
-            header = _object(m[1])
-            if header and isinstance(header.get("alg"), str) and _object(m[2]) is not None and (m[3] or header["alg"].lower() == "none"):
-                found.add((m.start(), token, m.end()))
+    for m in _TOKEN.finditer(text) if short else ():
+        header = _object(m[1])
+        if header and isinstance(header.get("alg"), str) and _object(m[2]) is not None and (m[3] or header["alg"].lower() == "none"):
+            found.add((m.start(), token, m.end()))
     return found
 
 
-def find(text: str, keyword: bool = True, access: bool = True, long: bool = True) -> list[tuple[int, int, int]]:
+def find(text: str, keyword: bool = True, access: bool = True, long: bool = True, short: bool = True) -> list[tuple[int, int, int]]:
     """(start, kind number, end) in order; the flags say what the text can hold at all."""
     found = set()
     if keyword:
@@ -147,7 +192,8 @@ def find(text: str, keyword: bool = True, access: bool = True, long: bool = True
         found.update((m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16)
     if long:
         found.update((m.start(), 2, m.end()) for m in _HEX.finditer(text))
-        found |= _structural(text)
+    if long or short:
+        found |= _structural(text, long, short)
     return sorted(found)
 
 
@@ -167,11 +213,12 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
 def _scans(texts: pa.Array) -> Iterator[tuple[str | None, list[tuple[int, int, int]]]]:
     for lo, hi, w in word_blocks(texts):
         data = w.buf.tobytes()
-        longs = set(w.text[w.end - w.start >= 32].tolist())
+        size = w.end - w.start
+        longs, shorts = (set(w.text[size >= n].tolist()) for n in (_LONG_BYTES, _TOKEN_BYTES))
         for t in range(hi - lo):
             raw = data[w.offsets[t] : w.offsets[t + 1]]
             low = raw.lower()
-            flags = any(k in low for k in _KEYWORDS), b"AKIA" in raw, t in longs or b"PRIVATE KEY-----" in raw
+            flags = any(k in low for k in _KEYWORDS), b"AKIA" in raw, t in longs or b"PRIVATE KEY-----" in raw, t in shorts and raw.count(b".") > 1
             yield (texts[lo + t].as_py() if any(flags) else None), (find(raw.decode(), *flags) if any(flags) else [])
 
 

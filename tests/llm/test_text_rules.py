@@ -110,6 +110,31 @@ def test_confirmed_and_dropped():
     assert secrets.find("a " + pem) == [(2, 3, 2 + len(pem))]
 
 
+def test_keys_in_strings_wrapped_and_url_safe(spark):
+    kinds = lambda t: [secrets.KINDS[k] for _, k, _ in secrets.find(t) if k >= 3]
+    wrap = lambda x, n: [x[i : i + n] for i in range(0, len(x), n)]
+    begin, end = "-----BEGIN PRIVATE KEY-----", "-----END PRIVATE KEY-----"
+    ed = der(0x30, der(2, b"\0") + der(0x30, der(6, b"\x2b\x65\x70")) + der(4, der(4, b"\x05" * 32)))
+    url = base64.urlsafe_b64encode(der(0x30, der(2, b"\1") + der(4, b"\xfb\xff" * 16))).decode()
+    assert "-" in url and "_" in url
+    for data in (ed, PKCS8, RSA):
+        for sep in ("\\n", "\\r\\n", "\\\\n", '\\n"\n  "', '\\n" +\n  "'):
+            pem = sep.join([begin, *wrap(b64(data), 64), end])
+            assert secrets.find(f'{{"k": "{pem}"}}') == [(7, 3, 7 + len(pem))], sep
+    for data in (PKCS8, RSA, SSH + b"\x41" * 100):
+        for width in (64, 76):
+            for sep in ("\n", "\r\n", "\n    ", "\n> ", "\\n"):
+                body = sep.join(wrap(b64(data), width))
+                assert secrets.find(f"key: {body}\n\nThen more {'words ' * 20}") == [(5, 3, 5 + len(body))], (width, sep)
+    for text in (url, url.rstrip("="), "\n".join(wrap(url, 40)), "a-" + b64(PKCS8), "x\\n" + b64(ed)):
+        assert kinds(f"see {text} end") == ["key"], text
+    assert kinds("\n".join(wrap(b64(b"plain text " * 30), 64))) == kinds("\n".join(wrap(b64(PKCS8[:-9]), 64))) == []
+    none = base64.urlsafe_b64encode(b'{"alg":"none"}').decode().rstrip("=") + ".e30."
+    assert len(none) < 32 and kinds(f"a {none} b") == ["token"]
+    out = secrets.scan(spark.createDataFrame([(1, f"a {none} b"), (2, "a b.c d."), (3, "\n".join(wrap(b64(RSA), 64)))], DOCS)).collect()
+    assert sorted((r.doc_id, r.n_key, r.n_token) for r in out) == [(1, 0, 1), (2, 0, 0), (3, 1, 0)]
+
+
 BASE = {
     "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 8),
     "access": (re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 16),
