@@ -20,9 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id."""
-    gone = keep(minhash.near_duplicates(docs).filter("not kept").select("doc_id").distinct(), "gone")
-    return minhash.without(docs, gone)
+    """One row of each group of near-duplicates stays: the one with the smallest id."""
+    return minhash.one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -77,6 +77,17 @@ def test_stages(spark, sf_dir):
     assert len({r.sequence_id for r in packed}) <= math.ceil(sum(map(len, ids.values())) / packing.CAPACITY) + 1
 
 
+def test_one_row_of_a_group_stays(spark, sf_dir):
+    """Ids that repeat with different texts, with the same text, and as the least of two groups."""
+    a, b, c, d = (prose(random.Random(k), 60, 5000) for k in range(4))
+    rows = [(1, a), (5, a), (5, b), (7, c), (7, c), (7, c.upper()), (9, c), (3, d), (3, a + " x"), (4, d), (6, None), (6, None), (6, d), (None, b), (None, b)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCUMENTS).repartition(3)
+    out = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, sf_dir)
+    assert out.schema.simpleString() == docs.schema.simpleString()
+    got = sorted(((r.doc_id or 0, (r.text or "").lower()) for r in out.collect()))
+    assert got == sorted([(1, a), (5, b), (7, c), (3, d), (6, ""), (6, ""), (0, b), (0, b)])
+
+
 def test_run_is_the_stages_in_turn(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES:
