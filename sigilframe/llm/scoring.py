@@ -9,7 +9,7 @@ probabilities.  Everything is trained here, in numpy.
 The vocabulary is the most frequent words of all documents; how many follows the root of the number of
 distinct words, and so does the number of classes.  Other words share hashed ids in the network, and an
 id's probability is divided among its words by their counts, so every word has one of its own.  Training
-starts with ``WARM_ROWS`` documents on the driver and then goes over all documents: every task trains
+starts with the ``WARM_ROWS`` documents of least hash on the driver and then goes over all documents: every task trains
 a copy of the network on every position of its texts, each masked once (a block's positions come in
 ``MASK`` turns by hash of place and word, so that a batch mixes many texts), and the copies are averaged with the number of positions as weights.
 
@@ -240,10 +240,18 @@ def _learn(net: Network, parts: Iterator[tuple[np.ndarray, np.ndarray]], batch:
     return total + n
 
 
+def warm_texts(docs: DataFrame, rows: int) -> pa.ChunkedArray:
+    """The texts of least hash over all documents; only hashes are sorted to find them."""
+    order = F.xxhash64("doc_id", "text")
+    some = docs.filter("text is not null")
+    last = some.select(order.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    return some.filter(order <= F.lit(last)).orderBy(order).limit(rows).select("text").toArrow()["text"]
+
+
 def train(docs: DataFrame, vocab: Vocabulary, classes: int, class_size: int, mask: int = MASK, rate: float = RATE, warm_rows: int = WARM_ROWS, seed: int = SEED) -> Network:
     spark = docs.sparkSession
     net = Network(vocab.size + vocab.hashed + 1, classes, class_size, seed=seed)
-    warm = docs.select("text").filter("text is not null").limit(warm_rows).toArrow()["text"]
+    warm = warm_texts(docs, warm_rows)
     for _ in range(WARM_EPOCHS):
         _learn(net, _positions(warm, vocab, net, 1), BATCH // 8, rate)
     shared = spark.sparkContext.broadcast((vocab, net))

@@ -219,6 +219,13 @@ def test_every_position_trains():
     assert sum(len(y) for _, y in parts) == 11 + 2 + 500
 
 
+def test_warm_start_is_no_prefix(spark):
+    docs = spark.createDataFrame([(k, f"{'first' if k < 500 else 'later'} {k}") for k in range(1000)], DOCS).coalesce(1)
+    texts = [scoring.warm_texts(x, 100).to_pylist() for x in (docs, docs.repartition(5))]
+    assert sorted(texts[0]) == sorted(texts[1]) and len(texts[0]) == 100
+    assert 25 < sum(t.startswith("later") for t in texts[0]) < 75
+
+
 def test_vocabulary_follows_the_corpus():
     small, large = scoring.sizes(10**7), scoring.sizes(10**9)
     assert large[0] * large[1] > 9 * small[0] * small[1] and large[0] > 3 * small[0] > 300
