@@ -3,15 +3,16 @@
 Method.  Masked pseudo-likelihood: a small network reads the ``WINDOW`` words on both sides of a
 position and predicts the word there; a document's score is the sum over all its positions of the log
 probability of the word given its neighbours.  Each neighbour's place has its own embedding table,
-the sum goes through tanh, and a two-step softmax (class of words, word in class) gives the
+the sum goes through tanh, and a softmax in three steps (the word's number, digit by digit) gives the
 probabilities.  Everything is trained here, in numpy.
 
 The vocabulary is the most frequent words of all documents; how many follows the root of the number of
-distinct words, and so does the number of classes.  Other words share hashed ids in the network, and an
-id's probability is divided among its words by their counts, so every word has one of its own.  Training
-starts with the ``WARM_ROWS`` documents of least hash on the driver and then goes over all documents: every task trains
-a copy of the network on every position of its texts, each masked once (a block's positions come in
-``MASK`` turns by hash of place and word, so that a batch mixes many texts), and the copies are averaged with the number of positions as weights.
+distinct words.  Other words share hashed numbers in the network, and a number's probability is divided
+among its words by their counts, so every word has a probability of its own and those of all words of the
+corpus sum to one.  Training starts with the ``WARM_ROWS`` documents of least hash on the driver and then
+goes over all documents: every task trains a copy of the network on every position of its texts, each
+masked once (a block's positions come in ``MASK`` interleaved turns, so that a batch mixes many texts),
+and the copies are averaged with the number of positions as weights.
 
 Scale.  Word counts are summed per task, then by shuffle.  Copies are averaged in rounds that each
 join ``FAN_IN`` partial sums of one slice of the network, so no task holds more than that; what
@@ -35,11 +36,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .stores import keep
-from .text import U, Words, mix, word_blocks
+from .text import U, Words, digit_order, mix, word_blocks
 
-WINDOW, HIDDEN = 2, 32
-LEAST_IDS, ROOT, HASHED_SHARE = 4608, 4, 9  # ids at least; ids per root of the distinct words; one in so many is hashed
-MASK, BATCH, RATE = 8, 8192, 0.08
+WINDOW, HIDDEN, CUT = 2, 32, 60.0
+LEAST_IDS, ROOT, HASHED_SHARE = 4608, 8, 9  # ids at least; ids per root of the distinct words; one in so many is hashed
+MASK, BATCH, RATE = 8, 16384, 0.3
 WARM_ROWS, WARM_EPOCHS, SEED = 512, 3, 11
 FAN_IN, SLICES = 8, 16
 FLUSH = 1 << 20
@@ -56,11 +57,14 @@ class Vocabulary:
 
     def ids(self, h: np.ndarray) -> np.ndarray:
         """Ids from 1; 0 is the edge of a text."""
-        other = (self.size + 1 + (h >> U(20)) % U(self.hashed)).astype(np.int64)
-        if not len(self.hash):
-            return other
-        at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
-        return np.where(self.hash[at] == h, self.id[at] + 1, other)
+        out = np.empty(len(h), np.int32)
+        at, hit = np.zeros(0, np.int64), np.zeros(len(h), bool)
+        if len(self.hash):
+            at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
+            hit = self.hash[at] == h
+            out[hit] = self.id[at[hit]] + 1
+        out[~hit] = self.size + 1 + (h[~hit] >> U(20)) % U(self.hashed)
+        return out
 
     def others(self, ids: np.ndarray) -> np.ndarray:
         """Places of ids that several words share."""
@@ -113,14 +117,21 @@ def vocabulary(counts: DataFrame, size: int, hashed: int) -> tuple[Vocabulary, D
 
 
 class Network:
-    """Places x ids embeddings, then class and word weights; all arrays are float32."""
+    """Places x ids embeddings, then the weights of a softmax in ``len(shape)`` steps; all arrays are float32.
+
+    An id less one, written in the mixed base ``shape``, is the way to it: each step's weights belong to
+    the digits before.  The last column of the weights meets a constant 1.  Scores are cut at +-``CUT``.
+    """
 
-    def __init__(self, ids: int, classes: int, class_size: int, window: int = WINDOW, hidden: int = HIDDEN, seed: int = SEED):
+    def __init__(self, ids: int, shape: tuple[int, ...], window: int = WINDOW, hidden: int = HIDDEN, seed: int = SEED):
         rng = np.random.default_rng(seed)
         f = lambda *s: (rng.standard_normal(s) * 0.1).astype(np.float32)
-        self.classes, self.class_size, self.window = classes, class_size, window
+        self.shape, self.window, self.width = tuple(shape), window, hidden
         self.places = [*range(-window, 0), *range(1, window + 1)]
-        self.p = {"embed": f(2 * window, ids, hidden), "bias": np.zeros(hidden, np.float32), "top": f(classes, hidden), "top_bias": np.zeros(classes, np.float32), "leaf": f(classes, class_size, hidden), "leaf_bias": np.zeros((classes, class_size), np.float32)}
+        self.p = {"embed": f(2 * window, ids, hidden), "bias": np.zeros(hidden, np.float32)}
+        for k, b in enumerate(self.shape):
+            self.p[k] = f(int(np.prod(self.shape[:k], dtype=np.int64)), b, hidden + 1)
+            self.p[k][:, :, -1] = 0
         self.sums = {k: np.full_like(v, 0.1) for k, v in self.p.items()}
 
     def flat(self) -> np.ndarray:
@@ -132,95 +143,93 @@ class Network:
             self.p[k] = flat[at : at + v.size].reshape(v.shape).astype(np.float32)
             at += v.size
 
-    def contexts(self, ids: np.ndarray, text: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Neighbour ids of the positions; 0 beyond the text."""
-        out = np.zeros((len(self.places), len(at)), np.int64)
+    def contexts(self, ids: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """One row of neighbour ids for every position; 0 beyond the text."""
+        out = np.zeros((len(ids), len(self.places)), np.int32)
         for k, d in enumerate(self.places):
-            j = np.clip(at + d, 0, len(ids) - 1)
-            out[k] = np.where((text[j] == text[at]) & (j == at + d), ids[j], 0)
+            here, there = (slice(-d, None), slice(None, d)) if d < 0 else (slice(None, -d), slice(d, None))
+            out[here, k] = np.where(text[here] == text[there], ids[there], 0)
         return out
 
     def hidden(self, context: np.ndarray) -> np.ndarray:
-        p = self.p
-        h = p["embed"][0][context[0]]
-        for k in range(1, len(context)):
-            h += p["embed"][k][context[k]]
-        h += p["bias"]
-        return np.tanh(h, out=h)
+        """One row a position, with the constant in the last column."""
+        h = np.ones((len(context), self.width + 1), np.float32)
+        total = np.take(self.p["embed"][0], context[:, 0], 0)
+        for k in range(1, len(self.places)):
+            total += np.take(self.p["embed"][k], context[:, k], 0)
+        total += self.p["bias"]
+        np.tanh(total, out=h[:, :-1])
+        return h
+
+    def _steps(self, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]]:
+        """For each step of sorted targets: (own digit, groups met, (group, first row, end row) of each)."""
+        for k, b in enumerate(self.shape):
+            node = y // int(np.prod(self.shape[k + 1 :], dtype=np.int64))
+            group = node // b
+            first = np.flatnonzero(np.diff(group, prepend=-1))
+            own = group[first]
+            yield node - group * b, own, list(zip(own.tolist(), first.tolist(), [*first[1:].tolist(), len(y)]))
+
+    def _exp_scores(self, k: int, h: np.ndarray, parts: list[tuple[int, int, int]]) -> np.ndarray:
+        x, w = np.empty((len(h), self.shape[k]), np.float32), self.p[k]
+        for g, lo, hi in parts:
+            np.matmul(h[lo:hi], w[g].T, out=x[lo:hi])
+        np.clip(x, -CUT, CUT, out=x)
+        return x
 
     def log_probs(self, context: np.ndarray, y: np.ndarray) -> np.ndarray:
         """log P(y | context) of each position."""
-        p, y = self.p, y - 1
-        h, cls, leaf = self.hidden(context), y // self.class_size, y % self.class_size
-        out = _log_softmax_at(h @ p["top"].T + p["top_bias"], cls)
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            rows = order[edges[c] : edges[c + 1]]
-            if len(rows):
-                out[rows] += _log_softmax_at(h[rows] @ p["leaf"][c].T + p["leaf_bias"][c], leaf[rows])
+        order = digit_order(y - 1)
+        y = y[order] - 1
+        h, rows, total = self.hidden(np.take(context, order, 0)), np.arange(len(y)), np.zeros(len(y))
+        for k, (digit, _, parts) in enumerate(self._steps(y)):
+            x = self._exp_scores(k, h, parts)
+            own = x[rows, digit].astype(np.float64)
+            total += own - np.log(np.einsum("nb->n", np.exp(x, out=x)))
+        out = np.empty(len(y))
+        out[order] = total
         return out
 
     def step(self, context: np.ndarray, y: np.ndarray, rate: float) -> None:
         """One adaptive gradient step on the mean negative log probability."""
-        p, y, n = self.p, y - 1, len(y)
-        h, cls, leaf = self.hidden(context), y // self.class_size, y % self.class_size
-        g = _softmax(h @ p["top"].T + p["top_bias"])
-        g[np.arange(n), cls] -= 1
-        gh = g @ p["top"]
-        self._adapt("top", g.T @ h / n, rate)
-        self._adapt("top_bias", g.mean(0), rate)
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(self.classes + 1))
-        for c in range(self.classes):
-            rows = order[edges[c] : edges[c + 1]]
-            if not len(rows):
-                continue
-            g = _softmax(h[rows] @ p["leaf"][c].T + p["leaf_bias"][c])
-            g[np.arange(len(rows)), leaf[rows]] -= 1
-            gh[rows] += g @ p["leaf"][c]
-            self._adapt("leaf", g.T @ h[rows] / n, rate, c)
-            self._adapt("leaf_bias", g.sum(0) / n, rate, c)
-        gh *= (1 - h * h) / n
-        self._adapt("bias", gh.sum(0), rate)
-        for k in range(len(context)):
-            order = np.argsort(context[k], kind="stable")
-            ids, first = np.unique(context[k][order], return_index=True)
-            self._adapt("embed", np.add.reduceat(gh[order], first), rate, (k, ids))
-
-    def _adapt(self, name: str, grad: np.ndarray, rate: float, at=...) -> None:
+        n, order = len(y), digit_order(y - 1)
+        y, context = y[order] - 1, np.take(context, order, 0)
+        h, rows = self.hidden(context), np.arange(n)
+        back = np.zeros_like(h)
+        for k, (digit, own, parts) in enumerate(self._steps(y)):
+            g = self._exp_scores(k, h, parts)
+            np.exp(g, out=g)
+            g /= np.einsum("nb->n", g)[:, None]
+            g[rows, digit] -= 1
+            grad = np.empty((len(own), *self.p[k].shape[1:]), np.float32)
+            for i, (group, lo, hi) in enumerate(parts):
+                np.matmul(g[lo:hi].T, h[lo:hi], out=grad[i])
+                back[lo:hi] += g[lo:hi] @ self.p[k][group]
+            grad /= n
+            self._adapt(k, grad, rate, own)
+        h, back = h[:, :-1], back[:, :-1]
+        back = back * (1 - h * h) / np.float32(n)
+        self._adapt("bias", back.sum(0), rate)
+        for k in range(len(self.places)):
+            order = digit_order(context[:, k])
+            ids = context[order, k]
+            first = np.flatnonzero(np.diff(ids, prepend=-1))
+            self._adapt("embed", np.add.reduceat(np.take(back, order, 0), first), rate, (k, ids[first]))
+
+    def _adapt(self, name, grad: np.ndarray, rate: float, at=...) -> None:
         grad = grad * np.float32(64)  # per 1/64 of a batch, so that the sums start small beside it
         total = self.sums[name][at] + grad * grad
         self.sums[name][at] = total
         self.p[name][at] -= rate * grad / np.sqrt(total)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
-    return x
-
-
-def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
-    own = x[np.arange(len(x)), at]
-    return (own - np.log(np.exp(x, out=x).sum(1))).astype(np.float64)
-
-
-def turns(w: Words, mask: int) -> list[np.ndarray]:
-    """All positions in ``mask`` turns, by hash of the place in its text and the word."""
-    place = np.arange(len(w.hash)) - w.first()[w.text] if len(w.hash) else np.zeros(0, np.int64)
-    turn = (mix(w.hash + place.astype(U)) % U(mask)).astype(np.uint16)
-    return np.split(np.argsort(turn, kind="stable"), np.cumsum(np.bincount(turn, minlength=mask))[:-1])
-
-
 def _positions(texts: pa.Array, vocab: Vocabulary, net: Network, mask: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(contexts, ids) of all positions, those of a block in ``mask`` turns."""
     for _, _, w in word_blocks(texts, lower=True):
         ids = vocab.ids(w.hash)
-        for at in turns(w, mask):
-            if len(at):
-                yield net.contexts(ids, w.text, at), ids[at]
+        context = net.contexts(ids, w.text)
+        for turn in range(min(mask, len(ids))):
+            yield context[turn::mask], ids[turn::mask]
 
 
 def _learn(net: Network, parts: Iterator[tuple[np.ndarray, np.ndarray]], batch: int, rate: float) -> int:
@@ -230,13 +239,13 @@ def _learn(net: Network, parts: Iterator[tuple[np.ndarray, np.ndarray]], batch:
         held.append(part)
         n += len(part[1])
         if n >= batch:
-            context, y = np.concatenate([c for c, _ in held], 1), np.concatenate([y for _, y in held])
+            context, y = np.concatenate([c for c, _ in held]), np.concatenate([y for _, y in held])
             for lo in range(0, n - batch + 1, batch):
-                net.step(context[:, lo : lo + batch], y[lo : lo + batch], rate)
+                net.step(context[lo : lo + batch], y[lo : lo + batch], rate)
             rest = n - n % batch
-            held, n, total = [(context[:, rest:], y[rest:])], n % batch, total + rest
+            held, n, total = [(context[rest:], y[rest:])], n % batch, total + rest
     if n:
-        net.step(np.concatenate([c for c, _ in held], 1), np.concatenate([y for _, y in held]), rate)
+        net.step(np.concatenate([c for c, _ in held]), np.concatenate([y for _, y in held]), rate)
     return total + n
 
 
@@ -248,9 +257,9 @@ def warm_texts(docs: DataFrame, rows: int) -> pa.ChunkedArray:
     return some.filter(order <= F.lit(last)).orderBy(order).limit(rows).select("text").toArrow()["text"]
 
 
-def train(docs: DataFrame, vocab: Vocabulary, classes: int, class_size: int, mask: int = MASK, rate: float = RATE, warm_rows: int = WARM_ROWS, seed: int = SEED) -> Network:
+def train(docs: DataFrame, vocab: Vocabulary, shape: tuple[int, ...], mask: int = MASK, rate: float = RATE, warm_rows: int = WARM_ROWS, seed: int = SEED) -> Network:
     spark = docs.sparkSession
-    net = Network(vocab.size + vocab.hashed + 1, classes, class_size, seed=seed)
+    net = Network(vocab.size + vocab.hashed + 1, shape, seed=seed)
     warm = warm_texts(docs, warm_rows)
     for _ in range(WARM_EPOCHS):
         _learn(net, _positions(warm, vocab, net, 1), BATCH // 8, rate)
@@ -258,7 +267,7 @@ def train(docs: DataFrame, vocab: Vocabulary, classes: int, class_size: int, mas
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, start = shared.value
-        copy = Network(own.size + own.hashed + 1, classes, class_size, seed=seed)
+        copy = Network(own.size + own.hashed + 1, shape, seed=seed)
         copy.load(start.flat())
         copy.sums = {k: v.copy() for k, v in start.sums.items()}
         n = _learn(copy, (x for batch in batches for x in _positions(batch.column(0), own, copy, mask)), BATCH, rate / 2)
@@ -302,10 +311,9 @@ def score(docs: DataFrame, vocab: Vocabulary, shares: DataFrame, net: Network) -
         for batch in batches:
             for lo, hi, w in word_blocks(batch.column(1), lower=True):
                 ids = vocab.ids(w.hash)
-                logs = np.zeros(len(ids))
+                context, logs = net.contexts(ids, w.text), np.zeros(len(ids))
                 for a in range(0, len(ids), 1 << 16):
-                    at = np.arange(a, min(len(ids), a + (1 << 16)))
-                    logs[at] = net.log_probs(net.contexts(ids, w.text, at), ids[at])
+                    logs[a : a + (1 << 16)] = net.log_probs(context[a : a + (1 << 16)], ids[a : a + (1 << 16)])
                 n, total = np.bincount(w.text, minlength=hi - lo), np.bincount(w.text, logs, hi - lo).astype(np.float64)
                 at = vocab.others(ids)
                 others = pa.ListArray.from_arrays(pa.array(np.searchsorted(w.text[at], np.arange(hi - lo + 1)), pa.int32()), pa.array(w.hash[at].view(np.int64)))
@@ -320,18 +328,18 @@ def score(docs: DataFrame, vocab: Vocabulary, shares: DataFrame, net: Network) -
     return rows.drop("others").join(parts, "row", "left").select("doc_id", "n_tokens", total.alias("log_prob"), mean.alias("mean_log_prob"))
 
 
-def sizes(distinct: int) -> tuple[int, int, int]:
-    """(classes, words of a class, hashed ids) for so many distinct words."""
+def sizes(distinct: int) -> tuple[tuple[int, int, int], int]:
+    """(digits of the numbers, hashed numbers) for so many distinct words; the last digit is the widest, its groups the most."""
     ids = max(LEAST_IDS, int(np.ceil(ROOT * distinct**0.5)))
-    classes = int(np.ceil(ids**0.5))
-    class_size = -(-ids // classes)
-    return classes, class_size, classes * class_size // HASHED_SHARE
+    wide = int(np.ceil((ids / 4) ** (1 / 3)))
+    shape = (wide, wide, -(-ids // wide**2))
+    return shape, int(np.prod(shape)) // HASHED_SHARE
 
 
-def score_documents(docs: DataFrame, classes: int | None = None, class_size: int | None = None, hashed: int | None = None, **training) -> DataFrame:
+def score_documents(docs: DataFrame, shape: tuple[int, ...] | None = None, hashed: int | None = None, **training) -> DataFrame:
     """Vocabulary, training and scores, all from ``docs``; sizes not given follow the corpus."""
     counts = word_counts(docs)
     own = sizes(counts.count())
-    classes, class_size, hashed = (x if x is not None else y for x, y in zip((classes, class_size, hashed), own))
-    vocab, shares = vocabulary(counts, classes * class_size - hashed, hashed)
-    return score(docs, vocab, shares, train(docs, vocab, classes, class_size, **training))
+    shape, hashed = shape or own[0], own[1] if hashed is None else hashed
+    vocab, shares = vocabulary(counts, int(np.prod(shape)) - hashed, hashed)
+    return score(docs, vocab, shares, train(docs, vocab, shape, **training))

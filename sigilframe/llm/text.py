@@ -158,6 +158,13 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[: len(m) - rest], m[rest:]) if rest else m
 
 
+def digit_order(x: np.ndarray) -> np.ndarray:
+    """Stable order of non-negative numbers below 2**32, by their 16-bit digits, which numpy sorts in linear time."""
+    order = np.argsort((x & 0xFFFF).astype(np.uint16), kind="stable")
+    high = (x >> 16).astype(np.uint16)
+    return order[np.argsort(high[order], kind="stable")] if len(x) and high.max() else order
+
+
 def ragged(first: np.ndarray, count: np.ndarray) -> np.ndarray:
     """The indexes first[i] .. first[i]+count[i]-1, for all i in turn."""
     total = int(count.sum())

@@ -176,7 +176,7 @@ def chain(rng, n):
 
 
 def small(docs, **k):
-    return scoring.score_documents(docs, classes=8, class_size=8, hashed=16, mask=2, **k)
+    return scoring.score_documents(docs, shape=(4, 4, 4), hashed=16, mask=2, **k)
 
 
 def test_scores_separate_order_from_noise(spark):
@@ -206,16 +206,14 @@ def test_words_of_a_hashed_id_have_their_own_probabilities(spark):
     docs = spark.createDataFrame(rows, DOCS)
     _, shares = scoring.vocabulary(scoring.word_counts(docs), 4, 1)
     assert sorted(np.exp(r.share) for r in shares.collect()) == pytest.approx([1 / 13, 12 / 13])
-    one = {r.doc_id: r.log_prob for r in scoring.score_documents(docs, classes=1, class_size=5, hashed=1, mask=1).collect()}
+    one = {r.doc_id: r.log_prob for r in scoring.score_documents(docs, shape=(5,), hashed=1, mask=1).collect()}
     assert one[0] - one[100] == pytest.approx(np.log(12), abs=1e-4)
 
 
 def test_every_position_trains():
-    import pyarrow as pa
-
     texts = pa.array(["a b c d e f g h i j k", None, "a b", "x " * 500])
     vocab = scoring.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64), 32, 32)
-    parts = list(scoring._positions(texts, vocab, scoring.Network(65, 8, 8), scoring.MASK))
+    parts = list(scoring._positions(texts, vocab, scoring.Network(65, (8, 8)), scoring.MASK))
     assert sum(len(y) for _, y in parts) == 11 + 2 + 500
 
 
@@ -228,22 +226,76 @@ def test_warm_start_is_no_prefix(spark):
 
 def test_vocabulary_follows_the_corpus():
     small, large = scoring.sizes(10**7), scoring.sizes(10**9)
-    assert large[0] * large[1] > 9 * small[0] * small[1] and large[0] > 3 * small[0] > 300
+    assert np.prod(large[0]) > 9 * np.prod(small[0]) > 9 * 12_000
+    assert all(0 < hashed < np.prod(shape) / 8 for shape, hashed in (small, large, scoring.sizes(0)))
 
 
 def test_probabilities_sum_to_one():
-    net = scoring.Network(64 + 1, 8, 8)
-    context = np.array([[3], [0], [9], [64]])
+    net = scoring.Network(64 + 1, (4, 2, 8))
+    context = np.array([[3, 0, 9, 64]])
     total = sum(np.exp(net.log_probs(context, np.array([y])))[0] for y in range(1, 65))
     assert abs(total - 1) < 1e-5
 
 
 def test_gradient_steps_lower_the_loss():
     rng = np.random.default_rng(4)
-    net = scoring.Network(64 + 1, 8, 8)
+    net = scoring.Network(64 + 1, (4, 2, 8))
     y = rng.integers(1, 65, 2000)
-    context = np.stack([y, np.zeros(2000, np.int64), np.zeros(2000, np.int64), y])
+    context = np.stack([y, np.zeros(2000, np.int64), np.zeros(2000, np.int64), y], 1)
     before = net.log_probs(context, y).mean()
     for _ in range(60):
         net.step(context, y, 0.2)
     assert net.log_probs(context, y).mean() > before + 2
+
+
+def plain_log_probs(net, vocab, share, words):
+    """Every position of a text by itself: neighbours, tanh, and the softmax digit by digit, in plain loops."""
+    import math
+
+    ids = [int(vocab.ids(np.array([h], np.uint64))[0]) for h in words]
+    out = 0.0
+    for at, (word, number) in enumerate(zip(words, ids)):
+        near = [ids[at + d] if 0 <= at + d < len(ids) else 0 for d in (-2, -1, 1, 2)]
+        hidden = [math.tanh(sum(float(net.p["embed"][k, i, j]) for k, i in enumerate(near)) + float(net.p["bias"][j])) for j in range(net.width)] + [1.0]
+        group, rest = 0, number - 1
+        for k, base in enumerate(net.shape):
+            below = int(np.prod(net.shape[k + 1 :], dtype=np.int64))
+            digit, rest = divmod(rest, below)
+            scores = [sum(float(w) * x for w, x in zip(net.p[k][group, c], hidden)) for c in range(base)]
+            out += scores[digit] - math.log(sum(math.exp(s) for s in scores))
+            group = group * base + digit
+        out += share.get(word, 0.0)
+    return out
+
+
+def test_a_document_score_is_the_sum_of_its_words_log_probabilities(spark):
+    from sigilframe.llm.text import word_blocks
+
+    rng = random.Random(3)
+    rows = [(k, chain(rng, 60)) for k in range(30)] + [(100, "of few words"), (101, "a"), (102, None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    vocab, shares = scoring.vocabulary(scoring.word_counts(docs), 20, 7)
+    net = scoring.train(docs, vocab, (3, 3, 3))
+    share = {r.word & (2**64 - 1): r.share for r in shares.collect()}
+    assert share  # some words have hashed numbers
+    got = {r.doc_id: r for r in scoring.score(docs, vocab, shares, net).collect()}
+    for doc, text in rows:
+        words = [int(h) for _, _, w in word_blocks(pa.array([text], pa.string()), lower=True) for h in w.hash]
+        assert got[doc].n_tokens == len(words)
+        assert got[doc].log_prob == pytest.approx(plain_log_probs(net, vocab, share, words), abs=1e-3)
+
+
+def test_all_words_of_the_corpus_together_have_probability_one(spark):
+    docs = spark.createDataFrame([(k, "a b c d " * 5 + f"w{k % 7} v{k}") for k in range(40)], DOCS)
+    counts = scoring.word_counts(docs)
+    vocab, shares = scoring.vocabulary(counts, 6, 3)
+    net, share = scoring.Network(10, (3, 3)), {r.word: r.share for r in shares.collect()}
+    words = np.array([r.word for r in counts.collect()])
+    logs = net.log_probs(np.tile([1, 2, 3, 4], (len(words), 1)), vocab.ids(words.view(np.uint64)))
+    assert np.exp(logs + [share.get(w, 0.0) for w in words.tolist()]).sum() == pytest.approx(1, abs=1e-5)
+
+
+def test_scores_long_text_ties_and_clashing_columns(spark):
+    rows = [(1, "x y " * 60_000, 5), (2, "y x " * 3, 6), (2, "y x " * 3, 6)]
+    out = small(spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")).collect()
+    assert sorted(r.n_tokens for r in out) == [6, 6, 120_000] and len({r.log_prob for r in out}) == 2
