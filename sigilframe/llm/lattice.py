@@ -25,16 +25,21 @@ table.  Columns other than ``doc_id`` and ``text`` are not read.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
+import math
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .text import U, _power, _sums, blocks, mix, ragged, stream
+from .text import U, _power, _sums, blocks, digit_order, mix, ragged, stream
 
 K, SHARPNESS, SHIFT = 2, 1.0, 10.0
 K_QUERY = 4  # samples a document in the registered query
@@ -56,11 +61,12 @@ def _uniform(x: np.ndarray) -> np.ndarray:
     return ((mix(x) >> U(12)).astype(np.float64) + 0.5) * 2.0**-52
 
 
-def _order(x: np.ndarray) -> np.ndarray:
-    """Stable order of non-negative numbers below 2**32, by their 16-bit digits, which numpy sorts in linear time."""
-    order = np.argsort((x & 0xFFFF).astype(np.uint16), kind="stable")
-    high = (x >> 16).astype(np.uint16)
-    return order[np.argsort(high[order], kind="stable")] if len(x) and high.max() else order
+def _is_utf8(data: bytes) -> bool:
+    try:
+        data.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
 
 
 class Pieces:
@@ -77,6 +83,7 @@ class Pieces:
             if self.model.is_byte(i):
                 self.bytes[int(names[i][3:5], 16)] = i
         own = [i for i in range(n) if not (self.model.is_byte(i) or self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_unused(i))]
+        text_ids = set(own)
         # Every beginning of a piece is held too, with id -1 unless it is a piece itself.
         heads = {x[:n]: -1 for x in (names[i] for i in own) for n in range(1, len(x))} | {names[i]: i for i in own}
         text = np.frombuffer("".join(heads).encode("utf-32-le"), np.uint32)
@@ -94,6 +101,11 @@ class Pieces:
         self.weight = -sharpness * np.log(np.arange(n) - own[0] + 1 + SHIFT, where=np.arange(n) >= own[0], out=np.full(n, np.log(n + SHIFT)))
         self.weight[: own[0]] = -sharpness * np.log(n + SHIFT)
         joined = {ord(c) for i in own if len(names[i]) > 1 for c in names[i]}
+        # What each piece stands for; pieces without a text of their own are left to the model.
+        spelled = [bytes([int(names[i][3:5], 16)]) if self.model.is_byte(i) else names[i].replace(chr(_MARK), " ").encode() if i in text_ids else b"" for i in range(n)]
+        self.plain, self.high = np.array([bool(x) for x in spelled]), np.array([self.model.is_byte(i) and spelled[i] > b"\x7f" for i in range(n)])
+        self.spelled, self.spelled_length = np.frombuffer(b"".join(spelled), np.uint8), np.array([len(x) for x in spelled])
+        self.spelled_begin = np.cumsum(self.spelled_length) - self.spelled_length
         self.isolated = np.zeros(256, bool)
         self.isolated[[c for c in (9, 10, 11, 12, 13) if c not in joined]] = True
         self.size = n
@@ -102,6 +114,24 @@ class Pieces:
     def key(sums: np.ndarray, length) -> np.ndarray:
         return mix(sums * _ODD + np.asarray(length).astype(U))
 
+    def decoded(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The UTF-8 texts of runs of ids; run k ends before ``ends[k]``."""
+        known = ids < self.size
+        own = np.where(known, ids, 0)
+        plain, high = known & self.plain[own], np.concatenate([[0], np.cumsum(known & self.high[own])])
+        length = np.where(plain, self.spelled_length[own], 0)
+        data = self.spelled[ragged(self.spelled_begin[own], length)].tobytes()
+        at, odd = np.concatenate([[0], np.cumsum(length)]), np.concatenate([[0], np.cumsum(~plain)])
+        out, begin = [], 0
+        for end in ends.tolist():
+            text = data[at[begin] : at[end]]
+            if odd[end] > odd[begin] or (high[end] > high[begin] and not _is_utf8(text)):
+                out.append(self.model.decode(ids[begin:end].tolist()).encode())
+            else:  # the space that encoding puts first goes, unless it is written as a byte
+                out.append(text[1:] if text[:1] == b" " and ids[begin] != self.bytes[32] else text)
+            begin = end
+        return out
+
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places in h, piece ids) of the hashes that begin a piece."""
         k = self.slot[h >> U(44)]
@@ -132,7 +162,7 @@ class Lattice:
         chunk = np.repeat(np.arange(len(count)), count)
         begin = np.cumsum(count) - count
         place = np.arange(len(cp)) - begin[chunk]
-        order = _order(place)
+        order = digit_order(place)
         node = np.empty(len(cp), np.int64)
         node[order] = np.arange(len(cp))
         self.last = node[begin + count - 1]
@@ -163,7 +193,7 @@ class Lattice:
             ids.append(piece[piece >= 0])
         # Long pieces stand first at a node: they are mostly the likely ones.
         end, start, piece = (np.concatenate(x[::-1]) for x in (ends, starts, ids))
-        order = _order(end)
+        order = digit_order(end)
         self.end, self.start, self.piece = end[order], start[order], piece[order]
         self.first = np.searchsorted(self.end, np.arange(len(cp) + 1))
         weight = np.where(self.piece >= 0, pieces.weight[np.maximum(self.piece, 0)], 4 * pieces.weight[0])
@@ -260,13 +290,24 @@ def _chunks(pieces: Pieces, buf: np.ndarray, offsets: np.ndarray):
     return out, start, end, text, n
 
 
-def sample_texts(pieces: Pieces, buf: np.ndarray, offsets: np.ndarray, keys: np.ndarray, k: int) -> Iterator[list[tuple[np.ndarray, float, float, float]]]:
-    """For each text: (ids, log probability, perturbed score, log inclusion probability) of its samples, best first."""
+@dataclass
+class Samples:
+    """The samples of a block's texts, best first: text number, number among the text's, ids in turn and their ends, scores."""
+
+    text: np.ndarray
+    number: np.ndarray
+    ids: np.ndarray
+    ends: np.ndarray
+    log_prob: np.ndarray
+    perturbed: np.ndarray
+    log_inclusion: np.ndarray
+
+
+def sample_texts(pieces: Pieces, buf: np.ndarray, offsets: np.ndarray, keys: np.ndarray, k: int) -> Samples:
     data, start, end, text, n = _chunks(pieces, buf, offsets)
     if not len(start):
-        for _ in range(n):
-            yield [(np.zeros(0, np.uint32), 0.0, 0.0, 0.0)]
-        return
+        zero = np.zeros(n)
+        return Samples(np.arange(n), np.zeros(n, np.int64), np.zeros(0, np.int64), np.zeros(n, np.int64), zero, zero, zero)
     with np.errstate(over="ignore"):
         h = mix(_sums(stream(23, 256)[data], start, end - 1) + (end - start).astype(U))
     _, pick, kind = np.unique(h, return_index=True, return_inverse=True)
@@ -315,6 +356,7 @@ def sample_texts(pieces: Pieces, buf: np.ndarray, offsets: np.ndarray, keys: np.
     kappa = np.full(n, -np.inf)
     for r in range(1, k + 1):
         jobs = []
+        pick, keep_ = _uniform(keys + U(101 + r)).tolist(), _uniform(keys + U(9001 + r)).tolist()
         for d in range(n):
             best, p, s = best_entry(d) if len(paths[d]) == r else (-np.inf, None, 0)
             if p is None:
@@ -326,10 +368,10 @@ def sample_texts(pieces: Pieces, buf: np.ndarray, offsets: np.ndarray, keys: np.
             node = lattice.end[p.edge[s]]
             barred = p.barred.get(s, [p.edge[s]])
             open_ = [e for e in range(lattice.first[node], lattice.first[node + 1]) if e not in barred]
-            weight = np.exp(lattice.logp[open_])
-            u = _uniform(np.array([keys[d] + U(101 + r)]))[0]
-            new = open_[min(int(np.searchsorted(np.cumsum(weight), u * weight.sum(), "right")), len(open_) - 1)]
-            left = weight.sum() - np.exp(lattice.logp[new]) if len(open_) > 1 else 0.0
+            weight = [math.exp(x) for x in lattice.logp[open_].tolist()]
+            total = sum(weight)
+            new = open_[min(bisect.bisect_right(list(itertools.accumulate(weight)), pick[d] * total), len(open_) - 1)]
+            left = sum(w for w, e in zip(weight, open_) if e != new)
             jobs.append((d, p, s, new, left, [*barred, new], best))
         if not jobs:
             continue
@@ -354,22 +396,38 @@ def sample_texts(pieces: Pieces, buf: np.ndarray, offsets: np.ndarray, keys: np.
         rest = entries(r, edge, np.arange(len(edge)) - at[job] + before[job], ds[job], prefix, bound[job]) if len(edge) else np.zeros(0)
         for i, (d, p, s, new, left, barred, best) in enumerate(jobs):
             own = slice(at[i], at[i + 1])
-            u = _uniform(np.array([keys[d] + U(9001 + r)]))
-            kept = _rest(np.array([p.prefix[s] + np.log(left)]), best, u) if left > 0 else np.array([-np.inf])
+            mass = p.prefix[s] + math.log(left) if left > 0 else -math.inf
+            kept = np.array([mass - math.log(math.exp(mass - best) - math.log(keep_[d])) if left > 0 else -math.inf])
             paths[d].append(_Path(r, np.concatenate([p.edge[:s], [new], edge[own]]), np.concatenate([p.occ[: s + 1], occ[own]]), best, np.concatenate([np.full(s, -np.inf), kept, rest[own]]), np.concatenate([p.prefix[: s + 1], prefix[own]]), {s: barred}, s + 1))
-    for d in range(n):
-        out = []
-        for p in paths[d]:
-            # Chunks stand in order, each searched from its end: turn each one round.
-            cut = np.flatnonzero(np.diff(p.occ, prepend=-1, append=-1))
-            turn = np.repeat(cut[:-1] + cut[1:] - 1, np.diff(cut)) - np.arange(len(p.occ))
-            ids = lattice.piece[p.edge[turn]]
-            if (ids < 0).any():
-                ids = np.concatenate([pieces.bytes[list(chr(-1 - i).encode())] if i < 0 else [i] for i in ids.tolist()])
-            log_p = float(lattice.logp[p.edge].sum())
-            inside = 0.0 if kappa[d] == -np.inf else float(np.log(-np.expm1(-np.exp(log_p - kappa[d])))) if log_p - kappa[d] > -30 else log_p - kappa[d]
-            out.append((ids.astype(np.uint32), log_p, float(p.score), inside))
-        yield out
+    # Texts without a chunk have one empty sample; all others' paths are turned round together.
+    every = [(d, r, p) for d in range(n) for r, p in enumerate(paths[d])]
+    steps = np.array([len(p.edge) for _, _, p in every])
+    owner = np.repeat(np.arange(len(every)), steps)
+    edge, occ = np.concatenate([p.edge for _, _, p in every]), np.concatenate([p.occ for _, _, p in every])
+    # Chunks stand in order, each searched from its end: turn each one round.
+    new = np.ones(len(edge) + 1, bool)
+    new[1:-1] = (occ[1:] != occ[:-1]) | (owner[1:] != owner[:-1])
+    cut = np.flatnonzero(new)
+    turn = np.repeat(cut[:-1] + cut[1:] - 1, np.diff(cut)) - np.arange(len(edge))
+    ids, ends = lattice.piece[edge[turn]], np.cumsum(steps)
+    if (ids < 0).any():
+        wide = np.ones(len(ids), np.int64)
+        spelled = {i: pieces.bytes[list(chr(-1 - i).encode())] for i in np.unique(ids[ids < 0]).tolist()}
+        for i, own in spelled.items():
+            wide[ids == i] = len(own)
+        put = np.cumsum(wide) - wide
+        whole = np.repeat(ids, wide)
+        for i, own in spelled.items():
+            whole[ragged(put[ids == i], wide[ids == i])] = np.tile(own, int((ids == i).sum()))
+        ids, ends = whole, np.concatenate([[0], np.cumsum(wide)])[ends]
+    some = np.flatnonzero(steps)
+    log_p = np.zeros(len(every))
+    log_p[some] = np.add.reduceat(lattice.logp[edge], (np.cumsum(steps) - steps)[some])
+    text = np.array([d for d, _, _ in every])
+    with np.errstate(divide="ignore", over="ignore"):
+        above = log_p - kappa[text]
+        inside = np.where(np.isposinf(above), 0.0, np.where(above > -30, np.log(-np.expm1(-np.exp(np.minimum(above, 700.0)))), above))
+    return Samples(text, np.array([r for _, r, _ in every]), ids, ends, log_p, np.array([p.score for _, _, p in every]), inside)
 
 
 def _sampler(path: str, k: int, sharpness: float, with_ids: bool, decoded: bool = False):
@@ -381,20 +439,16 @@ def _sampler(path: str, k: int, sharpness: float, with_ids: bool, decoded: bool
                 ids = batch.column(0)
                 keys = mix(ids.fill_null(0).to_numpy().astype(np.int64).view(U) + U(4))
                 for lo, hi, buf, offsets in blocks(batch.column(1), BLOCK):
-                    row, cols = [], [[] for _ in range(9)]
-                    for d, samples in enumerate(sample_texts(pieces, buf, offsets, keys[lo:hi], k)):
-                        for r, (own, log_p, score, inside) in enumerate(samples):
-                            row.append(lo + d)
-                            data = own.astype("<u4").tobytes()
-                            for c, v in zip(cols, (r, len(own), log_p, score, inside, zlib.crc32(data), data)):
-                                c.append(v)
-                            if decoded:
-                                text = pieces.model.decode(own.tolist())
-                                cols[7].append(len(text))
-                                cols[8].append(hashlib.sha256(text.encode()).hexdigest())
-                    kinds = (pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.binary(), pa.int64(), pa.string())
-                    made = [pa.array(c, t) for c, t in zip(cols, kinds)][: 9 if decoded else 7 if with_ids else 6]
-                    yield pa.record_batch([ids.take(pa.array(row, pa.int64())), *made], ["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", "ids_crc32", "ids", "decoded_chars", "decoded_sha256"][: len(made) + 1])
+                    x = sample_texts(pieces, buf, offsets, keys[lo:hi], k)
+                    flat, begin = x.ids.astype("<u4"), [0, *x.ends[:-1].tolist()]
+                    data = [flat[a:b].tobytes() for a, b in zip(begin, x.ends.tolist())]
+                    made = [pa.array(x.number, pa.int32()), pa.array(np.diff(x.ends, prepend=0)), pa.array(x.log_prob), pa.array(x.perturbed), pa.array(x.log_inclusion), pa.array([zlib.crc32(d) for d in data], pa.int64())]
+                    if with_ids:
+                        made.append(pa.array(data, pa.binary()))
+                    if decoded:
+                        texts = pieces.decoded(x.ids, x.ends)
+                        made += [pc.utf8_length(pa.array(texts, pa.binary()).cast(pa.string())).cast(pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string())]
+                    yield pa.record_batch([ids.take(pa.array(lo + x.text)), *made], ["doc_id", "sample", "n_pieces", "log_prob", "perturbed", "log_inclusion", "ids_crc32", "ids", "decoded_chars", "decoded_sha256"][: len(made) + 1])
 
     return run
 
@@ -417,8 +471,10 @@ def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if x is None else _pieces(path, SHARPNESS).model.decode(np.frombuffer(x, "<u4").tolist()) for x in batch.column(at).to_pylist()]
-            yield batch.set_column(at, "text", pa.array(texts, pa.string()))
+            own = [np.frombuffer(x or b"", "<u4").astype(np.int64) for x in batch.column(at).to_pylist()]
+            texts = _pieces(path, SHARPNESS).decoded(np.concatenate([np.zeros(0, np.int64), *own]), np.cumsum([len(x) for x in own]))
+            made = pc.if_else(batch.column(at).is_null(), None, pa.array(texts, pa.binary()).cast(pa.string()))
+            yield batch.set_column(at, "text", made)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" if f.name != "ids" else "text string" for f in encoded.schema.fields)
     return encoded.mapInArrow(run, fields)

@@ -109,7 +109,11 @@ def sampled(pieces, texts, k, seed=0):
     offsets = np.concatenate([[0], np.cumsum([len(d) for d in data])])
     with np.errstate(over="ignore"):
         keys = mix(np.arange(len(texts), dtype=np.uint64) + U(seed))
-        return list(lattice.sample_texts(pieces, np.frombuffer(b"".join(data), np.uint8), offsets, keys, k))
+        x = lattice.sample_texts(pieces, np.frombuffer(b"".join(data), np.uint8), offsets, keys, k)
+    out = [[] for _ in texts]
+    for row in zip(x.text.tolist(), np.split(x.ids, x.ends[:-1]), x.log_prob.tolist(), x.perturbed.tolist(), x.log_inclusion.tolist()):
+        out[row[0]].append(row[1:])
+    return out
 
 
 def segmentations(pieces, text):
@@ -178,6 +182,16 @@ def test_query_gives_ids_and_decodes_them(spark, tmp_path):
     assert len({bytes(r.ids) for r in out if r.doc_id == 9001}) == 4
 
 
+def test_decoding_is_the_models_own(spark, pieces):
+    """Also of ids that no text is encoded as: bytes that are no UTF-8, control ids, a space as a byte, ids out of order."""
+    rng = np.random.default_rng(6)
+    b = pieces.bytes
+    odd = [[], [b[32], 300], [300, b[0xE3], b[0x81]], [b[0xE3], b[0x81], b[0x82], 500], [1, 300, 2], [0, 400], [b[65], b[10], 600], [b[0x80]]]
+    own = [np.array(x, np.int64) for x in odd] + [rng.integers(0, pieces.size, rng.integers(1, 40)) for _ in range(300)]
+    got = pieces.decoded(np.concatenate(own).astype(np.int64), np.cumsum([len(x) for x in own]))
+    assert [x.decode() for x in got] == [pieces.model.decode(x.tolist()) for x in own]
+
+
 def test_samples_do_not_depend_on_partitions(spark):
     df = spark.createDataFrame(corpus(), DOCS)
     a, b = (sorted(map(tuple, lattice.sample_encodings(df.repartition(n)).select("doc_id", "sample", "ids_crc32").collect())) for n in (1, 7))
