@@ -1,15 +1,18 @@
 """Quality rules: fixed rules, and an isolation forest on the rules' statistics.
 
 Method.  One pass over the whole texts counts what the rules speak of.  Documents that pass the fixed
-rules get an anomaly score from an isolation forest: ``trees`` binary trees of random splits, each
-grown on ``psi`` rows, in which unusual documents end on short paths.  The score above which a
-document is rejected is calibrated on all labelled rows: the threshold with the best balance of low
-documents rejected and good ones kept among those that reject at most ``good_loss`` of the good ones.
+rules get an anomaly score from an isolation forest over the rates of these counts, measured from the
+sample's medians in the sample's quartile distances: ``trees`` binary trees of random splits, each grown
+on ``psi`` rows, in which unusual documents end on short paths.  A split's rate is drawn with the width of
+the node's rows along it as weight, its cut evenly along that width, so a rate in which few rows lie far
+out is soon cut.  The score above which a document is rejected is calibrated on all labelled rows: the
+threshold with the best balance of low documents rejected and good ones kept among those that reject at
+most ``good_loss`` of the good ones.
 
 Scale.  Texts are read once, in one narrow pass; their statistics (some 120 bytes a document) are
 written and used from there.  The forest is fitted on a bounded sample (``trees * psi`` rows at most,
-the ones with the least hashes of their id) and is a table of constant size, which is all that is
-broadcast.  Calibration moves two histograms of ``BINS`` counts.
+the ones with the least hashes of their id, whatever the input's size) and is a table of constant size,
+which is all that is broadcast.  Calibration moves two histograms of ``BINS`` counts.
 
 Defined results.  Null and empty texts have no words and fail.  Without labelled rows of both kinds,
 or with too few rows to grow a tree on, the forest rejects nothing.  Null ids are judged like others
@@ -29,7 +32,9 @@ from .stores import keep
 from .text import _BYTES, U, Words, _sums, mix, word_blocks
 
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 10, 20, 5
-TREES, PSI, GOOD_LOSS, BINS, SEED = 100, 256, 0.005, 4096, 20
+TREES, PSI, GOOD_LOSS, BINS, SEED = 100, 64, 0.005, 4096, 20
+#: The least distance that counts as one between a rate's quartiles; most documents have none of most things.
+SPREAD = 0.05
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 EXTRA = ("n_lines", "n_upper", "n_digits", "n_punct", "n_marks", "n_distinct")
 
@@ -127,24 +132,13 @@ def count(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(_count, "doc_id long, " + ", ".join(f"{c} long" for c in (*COUNTS, *EXTRA)))
 
 
-def features(t: dict[str, np.ndarray]) -> np.ndarray:
-    """How far each rule's rate is beyond what ordinary prose shows; 0 within it.
-
-    Rates are smoothed by a few words or lines, so neither shortness nor length makes a document
-    unusual, and one odd line in a short text stays within the tolerance.
-    """
+def rates(t: dict[str, np.ndarray]) -> np.ndarray:
+    """The counts a word, line or character; a few words or lines are added, so that short texts are not unusual by that alone."""
     x = {k: np.asarray(v, np.float64) for k, v in t.items()}
-    words, chars = x["n_words"] + 5, x["word_chars"] + 25
-    beyond = lambda rate, tolerance: np.maximum(rate - tolerance, 0.0)
+    words, chars, lines = x["n_words"] + 5, x["word_chars"] + 25, x["n_lines"] + 3
     return np.column_stack([
-        beyond(np.abs(x["word_chars"] / words - 5.5), 3.0),
-        np.log1p(10 * beyond(x["n_symbols"] / words, 0.05)),
-        beyond(x["n_dup_lines"] / (x["n_lines"] + 3), 0.3),
-        beyond(x["n_repeat_words"] / words, 0.15),
-        beyond(x["n_upper"] / chars, 0.15),
-        beyond(x["n_digits"] / chars, 0.2),
-        beyond(x["n_marks"] / words, 0.2),
-        beyond(0.5 - x["n_distinct"] / words, 0.15),
+        x["word_chars"] / words, x["n_symbols"] / words, x["n_dup_lines"] / lines, x["n_repeat_words"] / words, x["n_upper"] / chars,
+        x["n_digits"] / chars, x["n_punct"] / words, x["n_marks"] / words, x["n_distinct"] / words,
     ])
 
 
@@ -153,6 +147,9 @@ class Forest:
 
     def __init__(self, rows: np.ndarray, trees: int = TREES, psi: int = PSI, seed: int = SEED):
         rng = np.random.default_rng(seed)
+        low, self.center, high = np.quantile(rows, [0.25, 0.5, 0.75], axis=0)
+        self.scale = np.maximum(high - low, SPREAD)
+        rows = (rows - self.center) / self.scale
         self.psi = min(psi, len(rows))
         self.limit = int(np.ceil(np.log2(max(self.psi, 2))))
         self.feature, self.cut, self.child, self.length, self.roots = [], [], [], [], []
@@ -171,22 +168,20 @@ class Forest:
         self.cut.append(0.0)
         self.child.append((node, node))
         self.length.append(depth + self._mean_path(len(x)))
-        lo, hi = x.min(0), x.max(0)
-        open_ = np.flatnonzero(hi > lo)
-        if depth < self.limit and len(x) > 1 and len(open_):
-            f = int(rng.choice(open_))
-            cut = rng.uniform(lo[f], hi[f])
+        lo, width = x.min(0), np.ptp(x, 0)
+        if depth < self.limit and width.any():
+            f = int(rng.choice(len(width), p=width / width.sum()))
+            cut = lo[f] + rng.uniform() * width[f]
             left = x[:, f] < cut
-            self.feature[node], self.cut[node] = f, cut
-            self.child[node] = (self._grow(x[left], depth + 1, rng), self._grow(x[~left], depth + 1, rng)) if left.any() and not left.all() else (node, node)
-            if self.child[node] == (node, node):
-                self.feature[node] = -1
+            if left.any() and not left.all():
+                self.feature[node], self.cut[node] = f, cut
+                self.child[node] = (self._grow(x[left], depth + 1, rng), self._grow(x[~left], depth + 1, rng))
         return node
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         """2 ** -(mean path / mean path of psi rows): near 1 unusual, near 0 deep inside."""
-        total = np.zeros(len(x))
-        rows = np.arange(len(x))
+        x = (x - self.center) / self.scale
+        total, rows = np.zeros(len(x)), np.arange(len(x))
         for root in self.roots:
             at = np.full(len(x), root)
             for _ in range(self.limit):
@@ -205,18 +200,20 @@ def fit_forest(counted: DataFrame, trees: int = TREES, psi: int = PSI, seed: int
     """The forest, broadcast; None where there are under two rows to grow it on."""
     n = counted.count()
     want = trees * psi
+    # The least keys of all; what the filter leaves out cannot be among them, as keys spread evenly.
     salt = F.xxhash64("doc_id", "n_words", "word_chars", F.lit(seed))
-    share = counted if n <= 2 * want else counted.filter(F.pmod(salt, F.lit(1 << 30)) < int((1 << 30) * 1.3 * want / n))
-    rows = share.orderBy(salt, "doc_id").limit(want).select(*COUNTS, *EXTRA).toPandas()
+    key = F.pmod(salt, F.lit(1 << 30))
+    likely = counted.filter(key <= int((1 << 30) * min(1.0, 1.3 * (want + 1000) / max(n, 1))))
+    rows = likely.orderBy(key, salt, "doc_id").limit(want).select(*COUNTS, *EXTRA).toPandas()
     if len(rows) < 2:
         return None
-    return counted.sparkSession.sparkContext.broadcast(Forest(features({k: rows[k].to_numpy() for k in rows}), trees, psi, seed))
+    return counted.sparkSession.sparkContext.broadcast(Forest(rates({k: rows[k].to_numpy() for k in rows}), trees, psi, seed))
 
 
 def score(counted: DataFrame, forest) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.append_column("score", pa.array(forest.value.scores(features(_columns(batch)))))
+            yield batch.append_column("score", pa.array(forest.value.scores(rates(_columns(batch)))))
 
     return counted.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in (*COUNTS, *EXTRA)) + ", score double")
 
@@ -230,8 +227,9 @@ def calibrate(scored: DataFrame, labels: DataFrame, good_loss: float = GOOD_LOSS
         (good if row.good else low)[row.bin + 1] += row["count"]
     if not good.sum() or not low.sum():
         return None
-    lost, found = 1 - np.cumsum(good) / good.sum(), 1 - np.cumsum(low) / low.sum()
-    fair = lost <= good_loss
+    lost, found = (x.sum() - np.cumsum(x) for x in (good, low))  # whole counts, so that a share just allowed is
+    fair = lost <= good_loss * good.sum()
+    lost, found = lost / good.sum(), found / low.sum()
     best = np.flatnonzero(fair)[np.argmax((found - lost)[fair])]
     return float(best) / BINS
 
@@ -269,7 +267,7 @@ def kept_rows(docs: DataFrame, labels: DataFrame, trees: int = TREES, psi: int =
                 t = statistics(w)
                 good[lo:hi] = ~_base_failed(t)
                 if threshold is not None:
-                    good[lo:hi] &= np.floor(forest.value.scores(features(t)) * BINS) < threshold * BINS
+                    good[lo:hi] &= np.floor(forest.value.scores(rates(t)) * BINS) < threshold * BINS
             yield batch.filter(pa.array(good))
 
     return docs.mapInArrow(keep_good, docs.schema)

@@ -56,6 +56,102 @@ def test_verdicts(spark):
     assert kept == {i for i, r in out.items() if r.kept}
 
 
+def test_base_columns_have_sql_too(spark):
+    """The base counts and the base verdict of every document of the smallest tables, by the oracle's engine."""
+    import duckdb
+
+    from sigilframe.llm.queries import QUERIES
+
+    folder = "/root/testdata/sf0.001"
+    word = r"[^\x20\x09-\x0D]+"
+    sql = rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{word}') AS w FROM '{folder}/documents.parquet'),
+        g AS (SELECT doc_id, p, array_to_string(w[p:p + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM d WHERE len(w) >= 5)),
+        r AS (SELECT doc_id, p FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, s) > 1),
+        c AS (SELECT doc_id, count(DISTINCT p + k) AS n FROM r, range(5) AS x(k) GROUP BY 1),
+        l AS (SELECT doc_id, sum(n - 1) AS n FROM (SELECT doc_id, x, count(*) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '{word}') GROUP BY 1, 2) GROUP BY 1),
+        a AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(l.n, 0)::BIGINT AS n_dup, coalesce(c.n, 0) AS n_rep FROM d LEFT JOIN l USING (doc_id) LEFT JOIN c USING (doc_id))
+        SELECT *, n_words < 10 OR 100 * n_rep > 20 * n_words FROM a"""
+    got = QUERIES["op9_quality_rules"](spark, folder).select("doc_id", *quality.COUNTS, "base_failed").collect()
+    assert sorted(map(tuple, got)) == sorted(duckdb.sql(sql).fetchall())
+
+
+def mean_path(n):
+    return 0.0 if n < 2 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
+
+
+def test_path_lengths_and_scores_by_hand():
+    """Each tree grown again from its splits: a row's path is the depth of the leaf it reaches plus the mean path of the rows left there."""
+    rng = np.random.default_rng(5)
+    rows = np.column_stack([rng.normal(5, 1, 900), rng.exponential(0.1, 900), np.zeros(900)])
+    rows[:40, 1] += 3
+    forest = quality.Forest(rows, trees=12, psi=32, seed=3)
+    low, center, high = (np.quantile(rows, q, axis=0) for q in (0.25, 0.5, 0.75))
+    x = (rows - center) / np.maximum(high - low, 0.05)
+    assert forest.limit == 5 and (forest.feature != 2).all()  # a rate without width is never cut
+    draw, paths = np.random.default_rng(3), np.zeros(len(x))
+    for root in forest.roots:
+        sample = x[draw.permutation(len(x))[:32]]
+        draws = []
+
+        def walk(node, inside, depth):
+            f = forest.feature[node]
+            if f < 0:
+                assert forest.length[node] == pytest.approx(depth + mean_path(len(inside)))
+                assert depth == 5 or not np.ptp(inside, 0).any()
+                return
+            cut = forest.cut[node]
+            draws.append(node)
+            assert inside[:, f].min() < cut <= inside[:, f].max()
+            walk(forest.child[node][0], inside[inside[:, f] < cut], depth + 1)
+            walk(forest.child[node][1], inside[inside[:, f] >= cut], depth + 1)
+
+        walk(root, sample, 0)
+        for _ in draws:  # a choice of the rate and one of the cut for each split
+            draw.random(), draw.random()
+        for i, row in enumerate(x):
+            node = root
+            while forest.feature[node] >= 0:
+                node = forest.child[node][int(row[forest.feature[node]] >= forest.cut[node])]
+            paths[i] += forest.length[node]
+    scores = 2.0 ** (-paths / 12 / mean_path(32))
+    assert forest.scores(rows) == pytest.approx(scores)
+    assert scores[:40].mean() > scores[40:].mean() + 0.05
+
+
+def test_threshold_is_the_best_of_all(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k, float(rng.beta(2, 5)), 1) for k in range(400)] + [(1000 + k, float(rng.beta(5, 3)), 0) for k in range(90)]
+    scored = spark.createDataFrame([(i, s) for i, s, _ in rows], "doc_id long, score double")
+    labels = spark.createDataFrame([(i, q, 0) for i, _, q in rows] + [(5, 1, 0), (6, None, 0), (None, 0, 0), (99_999, 0, 0)], LABELS)
+    for loss in (0.0, 0.005, 0.1):
+        got = quality.calibrate(scored, labels, loss)
+        tried = []
+        for cut in range(quality.BINS + 1):
+            lost, found = (np.mean([np.floor(s * quality.BINS) >= cut for _, s, q in rows if q == kind]) for kind in (1, 0))
+            if lost <= loss:
+                tried.append(found - lost)
+        lost, found = (np.mean([np.floor(s * quality.BINS) >= got * quality.BINS for _, s, q in rows if q == kind]) for kind in (1, 0))
+        assert lost <= loss and found - lost == pytest.approx(max(tried))
+
+
+def test_sample_is_the_same_rows_at_every_size(spark):
+    """The forest of a table does not change with its order, and rates are seldom equal."""
+    docs = spark.createDataFrame(judged_corpus(400)[0], DOCS)
+    a, b = (quality.fit_forest(quality.count(x), trees=4, psi=16).value for x in (docs, docs.repartition(7)))
+    assert a.cut.tolist() == b.cut.tolist()
+
+
+def test_rules_very_long_text_and_clashing_columns(spark):
+    long = prose(random.Random(2), 120_000, 50_000)
+    rows = [(1, long, 7.0, 3), (2, long, None, 4), (3, None, 1.0, 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, base_failed int")
+    labels = spark.createDataFrame([(1, 1, 0, "x"), (2, 0, 0, "y")], LABELS + ", n_words string")
+    out = {r.doc_id: r.n_words for r in quality.judge(docs, labels).collect()}
+    assert out == {1: 120_000, 2: 120_000, 3: 0}
+    assert quality.kept_rows(docs, labels).columns == docs.columns
+
+
 def test_verdicts_without_labels(spark):
     good, _ = judged_corpus(20)
     docs = spark.createDataFrame([*good, good[0], (None, good[1][1])], DOCS)
