@@ -44,7 +44,7 @@ from .text import U, _power, _sums, blocks, digit_order, mix, ragged, stream
 K, SHARPNESS, SHIFT = 2, 1.0, 10.0
 K_QUERY = 4  # samples a document in the registered query
 MODEL = "piece_bpe_32k.model"
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 SCHEMA = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double, ids_crc32 long"
 _MARK = 0x2581
 _GOLD, _ODD = U(0x9E3779B97F4A7C15), U(0xD1B54A32D192ED03)
