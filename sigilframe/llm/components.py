@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .stores import keep
+from .stores import discard, keep, scope
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -28,7 +28,8 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges: (a, b) with a > b.  Hook every neighbour of a node to the least one around it."""
     e = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    least = e.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+    # A table of its own, so that the join's partition of a hub can be split.
+    least = keep(e.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
     hooked = e.join(least, "a")
     if large:
         out = hooked.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -49,10 +50,14 @@ def components(links: DataFrame) -> DataFrame:
     number of rounds grows with the logarithm of a component's size.
     """
     e = links.filter("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")).distinct()
+    spark = links.sparkSession
     e = keep(e, "links")
     before = _state(e)
     while before[0]:
-        e = keep(_star(_star(e, True), False), "links")
+        old = e
+        with scope(spark):  # a round's tables are not needed behind it
+            e = keep(_star(keep(_star(e, True), "links"), False), "links", outside=True)
+        discard(spark, old.inputFiles()[0].rsplit("/", 1)[0])
         after = _state(e)
         if after == before:
             break

@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -23,7 +25,7 @@ def bound_batches(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset, as in tests, one of our own is set."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, one of our own is set, on a single machine only."""
     configured = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
@@ -32,19 +34,50 @@ def shared_dir(spark: SparkSession) -> str:
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return re.sub("^file:/(?!/)", "file:///", held.get())
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     own = f"file://{tempfile.mkdtemp(prefix='sigilframe-')}"
     spark.sparkContext.setCheckpointDir(own)
     return own
 
 
-def new_dir(spark: SparkSession, kind: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+#: Folders made inside each open scope; the first list's are kept until release().
+_SCOPES: list[list[str]] = [[]]
 
 
-def keep(df: DataFrame, kind: str = "table") -> DataFrame:
+def new_dir(spark: SparkSession, kind: str, outside: bool = False) -> str:
+    path = f"{shared_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    _SCOPES[-2 if outside and len(_SCOPES) > 1 else -1].append(path)
+    return path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder, if it is there."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside go at the end, but for those kept ``outside``: nothing may still read them."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            discard(spark, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all tables and files of operators whose results have been written or are not wanted any more."""
+    while _SCOPES[0]:
+        discard(spark, _SCOPES[0].pop())
+
+
+def keep(df: DataFrame, kind: str = "table", outside: bool = False) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there."""
     spark = df.sparkSession
-    path = new_dir(spark, kind)
+    path = new_dir(spark, kind, outside)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

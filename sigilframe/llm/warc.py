@@ -7,14 +7,18 @@ rows give the same bytes.  A file is written under a temporary name and renamed
 take only files that the manifest, written last, lists with size and digest.  A task that is run
 again renames the same bytes over the same name.
 
-Scale.  Ranges come from exact byte sums over a grid of the id space, refined where a cell is too
-heavy, so no sample decides them and skewed ids do not meet in one task.  Which record of equal
-payloads is the response is found on digests alone, with map-side maxima; these decisions travel with
-the pages through one shuffle of the payloads.  Writers and readers hold one record at a time.
+Scale.  Ranges come from every record's exact place in bytes, so no sample decides them: narrow rows
+are sorted by range, running sums are kept inside each range, and what reaches the driver is one sum a
+range and one bound a shard, of which there are ``MAX_SHARDS`` at most (shards grow beyond that).  Bounds
+are pairs of id and payload digest, so rows that share an id are parted too.  Which record of equal
+payloads is the response is found on digests alone, with map-side maxima; the most common payload's rows
+are joined with a written table, so that the planner can split them.  These decisions travel with the
+pages through one shuffle of the payloads, in which shard k is partition k.  Writers and readers hold one
+record at a time.
 
 Defined results.  Null html is the empty payload, null url the page's URN.  Of equal payloads of at
 least ``min_revisit`` bytes the largest page_id is the response; rows that repeat both are all
-responses.  Null page ids are responses, in the first shard.  An empty table gives an empty archive.
+responses.  Null page ids are responses, in the first shards.  An empty table gives an empty archive.
 Columns other than ``page_id``, ``url``, ``html`` are not read.
 """
 
@@ -30,14 +34,16 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .stores import new_dir
+from .stores import discard, keep, new_dir
 
 ROLL_BYTES, SHARD_BYTES, MIN_REVISIT = 32 << 20, 64 << 20, 0
 DATE = "2024-01-01T00:00:00Z"
 LEVEL = 5
-GRID = 1 << 16
+MAX_SHARDS = 1 << 16
+_KEY = 73  # bytes of a record's place in the order
 _SPACE = uuid.UUID("6f0c1d52-5b0e-4a55-9d0f-3f4a8f2d7c11")
 _MANIFEST = "file string, shard long, part long, records long, bytes long, sha256 string, first_id long, last_id long"
 
@@ -122,7 +128,7 @@ def _writer(root: str, roll_bytes: int, date: str):
     """Rows (shard, page_id, url, html, print, refers_to, is_page) in order; decisions stand before their pages."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, at, refers, copies, done = None, None, {}, {}, []
+        shard, at, refers, copy, done = None, None, None, 0, []
         for batch in batches:
             columns = [batch.column(k) for k in range(7)]
             for i in range(batch.num_rows):
@@ -133,14 +139,14 @@ def _writer(root: str, roll_bytes: int, date: str):
                         shard.close()
                         done += shard.done
                     shard, at = _Shard(root, number, roll_bytes, date), None
-                if at != (number, page_id):
-                    at, refers, copies = (number, page_id), {}, {}
+                if at != (page_id, mark):
+                    at, refers, copy = (page_id, mark), None, 0
                 if not is_page.as_py():
-                    refers[mark] = to.as_py()
+                    refers = to.as_py()
                     continue
-                copy = copies[mark] = copies.get(mark, -1) + 1
                 payload = html.as_buffer().to_pybytes() if html.is_valid else b""
-                shard.add(page_id, page_record(page_id, url.as_py(), payload, refers.get(mark), date, copy))
+                shard.add(page_id, page_record(page_id, url.as_py(), payload, refers, date, copy))
+                copy += 1
         if shard:
             shard.close()
             done += shard.done
@@ -152,65 +158,71 @@ def _writer(root: str, roll_bytes: int, date: str):
     return write
 
 
-def range_bounds(sizes: DataFrame, shard_bytes: int, grid: int = GRID) -> list[int]:
-    """Lower bounds of id ranges of about ``shard_bytes`` each, from (id, n) rows; exact sums only.
+def order_keys(ids: pa.Array, prints: pa.Array) -> np.ndarray:
+    """Byte strings in the order of (id, print), null ids first; prints are hexadecimal and end no key in a zero byte."""
+    out = np.zeros((len(ids), _KEY), np.uint8)
+    out[:, 0] = ids.is_valid().to_numpy(zero_copy_only=False)
+    whole = ids.fill_null(np.iinfo(np.int64).min).to_numpy().astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)
+    out[:, 1:9] = whole.astype(">u8").view(np.uint8).reshape(-1, 8)
+    if len(ids):
+        out[:, 9:] = np.frombuffer("".join(prints.to_pylist()).encode(), np.uint8).reshape(len(ids), -1)
+    return out.reshape(-1).view(f"S{_KEY}")
 
-    A round sums a grid of ``grid`` cells over each range still too heavy; its cells' sums, not ids,
-    reach the driver.  Four rounds reach single ids anywhere in 64 bits.
+
+def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted (page_id, print, n) -> the same with their range and the bytes before them in it."""
+    part, before = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        n = batch.column(2).to_numpy()
+        ends = before + np.cumsum(n)
+        if len(n):
+            before = int(ends[-1])
+        yield pa.record_batch([*batch.columns, pa.array(np.full(len(n), part, np.int32)), pa.array(ends - n)], ["page_id", "print", "n", "part", "before"])
+
+
+def shard_bounds(sizes: DataFrame, shard_bytes: int, max_shards: int = MAX_SHARDS) -> np.ndarray:
+    """The order_keys of the first record of each shard, from (page_id, print, n) of all records.
+
+    A record is in the shard that its first byte falls in when all records stand in order.
     """
-    ends = sizes.agg(F.min("id").alias("lo"), F.max("id").alias("hi")).first()
-    if ends.lo is None:
-        return []
-    heavy, found = [(ends.lo, ends.hi)], {ends.lo: 0}
-    while heavy:
-        base = pd.DataFrame([(k, lo, hi, -(-(hi - lo + 1) // grid)) for k, (lo, hi) in enumerate(heavy)], columns=["k", "lo", "hi", "width"])
-        ranges = F.broadcast(sizes.sparkSession.createDataFrame(base)) if len(heavy) > 1 else None
-        if ranges is None:
-            lo, width = int(base.lo[0]), int(base.width[0])
-            cells = sizes.filter(F.col("id").between(*heavy[0])).select(F.lit(0).alias("k"), F.expr(f"cast((cast(id as decimal(20,0)) - {lo}) div {width} as bigint)").alias("cell"), "n")
-        else:
-            cells = sizes.join(ranges, F.col("id").between(F.col("lo"), F.col("hi"))).select("k", F.expr("cast((cast(id as decimal(20,0)) - lo) div width as bigint)").alias("cell"), "n")
-        again = []
-        for row in cells.groupBy("k", "cell").agg(F.sum("n").alias("n")).collect():
-            lo, hi, width = (int(base[c][row.k]) for c in ("lo", "hi", "width"))
-            begin = lo + row.cell * width
-            found[begin] = row.n
-            if row.n > 2 * shard_bytes and width > 1:
-                again.append((begin, min(hi, begin + width - 1)))
-        heavy = again
-    bounds, room = [], 0
-    for begin in sorted(found):
-        if not bounds or room + found[begin] > shard_bytes:
-            bounds.append(begin)
-            room = 0
-        room += found[begin]
-    return bounds
-
-
-def write_pages(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, min_revisit: int = MIN_REVISIT, date: str = DATE) -> DataFrame:
+    ordered = sizes.repartitionByRange("page_id", "print").sortWithinPartitions("page_id", "print")
+    placed = keep(ordered.select("page_id", "print", "n").mapInArrow(_running, "page_id long, print string, n long, part int, before long"), "placed")
+    offsets, total = [], 0
+    for row in placed.groupBy("part").agg(F.max(F.col("before") + F.col("n")).alias("n")).orderBy("part").collect():  # one row a range
+        offsets.append((row.part, total))
+        total += row.n
+    if not total:
+        return np.zeros(0, f"S{_KEY}")
+    width = max(shard_bytes, -(-total // max_shards))
+    starts = F.broadcast(sizes.sparkSession.createDataFrame(offsets, "part int, start long"))
+    first = placed.join(starts, "part").groupBy(F.expr(f"(start + before) div {width}").alias("shard")).agg(F.min(F.struct("page_id", "print")).alias("first"))
+    rows = first.select("first.*").toArrow().combine_chunks()  # max_shards rows at most
+    return np.sort(order_keys(rows["page_id"].combine_chunks(), rows["print"].combine_chunks()))
+
+
+def write_pages(pages: DataFrame, root: str, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES, min_revisit: int = MIN_REVISIT, date: str = DATE, max_shards: int = MAX_SHARDS) -> DataFrame:
     """Write ``pages`` below ``root``, an address all executors reach; returns the committed manifest."""
     spark = pages.sparkSession
     html = F.coalesce("html", F.lit(""))
-    rows = pages.select("page_id", "url", "html", F.sha2(html, 256).alias("print"))
-    narrow = rows.select("page_id", "print", F.octet_length(html).alias("n"))
-    best = narrow.filter((F.col("n") >= min_revisit) & F.col("page_id").isNotNull()).groupBy("print").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha2(html, 256).alias("print"))
+    narrow = keep(rows.select("page_id", "print", F.octet_length(html).cast("long").alias("n")), "sizes")
+    # A table of its own, so that the join's partition of the most common payload can be split.
+    best = keep(narrow.filter((F.col("n") >= min_revisit) & F.col("page_id").isNotNull()).groupBy("print").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("c")).filter("c > 1").drop("c"), "best")
     revisits = narrow.join(best, "print").filter("page_id < refers_to").select("page_id", "print", "refers_to").distinct()
-    bounds = np.array(range_bounds(narrow.filter("page_id is not null").select(F.col("page_id").alias("id"), (F.col("n") + 512).alias("n")), shard_bytes), np.int64)
+    bounds = shard_bounds(narrow.withColumn("n", F.col("n") + 512), shard_bytes, max_shards)
 
-    @F.pandas_udf("long")
-    def shard_of(ids: pd.Series) -> pd.Series:
-        known = ids.notna()
-        at = np.zeros(len(ids), np.int64)
-        at[known] = np.searchsorted(bounds, ids[known].to_numpy(np.int64), "right") - 1
-        return pd.Series(at)
+    @F.pandas_udf("int")
+    def shard_of(ids: pd.Series, prints: pd.Series) -> pd.Series:
+        keys = order_keys(pa.array(ids, pa.int64(), from_pandas=True), pa.array(prints, pa.string()))
+        return pd.Series(np.searchsorted(bounds, keys, "right") - 1)
 
     none = lambda kind: F.lit(None).cast(kind)
     decisions = revisits.select("page_id", none("string").alias("url"), none("string").alias("html"), "print", "refers_to", F.lit(False).alias("is_page"))
     whole = rows.select("page_id", "url", "html", "print", none("long").alias("refers_to"), F.lit(True).alias("is_page"))
-    # Shards are hashed to tasks; each row takes its shard from its id alone.
-    ordered = decisions.union(whole).withColumn("shard", shard_of("page_id")).repartition(max(1, len(bounds)), "shard")
-    ordered = ordered.sortWithinPartitions("shard", "page_id", "is_page", "print", "url").select("shard", "page_id", "url", "html", "print", "refers_to", "is_page")
+    ordered = decisions.union(whole).withColumn("shard", shard_of("page_id", "print")).repartitionById(max(1, len(bounds)), "shard")
+    ordered = ordered.sortWithinPartitions("page_id", "print", "is_page", "url").select("shard", "page_id", "url", "html", "print", "refers_to", "is_page")
     ordered.mapInArrow(_writer(root, roll_bytes, date), _MANIFEST).write.parquet(f"{root}/_manifest")
+    discard(spark, f"{root}/_temporary")  # what lost tasks left behind
     return read_manifest(spark, root)
 
 

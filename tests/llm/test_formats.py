@@ -86,14 +86,33 @@ def test_min_revisit_and_repeats(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
 
 
-def test_range_bounds(spark):
+def test_shard_bounds(spark):
+    """Clustered ids, far ones, null ones and one id of many payloads: every shard has about its share, in order."""
     rng = random.Random(2)
-    ids = [rng.randrange(100) for _ in range(300)] + [rng.randrange(10**14, 10**14 + 50) for _ in range(300)] + [-(2**62), 2**62]
-    df = spark.createDataFrame([(i, 10) for i in ids], "id long, n long")
-    bounds = warc.range_bounds(df, 500, grid=16)
-    sizes = Counter(np.searchsorted(bounds, ids, "right").tolist())
-    heaviest = max(Counter(ids).values()) * 10
-    assert max(sizes.values()) * 10 <= 1000 + heaviest and 0 not in sizes
+    ids = [rng.randrange(100) for _ in range(300)] + [rng.randrange(10**14, 10**14 + 50) for _ in range(300)] + [-(2**62), 2**62] + [7] * 400 + [None] * 200
+    rows = [(i, hashlib.sha256(b"%d" % k).hexdigest(), 10) for k, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "page_id long, print string, n long").repartition(3)
+    keys = warc.order_keys(pa.array(ids, pa.int64()), pa.array([r[1] for r in rows]))
+    assert [rows[k] for k in np.argsort(keys)] == sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    for options, shards in (({}, 25), ({"max_shards": 6}, 6)):
+        bounds = warc.shard_bounds(df, 500, **options)
+        sizes = Counter(np.searchsorted(bounds, keys, "right").tolist())
+        assert len(bounds) == shards and 0 not in sizes and max(sizes.values()) * 10 <= max(500, -(-len(ids) * 10 // shards)) + 10
+        assert bounds.tolist() == warc.shard_bounds(df.repartition(7), 500, **options).tolist()
+    assert len(warc.shard_bounds(df.limit(0), 500)) == 0
+
+
+def test_pages_odd_rows(spark, tmp_path):
+    """A very large page, extra columns with the names of the operator's own, and one id of many payloads in several shards."""
+    rows = [(k % 3, "u", f"page {k} " * 40, k, "x") for k in range(60)] + [(None, None, "lost", 1, "x")] * 2 + [(9, "u", "large é " * 400_000, 1, "x")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, shard long, print string")
+    root = f"file://{tmp_path}/w"
+    manifest = warc.write_pages(df, root, shard_bytes=3000)
+    assert listed(warc.read_pages(manifest, root)) == plain_records([r[:3] for r in rows])
+    held = {}
+    for r in manifest.collect():
+        held.setdefault(r.first_id, set()).add(r.shard)
+    assert all(len(held[i]) > 1 for i in (0, 1, 2))
 
 
 # Segmentation -------------------------------------------------------------------------------------
