@@ -28,13 +28,13 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges: (a, b) with a > b.  Hook every neighbour of a node to the least one around it."""
     e = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    # A table of its own, so that the join's partition of a hub can be split.
-    least = keep(e.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
-    hooked = e.join(least, "a")
+    least = e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("m"))
+    # The join shuffles anew, by a hash of the node, so that the planner can split a hub's edges.
+    hooked = e.withColumn("h", F.xxhash64("a")).join(least.withColumn("h", F.xxhash64("node")), "h").filter("a = node")
     if large:
         out = hooked.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        out = hooked.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        out = hooked.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select(F.col("node").alias("a"), F.col("m").alias("b")))
     return out.filter("a > b").distinct()
 
 
@@ -56,7 +56,7 @@ def components(links: DataFrame) -> DataFrame:
     while before[0]:
         old = e
         with scope(spark):  # a round's tables are not needed behind it
-            e = keep(_star(keep(_star(e, True), "links"), False), "links", outside=True)
+            e = keep(_star(_star(e, True), False), "links", outside=True)
         discard(spark, old.inputFiles()[0].rsplit("/", 1)[0])
         after = _state(e)
         if after == before:

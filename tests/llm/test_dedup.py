@@ -69,6 +69,40 @@ def test_near_duplicates_chain(spark, monkeypatch):
     assert out == {i: (c,) for i, (_, c) in near(rows).items()}
 
 
+def test_merged_lists_connect_what_all_pairs_connect():
+    """Two blocks whose lists are merged give the connections of all pairs that agree often enough and are similar."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    base = [rng.integers(0, 2**63, 80).astype(np.uint64) for _ in range(12)]
+
+    def block(first, n):
+        rows = []
+        for k in range(n):
+            s = base[rng.integers(12)].copy()
+            change = rng.choice(80, rng.integers(0, 16), replace=False)
+            s[change] = rng.integers(0, 2**63, len(change)).astype(np.uint64)
+            rows.append(np.unique(s))
+        a, b = minhash.stream(101, 64) | np.uint64(1), minhash.stream(202, 64)
+        with np.errstate(over="ignore"):
+            sig = [(s[:, None] * a + b).min(0).view(np.int64).tolist() for s in rows]
+        ids = np.arange(first, first + n)
+        return rows, sig, minhash._Block(pa.record_batch([pa.array(ids), pa.array(ids), pa.array(sig, pa.list_(pa.int64())), pa.array([s.tobytes() for s in rows])], ["node", "comp", "sig", "set"]))
+
+    (sets, sig, left), (other_sets, other_sig, right) = block(0, 90), block(100, 70)
+    for one, many, other, base_id in ((left, sets, left, 0), (left, other_sets, right, 100)):
+        sigs = sig if other is left else other_sig
+        want = []
+        for i, s in enumerate(sets):
+            for j, t in enumerate(many):
+                both = len(np.intersect1d(s, t))
+                if i != base_id + j and sum(x == y for x, y in zip(sig[i], sigs[j])) >= 30 and 100 * both >= 75 * (len(s) + len(t) - both):
+                    want.append((i, base_id + j))
+        got = list(zip(*(x.tolist() for x in one.links(other, 30, 75))))
+        ids = range(200)
+        assert len(want) > 100 and groups(ids, got) == groups(ids, want) and len(got) < len(ids)
+
+
 def test_near_duplicates_odd_rows(spark):
     rows = [(None, "a b c d e f", 1), (3, "a b c d e f", 2), (3, "a b c d e f", 3), (5, "A B C D E F", 4), (6, None, 5), (7, " ", 6), (3, "quite another text here now then", 7)]
     df = spark.createDataFrame(rows, "doc_id long, text string, node long")
