@@ -7,9 +7,10 @@ histogram of at most ``capacity`` counts, and a combination is taken as often as
 allows: every step uses up a length, so there are at most ``capacity`` steps whatever the input's size.
 
 Scale.  Texts are tokenized in one narrow pass; no token crosses a shuffle unless asked for.  A piece
-learns its number among those of its length from its number inside its task and a running sum over
-(task, length) counts, so a length that a third of all pieces share is no task of its own.  The plan
-(slots of all combinations) is bounded by ``capacity`` and goes out by broadcast.
+learns its number among those of its length from a sort by length and a hash of the piece, in ranges: its
+number inside its range, and how many of its length stand in the ranges before.  So a length that a third
+of all pieces share fills many tasks, and what reaches the driver and goes out by broadcast is one count
+for each range and each length, beside the plan (slots of all combinations), which ``capacity`` bounds.
 
 Defined results.  Null text is empty: one piece that holds the separator only.  Documents longer than
 ``capacity`` are cut every ``capacity`` ids.  Repeated rows are packed each.  An empty table gives an
@@ -26,9 +27,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .stores import MAX_BROADCAST_IDS, keep
+from .stores import keep
 from .text import U, Words, ragged, word_blocks
 
 CAPACITY, SEPARATOR = 4096, 1
@@ -132,13 +133,12 @@ def token_ids(texts: pa.Array, path: str, size: int = BLOCK) -> Iterator[tuple[i
 
 
 def _cutter(path: str, capacity: int, separator: int, with_ids: bool):
-    """Texts -> pieces, each with its task and its number among the task's pieces of its length."""
+    """Texts -> pieces."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for batch in batches:
             for lo, hi, ids, ends in token_ids(batch.column(1), path):
-                row, piece, start, length, crc, within, own = [], [], [], [], [], [], []
+                row, piece, start, length, crc, own = [], [], [], [], [], []
                 for k in range(hi - lo):
                     doc = np.append(ids[ends[k] : ends[k + 1]], np.uint32(separator)).astype("<u4")
                     for n, at in enumerate(range(0, len(doc), capacity)):
@@ -147,15 +147,13 @@ def _cutter(path: str, capacity: int, separator: int, with_ids: bool):
                         piece.append(n)
                         start.append(at)
                         length.append(len(part))
-                        within.append(int(seen[len(part)]))
-                        seen[len(part)] += 1
                         data = part.tobytes()
                         crc.append(zlib.crc32(data))
                         if with_ids:
                             own.append(data)
                 cols = [batch.column(0).slice(lo, hi - lo).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
-                cols += [pa.array(own, pa.binary())] * with_ids + [pa.array([task] * len(row), pa.int64()), pa.array(within, pa.int64())]
-                yield pa.record_batch(cols, ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids, "task", "within"])
+                cols += [pa.array(own, pa.binary())] * with_ids
+                yield pa.record_batch(cols, ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
 
     return cut
 
@@ -165,7 +163,7 @@ def _schema(with_ids: bool) -> str:
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, separator: int = SEPARATOR, with_ids: bool = False) -> DataFrame:
-    return docs.select("doc_id", "text").mapInArrow(_cutter(path, capacity, separator, with_ids), _schema(with_ids) + ", task long, within long")
+    return docs.select("doc_id", "text").mapInArrow(_cutter(path, capacity, separator, with_ids), _schema(with_ids))
 
 
 def fullest(counts: dict[int, int], room: int) -> list[tuple[int, int]]:
@@ -220,24 +218,29 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["length", "rank", "n", "sequence", "offset"], dtype="int64")
 
 
-def _ranked(cut: DataFrame) -> DataFrame:
-    """Adds ``rank``, each piece's number among those of its length, without bringing a length together."""
-    by_task = cut.groupBy("task", "length").agg(F.count("*").alias("n"))
-    before = by_task.select("task", "length", (F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("before"))
-    before = keep(before, "before")
-    if before.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS:
-        before = F.broadcast(before)
-    return cut.join(before, ["task", "length"]).withColumn("rank", F.col("before") + F.col("within")).drop("before", "within", "task")
+def _numberer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by length -> the same with their range and their number among those of their length in it."""
+    part, held, n = TaskContext.get().partitionId(), -1, 0
+    for batch in batches:
+        length = batch["length"].to_numpy()
+        first = np.flatnonzero(np.diff(length, prepend=-1))
+        within = np.arange(len(length)) - np.repeat(first, np.diff(first, append=len(length)))
+        if len(length):
+            same = length == held  # these go on from the batch before
+            within[same] += n
+            held, n = length[-1], int(within[-1]) + 1
+        yield batch.append_column("part", pa.array(np.full(len(length), part, np.int32))).append_column("within", pa.array(within))
 
 
-def _placer(slots):
+def _placer(shared):
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        length, rank, sequence, offset = slots.value
+        (length, rank, sequence, offset), (parts, before) = shared.value
         for batch in batches:
-            own, at = batch["length"].to_numpy(), batch["rank"].to_numpy()
-            slot = np.searchsorted(length * (1 << 44) + rank, own * (1 << 44) + at, "right") - 1
+            own = batch["length"].to_numpy()
+            at = batch["within"].to_numpy() + before[np.searchsorted(parts, (own << 32) + batch["part"].to_numpy())]
+            slot = np.searchsorted((length << 44) + rank, (own << 44) + at, "right") - 1
             put = [pa.array(sequence[slot] + at - rank[slot]), pa.array(offset[slot])]
-            names = [n for n in batch.schema.names if n != "rank"]
+            names = batch.schema.names[:-2]
             yield pa.record_batch([batch[n] for n in names] + put, names + ["sequence_id", "offset"])
 
     return place
@@ -247,8 +250,13 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset and, if asked for, ids (little-endian 32-bit)."""
     schema = _schema(with_ids)
     cut = keep(pieces(docs, tokenizer or tokenizer_path(), capacity, separator, with_ids), "pieces")
-    histogram = {r.length: r["count"] for r in cut.groupBy("length").count().collect()}  # capacity rows at most
-    slots = plan(histogram, capacity).sort_values(["length", "rank"])
-    slots = cut.sparkSession.sparkContext.broadcast(tuple(slots[c].to_numpy() for c in ("length", "rank", "sequence", "offset")))
-    columns = [x.split(" ")[0] for x in schema.split(", ")]
-    return _ranked(cut).select(*columns, "rank").mapInArrow(_placer(slots), schema + ", sequence_id long, offset long")
+    columns = cut.columns
+    order = ["length", F.xxhash64("doc_id", "piece", "ids_crc32")]
+    ranged = cut.repartitionByRange(*order).sortWithinPartitions(*order, "doc_id", "piece").select(columns)
+    numbered = keep(ranged.mapInArrow(_numberer, schema + ", part int, within long"), "numbered")
+    # A length is in one range or in neighbouring ones: as many rows as there are ranges and lengths together, at most.
+    counts = pd.DataFrame([(r.length, r.part, r["count"]) for r in numbered.groupBy("length", "part").count().collect()], columns=["length", "part", "n"], dtype="int64").sort_values(["length", "part"])
+    before = counts.groupby("length")["n"].cumsum() - counts["n"]
+    slots = plan({int(k): int(v) for k, v in counts.groupby("length")["n"].sum().items()}, capacity).sort_values(["length", "rank"])
+    shared = cut.sparkSession.sparkContext.broadcast((tuple(slots[c].to_numpy() for c in ("length", "rank", "sequence", "offset")), ((counts["length"].to_numpy() << 32) + counts["part"].to_numpy(), before.to_numpy())))
+    return numbered.mapInArrow(_placer(shared), schema + ", sequence_id long, offset long")
