@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: A letter that no other letter touches; the left separator is part of the match, the right one is not.
 LONE_LETTER = r"(?:^|[^A-Za-zÀ-ÿ])([A-Za-z])(?=$|[^A-Za-zÀ-ÿ])"
-#: Relaxed evidence for tables without definitions; the true classifier is functions.columns.definition_like.
-RELAXED = r"[A-Za-z] (is|are) (a|an|the|used|our) "
 
 
 class Tables:

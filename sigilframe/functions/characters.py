@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterable
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,11 +13,9 @@ from . import patterns as P
 
 #: Words of a character's name and the style they mean; bold and italic may both hold.
 _NAMED = (("DOUBLE-STRUCK", "blackboard"), ("FRAKTUR", "fraktur"), ("SCRIPT", "script"), ("SANS-SERIF", "sans"), ("MONOSPACE", "monospace"))
-#: Greek letter names as glyph names spell them.
-GREEK = dict(zip(
-    "ALPHA BETA GAMMA DELTA EPSILON ZETA ETA THETA IOTA KAPPA LAMDA LAMBDA MU NU XI OMICRON PI RHO SIGMA TAU UPSILON PHI CHI PSI OMEGA".split(),
-    "α β γ δ ε ζ η θ ι κ λ λ μ ν ξ ο π ρ σ τ υ φ χ ψ ω".split(),
-))
+#: Greek letter names as the character data spell them; glyph names write LAMDA with a B.
+GREEK = {unicodedata.name(c).removeprefix("GREEK SMALL LETTER "): c for c in map(chr, range(0x3B1, 0x3CA)) if c != "ς"}
+GREEK["LAMBDA"] = GREEK["LAMDA"]
 
 _FONT_STYLES = [(style, re.compile(p)) for style, p in P.FONT_STYLES]
 _SUBSET = re.compile(P.SUBSET_PREFIX)
@@ -60,38 +59,77 @@ def normal_form(text: str | None) -> str | None:
     return text and "".join(unicodedata.normalize("NFKC", c) for c in text)
 
 
-#: Standard glyph names of characters that are no letters or differ from their Greek name's letter.
-GLYPH_NAMES = dict(pair.split() for pair in """
-Delta ∆|Omega Ω|mu µ|theta1 ϑ|phi1 ϕ|sigma1 ς|omega1 ϖ|Upsilon1 ϒ
-zero 0|one 1|two 2|three 3|four 4|five 5|six 6|seven 7|eight 8|nine 9
-plus +|minus −|equal =|less <|greater >|lessequal ≤|greaterequal ≥|notequal ≠|approxequal ≈|equivalence ≡|similar ∼|congruent ≅|proportional ∝
-plusminus ±|multiply ×|divide ÷|asteriskmath ∗|dotmath ⋅|periodcentered ·|circleplus ⊕|circlemultiply ⊗|fraction ⁄
-summation ∑|product ∏|integral ∫|radical √|partialdiff ∂|gradient ∇|infinity ∞|element ∈|notelement ∉|suchthat ∋|emptyset ∅
-union ∪|intersection ∩|propersubset ⊂|reflexsubset ⊆|propersuperset ⊃|reflexsuperset ⊇|notsubset ⊄|universal ∀|existential ∃|logicaland ∧|logicalor ∨|logicalnot ¬|perpendicular ⊥|therefore ∴
-arrowleft ←|arrowright →|arrowup ↑|arrowdown ↓|arrowboth ↔|arrowdblleft ⇐|arrowdblright ⇒|arrowdblboth ⇔|angleleft 〈|angleright 〉|angle ∠
-parenleft (|parenright )|bracketleft [|bracketright ]|braceleft {|braceright }|slash /|backslash \\|asterisk *|hyphen -|underscore _|asciicircum ^|asciitilde ~
-period .|comma ,|colon :|semicolon ;|exclam !|question ?|percent %|ampersand &|numbersign #|at @|dollar $|degree °|prime ′|minute ′|second ″
-aleph ℵ|Ifraktur ℑ|Rfraktur ℜ|weierstrass ℘|dagger †|daggerdbl ‡|bullet •|lozenge ◊|ellipsis …|endash –|emdash —
-""".strip().replace("\n", "|").split("|")) | {"bar": "|", "space": " "}
+#: Accents as character names and as glyph names spell them.
+ACCENTS = {
+    "GRAVE": "grave", "ACUTE": "acute", "CIRCUMFLEX": "circumflex", "TILDE": "tilde", "DIAERESIS": "dieresis", "RING ABOVE": "ring", "CEDILLA": "cedilla", "CARON": "caron",
+    "BREVE": "breve", "MACRON": "macron", "OGONEK": "ogonek", "DOT ABOVE": "dotaccent", "DOUBLE ACUTE": "hungarumlaut", "STROKE": "slash", "COMMA BELOW": "commaaccent",
+}
+#: Standard names of characters that no rule below gives.
+GLYPH_NAMES = {
+    "space": " ", "exclam": "!", "quotedbl": '"', "numbersign": "#", "dollar": "$", "percent": "%", "ampersand": "&", "quotesingle": "'", "parenleft": "(", "parenright": ")",
+    "asterisk": "*", "plus": "+", "comma": ",", "hyphen": "-", "period": ".", "slash": "/", "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5",
+    "six": "6", "seven": "7", "eight": "8", "nine": "9", "colon": ":", "semicolon": ";", "less": "<", "equal": "=", "greater": ">", "question": "?", "at": "@",
+    "bracketleft": "[", "backslash": "\\", "bracketright": "]", "asciicircum": "^", "underscore": "_", "grave": "`", "braceleft": "{", "bar": "|", "braceright": "}", "asciitilde": "~",
+    "exclamdown": "¡", "cent": "¢", "sterling": "£", "currency": "¤", "yen": "¥", "brokenbar": "¦", "section": "§", "dieresis": "¨", "copyright": "©", "ordfeminine": "ª",
+    "guillemotleft": "«", "logicalnot": "¬", "registered": "®", "macron": "¯", "degree": "°", "plusminus": "±", "twosuperior": "²", "threesuperior": "³", "acute": "´", "mu": "µ",
+    "paragraph": "¶", "periodcentered": "·", "cedilla": "¸", "onesuperior": "¹", "ordmasculine": "º", "guillemotright": "»", "onequarter": "¼", "onehalf": "½", "threequarters": "¾",
+    "questiondown": "¿", "AE": "Æ", "ae": "æ", "OE": "Œ", "oe": "œ", "Eth": "Ð", "eth": "ð", "Thorn": "Þ", "thorn": "þ", "germandbls": "ß", "dotlessi": "ı", "Dcroat": "Đ", "dcroat": "đ",
+    "ff": "ﬀ", "fi": "ﬁ", "fl": "ﬂ", "ffi": "ﬃ", "ffl": "ﬄ", "florin": "ƒ", "circumflex": "ˆ", "caron": "ˇ", "breve": "˘", "dotaccent": "˙", "ring": "˚", "ogonek": "˛", "tilde": "˜",
+    "hungarumlaut": "˝", "endash": "–", "emdash": "—", "quoteleft": "‘", "quoteright": "’", "quotesinglbase": "‚", "quotedblleft": "“", "quotedblright": "”", "quotedblbase": "„",
+    "dagger": "†", "daggerdbl": "‡", "bullet": "•", "ellipsis": "…", "perthousand": "‰", "minute": "′", "second": "″", "prime": "′", "guilsinglleft": "‹", "guilsinglright": "›",
+    "fraction": "⁄", "Euro": "€", "trademark": "™", "Delta": "∆", "Omega": "Ω", "theta1": "ϑ", "phi1": "ϕ", "sigma1": "ς", "omega1": "ϖ", "Upsilon1": "ϒ",
+    "aleph": "ℵ", "Ifraktur": "ℑ", "Rfraktur": "ℜ", "weierstrass": "℘", "arrowleft": "←", "arrowup": "↑", "arrowright": "→", "arrowdown": "↓", "arrowboth": "↔",
+    "arrowdblleft": "⇐", "arrowdblright": "⇒", "arrowdblboth": "⇔", "universal": "∀", "partialdiff": "∂", "existential": "∃", "emptyset": "∅", "gradient": "∇", "element": "∈",
+    "notelement": "∉", "suchthat": "∋", "product": "∏", "summation": "∑", "minus": "−", "asteriskmath": "∗", "radical": "√", "proportional": "∝", "infinity": "∞", "angle": "∠",
+    "logicaland": "∧", "logicalor": "∨", "intersection": "∩", "union": "∪", "integral": "∫", "therefore": "∴", "similar": "∼", "congruent": "≅", "approxequal": "≈", "notequal": "≠",
+    "equivalence": "≡", "lessequal": "≤", "greaterequal": "≥", "propersubset": "⊂", "propersuperset": "⊃", "notsubset": "⊄", "reflexsubset": "⊆", "reflexsuperset": "⊇",
+    "circleplus": "⊕", "circlemultiply": "⊗", "perpendicular": "⊥", "dotmath": "⋅", "multiply": "×", "divide": "÷", "angleleft": "〈", "angleright": "〉", "lozenge": "◊",
+}
+
+
+def _accented(chars: Iterable[str]) -> dict[str, str]:
+    """Letters with one accent: the base letter and the accent's name, as in Aacute."""
+    out = {}
+    for c in chars:
+        m = re.fullmatch(r"LATIN (CAPITAL|SMALL) LETTER ([A-Z]) WITH (.+)", unicodedata.name(c, ""))
+        if m and m[3] in ACCENTS:
+            out.setdefault((m[2] if m[1] == "CAPITAL" else m[2].lower()) + ACCENTS[m[3]], c)
+    return out
+
+
+#: Cyrillic letters go by number: two runs of the alphabet, in which one letter follows the sixth.
+_CYRILLIC = [*map(chr, range(0x410, 0x416)), "Ё", *map(chr, range(0x416, 0x430))]
+NAMED = _accented(map(chr, range(0xC0, 0x250))) | {f"afii{first + k}": c for first, letters in ((10017, _CYRILLIC), (10065, [c.lower() for c in _CYRILLIC])) for k, c in enumerate(letters)} | GLYPH_NAMES
+
+
+def _one_name(key: str) -> str | None:
+    if len(key) == 1:
+        return key
+    if key in NAMED:
+        return NAMED[key]
+    if m := re.fullmatch("uni((?:[0-9A-F]{4})+)|u([0-9A-F]{4,6})", key):
+        codes = [int(m[1][k : k + 4], 16) for k in range(0, len(m[1]), 4)] if m[1] else [int(m[2], 16)]
+        return "".join(map(chr, codes)) if max(codes) <= 0x10FFFF and not any(0xD800 <= c < 0xE000 for c in codes) else None
+    if key.upper() in GREEK:
+        letter = GREEK[key.upper()]
+        return letter.upper() if key == key.capitalize() else letter
+    if key.endswith("tonos") and key[:-5].upper() in GREEK:
+        return unicodedata.normalize("NFC", _one_name(key[:-5]) + "\u0301")
+    return None
 
 
 def glyph_name_char(name: str | None) -> str | None:
-    """The character of a glyph name, tried whole and without its trailing digits.
+    """The text of a glyph name: whole, without trailing digits, without a variant's suffix, or part by part.
 
     Greek names give the capital where only their first letter is one, else the small letter.
     """
     whole = (name or "").lstrip("/")
     for key in (whole, whole.rstrip("0123456789")):
-        if len(key) == 1:
-            return key
-        if key in GLYPH_NAMES:
-            return GLYPH_NAMES[key]
-        if re.fullmatch("uni[0-9A-F]{4}", key):
-            return chr(int(key[3:], 16))
-        if key.upper() in GREEK:
-            letter = GREEK[key.upper()]
-            return letter.upper() if key == key.capitalize() else letter
-    return None
+        if found := _one_name(key):
+            return found
+    base = whole.partition(".")[0]
+    parts = [_one_name(part) for part in base.split("_")]
+    return "".join(parts) if base and all(parts) and (base != whole or len(parts) > 1) else None
 
 
 def math_characters(spark: SparkSession) -> DataFrame:

@@ -129,6 +129,12 @@ def safe_paper_id(x: Column | str) -> Column:
     return F.coalesce(_col(x).rlike(r"^[A-Za-z0-9-]+\z"), F.lit(False))
 
 
+def stored_paths(paper_id: Column | str, root: str) -> Column:
+    """{pdf, document} of a stored paper below ``root``; null for ids that could lead anywhere else."""
+    base = F.concat(F.lit(root.rstrip("/") + "/"), _col(paper_id))
+    return F.when(safe_paper_id(paper_id), F.struct(F.concat(base, F.lit(".pdf")).alias("pdf"), F.concat(base, F.lit(".json")).alias("document")))
+
+
 def valid_folder_name(x: Column | str) -> Column:
     return F.char_length(_col(x)).between(1, 80) & ~_col(x).rlike(r"\p{Cc}")
 

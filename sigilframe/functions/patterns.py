@@ -73,12 +73,14 @@ REFERENCES_HEADING = r"^(?:references|bibliography|参考文献)\b"
 RELATION = r"\b(?:where|here|let|given)\b|(?:其中|式中|表示|定义|记为|设|令)"
 
 # Words beside a plain-font letter that make it a symbol.
-RIGHT_WORDS = frozenset(
-    "is are denotes denote represents represent means mean matrix vector function set number dimension dimensional parameter variable index coefficient coefficients column row".split()
-)
-LEFT_WORDS = frozenset(
-    "where let denote by as and or x × atom atoms matrix matrices vector vectors set function operator parameter variable dictionary group groups space spaces source sources".split()
-)
-ARTICLE_VERBS = frozenset("is are means denotes denote represents represent called".split())
+RIGHT_WORDS = {
+    "is", "are", "denotes", "denote", "represents", "represent", "means", "mean", "matrix", "vector", "function", "set", "number", "dimension",
+    "dimensional", "parameter", "variable", "index", "coefficient", "coefficients", "column", "row",
+}
+LEFT_WORDS = {
+    "where", "let", "denote", "by", "as", "and", "or", "x", "×", "atom", "atoms", "matrix", "matrices", "vector", "vectors", "set", "function",
+    "operator", "parameter", "variable", "dictionary", "group", "groups", "space", "spaces", "source", "sources",
+}
+ARTICLE_VERBS = {"is", "are", "means", "denotes", "denote", "represents", "represent", "called"}
 NEIGHBOUR_OPERATORS = "=~≈×+/()[]{}∈∑∫|"
 SHORT_LINE_OPERATORS = "=~≈∈∑∫"

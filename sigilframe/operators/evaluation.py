@@ -6,11 +6,13 @@ map<string,boolean>); lo and hi are line numbers, null if unknown.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import columns as X
 
 NEAR, MARGIN, GUTTER = 8, 2, 6.0
+#: Height of the bands in which boxes look for each other.
+BAND = 32.0
 _KEY = ["gold_id", "symbol"]
 
 
@@ -47,11 +49,17 @@ def near_events(gold: DataFrame, events: DataFrame, near: int = NEAR) -> DataFra
     return pairs.select("gold_id", "definition_id", close.alias("local"))
 
 
+def _banded(rows: DataFrame, box: str) -> DataFrame:
+    """Each row once for every band its box touches: boxes that overlap share one, so they meet by equality."""
+    at = lambda k: F.floor(F.col(box)[k] / BAND)
+    return rows.withColumn("band", F.explode(F.sequence(at(1), at(3))))
+
+
 def glyphs_in_events(events: DataFrame, candidates: DataFrame) -> DataFrame:
     """(paper_id, definition_id, surface): glyphs on an event's lines, or whose box overlaps its box on the same page."""
     e = events.select("paper_id", "page", "definition_id", "line_ids", F.col("bbox").alias("event_box"))
     by_line = e.withColumn("line_id", F.explode("line_ids")).join(candidates, ["paper_id", "page", "line_id"]).select("paper_id", "definition_id", "surface", "surface_normalized")
-    by_box = e.join(candidates, ["paper_id", "page"]).filter(X.boxes_overlap(F.col("event_box"), F.col("bbox"))).select("paper_id", "definition_id", "surface", "surface_normalized")
+    by_box = _banded(e, "event_box").join(_banded(candidates, "bbox"), ["paper_id", "page", "band"]).filter(X.boxes_overlap(F.col("event_box"), F.col("bbox"))).select("paper_id", "definition_id", "surface", "surface_normalized")
     return by_line.unionByName(by_box).select("paper_id", "definition_id", F.explode(F.array("surface", "surface_normalized")).alias("surface")).distinct()
 
 
@@ -122,8 +130,13 @@ def required_and_forbidden(pool: DataFrame, required: list[str], forbidden: list
 
 def glyph_inventory(glyphs: DataFrame) -> DataFrame:
     """Per font and text: count, pages, the first five boxes and three lines; and the distinct codes of each font."""
-    first = lambda c, n: F.slice(F.transform(F.array_sort(F.collect_list(F.struct("page", "index", c))), lambda x: x[c]), 1, n)
-    return glyphs.groupBy("fontname", "text").agg(F.count("*").alias("n"), F.countDistinct("page").alias("pages"), first("bbox", 5).alias("boxes"), first("line_id", 3).alias("lines"))
+    keys = ["fontname", "text"]
+    # A rank with a bound is applied before the shuffle, so no task sees all glyphs of a common letter.
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*(c for c in ("page", "index", "paper_id") if c in glyphs.columns)))
+    few = glyphs.withColumn("k", place).filter("k <= 5").select(*keys, "k", "bbox", "line_id")
+    first = lambda c, n: F.slice(F.transform(F.array_sort(F.collect_list(F.struct("k", c))), lambda x: x[c]), 1, n)
+    counts = glyphs.groupBy(*keys).agg(F.count("*").alias("n"), F.countDistinct("page").alias("pages"))
+    return counts.join(few.groupBy(*keys).agg(first("bbox", 5).alias("boxes"), first("line_id", 3).alias("lines")), keys)
 
 
 def font_frequency(glyphs: DataFrame) -> DataFrame:
@@ -151,4 +164,4 @@ def seen_codes(glyphs: DataFrame) -> DataFrame:
 
 def in_boxes(candidates: DataFrame, boxes: DataFrame) -> DataFrame:
     """boxes: (box_id, paper_id, page, area): the glyphs whose box overlaps an audited area of their page."""
-    return boxes.join(candidates, ["paper_id", "page"]).filter(X.boxes_overlap(F.col("area"), F.col("bbox"))).select("box_id", *candidates.columns)
+    return _banded(boxes, "area").join(_banded(candidates, "bbox"), ["paper_id", "page", "band"]).filter(X.boxes_overlap(F.col("area"), F.col("bbox"))).select("box_id", *candidates.columns).distinct()

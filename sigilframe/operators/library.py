@@ -7,9 +7,12 @@ smaller tables; the planner broadcasts what it knows to be small.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import columns as X
+from ..sources.documents import validated
 
 #: Fixed value: ids per batch command.
 MAX_BATCH = 512
@@ -101,11 +104,19 @@ def others_with_counts(symbols: DataFrame, symbol_id: str) -> DataFrame:
 
 
 def create_folders(folders: DataFrame, wanted: DataFrame) -> DataFrame:
-    """folders plus the valid ones of ``wanted`` (folder_id, name) whose trimmed name is not taken in any case."""
+    """folders plus ``wanted`` (folder_id, name); every trimmed name must be valid and in no case taken, or nothing changes."""
+    new = wanted.withColumn("name", X.trim_all("name")).withColumn("key", F.lower("name"))
+    _require(new.filter(~F.coalesce(X.valid_folder_name("name"), F.lit(False))), "not a folder's name")
+    _require(new.groupBy("key").count().filter("count > 1"), "a name repeats")
+    _require(new.join(folders.select(F.lower("name").alias("key")).distinct(), "key", "left_semi"), "a name is taken")
+    return folders.select("folder_id", "name").unionByName(new.select("folder_id", "name"))
+
+
+def free_names(folders: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``wanted`` that create_folders() takes: the first of each valid name that no folder has."""
     new = wanted.withColumn("name", X.trim_all("name")).filter(X.valid_folder_name("name")).withColumn("key", F.lower("name"))
     new = new.join(folders.select(F.lower("name").alias("key")).distinct(), "key", "left_anti")
-    first = new.groupBy("key").agg(F.min_by("name", "folder_id").alias("name"), F.min("folder_id").alias("folder_id"))
-    return folders.select("folder_id", "name").unionByName(first.select("folder_id", "name"))
+    return new.groupBy("key").agg(F.min_by("name", "folder_id").alias("name"), F.min("folder_id").alias("folder_id")).select("folder_id", "name")
 
 
 def delete_folder(folders: DataFrame, membership: DataFrame, folder_id: str) -> tuple[DataFrame, DataFrame]:
@@ -195,6 +206,14 @@ def update_meanings(symbols: DataFrame, updates: DataFrame, provider: str = "rem
     return apply_meanings(symbols, last_updates(updates), source)
 
 
+def update_paper_meanings(papers: DataFrame, symbols: DataFrame, paper_id: str, updates: DataFrame, provider: str = "remote") -> tuple[DataFrame, DataFrame]:
+    """(papers, symbols): the paper is marked as one whose meanings a model gave, even where no id is known."""
+    new = update_meanings(symbols.filter(F.col("paper_id") == paper_id), updates, provider)
+    used = F.col("llm_used") if "llm_used" in papers.columns else F.lit(False)
+    marked = papers.withColumn("llm_used", F.coalesce(used, F.lit(False)) | (F.col("paper_id") == paper_id))
+    return marked, symbols.filter(F.col("paper_id") != paper_id).unionByName(new.select(symbols.columns))
+
+
 def apply_meanings(symbols: DataFrame, last: DataFrame, source: str) -> DataFrame:
     new = last.select("id", X.trim_all("meaning").alias("new_meaning"))
     hit = F.col("new_meaning").isNotNull()
@@ -207,14 +226,80 @@ def page_navigation(history: DataFrame) -> DataFrame:
     return history.withColumn("back", F.lag("page").over(Window.partitionBy("paper_id").orderBy("ordinal")))
 
 
-def publish(table: DataFrame, path: str) -> None:
-    """Write a new version of a table; the committer shows it only when it is whole."""
-    table.write.mode("overwrite").parquet(path)
+# Stored tables -------------------------------------------------------------------------------
 
+_VERSION = "version="
 
-def read_store(spark, path: str, schema: str) -> DataFrame:
-    """A stored table; empty where nothing was stored yet, an error where it is not readable."""
+
+def _files(spark, path: str):
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def _versions(spark, path: str) -> list[int]:
+    """Whole versions of a stored table: those whose writer has put its mark."""
+    files, target = _files(spark, path)
+    names = [(s.getPath().getName(), s.getPath()) for s in files.listStatus(target)] if files.exists(target) else []
+    mark = lambda at: files.exists(spark._jvm.org.apache.hadoop.fs.Path(at, "_SUCCESS"))
+    return sorted(int(name.removeprefix(_VERSION)) for name, at in names if name.startswith(_VERSION) and mark(at))
+
+
+def publish(table: DataFrame, path: str, keep: int = 2) -> int:
+    """Write a new version beside the old ones and return its number; readers see it once its mark is there.
+
+    The table may be read from the version before, which stays; versions older than the last ``keep`` go.
+    """
+    spark = table.sparkSession
+    number = max(_versions(spark, path), default=0) + 1
+    table.write.mode("overwrite").parquet(f"{path}/{_VERSION}{number}")
+    for old in _versions(spark, path)[:-keep]:
+        files, target = _files(spark, f"{path}/{_VERSION}{old}")
+        files.delete(target, True)
+    return number
+
+
+def read_store(spark, path: str, schema: str) -> DataFrame:
+    """The last whole version of a stored table; empty where nothing was stored yet, an error where it is not readable."""
+    versions = _versions(spark, path)
+    return spark.read.schema(schema).parquet(f"{path}/{_VERSION}{versions[-1]}") if versions else spark.createDataFrame([], schema)
+
+
+def import_papers(files: DataFrame, parse, root: str) -> tuple[DataFrame, DataFrame]:
+    """Stage, validate and publish a batch of papers; (imported ids, files turned away with their ``error``).
+
+    files: (paper_id, content, pages, pages_check); ``parse`` makes documents (paper_id, ...) of the good ones.
+    The batch is staged below ``root`` and becomes a new version of the store at once, older papers
+    included; whatever fails before that leaves the store as it was and no staged file behind.
+    """
+    spark = files.sparkSession
+    checked = validated(files).withColumn("error", F.when(~X.safe_paper_id("paper_id"), "unsafe").otherwise(F.col("error")))
+    staged = f"{root}/_staged-{uuid.uuid4().hex}"
+    try:
+        parse(checked.filter("error is null").drop("error")).write.parquet(staged)
+        new = spark.read.parquet(staged)
+        _require(new.filter(~X.safe_paper_id("paper_id")), "a parsed paper has no safe id")
+        _require(new.groupBy("paper_id").count().filter("count > 1"), "a paper is parsed twice")
+        old = read_store(spark, f"{root}/papers", new.schema)
+        publish(old.join(new.select("paper_id"), "paper_id", "left_anti").unionByName(new), f"{root}/papers")
+        ids = spark.createDataFrame(new.select("paper_id").toArrow()) if new.limit(MAX_BATCH + 1).count() <= MAX_BATCH else read_store(spark, f"{root}/papers", new.schema).join(files.select("paper_id"), "paper_id", "left_semi").select("paper_id")
+    finally:
+        fs, target = _files(spark, staged)
+        fs.delete(target, True)
+    return ids, checked.filter("error is not null").select("paper_id", "error")
+
+
+def settle_imports(pending: DataFrame, outcomes: DataFrame, membership: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pending, membership) after outcomes (paper_id, real_id, error) of placeholders.
+
+    Imported placeholders leave and their memberships take the real id; failed ones stay with the error;
+    rows whose placeholder was deleted while it was parsed are purged, real id included.
+    """
+    done = outcomes.filter("error is null").select("paper_id", "real_id")
+    known = pending.select("paper_id")
+    failed = outcomes.filter("error is not null").select("paper_id", F.col("error").alias("why"))
+    left = pending.join(done.select("paper_id"), "paper_id", "left_anti").join(failed, "paper_id", "left")
+    left = left.withColumn("error", F.coalesce("why", "error")).withColumn("state", F.when(F.col("why").isNotNull(), "failed").otherwise(F.col("state"))).drop("why")
+    own = done.join(known, "paper_id", "left_semi")
+    gone = done.join(known, "paper_id", "left_anti").select(F.explode(F.array("paper_id", "real_id")).alias("paper_id"))
+    members = membership.join(gone, "paper_id", "left_anti").join(own, "paper_id", "left").withColumn("paper_id", F.coalesce("real_id", "paper_id"))
+    return left, members.select(membership.columns).distinct()

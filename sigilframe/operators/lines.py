@@ -11,7 +11,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterable
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, lru_cache
 
 from ..functions import characters as C
 from ..functions import patterns as P
@@ -42,6 +42,20 @@ def clamp(low: float, x: float, high: float) -> float:
     return max(low, min(high, x))
 
 
+@lru_cache(maxsize=4096)
+def _font(name: str) -> tuple[str, bool, bool, bool, bool]:
+    """(family, math letters, strong, italic, family of a math set) of a font."""
+    family = C.family_of(name)
+    strong = bool(BOLD_FONT.search(family))
+    return family, bool(MATH_FONT.search(family)) or strong, strong, bool(ITALIC_FONT.search(family)), bool(MATH_FONT.search(family))
+
+
+@lru_cache(maxsize=8192)
+def _marks(text: str) -> tuple[bool, bool, bool, bool]:
+    """(operator, styled characters, bold ones, a lone letter) of a glyph's text."""
+    return not _OPERATORS.isdisjoint(text), any(map(C.char_style, text)), C.text_style(text) in ("bold", "bold_italic", "blackboard"), len(text) == 1 and text.isalpha()
+
+
 @dataclass(slots=True)
 class Glyph:
     index: int
@@ -60,16 +74,12 @@ class Glyph:
     italic: bool = False
     operator: bool = False
     letter: bool = False
+    in_set: bool = False
 
     def __post_init__(self):
-        self.family = C.family_of(self.font)
-        styles = [C.char_style(c) for c in self.text]
-        self.operator = not _OPERATORS.isdisjoint(self.text)
-        strong = bool(BOLD_FONT.search(self.family))
-        self.math = bool(MATH_FONT.search(self.family)) or strong or any(styles) or self.operator
-        self.bold = strong or C.text_style(self.text) in ("bold", "bold_italic", "blackboard")
-        self.italic = bool(ITALIC_FONT.search(self.family))
-        self.letter = len(self.text) == 1 and self.text.isalpha()
+        self.family, math, strong, self.italic, self.in_set = _font(self.font)
+        self.operator, styled, bold, self.letter = _marks(self.text)
+        self.math, self.bold = math or styled or self.operator, strong or bold
 
     @property
     def center(self) -> float:
@@ -131,7 +141,7 @@ class Line:
     @cached_property
     def counts(self) -> dict[str, int]:
         return {
-            "math": sum(g.math for g in self.g), "operator": sum(g.operator for g in self.g), "family": sum(bool(MATH_FONT.search(g.family)) for g in self.g),
+            "math": sum(g.math for g in self.g), "operator": sum(g.operator for g in self.g), "family": sum(g.in_set for g in self.g),
             "italic": sum(g.italic for g in self.g), "chars": len(self.g),
         }
 

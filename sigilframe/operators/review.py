@@ -7,6 +7,8 @@ surface, ignored).
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import columns as X
@@ -89,6 +91,35 @@ def confirm_symbols(symbols: DataFrame, attached: DataFrame) -> DataFrame:
     )
 
 
+@dataclass
+class Reviewed:
+    """The new versions of all tables that a confirmation touches; ``resolutions`` are rows to append."""
+
+    queue: DataFrame
+    events: DataFrame
+    symbols: DataFrame
+    occurrences: DataFrame
+    resolutions: DataFrame
+    totals: DataFrame
+
+
+def confirm(queue: DataFrame, lines: DataFrame, events: DataFrame, symbols: DataFrame, occurrences: DataFrame, confirmations: DataFrame) -> Reviewed:
+    """One command: (paper_id, review_id, surface) rows leave the queue and become events, symbols and occurrences.
+
+    Every row must name a queued glyph and a valid surface, none twice; else nothing changes.
+    """
+    keys = ["paper_id", "review_id"]
+    _require(confirmations.groupBy(*keys).count().filter("count > 1"), "an item is confirmed twice")
+    attached = attach(queue, lines, events, confirmations)
+    left = queue.join(confirmations.select(*keys), keys, "left_anti")
+    pool = confirm_symbols(symbols, attached)
+    seen = attached.select("paper_id", "page", "token_id", "line_id", "bbox", "surface", "definition_id", F.lit("visual").alias("kind"), F.lit("visual_confirmed").alias("status"))
+    resolved = confirmations.select(*keys, X.trim_all("surface").alias("surface"), F.lit(False).alias("ignored"))
+    more = new_events(attached)
+    every = events.unionByName(more.withColumn("page", F.col("page").cast(events.schema["page"].dataType)), allowMissingColumns=True)
+    return Reviewed(left, every, pool, occurrences.unionByName(seen, allowMissingColumns=True), resolved, counters(left, pool))
+
+
 def counters(queue: DataFrame, symbols: DataFrame) -> DataFrame:
     """The two totals a review changes: (paper_id, visual_review_items, review_symbols)."""
     pending = queue.groupBy("paper_id").agg(F.count("*").alias("visual_review_items"))

@@ -17,6 +17,7 @@ from ..functions import gloss
 from ..operators.events import EventFinder
 from ..operators.layout import follows_boundary, gutter
 from ..operators.lines import HEADING, Glyph, box, group_lines
+from ..sources.shared import written
 
 PAGE = ["paper_id", "page"]
 CONTEXT = 6
@@ -193,12 +194,12 @@ def with_occurrences(pool: DataFrame, occurrences: DataFrame) -> DataFrame:
 def with_gloss(pool: DataFrame) -> DataFrame:
     """Adds meaning, definition and location, from the first evidence that yields a gloss, else the first."""
     texts = pool.select("paper_id", "id", "surface", F.posexplode_outer("texts").alias("k", "text"))
-    tried = texts.withColumn("plain", gloss.meaning_column("surface", "text") == gloss.NO_GLOSS)
-    best = tried.groupBy("paper_id", "id").agg(F.min_by("text", F.struct("plain", "k")).alias("evidence"))
+    plain = gloss.gloss("surface", "text")["meaning"] == gloss.NO_GLOSS
+    best = texts.groupBy("paper_id", "id").agg(F.min_by("text", F.struct(plain.alias("plain"), "k")).alias("evidence"))
     source = F.coalesce(F.nullif("evidence", F.lit("")), "event_text")
-    out = pool.join(best, ["paper_id", "id"], "left").withColumn("source_text", source)
-    out = out.withColumn("meaning", gloss.summary_column("surface", "source_text")).withColumn("definition", gloss.excerpt_column("surface", "source_text"))
-    return out.withColumn("location", X.page_label("def_page")).withColumn("meaning_source", F.lit("local")).drop("evidence", "source_text", "texts", "event_text")
+    out = pool.join(best, ["paper_id", "id"], "left").withColumn("said", gloss.gloss("surface", source))
+    out = out.withColumn("meaning", F.col("said.summary")).withColumn("definition", F.col("said.definition"))
+    return out.withColumn("location", X.page_label("def_page")).withColumn("meaning_source", F.lit("local")).drop("evidence", "said", "texts", "event_text")
 
 
 def totals(pages: DataFrame, pool: DataFrame, regions: DataFrame | None = None) -> DataFrame:
@@ -224,11 +225,12 @@ def documents(papers: "Papers") -> DataFrame:
 
 
 class Papers:
-    """The tables of some papers, each a lazy DataFrame over the parsed pages."""
+    """The tables of some papers, each a lazy DataFrame over the parsed pages, which are written once and read by all."""
 
     def __init__(self, glyphs: DataFrame, pages: DataFrame, font_codes: DataFrame | None = None):
         decoded = decoded_glyphs(glyphs, font_codes)
-        self.pages = with_reference_flag(parse_pages(decoded, page_boundaries(decoded, pages)))
+        self.boundaries = written(page_boundaries(decoded, pages), "boundaries")
+        self.pages = written(with_reference_flag(parse_pages(decoded, self.boundaries)), "pages")
         self.lines, self.events, self.occurrences = line_table(self.pages), event_table(self.pages), occurrence_table(self.pages)
         self.pool = with_gloss(with_occurrences(symbol_pool(self.events), self.occurrences))
         self.review_queue, self.candidates = review_queue(self.pages), candidate_table(self.pages)

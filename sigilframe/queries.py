@@ -2,66 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from pyspark.sql import DataFrame, Window, functions as F
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-
-from .adapters import LONE_LETTER, RELAXED, Tables
+from . import paper_queries  # noqa: F401 - registers its own
+from .adapters import LONE_LETTER, Tables
 from .functions import columns as X
 from .functions import patterns as P
 from .operators import evaluation, library, review, summaries
 from .plans import symbol_pool as plan
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-REACH = 10
+from .registry import ORACLE_SQL, QUERIES, query
 
 # Shared pieces of the oracle's SQL.
 _LINES = "lines AS (SELECT doc_id, unnest(range(len(l))) AS line, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
 _TOKENS = """tok AS (
     SELECT doc_id, line, text, unnest(range(len(t))) AS pos, unnest(t) AS surface
     FROM (SELECT doc_id, line, text, list_filter(string_split_regex(text, '[^A-Za-zÀ-ÿ]+'), lambda x: regexp_full_match(x, '[A-Za-z]')) AS t FROM lines))"""
-_RELAXED = f"rel AS (SELECT doc_id, line, text FROM lines WHERE regexp_matches(text, '{RELAXED}'))"
-_EVENTS = f"""ev AS (
-    SELECT doc_id, min(line) AS seed FROM rel GROUP BY doc_id
-    UNION ALL
-    SELECT ev.doc_id, (SELECT min(line) FROM rel WHERE rel.doc_id = ev.doc_id AND rel.line > ev.seed + {REACH}) AS seed FROM ev
-    WHERE EXISTS (SELECT 1 FROM rel WHERE rel.doc_id = ev.doc_id AND rel.line > ev.seed + {REACH}))"""
-_LEVELS = f"""lev AS (
-    SELECT tok.doc_id, ev.seed, tok.line, tok.pos, tok.surface, CASE WHEN rel.line IS NOT NULL THEN 3 WHEN regexp_matches(tok.text, '[=+*/<>|~^_-]') THEN 2 ELSE 1 END AS level
-    FROM ev JOIN tok ON tok.doc_id = ev.doc_id AND tok.line BETWEEN ev.seed AND ev.seed + {REACH} LEFT JOIN rel ON rel.doc_id = tok.doc_id AND rel.line = tok.line)"""
-_WITH = {"lines": f"WITH {_LINES}", "tok": f"WITH {_LINES}, {_TOKENS}", "rel": f"WITH {_LINES}, {_TOKENS}, {_RELAXED}", "ev": f"WITH RECURSIVE {_LINES}, {_TOKENS}, {_RELAXED}, {_EVENTS}", "lev": f"WITH RECURSIVE {_LINES}, {_TOKENS}, {_RELAXED}, {_EVENTS}, {_LEVELS}"}
 _MEMBERS = "m AS (SELECT DISTINCT l_suppkey AS folder_id, l_partkey AS paper_id FROM lineitem)"
 
 
-def query(sql: str | None):
-    def add(f: Callable[[Tables], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def _relaxed(t: Tables) -> DataFrame:
-    return t.lines().filter(F.col("text").rlike(RELAXED))
-
-
-def _events(t: Tables) -> DataFrame:
-    """(doc_id, seed): relaxed lines that no earlier event's window claims; a fold over a document's seeds."""
-    seeds = _relaxed(t).groupBy("doc_id").agg(F.array_sort(F.collect_list("line")).alias("seeds"))
-    chosen = F.expr(f"aggregate(seeds, cast(array() as array<int>), (acc, x) -> if(size(acc) = 0 or x > acc[size(acc) - 1] + {REACH}, concat(acc, array(x)), acc))")
-    return seeds.select("doc_id", F.explode(chosen).alias("seed"))
-
-
-def _event_tokens(t: Tables) -> DataFrame:
-    """(doc_id, seed, line, pos, surface, level) of tokens in event windows, joined on exploded line numbers."""
-    window = _events(t).withColumn("line", F.explode(F.sequence("seed", F.col("seed") + REACH)))
-    level = F.when(F.col("text").rlike(RELAXED), 3).when(F.col("text").rlike(r"[=+*/<>|~^_-]"), 2).otherwise(1)
-    return t.tokens().withColumn("level", level).join(window, ["doc_id", "line"]).select("doc_id", "seed", "line", "pos", "surface", "level")
-
-
 def _long(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("long") for n in names})
 
@@ -69,168 +27,44 @@ def _long(df: DataFrame, *names: str) -> DataFrame:
 # Lines, tokens, classification ---------------------------------------------------------------
 
 
-@query(f"{_WITH['rel']}, def AS (SELECT DISTINCT rel.doc_id, surface FROM rel JOIN tok ON tok.doc_id = rel.doc_id AND tok.line = rel.line) SELECT tok.doc_id, tok.surface, count(*) AS occurrences, count(DISTINCT line) AS n_lines FROM tok JOIN def ON def.doc_id = tok.doc_id AND def.surface = tok.surface GROUP BY 1, 2")
-def flagship_symbol_pool(t: Tables) -> DataFrame:
-    """Occurrences of every letter that some line of its document defines, by relaxed evidence."""
-    tokens = t.tokens()
-    defined = tokens.filter(F.col("text").rlike(RELAXED)).select("doc_id", "surface").distinct()
-    return tokens.join(defined, ["doc_id", "surface"], "left_semi").groupBy("doc_id", "surface").agg(F.count("*").alias("occurrences"), F.countDistinct("line").alias("n_lines"))
-
-
-@query(f"{_WITH['lines']} SELECT doc_id, line, text FROM lines")
+@query(f"WITH {_LINES} SELECT doc_id, line, text FROM lines")
 def line_split(t: Tables) -> DataFrame:
     return _long(t.lines(), "line")
 
 
-@query(f"{_WITH['tok']} SELECT doc_id, line, pos, surface FROM tok")
-def token_single_letter(t: Tables) -> DataFrame:
-    return _long(t.tokens(), "line", "pos").drop("text")
-
-
-@query(f"""{_WITH['lines']}, w AS (SELECT doc_id, line, unnest(range(len(t))) AS pos, unnest(t) AS word FROM (SELECT doc_id, line, list_filter(string_split_regex(text, '[^A-Za-zÀ-ÿ]+'), lambda x: x <> '') AS t FROM lines))
-    SELECT doc_id, line, pos, lower(coalesce(lag(word) OVER o, '')) AS before, lower(coalesce(lead(word) OVER o, '')) AS after FROM w WINDOW o AS (PARTITION BY doc_id, line ORDER BY pos) QUALIFY length(word) = 1""")
-def token_word_islands(t: Tables) -> DataFrame:
-    """The words beside each lone letter; neighbours come from the line's own array, without a shuffle."""
-    words = t.lines().withColumn("w", F.filter(F.split("text", "[^A-Za-zÀ-ÿ]+"), lambda x: x != ""))
-    rows = words.select("doc_id", "line", "w", F.posexplode("w").alias("pos", "word")).filter(F.char_length("word") == 1)
-    beside = lambda d: F.lower(F.coalesce(F.get("w", F.col("pos") + d), F.lit("")))
-    return _long(rows.select("doc_id", "line", "pos", beside(-1).alias("before"), beside(1).alias("after")), "line", "pos")
-
-
-@query(f"{_WITH['lines']} SELECT doc_id, line FROM lines WHERE regexp_matches(text, '(^|[^A-Za-zÀ-ÿ])[A-Za-z] (is|are) (a|an|the|used|our)([^A-Za-zÀ-ÿ]|$)')")
+@query(f"WITH {_LINES} SELECT doc_id, line FROM lines WHERE regexp_matches(text, '(^|[^A-Za-zÀ-ÿ])[A-Za-z] (is|are) (a|an|the|used|our)([^A-Za-zÀ-ÿ]|$)')")
 def definition_copula_lines(t: Tables) -> DataFrame:
     return _long(t.lines().filter(F.col("text").rlike(r"(?:^|[^A-Za-zÀ-ÿ])[A-Za-z] (?:is|are) (?:a|an|the|used|our)(?![A-Za-zÀ-ÿ])")), "line").drop("text")
 
 
-# The oracle's engine has ASCII word borders and no look-around: accented letters become two ASCII ones, and "let" is left out where "us" follows.
-_CLASS = " OR ".join(f"regexp_matches(t, '(?i){p}')" for p in P.DEFINITION if p not in (P.LET, P.CHINESE))
+# The oracle's engine has ASCII word borders and no look-around: accented letters become two ASCII ones, and the
+# look-ahead behind "let" is left out, as no letter list begins with "us".
+_CLASS = " OR ".join(f"regexp_matches(t, '(?i){p.replace('(?!us\\b)', '')}')" for p in P.DEFINITION)
 
 
-@query(f"{_WITH['lines']}, c AS (SELECT doc_id, line, regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '[À-ɏ]', 'qq', 'g') AS t FROM lines) SELECT doc_id, line FROM c WHERE {_CLASS} OR regexp_matches(t, '{P.GIVEN_CAPITAL}')")
+@query(f"WITH {_LINES}, c AS (SELECT doc_id, line, regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '[À-ɏ]', 'qq', 'g') AS t FROM lines) SELECT doc_id, line FROM c WHERE {_CLASS} OR regexp_matches(t, '{P.GIVEN_CAPITAL}')")
 def definition_like_lines(t: Tables) -> DataFrame:
     """The full classifier over all lines."""
     return _long(t.lines().filter(X.definition_like("text")), "line").drop("text")
 
 
-_OPS = "length(regexp_replace(text, '[^=+*/<>|~^_-]', '', 'g'))"
-
-
-@query(f"{_WITH['lines']} SELECT doc_id, line, length(text) AS chars, {_OPS} AS operators, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS letters FROM lines")
-def line_metrics(t: Tables) -> DataFrame:
-    left = lambda p: F.char_length(F.regexp_replace("text", p, ""))
-    return _long(t.lines().select("doc_id", "line", F.char_length("text").alias("chars"), left(r"[^=+*/<>|~^_-]").alias("operators"), left("[^A-Za-z]").alias("letters")), "line", "chars", "operators", "letters")
-
-
-@query(f"{_WITH['lines']} SELECT doc_id, line, {_OPS} AS operators FROM lines WHERE trim(text) <> '' AND ({_OPS} >= 1 OR regexp_matches(text, '{RELAXED}'))")
-def formula_like_lines(t: Tables) -> DataFrame:
-    ops = F.char_length(F.regexp_replace("text", r"[^=+*/<>|~^_-]", ""))
-    rows = t.lines().withColumn("operators", ops).filter((F.trim("text") != "") & ((F.col("operators") >= 1) | F.col("text").rlike(RELAXED)))
-    return _long(rows.drop("text"), "line", "operators")
-
-
-@query(f"{_WITH['rel']} SELECT DISTINCT l.doc_id, l.line FROM lines l JOIN rel ON rel.doc_id = l.doc_id AND l.line BETWEEN rel.line - 6 AND rel.line + 6")
-def context_window_6(t: Tables) -> DataFrame:
-    near = _relaxed(t).select("doc_id", F.explode(F.sequence(F.col("line") - 6, F.col("line") + 6)).alias("line")).distinct()
-    return _long(t.lines().select("doc_id", "line").join(near, ["doc_id", "line"], "left_semi"), "line")
-
-
 def _per_line(t: Tables) -> DataFrame:
     return t.lines().withColumn("has", F.size(F.regexp_extract_all("text", F.lit(LONE_LETTER), F.lit(1))) > 0)
 
 
-def _ahead(k: int):
-    return Window.partitionBy("doc_id").orderBy("line").rowsBetween(0, k)
-
-
-@query(f"{_WITH['tok']}, h AS (SELECT l.doc_id, l.line, EXISTS (SELECT 1 FROM tok WHERE tok.doc_id = l.doc_id AND tok.line = l.line) AS has FROM lines l) SELECT doc_id, line, bool_or(has) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS ahead FROM h")
-def lookahead_has_token(t: Tables) -> DataFrame:
-    return _long(_per_line(t).select("doc_id", "line", F.max("has").over(_ahead(2)).alias("ahead")), "line")
-
-
-@query(f"{_WITH['lines']} SELECT doc_id, line, md5(string_agg(text, ' ') OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN CURRENT ROW AND 6 FOLLOWING)) AS joined FROM lines")
-def lookahead_joined_text(t: Tables) -> DataFrame:
-    return _long(t.lines().select("doc_id", "line", F.md5(F.array_join(F.collect_list("text").over(_ahead(6)), " ").cast("binary")).alias("joined")), "line")
-
-
-@query(f"{_WITH['lines']} SELECT doc_id, line, bool_or(starts_with(text, 'The ')) OVER (PARTITION BY doc_id ORDER BY line) AS started FROM lines")
-def references_flag(t: Tables) -> DataFrame:
-    """Once a heading is seen, all later lines are flagged; the heading here is a line that begins with "The "."""
-    w = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    return _long(t.lines().select("doc_id", "line", F.max(F.startswith("text", F.lit("The "))).over(w).alias("started")), "line")
-
-
 # Events and the pool --------------------------------------------------------------------------
 
 
-@query(f"{_WITH['ev']} SELECT doc_id, seed FROM ev")
-def greedy_claim(t: Tables) -> DataFrame:
-    return _long(_events(t), "seed")
-
-
-@query(f"{_WITH['ev']} SELECT ev.doc_id, ev.seed, count(*) AS n_lines, sum(length(l.text))::BIGINT AS n_chars FROM ev JOIN lines l ON l.doc_id = ev.doc_id AND l.line BETWEEN ev.seed AND ev.seed + {REACH} GROUP BY 1, 2")
-def event_window_join(t: Tables) -> DataFrame:
-    window = _events(t).withColumn("line", F.explode(F.sequence("seed", F.col("seed") + REACH)))
-    return _long(t.lines().join(window, ["doc_id", "line"]).groupBy("doc_id", "seed").agg(F.count("*").alias("n_lines"), F.sum(F.char_length("text")).alias("n_chars")), "seed")
-
-
-@query(f"{_WITH['lev']} SELECT doc_id, seed, surface, count(*) AS n_tokens, min(line) AS first_line, max(level)::BIGINT AS level FROM lev GROUP BY 1, 2, 3")
-def event_symbol_group(t: Tables) -> DataFrame:
-    g = _event_tokens(t).groupBy("doc_id", "seed", "surface").agg(F.count("*").alias("n_tokens"), F.min("line").alias("first_line"), F.max("level").alias("level"))
-    return _long(g, "seed", "first_line", "level")
-
-
-@query(f"{_WITH['lev']} SELECT doc_id, surface, CASE WHEN max(level) >= 3 THEN 'confirmed' ELSE 'review' END AS status FROM lev WHERE level >= 2 GROUP BY 1, 2")
-def pool_status(t: Tables) -> DataFrame:
-    return _event_tokens(t).filter("level >= 2").groupBy("doc_id", "surface").agg(F.max("level").alias("level")).select("doc_id", "surface", X.pool_status("level").alias("status"))
-
-
-@query(f"{_WITH['lev']}, f AS (SELECT doc_id, surface, min(line * 100000 + pos) AS first FROM lev WHERE level >= 2 GROUP BY 1, 2) SELECT doc_id, surface, row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS ordinal FROM f")
-def pool_ordinal(t: Tables) -> DataFrame:
-    first = _event_tokens(t).filter("level >= 2").groupBy("doc_id", "surface").agg(F.min(F.struct("line", "pos")).alias("first"))
-    return _long(first.select("doc_id", "surface", (F.row_number().over(Window.partitionBy("doc_id").orderBy("first")) - 1).alias("ordinal")), "ordinal")
-
-
-@query(f"{_WITH['lev']}, p AS (SELECT DISTINCT doc_id, surface FROM lev WHERE level >= 2) SELECT tok.doc_id, tok.surface || '|roman' AS identity_key, tok.line, tok.pos FROM tok JOIN p ON p.doc_id = tok.doc_id AND p.surface = tok.surface")
-def occurrence_by_identity(t: Tables) -> DataFrame:
-    key = X.identity_key("surface", F.lit("roman")).alias("identity_key")
-    pool = _event_tokens(t).filter("level >= 2").select("doc_id", key).distinct()
-    return _long(t.tokens().select("doc_id", key, "line", "pos").join(pool, ["doc_id", "identity_key"]), "line", "pos")
-
-
-@query(f"{_WITH['tok']} SELECT doc_id, line, pos, surface, 1::BIGINT AS page FROM tok WHERE line // 10 = 1")
+@query(f"WITH {_LINES}, {_TOKENS} SELECT doc_id, line, pos, surface, 1::BIGINT AS page FROM tok WHERE line // 10 = 1")
 def occurrences_on_page(t: Tables) -> DataFrame:
     """Ten lines make a page."""
     rows = t.tokens().drop("text").withColumn("page", F.floor(F.col("line") / 10))
     return _long(library.occurrences_on_page(rows, 1), "line", "pos", "page")
 
 
-@query(f"{_WITH['rel']} SELECT tok.doc_id, tok.surface, count(DISTINCT rel.text) AS n_texts FROM tok JOIN rel ON rel.doc_id = tok.doc_id AND rel.line = tok.line GROUP BY 1, 2")
-def evidence_dedupe(t: Tables) -> DataFrame:
-    texts = t.tokens().filter(F.col("text").rlike(RELAXED)).groupBy("doc_id", "surface").agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("line", "pos", "text"))), lambda x: x["text"])).alias("texts"))
-    return texts.select("doc_id", "surface", F.size("texts").cast("long").alias("n_texts"))
-
-
-@query(f"{_WITH['rel']} SELECT doc_id, surface, md5(text) AS evidence FROM (SELECT tok.doc_id, surface, rel.text, row_number() OVER (PARTITION BY tok.doc_id, surface ORDER BY length(rel.text) > 200, rel.line, pos) AS k FROM tok JOIN rel ON rel.doc_id = tok.doc_id AND rel.line = tok.line) WHERE k = 1")
-def evidence_top1(t: Tables) -> DataFrame:
-    """The first short evidence of a symbol, else its first."""
-    rows = t.tokens().filter(F.col("text").rlike(RELAXED))
-    best = rows.groupBy("doc_id", "surface").agg(F.min_by("text", F.struct(F.char_length("text") > 200, "line", "pos")).alias("text"))
-    return best.select("doc_id", "surface", F.md5(F.col("text").cast("binary")).alias("evidence"))
-
-
 # Review ---------------------------------------------------------------------------------------
 
 
-@query(f"""{_WITH['rel']} SELECT 'unresolved_glyph_identity' AS kind, l.doc_id, l.line FROM lines l WHERE {_OPS.replace('text', 'l.text')} >= 1 AND l.doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)
-    UNION ALL SELECT 'definition_without_text_math_token', r.doc_id, r.line FROM rel r WHERE NOT EXISTS (SELECT 1 FROM tok WHERE tok.doc_id = r.doc_id AND tok.line = r.line)""")
-def review_queue_union(t: Tables) -> DataFrame:
-    low = t.table("labels").filter("quality = 0").select("doc_id").distinct()
-    formula = t.lines().filter(F.col("text").rlike(r"[=+*/<>|~^_-]")).join(low, "doc_id", "left_semi")
-    bare = _relaxed(t).join(t.tokens().select("doc_id", "line").distinct(), ["doc_id", "line"], "left_anti")
-    kind = lambda df, k: df.select(F.lit(k).alias("kind"), "doc_id", F.col("line").cast("long"))
-    return kind(formula, "unresolved_glyph_identity").union(kind(bare, "definition_without_text_math_token"))
-
-
 def _queue(t: Tables) -> DataFrame:
     low = t.table("labels").filter("quality = 0")
     return low.select(F.lit("all").alias("paper_id"), F.col("doc_id").cast("string").alias("review_id"), F.lit(review.IDENTITY).alias("kind"), "doc_id", "toxic")
@@ -331,7 +165,7 @@ def membership_invalid(t: Tables) -> DataFrame:
 @query("SELECT s_suppkey AS folder_id, s_name AS name FROM supplier UNION ALL SELECT min(c_custkey) + 1000000, min_by(trim(c_name), c_custkey) FROM customer GROUP BY lower(trim(c_name)) HAVING lower(trim(c_name)) NOT IN (SELECT lower(s_name) FROM supplier)")
 def folder_create_unique(t: Tables) -> DataFrame:
     wanted = t.table("customer").select((F.col("c_custkey") + 1000000).alias("folder_id"), F.col("c_name").alias("name"))
-    return library.create_folders(t.folders(), wanted)
+    return library.create_folders(t.folders(), library.free_names(t.folders(), wanted))
 
 
 @query("SELECT folder_id, count(*) AS papers FROM (SELECT DISTINCT l_suppkey AS folder_id, l_partkey AS paper_id FROM lineitem) WHERE paper_id NOT IN (SELECT p_partkey FROM part WHERE p_size <= 5) GROUP BY 1")
@@ -411,33 +245,6 @@ def clamps(t: Tables) -> DataFrame:
 # Geometry -------------------------------------------------------------------------------------
 
 
-@query("""WITH c AS (SELECT doc_id, line, unnest(range(len(s))) AS col, unnest(s) AS ch FROM (SELECT doc_id, unnest(range(len(l))) AS line, string_split(unnest(l), '') AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))
-    SELECT doc_id, col AS x, count(DISTINCT line) AS bands FROM c WHERE ch NOT IN ('', ' ') GROUP BY 1, 2""")
-def density_histogram(t: Tables) -> DataFrame:
-    """At how many heights each x holds a glyph, a character being one wide and a line one high."""
-    chars = t.lines().select("doc_id", "line", F.posexplode(F.split("text", "")).alias("x", "ch")).filter("ch <> '' and ch <> ' '")
-    # A line has one character at each x, so counting is exact without a distinct.
-    return _long(chars.groupBy("doc_id", "x").agg(F.count("*").alias("bands")), "x")
-
-
-@query(f"{_WITH['lines']} SELECT doc_id, median(length(text))::DOUBLE AS boundary FROM lines WHERE trim(text) <> '' GROUP BY 1")
-def document_median(t: Tables) -> DataFrame:
-    rows = t.lines().filter("trim(text) <> ''").select(F.col("doc_id").alias("paper_id"), F.char_length("text").cast("double").alias("boundary"))
-    return rows.groupBy("paper_id").agg(F.median("boundary").alias("boundary")).withColumnRenamed("paper_id", "doc_id")
-
-
-@query(f"{_WITH['tok']}, s AS (SELECT doc_id, line % 2 AS side, count(*) AS score FROM tok GROUP BY 1, 2) SELECT doc_id, max_by(side, score * 2 + side) AS side FROM s GROUP BY 1")
-def column_argmax(t: Tables) -> DataFrame:
-    """The side with more tokens; a tie goes to the right."""
-    scores = t.tokens().groupBy("doc_id", (F.col("line") % 2).alias("side")).agg(F.count("*").alias("score"))
-    return _long(scores.groupBy("doc_id").agg(F.max(F.struct("score", "side"))["side"].alias("side")), "side")
-
-
-@query("SELECT l_orderkey, min(l_extendedprice) AS x0, max(l_extendedprice + l_quantity) AS x1, count(*) AS glyphs FROM lineitem GROUP BY 1")
-def bbox_aggregate(t: Tables) -> DataFrame:
-    return t.table("lineitem").groupBy("l_orderkey").agg(F.min("l_extendedprice").alias("x0"), F.max(F.col("l_extendedprice") + F.col("l_quantity")).alias("x1"), F.count("*").alias("glyphs"))
-
-
 @query("SELECT a.l_orderkey, a.l_linenumber AS a, b.l_linenumber AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber WHERE greatest(a.l_discount, b.l_discount) < least(a.l_discount + 0.02, b.l_discount + 0.02) AND greatest(a.l_quantity, b.l_quantity) < least(a.l_quantity + 10, b.l_quantity + 10)")
 def spatial_overlap(t: Tables) -> DataFrame:
     """Overlapping boxes of a page; an order is a page, its items the boxes."""
@@ -447,32 +254,16 @@ def spatial_overlap(t: Tables) -> DataFrame:
     return pairs.select("l_orderkey", "a", "b")
 
 
-@query(f"{_WITH['rel']}, h AS (SELECT doc_id, line FROM lines WHERE starts_with(text, 'The ')) SELECT rel.doc_id, rel.line AS line, h.line AS heading FROM rel JOIN h ON h.doc_id = rel.doc_id AND abs(rel.line - h.line) <= 8")
-def distance_theta(t: Tables) -> DataFrame:
-    """Relaxed lines and headings at most eight lines apart, as an equality join on exploded line numbers."""
-    heads = t.lines().filter(F.startswith("text", F.lit("The "))).select("doc_id", F.col("line").alias("heading"), F.explode(F.sequence(F.col("line") - 8, F.col("line") + 8)).alias("line"))
-    return _long(_relaxed(t).select("doc_id", "line").join(heads, ["doc_id", "line"]), "line", "heading")
-
-
 # Evaluation -----------------------------------------------------------------------------------
 
 
-@query(f"""{_WITH['tok']}, g AS (SELECT item_id, unnest(list_distinct(list_filter(string_split_regex(text, '[^A-Za-zÀ-ÿ]+'), lambda x: length(x) = 1 AND regexp_full_match(x, '[A-Za-z]')))) AS surface FROM benchmark),
-    s AS (SELECT DISTINCT surface FROM tok) SELECT item_id, bool_and(s.surface IS NOT NULL) AS found, count(*) AS expected FROM g LEFT JOIN s ON s.surface = g.surface GROUP BY 1""")
-def gold_recall(t: Tables) -> DataFrame:
-    """Benchmark passages are gold: whether all their letters occur in the documents."""
-    gold = t.table("benchmark").select("item_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(LONE_LETTER), F.lit(1)))).alias("surface"))
-    seen = t.tokens().select("surface").distinct().withColumn("seen", F.lit(True))
-    return gold.join(seen, "surface", "left").groupBy("item_id").agg(F.bool_and(F.coalesce("seen", F.lit(False))).alias("found"), F.count("*").alias("expected"))
-
-
-@query(f"{_WITH['tok']}, h AS (SELECT l.doc_id, l.line, EXISTS (SELECT 1 FROM tok WHERE tok.doc_id = l.doc_id AND tok.line = l.line) AS has FROM lines l) SELECT doc_id, count_if(has)::BIGINT AS selected, count(*) AS total, round(count_if(has) / count(*), 2) AS share FROM h GROUP BY 1")
+@query(f"WITH {_LINES}, {_TOKENS}, h AS (SELECT l.doc_id, l.line, EXISTS (SELECT 1 FROM tok WHERE tok.doc_id = l.doc_id AND tok.line = l.line) AS has FROM lines l) SELECT doc_id, count_if(has)::BIGINT AS selected, count(*) AS total, round(count_if(has) / count(*), 2) AS share FROM h GROUP BY 1")
 def recall_audit(t: Tables) -> DataFrame:
     rows = evaluation.coverage(_per_line(t), ["doc_id"], "has")
     return rows.select("doc_id", "selected", "total", F.round(F.col("selected") / F.col("total"), 2).alias("share"))
 
 
-@query(f"{_WITH['rel']}, p AS (SELECT doc_id, list_distinct(list(surface)) AS own FROM tok GROUP BY 1) SELECT doc_id, array_to_string(list_sort(list_filter(['a', 'n', 'm', 'y'], lambda x: NOT list_contains(own, x))), ',') AS missing, array_to_string(list_sort(list_filter(['e', 't', 'i'], lambda x: list_contains(own, x))), ',') AS forbidden FROM p")
+@query(f"WITH {_LINES}, {_TOKENS}, p AS (SELECT doc_id, list_distinct(list(surface)) AS own FROM tok GROUP BY 1) SELECT doc_id, array_to_string(list_sort(list_filter(['a', 'n', 'm', 'y'], lambda x: NOT list_contains(own, x))), ',') AS missing, array_to_string(list_sort(list_filter(['e', 't', 'i'], lambda x: list_contains(own, x))), ',') AS forbidden FROM p")
 def pool_regression(t: Tables) -> DataFrame:
     pool = t.tokens().select(F.col("doc_id").alias("paper_id"), "surface")
     out = evaluation.required_and_forbidden(pool, ["a", "n", "m", "y"], ["e", "t", "i"])
@@ -487,8 +278,3 @@ def glyph_lines(t: Tables) -> DataFrame:
     return _long(papers.lines.select("paper_id", "line", "text"), "line")
 
 
-@query(None)
-def glyph_symbol_pool(t: Tables) -> DataFrame:
-    """The whole plan from glyphs to the pool over the benchmark texts; tests hold it to fixtures."""
-    pool = plan.Papers(*t.benchmark_glyphs()).pool
-    return pool.select("paper_id", "id", "surface", "style", "status", "evidence_level", "occurrences", "meaning")

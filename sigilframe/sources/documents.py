@@ -69,6 +69,14 @@ def image_runs(images: DataFrame, shift: float = 16.0, gap: float = 18.0) -> Dat
     return out.filter("images >= 2")
 
 
+def visual_regions(images: DataFrame) -> DataFrame:
+    """Large images and runs of small masks on one baseline, in one table of regions."""
+    large = image_regions(images).filter("kind = 'large_image'").select("paper_id", "page", "region_id", "bbox", "kind")
+    small = images.filter(X.kept_image("width", "height") & (F.col("width") < 100) & (F.col("height") < 100))
+    runs = image_runs(small).select("paper_id", "page", F.concat(F.lit("run:"), F.col("run").cast("string")).alias("region_id"), F.transform("bbox", lambda c: F.bround(c, 3)).alias("bbox"), F.lit("compact_run").alias("kind"))
+    return large.unionByName(runs)
+
+
 # Character maps ------------------------------------------------------------------------------
 
 

@@ -43,7 +43,10 @@ def test_remove_is_all_or_nothing(spark, membership):
 
 def test_folders(spark, folders, membership):
     wanted = table(spark, [("n1", " READ "), ("n2", "New"), ("n3", "new"), ("n4", ""), ("n5", "x" * 81)], S.FOLDER)
-    assert got(library.create_folders(folders, wanted)) == [("f", "Read"), ("g", "Later"), ("n2", "New")]
+    assert got(library.create_folders(folders, library.free_names(folders, wanted))) == [("f", "Read"), ("g", "Later"), ("n2", "New")]
+    for bad in ([("n1", " READ ")], [("n2", "New"), ("n3", "new")], [("n4", "")], [("n5", "x" * 81)], [("n6", None)]):
+        with pytest.raises(library.Rejected):
+            library.create_folders(folders, table(spark, bad, S.FOLDER))
     left, members = library.delete_folder(folders, membership, "f")
     assert got(left) == [("g", "Later")] and got(members) == [("g", "a")]
     assert got(library.set_paper_folders(membership, folders, "a", table(spark, [("g",)], "folder_id string"))) == [("f", "b"), ("g", "a")]
@@ -261,3 +264,91 @@ def test_audits(spark):
     assert [r.fontname for r in evaluation.font_frequency(glyphs).collect()] == ["F", "G"]
     areas = table(spark, [("b", "P", 1, [0.0, 0.0, 5.0, 15.0])], "box_id string, paper_id string, page int, area array<double>")
     assert got(evaluation.in_boxes(bands, areas), "line") == [(0,)]
+
+
+def test_confirm_is_one_command(spark, review_tables):
+    queue, lines, events, symbols = review_tables
+    occurrences = table(spark, [("P", 1, "p1:char0", "p1:line0", "x", "native")], "paper_id string, page int, token_id string, line_id string, surface string, status string")
+    said = table(spark, [("P", "p1:char3:identity", " x "), ("P", "p1:char9:identity", "q")], "paper_id string, review_id string, surface string")
+    done = review.confirm(queue, lines, events, symbols, occurrences, said)
+    assert got(done.queue, "review_id") == [("x",)]
+    assert got(done.events, "definition_id") == [("p1:definition0",), ("p1:visual-definition:p1:char9",)]
+    assert got(done.symbols, "surface", "status", "evidence_level") == [("q", "review", 2), ("x", "confirmed", 3)]
+    assert got(done.occurrences, "token_id", "status", "definition_id") == [("p1:char0", "native", None), ("p1:char3", "visual_confirmed", "p1:definition0"), ("p1:char9", "visual_confirmed", "p1:visual-definition:p1:char9")]
+    assert got(done.resolutions) == [("P", "p1:char3:identity", "x", False), ("P", "p1:char9:identity", "q", False)]
+    assert got(done.totals) == [("P", 1, 1)]
+    for bad in ([("P", "p1:char3:identity", "x"), ("P", "p1:char3:identity", "y")], [("P", "p1:char3:identity", "a b")], [("P", "gone", "x")]):
+        with pytest.raises(library.Rejected):
+            review.confirm(queue, lines, events, symbols, occurrences, table(spark, bad, "paper_id string, review_id string, surface string"))
+
+
+def test_versions_of_a_stored_table(spark, tmp_path):
+    """A table can be published over the version it is read from; versions without their mark are not seen."""
+    path, schema = f"file://{tmp_path}/t", "paper_id string"
+    assert library.read_store(spark, path, schema).count() == 0
+    assert library.publish(ids(spark, "a"), path) == 1
+    for k in range(3):
+        library.publish(library.read_store(spark, path, schema).unionByName(ids(spark, f"b{k}")), path)
+    assert got(library.read_store(spark, path, schema)) == [("a",), ("b0",), ("b1",), ("b2",)]
+    assert sorted(p.name for p in (tmp_path / "t").iterdir() if p.is_dir()) == ["version=3", "version=4"]
+    (tmp_path / "t" / "version=9").mkdir()
+    assert library.read_store(spark, path, schema).count() == 4 and library.publish(ids(spark, "z"), path) == 5
+
+
+def test_import_is_all_or_nothing(spark, tmp_path):
+    root = f"file://{tmp_path}/lib"
+    files = table(spark, [("a", b"%PDF-1", 2, 2), ("b", b"junk!", 2, 2), ("../c", b"%PDF-1", 1, 1), ("d", b"%PDF-1", 2, 3)], "paper_id string, content binary, pages int, pages_check int")
+    parse = lambda good: good.select("paper_id", F.lit("T").alias("title"))
+    new, turned_away = library.import_papers(files, parse, root)
+    assert got(new) == [("a",)] and got(turned_away) == [("../c", "unsafe"), ("b", "not a PDF"), ("d", "page counts differ")]
+    again = table(spark, [("a", b"%PDF-1", 2, 2), ("e", b"%PDF-1", 1, 1)], "paper_id string, content binary, pages int, pages_check int")
+    library.import_papers(again, lambda good: good.select("paper_id", F.lit("U").alias("title")), root)
+    schema = "paper_id string, title string"
+    assert got(library.read_store(spark, f"{root}/papers", schema)) == [("a", "U"), ("e", "U")]
+
+    def broken(good):
+        raise ValueError("no parser")
+
+    twice = lambda good: parse(good).union(parse(good))
+    for bad in (broken, twice):
+        with pytest.raises(ValueError):
+            library.import_papers(again, bad, root)
+    assert got(library.read_store(spark, f"{root}/papers", schema)) == [("a", "U"), ("e", "U")]
+    assert not list((tmp_path / "lib").glob("_staged-*"))
+
+
+def test_import_queue_settles(spark):
+    pending = table(spark, [("p1", "parsing", None), ("p2", "parsing", None), ("p4", "waiting", None)], "paper_id string, state string, error string")
+    members = table(spark, [("f", "p1"), ("f", "p2"), ("f", "p3"), ("f", "old"), ("g", "r3")], S.MEMBERSHIP)
+    outcomes = table(spark, [("p1", "r1", None), ("p2", None, "not a PDF"), ("p3", "r3", None)], "paper_id string, real_id string, error string")
+    left, out = library.settle_imports(pending, outcomes, members)
+    assert got(left, "paper_id", "state", "error") == [("p2", "failed", "not a PDF"), ("p4", "waiting", None)]
+    assert got(out) == [("f", "old"), ("f", "p2"), ("f", "r1")]
+
+
+def test_meanings_mark_their_paper(spark):
+    papers = table(spark, [("P", "T"), ("Q", "U")], "paper_id string, title string")
+    symbols = table(spark, [("P", "s", "old", "local"), ("Q", "s", "old", "local")], "paper_id string, id string, meaning string, meaning_source string")
+    log = table(spark, [(0, "s", "new"), (1, "zz", "x")], "ordinal int, id string, meaning string")
+    marked, out = library.update_paper_meanings(papers, symbols, "P", log, "qwen")
+    assert got(marked, "paper_id", "llm_used") == [("P", True), ("Q", False)]
+    assert got(out, "paper_id", "meaning", "meaning_source") == [("P", "new", "qwen"), ("Q", "old", "local")]
+    again, _ = library.update_paper_meanings(marked, out, "Q", log.filter("id = 'zz'"))
+    assert got(again, "paper_id", "llm_used") == [("P", True), ("Q", True)]
+
+
+def test_regions_and_paths(spark):
+    images = table(spark, [("P", 1, 0, 0.0, 0.0, 200.0, 150.0, 200.0, 150.0)] + [("P", 1, k, 20.0 * k, 300.0, 20.0 * k + 8, 308.0, 8.0, 8.0) for k in (1, 2, 3)] + [("P", 1, 9, 500.0, 300.0, 508.0, 308.0, 8.0, 8.0)], S.IMAGE)
+    assert got(documents.visual_regions(images), "kind", "bbox") == [("compact_run", [20.0, 300.0, 68.0, 308.0]), ("large_image", [0.0, 0.0, 200.0, 150.0])]
+    paths = ids(spark, "a-1", "../b", None).select(X.stored_paths("paper_id", "/lib/").alias("p")).collect()
+    assert [r.p and tuple(r.p) for r in paths] == [("/lib/a-1.pdf", "/lib/a-1.json"), None, None]
+
+
+def test_overlaps_are_found_across_bands(spark):
+    rng = __import__("random").Random(5)
+    box = lambda w, h: (lambda x, y: [x, y, x + w, y + h])(rng.uniform(0, 90), rng.uniform(0, 200))
+    areas = [(k, "P", 1, box(30, rng.choice([4, 40, 90]))) for k in range(25)]
+    glyphs = [("P", 1, f"p1:line{k}", "x", "x", box(5, 10)) for k in range(120)]
+    out = evaluation.in_boxes(table(spark, glyphs, "paper_id string, page int, line_id string, surface string, surface_normalized string, bbox array<double>"), table(spark, areas, "box_id int, paper_id string, page int, area array<double>"))
+    hit = lambda a, b: max(a[0], b[0]) < min(a[2], b[2]) and max(a[1], b[1]) < min(a[3], b[3])
+    assert got(out, "box_id", "line_id") == sorted([(k, g[2]) for k, _, _, a in areas for g in glyphs if hit(a, g[5])], key=str)

@@ -28,7 +28,7 @@ def test_no_nested_loops(spark, name):
     ("size_label", {"doc_id", "n_chars"}),
     ("library_search", {"p_partkey", "p_name", "p_brand", "p_type"}),
     ("folder_arrays", {"l_suppkey", "l_partkey"}),
-    ("bbox_aggregate", {"l_orderkey", "l_extendedprice", "l_quantity"}),
+    ("spatial_overlap", {"l_orderkey", "l_linenumber", "l_discount", "l_quantity"}),
 ])
 def test_only_needed_columns_are_read(spark, name, columns):
     schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan_of(QUERIES[name](spark, SF)))
@@ -38,12 +38,23 @@ def test_only_needed_columns_are_read(spark, name, columns):
 
 def test_filters_reach_the_scan(spark):
     assert "EqualTo(l_suppkey,1)" in plan_of(QUERIES["folder_semi"](spark, SF))
-    assert "EqualTo(quality,0)" in plan_of(QUERIES["review_queue_union"](spark, SF))
+    assert "EqualTo(quality,0)" in plan_of(QUERIES["review_dismiss"](spark, SF))
     assert "LessThanOrEqual(p_size,5)" in plan_of(QUERIES["paper_delete_cascade"](spark, SF))
 
 
 def test_aggregates_combine_before_the_shuffle(spark):
-    assert "partial_count" in plan_of(QUERIES["density_histogram"](spark, SF))
+    assert "partial_count" in plan_of(QUERIES["paper_delete_cascade"](spark, SF))
+
+
+def test_written_pages_are_read_by_column(spark):
+    """Every table of the papers reads what it needs of the written pages, and no plan parses them again."""
+    text = plan_of(QUERIES["page_lines"](spark, SF))
+    assert "FlatMapGroupsInPandas" not in text and "candidates" not in text and "Scan parquet" in text
+
+
+def test_the_first_glyphs_are_cut_before_the_shuffle(spark):
+    tree = plan_of(QUERIES["glyph_inventory"](spark, SF))
+    assert "WindowGroupLimit" in tree
 
 
 def test_pages_are_shuffled_once_for_each_pass(spark):

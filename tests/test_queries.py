@@ -37,5 +37,30 @@ def test_flagship_has_rows(spark):
     assert entry(spark).count() > 0
 
 
-def test_glyph_pool_runs(spark):
-    assert QUERIES["glyph_symbol_pool"](spark, str(SF)).columns[0] == "paper_id"
+def test_manuscripts_reach_every_step():
+    """The oracle's own rows: no step of the engine is held to an empty table."""
+    import sigilframe.paper_queries as steps
+    from sigilframe.registry import ORACLE_SQL as sql
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{SF}/supplier.parquet'")
+    names = [n for n in sql if hasattr(steps, n)]
+    assert len(names) >= 20 and all(con.execute(f"SELECT count(*) FROM ({sql[n]})").fetchone()[0] for n in names)
+
+
+def test_entry_without_the_optional_part(tmp_path):
+    """Without its folders, or with an empty one left behind, the other queries are there."""
+    import shutil
+    import subprocess
+    import sys
+
+    from .conftest import ROOT
+
+    copy = tmp_path / "copy"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "corpus_pipeline.py"))
+    for leave in (False, True):
+        if leave:
+            (copy / "sigilframe" / "llm").mkdir()
+            (copy / "corpus_pipeline.py").write_text("from sigilframe.llm import quality\n")
+        out = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=copy, capture_output=True, text=True)
+        assert out.stdout.split() == [str(len(QUERIES)), str(len(ORACLE_SQL))], out.stderr

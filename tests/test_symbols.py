@@ -139,13 +139,34 @@ def test_levels_and_trigger():
     ("g", "g is the ℓ1 term where h holds", "the ℓ1 term norm"),
     ("q", "nothing here", gloss.NO_GLOSS),
 ])
-def test_gloss(surface, text, expected):
-    assert gloss.meaning(surface, text) == expected
+def test_gloss(spark, surface, text, expected):
+    assert glossed(spark, (surface, text))[0].meaning == expected
 
 
-def test_gloss_is_short():
-    assert len(gloss.meaning("x", "x is " + "very " * 30 + "long")) <= gloss.MAX_GLOSS
-    assert gloss.excerpt("x", "a" * 900) == "a" * 700
+def glossed(spark, *pairs):
+    return spark.createDataFrame(pairs, "s string, t string").select(gloss.gloss("s", "t").alias("g")).select("g.*").collect()
+
+
+def test_gloss_is_short(spark):
+    long, cut = glossed(spark, ("x", "x is " + "very " * 30 + "long"), ("x", "a" * 900))
+    assert len(long.meaning) <= gloss.MAX_GLOSS and long.meaning.endswith("…")
+    assert cut.definition == "a" * 700 and cut.summary == "a" * 37 + "…"
+
+
+def test_gloss_of_odd_texts(spark):
+    """Signs of the pattern language in a symbol, Chinese, clauses, remains of equations, and nothing at all."""
+    rows = [
+        ("s(x)", "Here s(x) denotes the density", "the density", "the density"), ("\\E+", "\\E+ is the sum", "the sum", "the sum"),
+        ("d", "the d - dimensional real space", "real space", "real space"), ("X", "其中X表示混合矩阵，", "混合矩阵", "混合矩阵"),
+        ("b", "b is the rate and c is the time", "the rate", "the rate"), ("b", "b is defined by the rule", gloss.NO_GLOSS, "b is defined by the rule"),
+        ("b", "b →  c", gloss.NO_GLOSS, gloss.NO_GLOSS), ("b", " ,; ", gloss.NO_GLOSS, gloss.NO_GLOSS), ("b", "", gloss.NO_GLOSS, gloss.NO_GLOSS),
+    ]
+    out = glossed(spark, *[r[:2] for r in rows])
+    assert [(r.meaning, r.summary) for r in out] == [r[2:] for r in rows]
+    assert out[4].definition == "b: the rate" and out[5].definition == "b is defined by the rule"
+    around = glossed(spark, ("q", "word " * 60 + "q" + " tail" * 200))[0].definition
+    assert around.startswith(("word ", "ord ", "rd ", "d ")) and around.index("q") <= 160 and len(around) <= 160 + 1 + 540
+    assert glossed(spark, (None, "x"), ("x", None)) == [(None, None, None)] * 2
 
 
 def test_characters():
@@ -154,6 +175,8 @@ def test_characters():
     assert C.normal_form("𝑥ﬁ²µ") == "xfi2μ"
     assert [C.glyph_name_char(n) for n in ("alpha", "A123", "lambda", "unknown", None)] == ["α", "A", "λ", None, None]
     assert [C.glyph_name_char(n) for n in ("Gamma", "GAMMA", "Delta", "theta1", "summation", "bar", "/uni03B1", "backslash")] == ["Γ", "γ", "∆", "ϑ", "∑", "|", "α", "\\"]
+    assert [C.glyph_name_char(n) for n in ("Aacute", "germandbls", "fi", "ff", "dotlessi", "quotesingle", "Scaron", "ohungarumlaut", "Lslash", "afii10017", "alphatonos")] == ["Á", "ß", "ﬁ", "ﬀ", "ı", "'", "Š", "ő", "Ł", "А", "ά"]
+    assert [C.glyph_name_char(n) for n in ("f_i", "a.sc", "uni00410042", "u1D400", "uniD800", "g23", "a_?x")] == ["fi", "a", "AB", "𝐀", None, "g", None]
     assert C.font_style("ABCDEF+CMR9") == "roman" and C.font_style("MSBM10") == "blackboard" and C.font_style("Foo") == "font:Foo"
 
 
