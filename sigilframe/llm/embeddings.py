@@ -3,9 +3,11 @@
 Method.  Spherical k-means on a bounded sample gives codebooks; a vector's cell is the number of its
 nearest centroid.  Vectors that share a cell meet in blocked double-precision cosine products, and
 pairs at or above the threshold are links.  A pair near a border can fall into two cells, so
-``tables`` independent codebooks each assign every vector: with n cells a pair at cosine s shares one
-with probability near n ** -((1-s)/(1+s)), 0.75 for 226 cells at 0.9, so twelve tables miss such a
-pair about once in ten million.  A pair counts in the first table where it meets.
+``tables`` independent codebooks each assign every vector.  With n cells a pair at cosine s shares one with
+probability near n ** -(SLOPE * (1-s)/(1+s)), as measured at 0.9 with one, two and three codebooks a cell:
+0.37 for 226 cells.  There are as many tables as it takes to miss a pair that only just reaches the
+threshold once in 1 / ``MISS``, twelve at least, so their number grows with the input; nearer pairs are
+missed far less.  A pair counts in the first table where it meets.
 
 That holds where no centroid falls inside a group of neighbours.  Groups dense enough to draw several
 centroids would be cut apart in every table, so they have an exact way of their own: balls of the
@@ -13,22 +15,24 @@ threshold's angle around dense places of the sample.  A vector inside a ball (it
 leaves the tables and meets every vector within twice the angle of the ball's centre, which by the
 triangle inequality are all it can link with.  A pair counts in the lower of its two homes.
 
-Scale.  Equal vectors are one node with a weight, so copies never multiply.  Cells are kept near
-``cell_rows`` members: a codebook has at most ``MAX_CENTROIDS``, and larger inputs take the pair (or
-triple, ...) of two (three, ...) codebooks' numbers as the cell.  Crowded cells are cut in blocks of
-``BLOCK_ROWS`` that meet two by two.  Blocks emit sums and a spanning forest, never pairs.  A ball's
-own vectors are compared with each other and its border in full, so the work on a dense group of
-distinct vectors grows with the square of its size.  The only things on the driver are the sample, the
-codebooks and the balls' centres, all bounded.
+Scale.  Equal vectors (by 128 hash bits) are one numbered node with a weight, so copies never multiply.
+Cells are kept near ``cell_rows`` members: a codebook has at most ``max_centroids``, and larger inputs take
+the pair (or triple, ...) of two (three, ...) codebooks' numbers as the cell.  Vectors travel in the type
+they come in.  Crowded cells are cut in blocks of ``BLOCK_ROWS`` that meet two by two.  Blocks emit sums and
+a spanning forest, never pairs.  A ball's own vectors are compared with each other and its border in full,
+so the work on a dense group of distinct vectors grows with the square of its size.  The only things on the
+driver are the sample, the codebooks and the balls' centres, all bounded.
 
 Defined results.  Vectors that are null, empty, zero or hold null or non-finite components, and null
-ids, link with nothing.  Shorter vectors are filled with zeros.  Rows that repeat a vector link with
-each other, whatever their ids.  An empty table gives an empty table.  Columns other than ``vec_id``
-and ``embedding`` are not read.
+ids, link with nothing.  Shorter vectors count as filled with zeros.  Rows that repeat a vector link with
+each other, whatever their ids.  Matrices are as wide as all but one in a thousand vectors; what a longer
+one has beyond that is kept beside them and meets only others of its kind, so one very wide row widens no
+other.  An empty table gives an empty table.  Columns other than ``vec_id`` and ``embedding`` are not read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,24 +45,39 @@ from .stores import keep
 SIMILARITY = 0.9
 TABLES, MAX_CENTROIDS, CELL_ROWS, SAMPLE_ROWS, ROUNDS, SEED = 12, 1024, 256, 8192, 5, 5
 BLOCK_ROWS = 2048
+MISS, SLOPE, TIE = 1e-3, 3.5, 1e-13
 BALLS = -1  # in place of a table's number
 ROW = ["table", "cell", "node", "weight", "vec", "cells", "home"]
 
 
-def matrix(vectors: pa.Array, width: int) -> np.ndarray:
-    """The lists of an Arrow column as rows of doubles, filled with zeros up to ``width``."""
+def rows_of(vectors: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, dict[int, np.ndarray]]:
+    """The lists of an Arrow column as rows of doubles, filled or cut to ``width``, their whole norms, and what was cut off by row.
+
+    Rows are scaled by powers of two, which changes no cosine, so that squares neither overflow nor vanish.
+    """
     flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     n = np.diff(vectors.offsets.to_numpy())
+    first, norm = np.cumsum(n) - n, np.zeros(len(n))
+    if len(n):
+        flat = np.ldexp(flat, np.repeat(-np.frexp(np.maximum.reduceat(np.abs(flat), first))[1], n))
+        norm = np.sqrt(np.add.reduceat(flat * flat, first))
     if (n == width).all():
-        return flat.reshape(len(n), width)
-    out = np.zeros((len(n), width))
-    out[np.repeat(np.arange(len(n)), n), np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)] = flat
-    return out
+        return flat.reshape(len(n), width), norm, {}
+    out, place = np.zeros((len(n), width)), np.arange(len(flat)) - np.repeat(first, n)
+    inside = place < width
+    out[np.repeat(np.arange(len(n)), n)[inside], place[inside]] = flat[inside]
+    return out, norm, {k: flat[first[k] + width : first[k] + n[k]] for k in np.flatnonzero(n > width).tolist()}
+
+
+def unit_rows(vectors: pa.Array, width: int) -> np.ndarray:
+    x, norm, _ = rows_of(vectors, width)
+    return x / norm[:, None]
 
 
-def unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(1, keepdims=True)  # so that squares neither overflow nor vanish
-    return x / np.linalg.norm(x, axis=1, keepdims=True)
+def tables_for(cells: int, similarity: float, miss: float = MISS) -> int:
+    """How many tables of so many cells miss a pair at the similarity with probability ``miss``."""
+    share = min(max(cells, 2) ** -(SLOPE * (1 - similarity) / (1 + similarity)), 1 - 1e-9)
+    return max(TABLES, math.ceil(math.log(miss) / math.log(1 - share)))
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int, rng) -> np.ndarray:
@@ -91,15 +110,17 @@ def dense_balls(x: np.ndarray, least: int, similarity: float) -> np.ndarray:
         count -= hit[gone].sum(0)
 
 
-def fit(nodes: DataFrame, width: int, tables: int, cell_rows: int, sample_rows: int, seed: int, similarity: float):
+def fit(nodes: DataFrame, width: int, tables: int | None, cell_rows: int, sample_rows: int, seed: int, similarity: float, max_centroids: int):
     """Broadcast (codebooks, tables x depth x (centroids, width), and centres of dense balls); None below two rows."""
     n = nodes.count()
-    salt = F.xxhash64("node", F.lit(seed))
-    share = nodes if n <= 2 * sample_rows else nodes.filter(F.pmod(salt, F.lit(1 << 30)) < int((1 << 30) * 1.3 * sample_rows / n))
-    sample = share.orderBy(salt).limit(sample_rows).select("vec").toArrow()["vec"].combine_chunks()
+    # The least keys of all; what the filter leaves out cannot be among them, as keys spread evenly.
+    salt = F.xxhash64("h1", "h2", F.lit(seed))
+    key = F.pmod(salt, F.lit(1 << 30))
+    likely = nodes.filter(key <= int((1 << 30) * min(1.0, 1.3 * (sample_rows + 1000) / max(n, 1))))
+    sample = likely.orderBy(key, salt).limit(sample_rows).select("vec").toArrow()["vec"].combine_chunks()
     if len(sample) < 2:
         return None
-    x = unit(matrix(sample, width))
+    x = unit_rows(sample, width)
     # A quarter of a cell, as the sample shows it.
     balls = dense_balls(x, max(4, -(-cell_rows * len(x) // (4 * n))), similarity)
     if len(balls):
@@ -107,12 +128,12 @@ def fit(nodes: DataFrame, width: int, tables: int, cell_rows: int, sample_rows:
         n = n * len(sparse) // len(x)
         x = sparse if len(sparse) > 1 else x
     depth, k = 1, max(1, n // cell_rows)
-    while k > MAX_CENTROIDS:
+    while k > max_centroids:
         depth += 1
         k = int(np.ceil((n / cell_rows) ** (1 / depth)))
     k = min(k, len(x))
     rng = np.random.default_rng(seed)
-    books = [[spherical_kmeans(x[rng.permutation(len(x))[: max(k, len(x) // 2)]], k, ROUNDS, rng) for _ in range(depth)] for _ in range(tables)]
+    books = [[spherical_kmeans(x[rng.permutation(len(x))[: max(k, len(x) // 2)]], k, ROUNDS, rng) for _ in range(depth)] for _ in range(tables or tables_for(k**depth, similarity))]
     return nodes.sparkSession.sparkContext.broadcast((np.array(books), balls))
 
 
@@ -124,7 +145,7 @@ def _assigner(shared, width: int, similarity: float):
             if not batch.num_rows:
                 continue
             books, centres = shared.value
-            x = unit(matrix(batch["vec"], width))
+            x = unit_rows(batch["vec"], width)
             cells = np.zeros((len(x), len(books)), np.int64)
             for t, levels in enumerate(books):
                 for book in levels:
@@ -134,9 +155,9 @@ def _assigner(shared, width: int, similarity: float):
                 cos = x @ centres.T
                 home = np.where(cos.max(1) >= similarity, cos.argmax(1), -1)
                 row, ball = np.nonzero(cos >= border)
-            near = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(x) + 1)), pa.int32()), pa.array(ball, pa.int64()))
-            batch = batch.append_column("cells", pa.FixedSizeListArray.from_arrays(pa.array(cells.reshape(-1)), cells.shape[1]).cast(pa.list_(pa.int64())))
-            yield batch.append_column("home", pa.array(home, pa.int64())).append_column("near", near)
+            near = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(x) + 1)), pa.int32()), pa.array(ball, pa.int32()))
+            batch = batch.append_column("cells", pa.FixedSizeListArray.from_arrays(pa.array(cells.reshape(-1), pa.int32()), cells.shape[1]).cast(pa.list_(pa.int32())))
+            yield batch.append_column("home", pa.array(home, pa.int32())).append_column("near", near)
 
     return assign
 
@@ -144,9 +165,10 @@ def _assigner(shared, width: int, similarity: float):
 class _Block:
     def __init__(self, batch: pa.RecordBatch, width: int):
         self.node, self.weight = batch["node"].to_numpy(), batch["weight"].to_numpy()
-        self.x = unit(matrix(batch["vec"], width))
+        self.raw, self.norm, self.tails = rows_of(batch["vec"], width)
+        self.x = self.raw / self.norm[:, None]
         self.cells = batch["cells"].flatten().to_numpy().reshape(len(self.node), -1)
-        home = batch["home"].to_numpy()
+        home = batch["home"].to_numpy().astype(np.int64)
         self.home = np.where(home < 0, np.iinfo(np.int64).max, home)
 
 
@@ -171,7 +193,17 @@ def _comparer(width: int, similarity: float):
     """Rows sorted by (table, cell, left block, right block, side) -> (node, links) sums and (node, other) edges."""
 
     def meet(left: _Block, right: _Block, table: int, cell: int, same: bool) -> np.ndarray:
-        hit = left.x @ right.x.T >= similarity
+        cos = left.x @ right.x.T
+        for i, u in left.tails.items():
+            for j, v in right.tails.items():
+                cos[i, j] += u[: len(v)] @ v[: len(u)] / (left.norm[i] * right.norm[j])
+        hit = cos >= similarity - TIE
+        i, j = np.nonzero(hit & (cos < similarity + TIE))
+        for i, j in zip(i.tolist(), j.tolist()):  # as close as rounding: once more, with one division
+            dot = left.raw[i] @ right.raw[j]
+            if i in left.tails and j in right.tails:
+                dot += left.tails[i][: len(right.tails[j])] @ right.tails[j][: len(left.tails[i])]
+            hit[i, j] = dot / (left.norm[i] * right.norm[j]) >= similarity
         hit &= left.node[:, None] != right.node
         if same:
             hit = np.triu(hit, 1)
@@ -219,19 +251,24 @@ def _comparer(width: int, similarity: float):
     return compare
 
 
-def near_duplicates(rows: DataFrame, similarity: float = SIMILARITY, tables: int = TABLES, cell_rows: int = CELL_ROWS, sample_rows: int = SAMPLE_ROWS, seed: int = SEED) -> DataFrame:
+def near_duplicates(rows: DataFrame, similarity: float = SIMILARITY, tables: int | None = None, cell_rows: int = CELL_ROWS, sample_rows: int = SAMPLE_ROWS, seed: int = SEED, max_centroids: int = MAX_CENTROIDS) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row of ``rows``."""
     finite = F.expr("coalesce(size(embedding) > 0 and forall(embedding, x -> coalesce(not isnan(x) and abs(x) < double('Infinity'), false)) and exists(embedding, x -> x <> 0), false)")
-    vectors = rows.select("vec_id", F.when(finite & F.col("vec_id").isNotNull(), F.col("embedding").cast("array<double>")).alias("vec"))
-    vectors = vectors.withColumn("node", F.when(F.col("vec").isNotNull(), F.xxhash64("vec")))
-    nodes = keep(vectors.filter("node is not null").groupBy("node").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"), F.first("vec").alias("vec")), "vectors")
-    width = nodes.agg(F.max(F.size("vec"))).first()[0] or 1
-    shared = fit(nodes, width, tables, cell_rows, sample_rows, seed, similarity)
+    kind = rows.schema["embedding"].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"
+    vectors = rows.select("vec_id", F.when(finite & F.col("vec_id").isNotNull(), F.col("embedding").cast(kind)).alias("vec"))
+    named = lambda c, *salt: F.when(F.col("vec").isNotNull(), F.xxhash64("vec", *salt)).alias(c)
+    vectors = vectors.select("vec_id", "vec", named("h1"), named("h2", F.lit(77)))
+    # Each distinct vector is a node; its number is given as the table is written.
+    nodes = vectors.filter("vec is not null").groupBy("h1", "h2").agg(F.count("*").alias("weight"), F.min("vec_id").alias("least"), F.first("vec").alias("vec"))
+    nodes = keep(nodes.withColumn("node", F.monotonically_increasing_id()), "vectors")
+    width = nodes.agg(F.percentile_approx(F.size("vec"), 0.999)).first()[0] or 1
+    shared = fit(nodes, width, tables, cell_rows, sample_rows, seed, similarity, max_centroids)
     own = F.greatest("weight", F.lit(1)) - 1
     if shared is None:
-        out = vectors.select("vec_id", "node").join(nodes.select("node", own.alias("n_links"), F.col("least").alias("component_id")), "node", "left")
+        found = nodes.select("h1", "h2", own.alias("n_links"), F.col("least").alias("component_id"))
     else:
-        placed = nodes.select("node", "weight", "vec").mapInArrow(_assigner(shared, width, similarity), "node long, weight long, vec array<double>, cells array<long>, home long, near array<long>")
+        placed = nodes.select("node", "weight", "vec").mapInArrow(_assigner(shared, width, similarity), f"node long, weight long, vec {kind}, cells array<int>, home int, near array<int>")
         placed = keep(placed, "cells")
         sparse = placed.filter("home < 0")
         crowded = sparse.select(F.posexplode("cells").alias("table", "cell")).groupBy("table", "cell").count().filter(f"count > {BLOCK_ROWS}").select("table", "cell", F.expr(f"cast(ceil(count / {BLOCK_ROWS}) as int)").alias("blocks"))
@@ -244,13 +281,15 @@ def near_duplicates(rows: DataFrame, similarity: float = SIMILARITY, tables: int
         balled = balled.withColumn("other", F.explode(F.expr("sequence(0, if(core, cores + borders, cores) - 1)")))
         spread = spread.select(*ROW, "block", "other").unionByName(balled.select(*ROW, "block", "other"))
         spread = spread.select(*ROW, F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), F.expr("cast(block > other as int)").alias("side"))
-        found = spread.repartition("table", "cell", "bi", "bj").sortWithinPartitions("table", "cell", "bi", "bj", "side").mapInArrow(_comparer(width, similarity), "node long, n long, other long")
-        found = keep(found, "found")
-        sums = found.groupBy("node").agg(F.sum("n").alias("n"))
-        comp = components(found.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
-        named = nodes.select("node", "weight", "least").join(sums, "node", "left").join(comp.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        named = keep(named.select("node", "component", "least", (own + F.coalesce("n", F.lit(0))).alias("n_links")), "named")
-        least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-        out = vectors.select("vec_id", "node").join(named.join(least, "component").select("node", "n_links", "component_id"), "node", "left")
+        met = spread.repartition("table", "cell", "bi", "bj").sortWithinPartitions("table", "cell", "bi", "bj", "side").mapInArrow(_comparer(width, similarity), "node long, n long, other long")
+        met = keep(met, "found")
+        sums = met.groupBy("node").agg(F.sum("n").alias("n"))
+        comp = components(met.filter("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
+        # Small sides of joins on hot keys are tables of their own, so that the planner can split such a key's rows.
+        counted = nodes.drop("vec").join(sums, "node", "left").join(comp.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        counted = keep(counted.select("h1", "h2", "component", "least", (own + F.coalesce("n", F.lit(0))).alias("n_links")), "named")
+        least = keep(counted.groupBy("component").agg(F.min("least").alias("component_id")), "least")
+        found = keep(counted.join(least, "component").select("h1", "h2", "n_links", "component_id"), "linked")
+    out = vectors.select("vec_id", "h1", "h2").join(found, ["h1", "h2"], "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

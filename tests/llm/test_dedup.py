@@ -174,3 +174,60 @@ def test_embeddings_small(spark):
     assert sorted(map(tuple, embeddings.near_duplicates(one).collect())) == [(2, 1, 2, True), (4, 1, 2, False)]
     uneven = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0]), (3, [0.0, 1.0])], schema)
     assert sorted((r.vec_id, r.component_id) for r in embeddings.near_duplicates(uneven).collect()) == [(1, 1), (2, 1), (3, 3)]
+
+
+def test_embeddings_ties_repeats_and_wide_rows(spark):
+    """Cosines of exactly 0.9, ids on several rows, a row far wider than all others, and two wide ones that link by their ends."""
+    schema = "vec_id long, embedding array<double>, weight string"
+    rng = np.random.default_rng(1)
+    rows = [(100 + k, rng.standard_normal(8).tolist(), "x") for k in range(1200)]
+    rows += [(1, [9.0, 0.0, 0.0, 0.0], "x"), (2, [9.0, 19.0**0.5, 0.0, 0.0], "x"), (3, [0.0, 0.0, 1.0], "x"), (3, [0.0, 0.0, 1.0, 0.0], "x"), (3, [0.0, 0.0, 0.0, 5.0], "x"), (3, [0.0, 0.0, 0.0, 5.0], "x")]
+    wide = np.zeros(300_000)
+    wide[:8] = rows[0][1]
+    rows += [(4, wide.tolist(), "x"), (5, [0.1] * 8 + [1.0] * 5000, "x"), (6, [0.1] * 8 + [1.0] * 5100, "x")]
+    out = {}
+    for r in embeddings.near_duplicates(spark.createDataFrame(rows, schema).repartition(3), cell_rows=300).collect():
+        out.setdefault(r.vec_id, []).append((r.n_links, r.component_id))
+    names, x = [r[0] for r in rows], np.zeros((len(rows), 5200))
+    for k, (_, v, _) in enumerate(rows):
+        x[k, : min(len(v), 5200)] = v[:5200]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos = u @ u.T
+    comp = groups(range(len(rows)), list(zip(*np.nonzero(np.triu(cos >= 0.9, 1)))))
+    least = {}
+    for k, c in comp.items():
+        least[c] = min(names[k], least.get(c, names[k]))
+    want = {}
+    for k, name in enumerate(names):
+        want.setdefault(name, []).append((int((cos[k] >= 0.9).sum()) - 1, least[comp[k]]))
+    assert {k: sorted(v) for k, v in out.items()} == {k: sorted(v) for k, v in want.items()}
+    assert cos[1200, 1201] >= 0.9 - 1e-15 and out[4] == [(out[100][0][0], 4)] and out[5][0][0] == out[6][0][0] == 1
+
+
+@pytest.mark.parametrize("max_centroids,depth", [(40, 2), (10, 3)])
+def test_embeddings_recall_with_products_of_codebooks(spark, max_centroids, depth):
+    """Links just above the threshold, with cells made of two and three codebooks: what MISS promises holds."""
+    rng = np.random.default_rng(3)
+    n, pairs = 16_000, 4000
+    x = rng.standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    other = rng.standard_normal((pairs, 64))
+    other -= (other * x[:pairs]).sum(1, keepdims=True) * x[:pairs]
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    cos = rng.uniform(0.9005, 0.91, (pairs, 1))
+    x = np.vstack([x, cos * x[:pairs] + np.sqrt(1 - cos**2) * other])
+    links = sum(int((x[lo : lo + 2000] @ x.T >= 0.9).sum()) for lo in range(0, len(x), 2000)) - len(x)
+    import pyarrow as pa
+
+    table = pa.table({"vec_id": pa.array(range(len(x))), "embedding": pa.FixedSizeListArray.from_arrays(pa.array(x.reshape(-1)), 64).cast(pa.list_(pa.float64()))})
+    df = spark.createDataFrame(table).repartition(4)
+    found = embeddings.near_duplicates(df, cell_rows=32, max_centroids=max_centroids).agg(F.sum("n_links")).first()[0]
+    cells = len(x) // 32
+    assert int(np.ceil(np.log(cells) / np.log(max_centroids))) == depth and embeddings.tables_for(cells, 0.9) > embeddings.TABLES
+    print(f"depth {depth}: {found} of {links} links")
+    assert links >= 2 * pairs and found >= (1 - 2 * embeddings.MISS) * links
+
+
+def test_tables_grow_with_the_cells():
+    assert [embeddings.tables_for(c, 0.9) for c in (1, 226, 10**4, 4 * 10**6, 4 * 10**8)] == sorted(embeddings.tables_for(c, 0.9) for c in (1, 226, 10**4, 4 * 10**6, 4 * 10**8))
+    assert embeddings.tables_for(2, 0.9) == 12 and embeddings.tables_for(226, 0.9) == 16 and embeddings.tables_for(4 * 10**6, 0.9) > 60
