@@ -7,18 +7,20 @@ the sum goes through tanh, and a softmax in three steps (the word's number, digi
 probabilities.  Everything is trained here, in numpy.
 
 The vocabulary is the most frequent words of all documents; how many follows the root of the number of
-distinct words.  Other words share hashed numbers in the network, and a number's probability is divided
-among its words by their counts, so every word has a probability of its own and those of all words of the
-corpus sum to one.  Training starts with the ``WARM_ROWS`` documents of least hash on the driver and then
-goes over all documents: every task trains a copy of the network on every position of its texts, each
-masked once (a block's positions come in ``MASK`` interleaved turns, so that a batch mixes many texts),
-and the copies are averaged with the number of positions as weights.
-
-Scale.  Word counts are summed per task, then by shuffle.  Copies are averaged in rounds that each
-join ``FAN_IN`` partial sums of one slice of the network, so no task holds more than that; what
-reaches the driver is the network and the vocabulary, which grow as the root of the distinct words.
-Scoring is one narrow pass over the whole texts; it also writes the words outside the vocabulary, which
-are joined with the table of counts and summed by row.
+distinct words.  The network tells of any other word only its first byte; the rest is spelled: byte by
+byte, each given the one before, up to the word's end, by the counts of all such words in the corpus.  So
+every word has a probability of its own, and those of all byte strings together are one (what spelling
+gives to words of the vocabulary is not taken back).  As neighbours, rare words share hashed embeddings.
+Training starts with the ``WARM_ROWS`` documents of least hash on the driver and then goes over all
+documents: every task trains a copy of the network on every position of its texts, each masked once (a
+block's positions come in ``MASK`` interleaved turns, so that a batch mixes many texts), and the copies are
+averaged with the number of positions as weights.  The same pass counts the spellings.
+
+Scale.  Word counts are summed per task, then by shuffle.  A copy is trained on as much text as keeps all
+copies together below ``COPY_SHARE`` of the input, however large the network is.  Copies are averaged in
+rounds that each join ``FAN_IN`` partial sums of one slice of the network, so no task holds more than that;
+what reaches the driver is the network and the vocabulary, which grow as the root of the distinct words.
+Scoring is one narrow pass over the whole texts.
 
 Defined results.  Null and wordless texts score 0 with no tokens and a null mean.  Null ids and
 repeated rows are scored each.  An empty table gives an empty table.  Columns other than ``doc_id``
@@ -32,14 +34,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .stores import keep
-from .text import U, Words, digit_order, mix, word_blocks
+from .text import U, Words, digit_order, ragged, word_blocks
 
 WINDOW, HIDDEN, CUT = 2, 32, 60.0
-LEAST_IDS, ROOT, HASHED_SHARE = 4608, 8, 9  # ids at least; ids per root of the distinct words; one in so many is hashed
+LEAST_IDS, ROOT, HASHED_SHARE = 4608, 8, 9  # ids at least; ids per root of the distinct words; one hashed embedding for so many
+BYTES, END = 256, 256
+SMOOTH, COPY_SHARE = 0.01, 0.5
 MASK, BATCH, RATE = 8, 16384, 0.3
 WARM_ROWS, WARM_EPOCHS, SEED = 512, 3, 11
 FAN_IN, SLICES = 8, 16
@@ -66,9 +69,31 @@ class Vocabulary:
         out[~hit] = self.size + 1 + (h[~hit] >> U(20)) % U(self.hashed)
         return out
 
-    def others(self, ids: np.ndarray) -> np.ndarray:
-        """Places of ids that several words share."""
-        return np.flatnonzero(ids > self.size)
+    def targets(self, ids: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(what the network predicts: the word, or the first byte of another one; where those others are)."""
+        others, y = np.flatnonzero(ids > self.size), ids.copy()
+        y[others] = self.size + 1 + _FOLD[w.buf[w.start[others]]]
+        return y, others
+
+
+_FOLD = np.arange(BYTES)
+_FOLD[65:91] += 32
+
+
+def transitions(w: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(byte and byte or end behind it, as one number, of all bytes of the words ``at``; where each word begins)."""
+    length = w.end[at] - w.start[at]
+    first = np.cumsum(length) - length
+    byte = _FOLD[w.buf[ragged(w.start[at], length)]]
+    behind = np.append(byte[1:], END)
+    behind[first[1:] - 1] = END
+    return byte * (BYTES + 1) + behind, first
+
+
+def spelling(counts: np.ndarray) -> np.ndarray:
+    """log P(byte or end | byte before) of every transition."""
+    c = counts.reshape(BYTES, BYTES + 1) + SMOOTH
+    return np.log(c / c.sum(1, keepdims=True)).reshape(-1)
 
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,20 +125,12 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return keep(docs.select("text").mapInArrow(_counter, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
 
 
-def vocabulary(counts: DataFrame, size: int, hashed: int) -> tuple[Vocabulary, DataFrame]:
-    """The most frequent words, and the others as word, share: log of the word's part of its hashed id."""
+def vocabulary(counts: DataFrame, size: int, hashed: int) -> Vocabulary:
+    """The ``size`` most frequent words."""
     top = counts.orderBy(F.desc("n"), "word").limit(size).toPandas()
     h = top["word"].to_numpy(np.int64).view(U)
     order = np.argsort(h)
-    if len(top) < size:
-        others = counts.limit(0)
-    else:
-        n, word = (int(x) for x in top.iloc[-1][["n", "word"]])
-        others = counts.filter((F.col("n") < n) | ((F.col("n") == n) & (F.col("word") > word)))
-    others = others.withColumn("id", F.shiftrightunsigned("word", 20) % hashed)
-    totals = others.groupBy("id").agg(F.sum("n").alias("total"))  # ``hashed`` rows at most
-    shares = others.join(F.broadcast(totals), "id").select("word", F.log(F.col("n") / F.col("total")).alias("share"))
-    return Vocabulary(h[order], order.astype(np.int64), size, hashed), shares
+    return Vocabulary(h[order], order.astype(np.int64), size, hashed)
 
 
 class Network:
@@ -223,13 +240,15 @@ class Network:
         self.p[name][at] -= rate * grad / np.sqrt(total)
 
 
-def _positions(texts: pa.Array, vocab: Vocabulary, net: Network, mask: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(contexts, ids) of all positions, those of a block in ``mask`` turns."""
+def _positions(texts: pa.Array, vocab: Vocabulary, net: Network, mask: int, spelled: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(contexts, targets) of all positions, those of a block in ``mask`` turns; counts transitions in ``spelled``."""
     for _, _, w in word_blocks(texts, lower=True):
         ids = vocab.ids(w.hash)
-        context = net.contexts(ids, w.text)
+        context, (y, others) = net.contexts(ids, w.text), vocab.targets(ids, w)
+        if spelled is not None and len(others):
+            spelled += np.bincount(transitions(w, others)[0], minlength=len(spelled))
         for turn in range(min(mask, len(ids))):
-            yield context[turn::mask], ids[turn::mask]
+            yield context[turn::mask], y[turn::mask]
 
 
 def _learn(net: Network, parts: Iterator[tuple[np.ndarray, np.ndarray]], batch: int, rate: float) -> int:
@@ -257,79 +276,83 @@ def warm_texts(docs: DataFrame, rows: int) -> pa.ChunkedArray:
     return some.filter(order <= F.lit(last)).orderBy(order).limit(rows).select("text").toArrow()["text"]
 
 
-def train(docs: DataFrame, vocab: Vocabulary, shape: tuple[int, ...], mask: int = MASK, rate: float = RATE, warm_rows: int = WARM_ROWS, seed: int = SEED) -> Network:
+def copies(docs: DataFrame, net: Network) -> int:
+    """How many copies together take ``COPY_SHARE`` of the input's bytes, as the planner knows them."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(1, int(min(COPY_SHARE * size / (4 * sum(v.size for v in net.p.values())), 1 << 30)))
+
+
+def train(docs: DataFrame, vocab: Vocabulary, shape: tuple[int, ...], mask: int = MASK, rate: float = RATE, warm_rows: int = WARM_ROWS, seed: int = SEED) -> tuple[Network, np.ndarray]:
+    """The network and the spelling of words outside the vocabulary."""
     spark = docs.sparkSession
     net = Network(vocab.size + vocab.hashed + 1, shape, seed=seed)
     warm = warm_texts(docs, warm_rows)
     for _ in range(WARM_EPOCHS):
         _learn(net, _positions(warm, vocab, net, 1), BATCH // 8, rate)
     shared = spark.sparkContext.broadcast((vocab, net))
+    # One more slice holds the transitions, whose counts must stay whole.
+    kind = lambda k: np.float64 if k == SLICES else np.float32
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, start = shared.value
-        copy = Network(own.size + own.hashed + 1, shape, seed=seed)
+        copy, spelled = Network(own.size + own.hashed + 1, shape, seed=seed), np.zeros(BYTES * (BYTES + 1))
         copy.load(start.flat())
         copy.sums = {k: v.copy() for k, v in start.sums.items()}
-        n = _learn(copy, (x for batch in batches for x in _positions(batch.column(0), own, copy, mask)), BATCH, rate / 2)
+        n = _learn(copy, (x for batch in batches for x in _positions(batch.column(0), own, copy, mask, spelled)), BATCH, rate / 2)
         if n:
-            parts = np.array_split(copy.flat() * np.float64(n), SLICES)
-            yield pa.record_batch([pa.array(range(SLICES), pa.int32()), pa.array([n] * SLICES, pa.int64()), pa.array([x.astype(np.float32).tobytes() for x in parts])], ["slice", "n", "sums"])
+            parts = [*np.array_split(copy.flat() * np.float64(n), SLICES), spelled]
+            yield pa.record_batch([pa.array(range(SLICES + 1), pa.int32()), pa.array([n] * (SLICES + 1), pa.int64()), pa.array([x.astype(kind(k)).tobytes() for k, x in enumerate(parts)])], ["slice", "n", "sums"])
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def summed(rows) -> dict[int, list]:
         total: dict[int, list] = {}
-        for batch in batches:
-            for k, n, data in zip(batch["slice"].to_pylist(), batch["n"].to_pylist(), batch["sums"]):
-                x = np.frombuffer(data.as_buffer(), np.float32).astype(np.float64)
-                total[k] = [total[k][0] + n, total[k][1] + x] if k in total else [n, x]
-        for k, (n, x) in total.items():
-            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([n], pa.int64()), pa.array([x.astype(np.float32).tobytes()])], ["slice", "n", "sums"])
+        for k, n, data in rows:
+            x = np.frombuffer(data, kind(k)).astype(np.float64)
+            total[k] = [total[k][0] + n, total[k][1] + x] if k in total else [n, x]
+        return total
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((k, n, data.as_buffer()) for batch in batches for k, n, data in zip(batch["slice"].to_pylist(), batch["n"].to_pylist(), batch["sums"]))
+        for k, (n, x) in summed(rows).items():
+            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([n], pa.int64()), pa.array([x.astype(kind(k)).tobytes()])], ["slice", "n", "sums"])
 
     schema = "slice int, n long, sums binary"
-    sums = docs.select("text").mapInArrow(learn, schema)
+    sums = docs.select("text").coalesce(copies(docs, net)).mapInArrow(learn, schema)
     tasks = max(1, sums.rdd.getNumPartitions())
     while tasks > FAN_IN:  # partial sums of a slice meet FAN_IN at a time
         tasks = -(-tasks // FAN_IN)
         grouped = sums.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(tasks)))
-        sums = grouped.repartition(tasks * SLICES, "slice", "part").drop("part").mapInArrow(add, schema)
-    total: dict[int, list] = {}
-    for row in sums.collect():  # FAN_IN * SLICES rows at most
-        x = np.frombuffer(row.sums, np.float32).astype(np.float64)
-        total[row.slice] = [total[row.slice][0] + row.n, total[row.slice][1] + x] if row.slice in total else [row.n, x]
+        sums = grouped.repartition(tasks * (SLICES + 1), "slice", "part").drop("part").mapInArrow(add, schema)
+    total = summed((r.slice, r.n, r.sums) for r in sums.collect())  # FAN_IN of each slice at most
     if total:
         net.load(np.concatenate([x / n for n, x in (total[k] for k in range(SLICES))]))
-    return net
+    return net, spelling(total[SLICES][1] if total else np.zeros(BYTES * (BYTES + 1)))
 
 
-def score(docs: DataFrame, vocab: Vocabulary, shares: DataFrame, net: Network) -> DataFrame:
+def score(docs: DataFrame, vocab: Vocabulary, net: Network, spelled: np.ndarray) -> DataFrame:
     """doc_id, n_tokens, log_prob, mean_log_prob."""
     net.sums = {}
-    shared = docs.sparkSession.sparkContext.broadcast((vocab, net))
+    shared = docs.sparkSession.sparkContext.broadcast((vocab, net, spelled))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, net = shared.value
-        row = TaskContext.get().partitionId() << 40
+        vocab, net, spelled = shared.value
         for batch in batches:
             for lo, hi, w in word_blocks(batch.column(1), lower=True):
                 ids = vocab.ids(w.hash)
-                context, logs = net.contexts(ids, w.text), np.zeros(len(ids))
+                context, logs, (y, others) = net.contexts(ids, w.text), np.zeros(len(ids)), vocab.targets(ids, w)
                 for a in range(0, len(ids), 1 << 16):
-                    logs[a : a + (1 << 16)] = net.log_probs(context[a : a + (1 << 16)], ids[a : a + (1 << 16)])
-                n, total = np.bincount(w.text, minlength=hi - lo), np.bincount(w.text, logs, hi - lo).astype(np.float64)
-                at = vocab.others(ids)
-                others = pa.ListArray.from_arrays(pa.array(np.searchsorted(w.text[at], np.arange(hi - lo + 1)), pa.int32()), pa.array(w.hash[at].view(np.int64)))
-                rows = pa.array(np.arange(row, row + hi - lo))
-                row += hi - lo
-                yield pa.record_batch([rows, batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(total), others], ["row", "doc_id", "n_tokens", "log_prob", "others"])
+                    logs[a : a + (1 << 16)] = net.log_probs(context[a : a + (1 << 16)], y[a : a + (1 << 16)])
+                if len(others):
+                    code, first = transitions(w, others)
+                    logs[others] += np.add.reduceat(spelled[code], first)
+                n, total = np.bincount(w.text, minlength=hi - lo).astype(np.int64), np.bincount(w.text, logs, hi - lo).astype(np.float64)
+                mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(total), mean], ["doc_id", "n_tokens", "log_prob", "mean_log_prob"])
 
-    rows = keep(docs.select("doc_id", "text").mapInArrow(run, "row long, doc_id long, n_tokens long, log_prob double, others array<long>"), "scored")
-    parts = rows.select("row", F.explode("others").alias("word")).join(shares, "word").groupBy("row").agg(F.sum("share").alias("share"))
-    total = F.col("log_prob") + F.coalesce("share", F.lit(0.0))
-    mean = F.when(F.col("n_tokens") > 0, total / F.col("n_tokens"))
-    return rows.drop("others").join(parts, "row", "left").select("doc_id", "n_tokens", total.alias("log_prob"), mean.alias("mean_log_prob"))
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
 
 
 def sizes(distinct: int) -> tuple[tuple[int, int, int], int]:
-    """(digits of the numbers, hashed numbers) for so many distinct words; the last digit is the widest, its groups the most."""
+    """(digits of the targets' numbers, hashed embeddings) for so many distinct words; the last digit is the widest, its groups the most."""
     ids = max(LEAST_IDS, int(np.ceil(ROOT * distinct**0.5)))
     wide = int(np.ceil((ids / 4) ** (1 / 3)))
     shape = (wide, wide, -(-ids // wide**2))
@@ -341,5 +364,5 @@ def score_documents(docs: DataFrame, shape: tuple[int, ...] | None = None, hashe
     counts = word_counts(docs)
     own = sizes(counts.count())
     shape, hashed = shape or own[0], own[1] if hashed is None else hashed
-    vocab, shares = vocabulary(counts, int(np.prod(shape)) - hashed, hashed)
-    return score(docs, vocab, shares, train(docs, vocab, shape, **training))
+    vocab = vocabulary(counts, int(np.prod(shape)) - BYTES, hashed)
+    return score(docs, vocab, *train(docs, vocab, shape, **training))

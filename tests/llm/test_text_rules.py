@@ -272,7 +272,7 @@ def chain(rng, n):
 
 
 def small(docs, **k):
-    return scoring.score_documents(docs, shape=(4, 4, 4), hashed=16, mask=2, **k)
+    return scoring.score_documents(docs, shape=(8, 8, 8), hashed=16, mask=2, **k)
 
 
 def test_scores_separate_order_from_noise(spark):
@@ -296,21 +296,24 @@ def test_scores_odd_rows(spark):
     assert small(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def test_words_of_a_hashed_id_have_their_own_probabilities(spark):
-    """Words beyond the vocabulary: twelve times as frequent is log 12 more; the shares of an id sum to one."""
-    rows = [(k, "a b c d " * 20 + "rare") for k in range(12)] + [(100, "a b c d " * 20 + "junk")]
-    docs = spark.createDataFrame(rows, DOCS)
-    _, shares = scoring.vocabulary(scoring.word_counts(docs), 4, 1)
-    assert sorted(np.exp(r.share) for r in shares.collect()) == pytest.approx([1 / 13, 12 / 13])
-    one = {r.doc_id: r.log_prob for r in scoring.score_documents(docs, shape=(5,), hashed=1, mask=1).collect()}
-    assert one[0] - one[100] == pytest.approx(np.log(12), abs=1e-4)
+def test_rare_words_are_spelled(spark):
+    """Every byte string has a probability of its own: by its first byte, then byte after byte to its end."""
+    docs = spark.createDataFrame([(k, "a b c d " * 20 + f"rare{k % 3} RARE junk") for k in range(12)], DOCS)
+    vocab = scoring.vocabulary(scoring.word_counts(docs), 4, 1)
+    _, spelled = scoring.train(docs, vocab, (4, 65))
+    table = np.exp(spelled).reshape(256, 257)
+    assert table.sum(1) == pytest.approx(np.ones(256))
+    counts = table[ord("e")] * (24 + 257 * scoring.SMOOTH) - scoring.SMOOTH
+    assert {chr(c): n for c, n in enumerate(np.round(counts).astype(int)) if n} == {"0": 4, "1": 4, "2": 4, chr(256): 12}  # 256 is the end, here of RARE
+    one = {r.doc_id: r.log_prob for r in scoring.score(docs.limit(1).unionAll(spark.createDataFrame([(99, "raze")], DOCS)), vocab, scoring.Network(6, (4, 65)), spelled).collect()}
+    assert np.isfinite(one[99])  # also words that were never seen
 
 
 def test_every_position_trains():
     texts = pa.array(["a b c d e f g h i j k", None, "a b", "x " * 500])
-    vocab = scoring.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64), 32, 32)
-    parts = list(scoring._positions(texts, vocab, scoring.Network(65, (8, 8)), scoring.MASK))
-    assert sum(len(y) for _, y in parts) == 11 + 2 + 500
+    vocab, spelled = scoring.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64), 32, 32), np.zeros(256 * 257)
+    parts = list(scoring._positions(texts, vocab, scoring.Network(65, (288,)), scoring.MASK, spelled))
+    assert sum(len(y) for _, y in parts) == 11 + 2 + 500 == spelled.sum()
 
 
 def test_warm_start_is_no_prefix(spark):
@@ -344,51 +347,46 @@ def test_gradient_steps_lower_the_loss():
     assert net.log_probs(context, y).mean() > before + 2
 
 
-def plain_log_probs(net, vocab, share, words):
-    """Every position of a text by itself: neighbours, tanh, and the softmax digit by digit, in plain loops."""
+def plain_log_probs(net, vocab, table, text):
+    """Every position of a text by itself: neighbours, tanh, the softmax digit by digit, and spelling, in plain loops."""
     import math
 
-    ids = [int(vocab.ids(np.array([h], np.uint64))[0]) for h in words]
+    pairs = [(w[s:e].decode().lower(), int(h)) for _, _, x in word_blocks(pa.array([text], pa.string()), lower=True) for w, s, e, h in zip([x.buf.tobytes()] * len(x.start), x.start, x.end, x.hash)]
+    ids = [int(vocab.ids(np.array([h], np.uint64))[0]) for _, h in pairs]
     out = 0.0
-    for at, (word, number) in enumerate(zip(words, ids)):
+    for at, ((word, _), number) in enumerate(zip(pairs, ids)):
         near = [ids[at + d] if 0 <= at + d < len(ids) else 0 for d in (-2, -1, 1, 2)]
         hidden = [math.tanh(sum(float(net.p["embed"][k, i, j]) for k, i in enumerate(near)) + float(net.p["bias"][j])) for j in range(net.width)] + [1.0]
-        group, rest = 0, number - 1
+        rare = number > vocab.size
+        data = [*word.encode(), 256]
+        group, rest = 0, (vocab.size + data[0]) if rare else number - 1
         for k, base in enumerate(net.shape):
             below = int(np.prod(net.shape[k + 1 :], dtype=np.int64))
             digit, rest = divmod(rest, below)
             scores = [sum(float(w) * x for w, x in zip(net.p[k][group, c], hidden)) for c in range(base)]
             out += scores[digit] - math.log(sum(math.exp(s) for s in scores))
             group = group * base + digit
-        out += share.get(word, 0.0)
+        out += sum(float(table[a * 257 + b]) for a, b in zip(data, data[1:])) if rare else 0.0
     return out
 
 
 def test_a_document_score_is_the_sum_of_its_words_log_probabilities(spark):
-    from sigilframe.llm.text import word_blocks
-
     rng = random.Random(3)
-    rows = [(k, chain(rng, 60)) for k in range(30)] + [(100, "of few words"), (101, "a"), (102, None)]
+    rows = [(k, chain(rng, 60)) for k in range(30)] + [(100, "of Few wörds"), (101, "a"), (102, None)]
     docs = spark.createDataFrame(rows, DOCS)
-    vocab, shares = scoring.vocabulary(scoring.word_counts(docs), 20, 7)
-    net = scoring.train(docs, vocab, (3, 3, 3))
-    share = {r.word & (2**64 - 1): r.share for r in shares.collect()}
-    assert share  # some words have hashed numbers
-    got = {r.doc_id: r for r in scoring.score(docs, vocab, shares, net).collect()}
+    vocab = scoring.vocabulary(scoring.word_counts(docs), 20, 7)
+    net, table = scoring.train(docs, vocab, (6, 46))
+    got = {r.doc_id: r for r in scoring.score(docs, vocab, net, table).collect()}
     for doc, text in rows:
-        words = [int(h) for _, _, w in word_blocks(pa.array([text], pa.string()), lower=True) for h in w.hash]
-        assert got[doc].n_tokens == len(words)
-        assert got[doc].log_prob == pytest.approx(plain_log_probs(net, vocab, share, words), abs=1e-3)
-
-
-def test_all_words_of_the_corpus_together_have_probability_one(spark):
-    docs = spark.createDataFrame([(k, "a b c d " * 5 + f"w{k % 7} v{k}") for k in range(40)], DOCS)
-    counts = scoring.word_counts(docs)
-    vocab, shares = scoring.vocabulary(counts, 6, 3)
-    net, share = scoring.Network(10, (3, 3)), {r.word: r.share for r in shares.collect()}
-    words = np.array([r.word for r in counts.collect()])
-    logs = net.log_probs(np.tile([1, 2, 3, 4], (len(words), 1)), vocab.ids(words.view(np.uint64)))
-    assert np.exp(logs + [share.get(w, 0.0) for w in words.tolist()]).sum() == pytest.approx(1, abs=1e-5)
+        assert got[doc].n_tokens == len(words(text))
+        assert got[doc].log_prob == pytest.approx(plain_log_probs(net, vocab, table, text), abs=1e-3)
+
+
+def test_copies_follow_the_input_and_the_network(spark, tmp_path):
+    spark.range(400_000).selectExpr("id AS doc_id", "repeat(cast(id as string), 4) AS text").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    few, many = (scoring.copies(docs, scoring.Network(n, (8, 8, 8))) for n in (2000, 200))
+    assert 1 < few < many and few * 4 * 2000 * 4 * scoring.HIDDEN <= sum(f.stat().st_size for f in (tmp_path / "d").glob("*.parquet"))
 
 
 def test_scores_long_text_ties_and_clashing_columns(spark):
