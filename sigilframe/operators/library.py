@@ -86,7 +86,7 @@ def identity(row: str = "") -> Column:
 
 def first_symbol_at(occurrences: DataFrame, symbols: DataFrame) -> DataFrame:
     """For each occurrence the first symbol of its paper with the same identity."""
-    hit = occurrences.join(symbols.select("paper_id", "identity_key", "ordinal", F.col("id").alias("symbol_id")), ["paper_id", "identity_key"])
+    hit = occurrences.select("paper_id", "identity_key", "token_id").join(symbols.select("paper_id", "identity_key", "ordinal", F.col("id").alias("symbol_id")), ["paper_id", "identity_key"])
     return hit.groupBy("paper_id", "token_id").agg(F.min_by("symbol_id", "ordinal").alias("symbol_id"))
 
 
@@ -96,7 +96,8 @@ def visible_occurrences(occurrences: DataFrame, symbols: DataFrame) -> DataFrame
     return occurrences.withColumn("key", identity()).join(named, ["paper_id", "key"], "left_semi").drop("key")
 
 
-def others_with_counts(symbols: DataFrame, symbol_id: str) -> DataFrame:
+def others_with_counts(symbols: DataFrame, symbol_id: str | Column) -> DataFrame:
+    """All symbols but the one shown; a Column tells it for each paper."""
     return symbols.filter(F.col("id") != symbol_id).select("id", "surface", "occurrences")
 
 

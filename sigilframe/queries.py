@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from . import paper_queries  # noqa: F401 - registers its own
+from . import paper_queries, scalar_queries  # noqa: F401 - each registers its own
 from .adapters import LONE_LETTER, Tables
 from .functions import columns as X
 from .functions import patterns as P
