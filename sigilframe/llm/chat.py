@@ -15,8 +15,9 @@ method asks for; reading back parses only the last of them in full and moves tex
 input.
 
 Defined results.  Null role or text is empty.  Rows of the same turn follow each other by role and
-text, repeated rows included.  A null conv_id is a conversation of its own.  An empty table gives no
-examples.  Other columns are not read.
+text, repeated rows included.  Rows without a conv_id are one conversation, whose id stays null; a
+conversation -1 of the table is one with the control's rows.  An empty table gives no examples.  Other
+columns are not read.
 """
 
 from __future__ import annotations

@@ -11,6 +11,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sigilframe.llm import chat, lattice, packing, warc
 from sigilframe.llm.text import U, mix
@@ -115,6 +116,14 @@ def test_pages_odd_rows(spark, tmp_path):
     assert all(len(held[i]) > 1 for i in (0, 1, 2))
 
 
+def test_sampling_and_packing_with_clashing_columns(spark):
+    rows = [(1, "some words here", 1, "x", 2), (None, None, 1, "x", 2), (2, "word " * 30_000, 1, "x", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, sample int, ids string, part int").withColumns({"within": F.lit(1), "length": F.lit("l"), "n_pieces": F.lit(1)})
+    assert Counter(r.doc_id for r in lattice.sample_encodings(df).collect()) == {1: 2, None: 1, 2: 2}
+    out = packing.pack(df).collect()
+    assert Counter(r.doc_id for r in out)[None] == 1 and {r.doc_id for r in out} == {1, 2, None} and max(r.length for r in out) == 4096
+
+
 # Segmentation -------------------------------------------------------------------------------------
 
 
@@ -233,6 +242,23 @@ def talks():
     return rows + [(77, 0, None, None), (78, 0, "assistant", None), (None, 0, "user", "x"), (None, 1, "assistant", "y"), (79, 1, "user", "same turn"), (79, 1, "assistant", "same turn"), (79, 1, "assistant", "same turn")]
 
 
+def test_chat_odd_tables(spark):
+    """No conversation id, a conversation -1 in the table, columns with the operator's names, and lengths by hand."""
+    rows = [(None, 1, "user", "a<|b", "x"), (None, 0, "system", None, "x"), (-1, 2, "assistant", "own", "x"), (3, 0, "user", "q", "x"), (3, 1, "assistant", "r é", "x"), (3, 1, "assistant", "r é", "x"), (3, None, None, "t", "x")]
+    df = spark.createDataFrame(rows, CONV + ", example string").withColumnRenamed("example", "loss_start").repartition(3)
+    out = {r.conv_id: r for r in chat.read_back(chat.expand(chat.with_control_conversation(df))).collect()}
+    turn = lambda role, text: "<|im_start|>" + role + "\n" + text.replace("<|", "<\\|") + "<|im_end|>\n"
+    control = "<|im_end|><|im_start|>assistant ok"
+    whole = {None: [("system", ""), ("user", "a<|b")], -1: [("user", control), ("assistant", control), ("assistant", "own")], 3: [("", "t"), ("user", "q"), ("assistant", "r é"), ("assistant", "r é")]}
+    assert set(out) == set(whole)
+    for conv, turns in whole.items():
+        ends = [k + 1 for k, (role, _) in enumerate(turns) if role == "assistant" or k + 1 == len(turns)]
+        said = "".join(text for role, text in turns if role == "assistant")
+        assert out[conv].n_turns == len(turns) and out[conv].loss_chars == len(said) and out[conv].loss_sha256 == hashlib.sha256(said.encode()).hexdigest()
+        assert out[conv].turns_sha256 == hashlib.sha256("".join(f"{role}\n{text}\n" for role, text in turns).encode()).hexdigest()
+        assert out[conv].formatted_chars == sum(len(turn(*x)) for k in ends for x in turns[:k])
+
+
 def test_chat_round_trip(spark):
     df = spark.createDataFrame(talks(), CONV).repartition(5)
     out = {r.conv_id: r for r in chat.read_back(chat.expand(chat.with_control_conversation(df))).collect()}

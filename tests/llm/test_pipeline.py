@@ -97,6 +97,38 @@ def test_run_is_the_stages_in_turn(spark, sf_dir):
     assert key(ran) == key(docs) and ran.count() > 0
 
 
+def test_rows_without_an_id_go_all_the_way(spark, tmp_path):
+    """Null ids, texts and other columns: judged by their texts, never another's duplicate, packed under no id."""
+    rng = random.Random(5)
+    text = prose(rng, 200, 5000)
+    rows = [(1, text), (None, text), (None, text), (None, prose(rng, 5000, 5000)), (None, None), (2, None), (None, "short"), (3, "secret = abcdef0123456789 " + prose(rng, 60, 5000))]
+    spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, 0, 0), (1, None, None), (3, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = [(r.doc_id, r.piece) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sorted(i for i, piece in got if i is not None and piece == 0) == [1, 3]
+    assert sum(i is None and piece == 0 for i, piece in got) == 3 and any(piece > 0 for _, piece in got)
+
+
+def test_intermediate_tables_go(spark, sf_dir):
+    from pathlib import Path
+
+    from sigilframe.llm import stores
+
+    shared = Path(stores.shared_dir(spark).removeprefix("file://"))
+    stores.release(spark)
+    before = set(shared.iterdir())
+    out = corpus_pipeline.run(spark, sf_dir)
+    assert out.count() > 0
+    left = {p.name.rsplit("-", 1)[0] for p in set(shared.iterdir()) - before}
+    assert left == {"quality_rules", "near_duplicates", "substring_dedup", "secret_scans", "pieces", "numbered"}
+    with stores.scope(spark):
+        inside, kept = stores.keep(spark.range(3)), stores.keep(spark.range(4), outside=True)
+        assert inside.count() == 3
+    assert kept.count() == 4
+    stores.release(spark)
+    assert set(shared.iterdir()) == before
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
