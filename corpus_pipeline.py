@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sigilframe.llm import minhash, packing, quality, secrets, substring
-from sigilframe.llm.stores import bound_batches, keep
+from sigilframe.llm.stores import bound_batches, keep, scope
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,9 +57,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows.  A stage's own tables go once its result is written; results stay until ``stores.release``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = keep(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        with scope(spark):
+            docs = keep(stage(spark, docs, sf_dir), name, outside=True)
+    return STAGES[-1][1](spark, docs, sf_dir)
