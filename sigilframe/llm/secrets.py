@@ -52,6 +52,10 @@ _TOKEN_BYTES, _LONG_BYTES = 12, 32
 _KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"api_key", b"apikey")
 
 
+#: Object identifiers of encryption by password begin with these bytes.
+_PASSWORD_SCHEMES = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+
+
 def _der(data: bytes, depth: int = 0) -> list[tuple[int, bytes]] | None:
     """The (tag, content) elements that fill ``data`` exactly; None if lengths do not add up."""
     out, i = [], 0
@@ -80,6 +84,9 @@ def _is_der_key(data: bytes) -> bool:
     if not outer or len(outer) != 1 or not (parts := _der(outer[0][1])):
         return False
     tags = [t for t, _ in parts]
+    if tags == [0x30, 0x04]:  # an encrypted key: a scheme of encryption by password, and what it gave
+        scheme = _der(parts[0][1])
+        return bool(scheme) and scheme[0][0] == 0x06 and scheme[0][1].startswith(_PASSWORD_SCHEMES) and len(parts[1][1]) >= 32
     if tags[0] != 0x02 or len(parts[0][1]) != 1:
         return False
     if tags[1:3] == [0x30, 0x04]:  # algorithm and wrapped key

@@ -231,6 +231,24 @@ def test_keys_in_strings_wrapped_and_url_safe(spark):
     assert sorted((r.doc_id, r.n_key, r.n_token) for r in out) == [(1, 0, 1), (2, 0, 0), (3, 1, 0)]
 
 
+def test_encrypted_keys_and_their_look_alikes(spark):
+    """Keys under a password, as they are and in every armour; digests and other schemes look alike and are none."""
+    made = lambda oid, n: der(0x30, der(0x30, der(6, bytes.fromhex(oid)) + der(0x30, der(4, b"salt5678") + der(2, b"\x08\0"))) + der(4, b"\x9a\xfe" * (n // 2)))
+    pbes2, pkcs12 = made("2a864886f70d01050d", 1200), made("2a864886f70d010c0103", 320)
+    digest, short = made("608648016503040201", 32), made("2a864886f70d01050d", 8)
+    assert all(map(secrets.is_private_key, (pbes2, pkcs12))) and not any(map(secrets.is_private_key, (digest, short, pbes2[:-1])))
+    lines = [b64(pbes2)[i : i + 64] for i in range(0, len(b64(pbes2)), 64)]
+    for sep in ("\n", "\r\n", "\\n"):
+        pem = sep.join(["-----BEGIN ENCRYPTED PRIVATE KEY-----", *lines, "-----END ENCRYPTED PRIVATE KEY-----"])
+        assert secrets.find(f"é {pem} end") == [(2, 3, 2 + len(pem))]
+        assert secrets.find(f"k {sep.join(lines)}\n\nend") == [(2, 3, 2 + len(sep.join(lines)))]
+    assert [k for _, k, _ in secrets.find(f"see {base64.urlsafe_b64encode(pkcs12).decode()} end")] == [3]
+    assert secrets.find(f"see {b64(digest)} end") == secrets.find(f"see {b64(made('608648016503040201', 400))} end") == []
+    long = "word " * 300_000 + pem + " word" * 10
+    rows = spark.createDataFrame([(1, long, 5, "x")], "doc_id long, text string, n_key int, base_sha256 string")
+    assert [(r.n_key, r.spans) for r in secrets.scan(rows).collect()] == [(1, f"key:1500000:{1500000 + len(pem)}")]
+
+
 BASE = {
     "assign": (re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), lambda m: len(m[2]) >= 8),
     "access": (re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 16),
