@@ -8,7 +8,7 @@ probabilities.  Everything is trained here, in numpy.
 
 The vocabulary is the most frequent words of all documents; how many follows the root of the number of
 distinct words.  The network tells of any other word only its first byte; the rest is spelled: byte by
-byte, each given the one before, up to the word's end, by the counts of all such words in the corpus.  So
+byte, each given the three before, up to the word's end, by the counts of all such words in the corpus.  So
 every word has a probability of its own, and those of all byte strings together are one (what spelling
 gives to words of the vocabulary is not taken back).  As neighbours, rare words share hashed embeddings.
 Training starts with the ``WARM_ROWS`` documents of least hash on the driver and then goes over all
@@ -41,7 +41,7 @@ from .text import U, Words, digit_order, ragged, word_blocks
 
 WINDOW, HIDDEN, CUT = 2, 32, 60.0
 LEAST_IDS, ROOT, HASHED_SHARE = 4608, 8, 9  # ids at least; ids per root of the distinct words; one hashed embedding for so many
-BYTES, END = 256, 256
+BYTES, END, CONTEXTS = 256, 256, 8192  # contexts of three bytes share so many rows
 SMOOTH, COPY_SHARE = 0.01, 0.5
 MASK, BATCH, RATE = 8, 16384, 0.3
 WARM_ROWS, WARM_EPOCHS, SEED = 512, 3, 11
@@ -81,18 +81,24 @@ _FOLD[65:91] += 32
 
 
 def transitions(w: Words, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(byte and byte or end behind it, as one number, of all bytes of the words ``at``; where each word begins)."""
+    """(row of the last three bytes, byte or end behind them, as one number, for all bytes of the words ``at``; where each word begins)."""
     length = w.end[at] - w.start[at]
     first = np.cumsum(length) - length
     byte = _FOLD[w.buf[ragged(w.start[at], length)]]
+    before, context = byte + 1, byte + 1
+    for k in (1, 2):  # bytes before the word count as 0
+        before = np.append(0, before[:-1])
+        before[first] = 0
+        context = context + before * (BYTES + 1) ** k
+    row = ((context * 2654435761) & 0xFFFFFFFF) * CONTEXTS >> 32
     behind = np.append(byte[1:], END)
     behind[first[1:] - 1] = END
-    return byte * (BYTES + 1) + behind, first
+    return row * (BYTES + 1) + behind, first
 
 
 def spelling(counts: np.ndarray) -> np.ndarray:
-    """log P(byte or end | byte before) of every transition."""
-    c = counts.reshape(BYTES, BYTES + 1) + SMOOTH
+    """log P(byte or end | context) of every transition."""
+    c = counts.reshape(CONTEXTS, BYTES + 1) + SMOOTH
     return np.log(c / c.sum(1, keepdims=True)).reshape(-1)
 
 
@@ -295,7 +301,7 @@ def train(docs: DataFrame, vocab: Vocabulary, shape: tuple[int, ...], mask: int
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, start = shared.value
-        copy, spelled = Network(own.size + own.hashed + 1, shape, seed=seed), np.zeros(BYTES * (BYTES + 1))
+        copy, spelled = Network(own.size + own.hashed + 1, shape, seed=seed), np.zeros(CONTEXTS * (BYTES + 1))
         copy.load(start.flat())
         copy.sums = {k: v.copy() for k, v in start.sums.items()}
         n = _learn(copy, (x for batch in batches for x in _positions(batch.column(0), own, copy, mask, spelled)), BATCH, rate / 2)
@@ -325,7 +331,7 @@ def train(docs: DataFrame, vocab: Vocabulary, shape: tuple[int, ...], mask: int
     total = summed((r.slice, r.n, r.sums) for r in sums.collect())  # FAN_IN of each slice at most
     if total:
         net.load(np.concatenate([x / n for n, x in (total[k] for k in range(SLICES))]))
-    return net, spelling(total[SLICES][1] if total else np.zeros(BYTES * (BYTES + 1)))
+    return net, spelling(total[SLICES][1] if total else np.zeros(CONTEXTS * (BYTES + 1)))
 
 
 def score(docs: DataFrame, vocab: Vocabulary, net: Network, spelled: np.ndarray) -> DataFrame:

@@ -314,14 +314,21 @@ def test_scores_odd_rows(spark):
     assert small(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def context_row(before):
+    """The row of the last three bytes; bytes that are not there count as 0."""
+    number = sum((b + 1) * 257**k for k, b in enumerate(reversed(before[-3:])))
+    return ((number * 2654435761) % 2**32) * scoring.CONTEXTS // 2**32
+
+
 def test_rare_words_are_spelled(spark):
     """Every byte string has a probability of its own: by its first byte, then byte after byte to its end."""
     docs = spark.createDataFrame([(k, "a b c d " * 20 + f"rare{k % 3} RARE junk") for k in range(12)], DOCS)
     vocab = scoring.vocabulary(scoring.word_counts(docs), 4, 1)
     _, spelled = scoring.train(docs, vocab, (4, 65))
-    table = np.exp(spelled).reshape(256, 257)
-    assert table.sum(1) == pytest.approx(np.ones(256))
-    counts = table[ord("e")] * (24 + 257 * scoring.SMOOTH) - scoring.SMOOTH
+    table = np.exp(spelled).reshape(scoring.CONTEXTS, 257)
+    assert table.sum(1) == pytest.approx(np.ones(scoring.CONTEXTS))
+    row = table[context_row(b"are")]
+    counts = row * (24 + 257 * scoring.SMOOTH) - scoring.SMOOTH
     assert {chr(c): n for c, n in enumerate(np.round(counts).astype(int)) if n} == {"0": 4, "1": 4, "2": 4, chr(256): 12}  # 256 is the end, here of RARE
     one = {r.doc_id: r.log_prob for r in scoring.score(docs.limit(1).unionAll(spark.createDataFrame([(99, "raze")], DOCS)), vocab, scoring.Network(6, (4, 65)), spelled).collect()}
     assert np.isfinite(one[99])  # also words that were never seen
@@ -329,7 +336,7 @@ def test_rare_words_are_spelled(spark):
 
 def test_every_position_trains():
     texts = pa.array(["a b c d e f g h i j k", None, "a b", "x " * 500])
-    vocab, spelled = scoring.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64), 32, 32), np.zeros(256 * 257)
+    vocab, spelled = scoring.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64), 32, 32), np.zeros(scoring.CONTEXTS * 257)
     parts = list(scoring._positions(texts, vocab, scoring.Network(65, (288,)), scoring.MASK, spelled))
     assert sum(len(y) for _, y in parts) == 11 + 2 + 500 == spelled.sum()
 
@@ -384,7 +391,7 @@ def plain_log_probs(net, vocab, table, text):
             scores = [sum(float(w) * x for w, x in zip(net.p[k][group, c], hidden)) for c in range(base)]
             out += scores[digit] - math.log(sum(math.exp(s) for s in scores))
             group = group * base + digit
-        out += sum(float(table[a * 257 + b]) for a, b in zip(data, data[1:])) if rare else 0.0
+        out += sum(float(table[context_row(bytes(data[:k])) * 257 + data[k]]) for k in range(1, len(data))) if rare else 0.0
     return out
 
 
