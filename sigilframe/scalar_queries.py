@@ -267,7 +267,7 @@ def references_added(t: Tables) -> DataFrame:
     """References are added once; those of folders that are gone are passed over."""
     small = t.table("part").filter("p_size < 5").select((F.col("p_partkey") % 50).alias("k"), F.col("p_partkey").alias("paper_id"))
     new = t.table("supplier").select((F.col("s_suppkey") % 50).alias("k"), F.col("s_suppkey").alias("folder_id")).join(small, "k").select("folder_id", "paper_id")
-    gone = small.select(F.lit(-5).cast("long").alias("folder_id"), "paper_id")
+    gone = small.select((-5 - F.col("paper_id")).alias("folder_id"), "paper_id")
     return _counts(library.add_references(t.membership(), t.folders(), new.union(new).union(gone)))
 
 
@@ -285,10 +285,10 @@ def reading_positions(t: Tables) -> DataFrame:
     return library.upsert_positions(held, new)
 
 
-@query("SELECT 'all' AS paper_id, count_if(quality = 0)::BIGINT AS visual_review_items, count_if(toxic = 1)::BIGINT AS review_symbols FROM labels")
+@query("SELECT CAST(doc_id % 7 AS VARCHAR) AS paper_id, count_if(quality = 0)::BIGINT AS visual_review_items, count_if(toxic = 1)::BIGINT AS review_symbols FROM labels GROUP BY 1")
 def review_counters(t: Tables) -> DataFrame:
     """Pending items and symbols under review."""
-    labels = t.table("labels").withColumn("paper_id", F.lit("all"))
+    labels = t.table("labels").withColumn("paper_id", (F.col("doc_id") % 7).cast("string"))
     return review.counters(labels.filter("quality = 0"), labels.withColumn("status", F.when(F.col("toxic") == 1, "review").otherwise("confirmed")))
 
 
