@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .stores import keep
+from .stores import keep, scope
 from .text import U, Words, ragged, word_blocks
 
 CAPACITY, SEPARATOR = 4096, 1
@@ -132,8 +132,14 @@ def token_ids(texts: pa.Array, path: str, size: int = BLOCK) -> Iterator[tuple[i
         yield lo, hi, ids, ends
 
 
+def _kind(path: str, separator: int) -> str:
+    """How ids travel: in 16 bits where all of them fit."""
+    return "<u2" if max(_tokenizer(path).get_vocab_size(with_added_tokens=True), separator + 1) <= 1 << 16 else "<u4"
+
+
 def _cutter(path: str, capacity: int, separator: int, with_ids: bool):
     """Texts -> pieces."""
+    kind = _kind(path, separator)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,7 +156,7 @@ def _cutter(path: str, capacity: int, separator: int, with_ids: bool):
                         data = part.tobytes()
                         crc.append(zlib.crc32(data))
                         if with_ids:
-                            own.append(data)
+                            own.append(part.astype(kind).tobytes())
                 cols = [batch.column(0).slice(lo, hi - lo).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
                 cols += [pa.array(own, pa.binary())] * with_ids
                 yield pa.record_batch(cols, ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids])
@@ -232,7 +238,7 @@ def _numberer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.append_column("part", pa.array(np.full(len(length), part, np.int32))).append_column("within", pa.array(within))
 
 
-def _placer(shared):
+def _placer(shared, kind: str):
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (length, rank, sequence, offset), (parts, before) = shared.value
         for batch in batches:
@@ -241,7 +247,8 @@ def _placer(shared):
             slot = np.searchsorted((length << 44) + rank, (own << 44) + at, "right") - 1
             put = [pa.array(sequence[slot] + at - rank[slot]), pa.array(offset[slot])]
             names = batch.schema.names[:-2]
-            yield pa.record_batch([batch[n] for n in names] + put, names + ["sequence_id", "offset"])
+            wide = lambda column: pa.array([np.frombuffer(x.as_buffer(), kind).astype("<u4").tobytes() for x in column], pa.binary())
+            yield pa.record_batch([wide(batch[n]) if n == "ids" else batch[n] for n in names] + put, names + ["sequence_id", "offset"])
 
     return place
 
@@ -249,14 +256,15 @@ def _placer(shared):
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, separator: int = SEPARATOR, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset and, if asked for, ids (little-endian 32-bit)."""
     schema = _schema(with_ids)
-    cut = keep(pieces(docs, tokenizer or tokenizer_path(), capacity, separator, with_ids), "pieces")
-    columns = cut.columns
-    order = ["length", F.xxhash64("doc_id", "piece", "ids_crc32")]
-    ranged = cut.repartitionByRange(*order).sortWithinPartitions(*order, "doc_id", "piece").select(columns)
-    numbered = keep(ranged.mapInArrow(_numberer, schema + ", part int, within long"), "numbered")
+    path, spark = tokenizer or tokenizer_path(), docs.sparkSession
+    with scope(spark):  # the pieces go once they are numbered
+        cut = keep(pieces(docs, path, capacity, separator, with_ids), "pieces")
+        order = ["length", F.xxhash64("doc_id", "piece", "ids_crc32")]
+        ranged = cut.repartitionByRange(*order).sortWithinPartitions(*order, "doc_id", "piece").select(cut.columns)
+        numbered = keep(ranged.mapInArrow(_numberer, schema + ", part int, within long"), "numbered", outside=True)
     # A length is in one range or in neighbouring ones: as many rows as there are ranges and lengths together, at most.
     counts = pd.DataFrame([(r.length, r.part, r["count"]) for r in numbered.groupBy("length", "part").count().collect()], columns=["length", "part", "n"], dtype="int64").sort_values(["length", "part"])
     before = counts.groupby("length")["n"].cumsum() - counts["n"]
     slots = plan({int(k): int(v) for k, v in counts.groupby("length")["n"].sum().items()}, capacity).sort_values(["length", "rank"])
-    shared = cut.sparkSession.sparkContext.broadcast((tuple(slots[c].to_numpy() for c in ("length", "rank", "sequence", "offset")), ((counts["length"].to_numpy() << 32) + counts["part"].to_numpy(), before.to_numpy())))
-    return numbered.mapInArrow(_placer(shared), schema + ", sequence_id long, offset long")
+    shared = spark.sparkContext.broadcast((tuple(slots[c].to_numpy() for c in ("length", "rank", "sequence", "offset")), ((counts["length"].to_numpy() << 32) + counts["part"].to_numpy(), before.to_numpy())))
+    return numbered.mapInArrow(_placer(shared, _kind(path, separator)), schema + ", sequence_id long, offset long")

@@ -120,7 +120,7 @@ def test_intermediate_tables_go(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.count() > 0
     left = {p.name.rsplit("-", 1)[0] for p in set(shared.iterdir()) - before}
-    assert left == {"quality_rules", "near_duplicates", "substring_dedup", "secret_scans", "pieces", "numbered"}
+    assert left == {"quality_rules", "near_duplicates", "substring_dedup", "secret_scans", "numbered"}
     with stores.scope(spark):
         inside, kept = stores.keep(spark.range(3)), stores.keep(spark.range(4), outside=True)
         assert inside.count() == 3
