@@ -324,11 +324,11 @@ def train(docs: DataFrame, vocab: Vocabulary, shape: tuple[int, ...], mask: int
     schema = "slice int, n long, sums binary"
     sums = docs.select("text").coalesce(copies(docs, net)).mapInArrow(learn, schema)
     tasks = max(1, sums.rdd.getNumPartitions())
-    while tasks > FAN_IN:  # partial sums of a slice meet FAN_IN at a time
+    while tasks > 1:  # partial sums of a slice meet FAN_IN at a time
         tasks = -(-tasks // FAN_IN)
         grouped = sums.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(tasks)))
         sums = grouped.repartition(tasks * (SLICES + 1), "slice", "part").drop("part").mapInArrow(add, schema)
-    total = summed((r.slice, r.n, r.sums) for r in sums.collect())  # FAN_IN of each slice at most
+    total = summed((r.slice, r.n, r.sums) for r in sums.collect())  # one of each slice
     if total:
         net.load(np.concatenate([x / n for n, x in (total[k] for k in range(SLICES))]))
     return net, spelling(total[SLICES][1] if total else np.zeros(CONTEXTS * (BYTES + 1)))
