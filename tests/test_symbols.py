@@ -143,6 +143,22 @@ def test_gloss(spark, surface, text, expected):
     assert glossed(spark, (surface, text))[0].meaning == expected
 
 
+def test_gloss_tells_a_symbol_from_its_other_case(spark):
+    """B(b) is a value of B; verbs are still read in either case."""
+    rows = [("b", "B(b) is the loss"), ("B", "B(b) is the loss"), ("b", "B is the loss, b IS the rate"), ("x", "X表示混合矩阵")]
+    assert [r.meaning for r in glossed(spark, *rows)] == [gloss.NO_GLOSS, "the loss", "the rate", gloss.NO_GLOSS]
+
+
+def test_pool_where_two_letters_differ_by_case(spark):
+    """Supplier 14 defines B, O and b: each keeps its own gloss, as the SQL has it."""
+    from sigilframe.manuscripts import manuscripts
+
+    suppliers = spark.createDataFrame([(14, 1, 5.0)], "s_suppkey long, s_nationkey int, s_acctbal double")
+    pool = {(r.surface, r.style): r.meaning for r in Papers(*manuscripts(suppliers)).pool.collect()}
+    assert pool["B", "italic"] == "the mixing matrix" and pool["B(b)", "mixed:italic+roman"] == "the loss"
+    assert pool["b", "italic"] == "B = O + b let b be a vector of weight…"
+
+
 def glossed(spark, *pairs):
     return spark.createDataFrame(pairs, "s string, t string").select(gloss.gloss("s", "t").alias("g")).select("g.*").collect()
 
