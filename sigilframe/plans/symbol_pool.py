@@ -8,7 +8,7 @@ flag, the pool, occurrences, glosses) is DataFrame operations on much smaller ta
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import schemas as S
 from ..functions import characters as C
@@ -127,20 +127,33 @@ def occurrence_table(pages: DataFrame) -> DataFrame:
     return pages.select("paper_id", "page", F.posexplode("tokens").alias("ordinal", "x")).select("paper_id", "page", "ordinal", "x.*")
 
 
+def _line_classes(pages: DataFrame) -> DataFrame:
+    """Adds ``classes``: of each line of the page its source, formula_like and definition_like.
+
+    A line's number is its place in the page's row, so all of it is read there.
+    """
+    references = F.array_position("lines.heading", F.lit(True))
+    definition = F.transform("lines.definition_like", lambda d, i: d & ~F.col("started") & ((references == 0) | (i + 1 < references)))
+    rows = pages.withColumn("definition", definition)
+
+    def classes(formula: Column, i: Column) -> Column:
+        own, first = F.get("definition", i), F.greatest(i - CONTEXT, F.lit(0))
+        near = F.exists(F.slice("definition", first + 1, i + CONTEXT + 1 - first), lambda d: d) | F.array_contains("found.claimed", i)
+        source = F.when(formula & own, "definition_line_all_glyphs").when(formula, "formula_line_all_glyphs").when(near, "definition_context")
+        return F.struct(source.alias("source"), formula.alias("formula_like"), own.alias("definition_like"))
+
+    return rows.withColumn("classes", F.transform("lines.formula_like", classes)).drop("definition")
+
+
 def candidate_table(pages: DataFrame) -> DataFrame:
     """Glyphs of formula and definition lines, of six lines around definitions, and of event windows.
 
-    A glyph belongs to one line, so its source is the first that holds in this order.
+    A glyph belongs to one line, so its source is the first that holds in this order.  Nothing leaves the
+    page's row before the glyphs do: no table of lines is joined, broadcast or shuffled.
     """
-    near = Window.partitionBy("paper_id", "page").orderBy("line").rowsBetween(-CONTEXT, CONTEXT)
-    lines = line_table(pages).withColumn("near", F.max("definition_like").over(near))
-    claimed = pages.select("paper_id", "page", F.explode("found.claimed").alias("line")).withColumn("claimed", F.lit(True)).distinct()
-    lines = lines.join(claimed, ["paper_id", "page", "line"], "left").withColumn(
-        "source",
-        F.when(F.col("formula_like") & F.col("definition_like"), "definition_line_all_glyphs").when(F.col("formula_like"), "formula_line_all_glyphs").when(F.col("near") | F.col("claimed"), "definition_context"),
-    )
-    glyphs = pages.select("paper_id", "page", F.explode("candidates").alias("x")).select("paper_id", "page", "x.*")
-    return glyphs.join(lines.filter("source is not null").select("paper_id", "page", "line", "source", "formula_like", "definition_like"), ["paper_id", "page", "line"])
+    rows = _line_classes(pages).select("paper_id", "page", "classes", F.explode("candidates").alias("x"))
+    rows = rows.select("paper_id", "page", "x.*", F.get("classes", F.col("x.line")).alias("class")).filter("class.source is not null")
+    return rows.select("paper_id", "page", "line", *(c for c in rows.columns if c not in ("paper_id", "page", "line", "class")), "class.*")
 
 
 def review_queue(pages: DataFrame) -> DataFrame:
