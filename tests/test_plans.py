@@ -52,7 +52,7 @@ def test_written_pages_are_read_by_column(spark):
     assert "FlatMapGroupsInPandas" not in text and "candidates" not in text and "Scan parquet" in text
 
 
-@pytest.mark.parametrize("name", ["formula_candidates"])
+@pytest.mark.parametrize("name", ["formula_candidates", "surface_counts"])
 def test_candidates_are_found_in_their_page(spark, name):
     """No table of lines is joined to the glyphs, so the driver holds none for a broadcast."""
     tree = plan_of(QUERIES[name](spark, SF)).split("\n\n")[0]
