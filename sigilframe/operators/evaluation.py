@@ -16,6 +16,15 @@ BAND = 32.0
 _KEY = ["gold_id", "symbol"]
 
 
+def _met(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """Joined where both sides are dealt by their keys.
+
+    Rows unpacked from nested pages are many times the size that the planner takes from their files: it would
+    broadcast all glyphs.
+    """
+    return left.join(right.hint("merge"), on, how)
+
+
 def line_number(line_id: Column | str) -> Column:
     c = F.col(line_id) if isinstance(line_id, str) else line_id
     return F.nullif(F.regexp_extract(c, r":line(\d+)$", 1), F.lit("")).try_cast("int")
@@ -35,16 +44,17 @@ def line_distance(lo_a: str, hi_a: str, lo_b: str, hi_b: str) -> Column:
 def passage_candidates(gold: DataFrame, candidates: DataFrame) -> DataFrame:
     """(gold_id, surface): glyphs within two lines of the passage; of the whole page where there are none."""
     c = candidates.withColumn("n", line_number("line_id"))
-    on_page = gold.select("gold_id", "paper_id", "page", "lo", "hi").join(c, ["paper_id", "page"])
-    near = on_page.filter(F.col("lo").isNotNull() & F.col("n").between(F.col("lo") - MARGIN, F.col("hi") + MARGIN))
-    far = on_page.join(near.select("gold_id").distinct(), "gold_id", "left_anti")
-    return near.unionByName(far).select("gold_id", F.explode(F.array("surface", "surface_normalized")).alias("surface")).distinct()
+    near = F.coalesce(F.col("n").between(F.col("lo") - MARGIN, F.col("hi") + MARGIN), F.lit(False))
+    on_page = _met(gold.select("gold_id", "paper_id", "page", "lo", "hi"), c, ["paper_id", "page"]).select("gold_id", near.alias("near"), F.explode(F.array("surface", "surface_normalized")).alias("surface"))
+    found = on_page.groupBy("gold_id", "surface").agg(F.max("near").alias("near"))
+    found = found.withColumn("any", F.max("near").over(Window.partitionBy("gold_id")))
+    return found.filter(F.col("near") | ~F.col("any")).select("gold_id", "surface")
 
 
 def near_events(gold: DataFrame, events: DataFrame, near: int = NEAR) -> DataFrame:
     """(gold_id, definition_id, local): events of the gold row's page, and whether they are within ``near`` lines."""
     e = events.select("paper_id", "page", "definition_id", F.array_min(F.transform("line_ids", line_number)).alias("e_lo"), F.array_max(F.transform("line_ids", line_number)).alias("e_hi"))
-    pairs = gold.select("gold_id", "paper_id", "page", "lo", "hi").join(e, ["paper_id", "page"])
+    pairs = _met(gold.select("gold_id", "paper_id", "page", "lo", "hi"), e, ["paper_id", "page"])
     close = F.coalesce(line_distance("lo", "hi", "e_lo", "e_hi") <= near, F.lit(True))
     return pairs.select("gold_id", "definition_id", close.alias("local"))
 
@@ -58,8 +68,8 @@ def _banded(rows: DataFrame, box: str) -> DataFrame:
 def glyphs_in_events(events: DataFrame, candidates: DataFrame) -> DataFrame:
     """(paper_id, definition_id, surface): glyphs on an event's lines, or whose box overlaps its box on the same page."""
     e = events.select("paper_id", "page", "definition_id", "line_ids", F.col("bbox").alias("event_box"))
-    by_line = e.withColumn("line_id", F.explode("line_ids")).join(candidates, ["paper_id", "page", "line_id"]).select("paper_id", "definition_id", "surface", "surface_normalized")
-    by_box = _banded(e, "event_box").join(_banded(candidates, "bbox"), ["paper_id", "page", "band"]).filter(X.boxes_overlap(F.col("event_box"), F.col("bbox"))).select("paper_id", "definition_id", "surface", "surface_normalized")
+    by_line = _met(e.withColumn("line_id", F.explode("line_ids")), candidates, ["paper_id", "page", "line_id"]).select("paper_id", "definition_id", "surface", "surface_normalized")
+    by_box = _met(_banded(e, "event_box"), _banded(candidates, "bbox"), ["paper_id", "page", "band"]).filter(X.boxes_overlap(F.col("event_box"), F.col("bbox"))).select("paper_id", "definition_id", "surface", "surface_normalized")
     return by_line.unionByName(by_box).select("paper_id", "definition_id", F.explode(F.array("surface", "surface_normalized")).alias("surface")).distinct()
 
 
@@ -71,16 +81,16 @@ def recall(gold: DataFrame, candidates: DataFrame, events: DataFrame, symbols: D
     wanted = gold_symbols(gold)
     spread = wanted.withColumn("surface", F.explode("accepted"))
     passage = passage_candidates(gold, candidates)
-    flag = lambda df, name: df.select(*_KEY, F.lit(True).alias(name)).distinct()
-    seen = flag(spread.join(passage, ["gold_id", "surface"]), "candidate")
-    canonical = flag(wanted.withColumn("surface", F.col("preferred")).join(passage, ["gold_id", "surface"]), "canonical")
-    owned = spread.join(near_events(gold, events), "gold_id").join(symbols, ["paper_id", "definition_id", "surface"]).select(*_KEY, "paper_id", "definition_id", "accepted", "local")
+    true = F.lit(True)
+    # The preferred surface is an accepted one, and a local event an event: each table is met once for both measures.
+    seen = _met(spread, passage, ["gold_id", "surface"]).groupBy(*_KEY).agg(F.max(true).alias("candidate"), F.max(F.col("surface") == F.col("preferred")).alias("canonical"))
+    owned = _met(_met(spread, near_events(gold, events), "gold_id"), symbols, ["paper_id", "definition_id", "surface"]).select(*_KEY, "paper_id", "definition_id", "accepted", "local")
     inside = glyphs_in_events(events, candidates).withColumnRenamed("surface", "glyph")
-    owned = owned.join(inside, ["paper_id", "definition_id"]).filter(F.array_contains("accepted", F.col("glyph")))
-    pooled = flag(spread.join(pool.filter(F.size("definition_events") > 0).select("paper_id", "surface").distinct(), ["paper_id", "surface"]), "pool")
+    owned = _met(owned, inside, ["paper_id", "definition_id"]).filter(F.array_contains("accepted", F.col("glyph"))).groupBy(*_KEY).agg(F.max(true).alias("event"), F.max("local").alias("local_event"))
+    pooled = _met(spread, pool.filter(F.size("definition_events") > 0).select("paper_id", "surface").distinct(), ["paper_id", "surface"]).groupBy(*_KEY).agg(F.max(true).alias("pool"))
     out = wanted
-    for part in (seen, canonical, flag(owned, "event"), flag(owned.filter("local"), "local_event"), pooled):
-        out = out.join(part, _KEY, "left")
+    for part in (seen, owned, pooled):
+        out = _met(out, part, _KEY, "left")
     yes = lambda c: F.coalesce(c, F.lit(False))
     pending = ~F.coalesce("trusted", F.lit(True))
     return out.groupBy("gold_id").agg(
