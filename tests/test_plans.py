@@ -59,7 +59,7 @@ def test_candidates_are_found_in_their_page(spark, name):
     assert "Join" not in tree and tree.count("Exchange") <= 1
 
 
-@pytest.mark.parametrize("name", ["gold_recall"])
+@pytest.mark.parametrize("name", ["gold_recall", "gold_report"])
 def test_recall_broadcasts_no_glyphs(spark, name):
     """Glyphs unpacked from pages are dealt by their keys, and three times in all: near the passage, on events' lines, in events' boxes."""
     tree = plan_of(QUERIES[name](spark, SF)).split("\n\n")[0]
