@@ -224,8 +224,8 @@ def totals(pages: DataFrame, pool: DataFrame, regions: DataFrame | None = None)
     symbols = pool.groupBy("paper_id").agg(F.count("*").alias("final_symbols"), F.count_if(F.col("status") == "review").alias("review_symbols"))
     images = pages.select("paper_id").distinct().withColumn("visual_fallback_regions", F.lit(0)) if regions is None else regions.groupBy("paper_id").agg(F.count("*").alias("visual_fallback_regions"))
     out = pages.groupBy("paper_id").agg(F.count("*").alias("pages"))
-    for part in (lines, queue, candidates, events, symbols, images):
-        out = out.join(part, "paper_id", "left")
+    for part in (lines, queue, candidates, events, symbols, images):  # all are dealt by paper already; the planner would broadcast them by the size of packed files
+        out = out.join(part.hint("merge"), "paper_id", "left")
     return out.na.fill(0)
 
 

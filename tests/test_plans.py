@@ -59,6 +59,11 @@ def test_candidates_are_found_in_their_page(spark, name):
     assert "Join" not in tree and tree.count("Exchange") <= 1
 
 
+def test_totals_are_not_broadcast(spark):
+    """Parts of a size with the papers meet where they are dealt, whatever the planner thinks of packed files."""
+    assert "Broadcast" not in plan_of(QUERIES["paper_totals"](spark, SF))
+
+
 @pytest.mark.parametrize("name", ["gold_recall", "gold_report"])
 def test_recall_broadcasts_no_glyphs(spark, name):
     """Glyphs unpacked from pages are dealt by their keys, and three times in all: near the passage, on events' lines, in events' boxes."""
