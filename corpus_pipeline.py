@@ -12,30 +12,38 @@ from sigilframe.llm import minhash, packing, quality, secrets, substring
 from sigilframe.llm.stores import bound_batches, keep, scope
 
 
+#: Bytes of a batch in every stage: an executor's heap is full after the first ones, and its Python workers stay.
+BATCH_BYTES = "4m"
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the fixed rules or the isolation forest reject go."""
-    labels = bound_batches(spark).read.parquet(f"{sf_dir}/labels.parquet")
+    labels = bound_batches(spark, BATCH_BYTES).read.parquet(f"{sf_dir}/labels.parquet")
     kept = quality.kept_rows(docs, labels)
     return kept.select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates stays: the one with the smallest id."""
+    bound_batches(spark, BATCH_BYTES)
     return minhash.one_of_each(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 words and more that already stand in an earlier document are cut out."""
+    bound_batches(spark, BATCH_BYTES)
     return _counted(substring.without_repeats(docs), docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by the names of their kinds."""
+    bound_batches(spark, BATCH_BYTES)
     return _counted(secrets.redacted(docs), docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' tokens in sequences of 4096, with the ids of each piece."""
+    bound_batches(spark, BATCH_BYTES)
     return packing.pack(docs, with_ids=True)
 
 

@@ -30,14 +30,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .stores import keep, with_ids
+from .stores import keep, trim, with_ids
 from .text import U, Words, mix, sliding_min, stream, word_blocks
 
 WINDOW, ANCHOR = 50, 16
 ROWS, MIN_WIDTH_BITS, MAX_WIDTH_BITS, SLICE_BITS = 2, 20, 28, 18
 #: Share of set bits beyond which the bitmap prunes too little and a join takes its place.
 FULL = 0.25
-FLUSH = 1 << 20
+#: Keys that a task sketches at a time; the JVM adds up the cells of all flushes before the shuffle.
+FLUSH = 1 << 18
 
 _SALTS = stream(909, 8) | U(1)
 
@@ -86,6 +87,7 @@ def _sketcher(window: int, anchor: int, width_bits: int):
                     if n >= FLUSH:
                         yield flush()
                         held, n = [], 0
+                trim()
             if n:
                 yield flush()
 
@@ -166,6 +168,7 @@ def _windower(window: int, anchor: int, width_bits: int, bits, given: bool):
                     first = w.first()
                     pos = (text_mark(w, first)[text] << 32) | (at - first[text])
                     yield pa.record_batch([pa.array(h1.view(np.int64)), pa.array(h2), pa.array(ids[lo:hi][text]), pa.array(pos)], ["h1", "h2", "doc_id", "pos"])
+                trim()
 
     return windows
 
@@ -250,14 +253,22 @@ def _rewriter(at: int, window: int):
                         i, j = first[t], first[t + 1]
                         made.append(_left(w, t, data[w.offsets[t] : w.offsets[t + 1]], gone[i:j], i, j) if gone[i:j].any() else batch.column(at)[lo + t].as_py())
                 yield pa.record_batch([pa.array(made, pa.string()) if k == at else batch.column(k) for k in range(batch.num_columns - 1)], batch.schema.names[:-1])
+                trim()
 
     return rewrite
 
 
+def width_of(size: int) -> int:
+    """Width of a sketch row for an input of ``size`` packed bytes: a cell or two for 8 bytes, within bounds.
+
+    These hold some 4 words, which add an anchor or less; where cells meet by chance a few windows more are grouped.
+    """
+    return min(MAX_WIDTH_BITS, max(MIN_WIDTH_BITS, min(size, 1 << 62).bit_length() - 3))
+
+
 def width_for(docs: DataFrame) -> int:
-    """Width of a sketch row from the input's size as the planner knows it: a cell a byte, within bounds."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(MAX_WIDTH_BITS, max(MIN_WIDTH_BITS, min(size, 1 << 62).bit_length()))
+    """Width of a sketch row from the input's size as the planner knows it."""
+    return width_of(int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())))
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, width_bits: int | None = None, full: float = FULL) -> DataFrame:

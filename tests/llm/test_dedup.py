@@ -1,6 +1,7 @@
 """Substring and near-duplicate operators against all-pairs versions."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +48,15 @@ def test_substring_odd_rows(spark):
     assert substring.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_substring_memory_follows_the_input():
+    """Half a GB asks for a bitmap of 16 MB, not 64; a task sketches a bounded number of keys at a time."""
+    bitmap = lambda size: (substring.ROWS << substring.width_of(size)) >> 3
+    assert bitmap(1 << 10) == 1 << 18 and bitmap((1 << 29) - 1) == 1 << 24 and bitmap(30 << 30) == 1 << 26
+    texts = pa.array([" ".join(f"w{k * 99991 + i}" for i in range(20_000)) for k in range(300)])
+    out = list(substring._sketcher(50, 16, 28)(iter([pa.record_batch([pa.array(range(300)), texts], ["doc_id", "text"])])))
+    assert len(out) > 1 and max(b.num_rows for b in out) <= substring.ROWS * (substring.FLUSH + 100_000)
+
+
 def test_near_duplicates(docs):
     out = by_id(minhash.near_duplicates(docs), "n_shingles", "component_id", "kept")
     expected = near(corpus())

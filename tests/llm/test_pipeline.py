@@ -157,3 +157,12 @@ def test_oracle(spark, name):
 
 def test_every_operator_has_its_query():
     assert [re.match(r"op(\d+)_", n)[1] for n in QUERIES] == [str(k) for k in range(1, 11)]
+
+
+def test_stages_keep_their_batches_small(spark, sf_dir):
+    """Every stage bounds its batches itself, whatever ran before it."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES[1:]:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+        stage(spark, docs, sf_dir)
+        assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "4m"
