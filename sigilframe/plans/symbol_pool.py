@@ -65,13 +65,13 @@ def page_boundaries(glyphs: DataFrame, pages: DataFrame) -> DataFrame:
         width = None if pd.isna(first.width) else first.width
         return pd.DataFrame([(first.paper_id, first.page, gutter(seen.x0.to_numpy(), seen.x1.to_numpy(), seen.top.to_numpy(), width))], columns=["paper_id", "page", "boundary"])
 
-    return marks.join(pages.select(*PAGE, "width"), PAGE, "left").groupBy(PAGE).applyInPandas(find, "paper_id string, page int, boundary double")
+    return marks.join(pages.select(*PAGE, "width").hint("merge"), PAGE, "left").groupBy(PAGE).applyInPandas(find, "paper_id string, page int, boundary double")
 
 
 def with_paper_boundary(boundaries: DataFrame) -> DataFrame:
     """Adds the median of the paper's found gutters."""
     median = boundaries.groupBy("paper_id").agg(F.median("boundary").alias("paper_boundary"))
-    return boundaries.join(median, "paper_id")
+    return boundaries.join(median.hint("merge"), "paper_id")
 
 
 def _parse_page(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -104,8 +104,11 @@ def _parse_page(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def parse_pages(glyphs: DataFrame, boundaries: DataFrame) -> DataFrame:
-    """One row a page with its lines, tokens, glyphs and events (schemas.PARSED_PAGE)."""
-    return _renamed(glyphs).join(with_paper_boundary(boundaries), PAGE).groupBy(PAGE).applyInPandas(_parse_page, S.PARSED_PAGE)
+    """One row a page with its lines, tokens, glyphs and events (schemas.PARSED_PAGE).
+
+    The rows of pages grow with the papers; they meet the glyphs where these are grouped anyway, and the driver holds none.
+    """
+    return _renamed(glyphs).join(with_paper_boundary(boundaries).hint("merge"), PAGE).groupBy(PAGE).applyInPandas(_parse_page, S.PARSED_PAGE)
 
 
 def with_reference_flag(parsed: DataFrame) -> DataFrame:

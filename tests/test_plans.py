@@ -85,3 +85,15 @@ def test_pages_are_shuffled_once_for_each_pass(spark):
     assert text.count("FlatMapGroupsInPandas") >= 1
     tree = text.split("\n\n")[0]
     assert tree.count("Exchange") <= 3
+
+
+def test_rows_of_pages_are_not_broadcast(spark):
+    """Widths and gutters grow with the papers: they meet the glyphs by sort-merge, in the shuffle that groups them."""
+    from sigilframe.plans import symbol_pool as plan
+
+    glyphs, pages = Tables(spark, SF).benchmark_glyphs()
+    decoded = plan.decoded_glyphs(glyphs, None)
+    boundaries = spark.createDataFrame([("1", 1, None)], "paper_id string, page int, boundary double")
+    for df, exchanges in ((plan.page_boundaries(decoded, pages), 3), (plan.parse_pages(decoded, boundaries), 4)):
+        tree = plan_of(df).split("\n\n")[0]
+        assert "Broadcast" not in tree and "SortMergeJoin" in tree and tree.count("Exchange") <= exchanges
