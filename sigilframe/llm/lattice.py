@@ -44,7 +44,7 @@ from .text import U, _power, _sums, blocks, digit_order, mix, ragged, stream
 K, SHARPNESS, SHIFT = 2, 1.0, 10.0
 K_QUERY = 4  # samples a document in the registered query
 MODEL = "piece_bpe_32k.model"
-BLOCK = 1 << 20
+BLOCK = 1 << 18  # the arrays of a block are many times its bytes; samples do not depend on it
 SCHEMA = "doc_id long, sample int, n_pieces long, log_prob double, perturbed double, log_inclusion double, ids_crc32 long"
 _MARK = 0x2581
 _GOLD, _ODD = U(0x9E3779B97F4A7C15), U(0xD1B54A32D192ED03)
@@ -92,7 +92,7 @@ class Pieces:
         with np.errstate(over="ignore"):
             h = self.key(_sums(text.astype(U), end - length, end - 1), length)
         order = np.argsort(h)
-        self.hash, self.id, self.longest = h[order], np.array(list(heads.values()))[order], int(length.max())
+        self.hash, self.id, self.longest = h[order], np.array(list(heads.values()), np.int32)[order], int(length.max())
         # Slot of the hash's first 20 bits: a piece's place, -1 for none, -2 for several.
         slot, place, times = np.unique(self.hash >> U(44), return_index=True, return_counts=True)
         self.slot = np.full(1 << 20, -1, np.int32)
@@ -103,9 +103,8 @@ class Pieces:
         joined = {ord(c) for i in own if len(names[i]) > 1 for c in names[i]}
         # What each piece stands for; pieces without a text of their own are left to the model.
         spelled = [bytes([int(names[i][3:5], 16)]) if self.model.is_byte(i) else names[i].replace(chr(_MARK), " ").encode() if i in text_ids else b"" for i in range(n)]
-        self.plain, self.high = np.array([bool(x) for x in spelled]), np.array([self.model.is_byte(i) and spelled[i] > b"\x7f" for i in range(n)])
-        self.spelled, self.spelled_length = np.frombuffer(b"".join(spelled), np.uint8), np.array([len(x) for x in spelled])
-        self.spelled_begin = np.cumsum(self.spelled_length) - self.spelled_length
+        self.plain, self.high = np.array([bool(x) for x in spelled] + [False]), np.array([self.model.is_byte(i) and spelled[i] > b"\x7f" for i in range(n)] + [False])
+        self.spelled = pa.array([*spelled, b""], pa.large_binary())  # the last entry stands for unknown ids
         self.isolated = np.zeros(256, bool)
         self.isolated[[c for c in (9, 10, 11, 12, 13) if c not in joined]] = True
         self.size = n
@@ -116,16 +115,18 @@ class Pieces:
 
     def decoded(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
         """The UTF-8 texts of runs of ids; run k ends before ``ends[k]``."""
-        known = ids < self.size
-        own = np.where(known, ids, 0)
-        plain, high = known & self.plain[own], np.concatenate([[0], np.cumsum(known & self.high[own])])
-        length = np.where(plain, self.spelled_length[own], 0)
-        data = self.spelled[ragged(self.spelled_begin[own], length)].tobytes()
-        at, odd = np.concatenate([[0], np.cumsum(length)]), np.concatenate([[0], np.cumsum(~plain)])
+        own = np.minimum(ids, self.size)
+        # What is taken stands in one buffer, one piece behind the other.
+        _, offsets, data = self.spelled.take(pa.array(own)).buffers()
+        at = np.frombuffer(offsets, np.int64)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int64)
+        data = memoryview(data if data is not None else b"")
+        odd, high = np.flatnonzero(~self.plain[own]), np.flatnonzero(self.high[own])
+        runs = np.concatenate([[0], ends])
+        some = [np.diff(np.searchsorted(x, runs)).tolist() for x in (odd, high)]
         out, begin = [], 0
-        for end in ends.tolist():
-            text = data[at[begin] : at[end]]
-            if odd[end] > odd[begin] or (high[end] > high[begin] and not _is_utf8(text)):
+        for end, lo, hi, odd, high in zip(ends.tolist(), at[runs[:-1]].tolist(), at[runs[1:]].tolist(), *some):
+            text = bytes(data[lo:hi])
+            if odd or (high and not _is_utf8(text)):
                 out.append(self.model.decode(ids[begin:end].tolist()).encode())
             else:  # the space that encoding puts first goes, unless it is written as a byte
                 out.append(text[1:] if text[:1] == b" " and ids[begin] != self.bytes[32] else text)
@@ -148,6 +149,11 @@ def _pieces(path: str, sharpness: float) -> Pieces:
     return Pieces(path, sharpness)
 
 
+def _narrow(n: int) -> type:
+    """What holds numbers of so many things: half the memory for all but enormous texts."""
+    return np.int32 if n < 1 << 31 else np.int64
+
+
 class Lattice:
     """The lattices of some distinct chunks.
 
@@ -158,23 +164,26 @@ class Lattice:
     def __init__(self, pieces: Pieces, data: bytes, count: np.ndarray):
         """data: the chunks in turn; count: characters of each."""
         cp = np.frombuffer(data.decode().encode("utf-32-le"), np.uint32).astype(np.int64)
-        self.cp = cp = np.where(cp == 32, _MARK, cp)
-        chunk = np.repeat(np.arange(len(count)), count)
+        cp[cp == 32] = _MARK
+        near = _narrow(len(cp))
         begin = np.cumsum(count) - count
-        place = np.arange(len(cp)) - begin[chunk]
+        place = np.arange(len(cp), dtype=near) - np.repeat(begin.astype(near), count)
         order = digit_order(place)
-        node = np.empty(len(cp), np.int64)
-        node[order] = np.arange(len(cp))
+        node = np.empty(len(cp), near)
+        node[order] = np.arange(len(cp), dtype=near)
+        del order
         self.last = node[begin + count - 1]
-        left = count[chunk] - place  # characters from here to the chunk's end
-        start_of = np.where(place == 0, -1, node[np.maximum(np.arange(len(cp)) - 1, 0)])
+        left = np.repeat(count.astype(near), count) - place  # characters from here to the chunk's end
+        start_of = np.append(near(-1), node[:-1])
+        start_of[begin] = -1
         powers, inverse = _power(len(cp))
         sums = np.zeros(len(cp) + 1, U)
         np.cumsum(cp.astype(U) * powers, out=sums[1:])
         ends, starts, ids = [], [], []
-        at = np.arange(len(cp))
+        at = np.arange(len(cp), dtype=near)
         for n in range(1, pieces.longest + 1):
-            at = at[left[at] >= n]
+            if n > 1:
+                at = at[left[at] >= n]
             hit, piece = pieces.find(pieces.key((sums[at + n] - sums[at]) * inverse[at], n))
             if n == 1:
                 known = np.zeros(len(cp), bool)
@@ -183,23 +192,31 @@ class Lattice:
                 other = np.flatnonzero(~known)
                 ends.append(node[other])
                 starts.append(start_of[other])
-                ids.append(np.where(cp[other] < 128, pieces.bytes[np.minimum(cp[other], 127)], -1 - cp[other]))
+                ids.append(np.where(cp[other] < 128, pieces.bytes[np.minimum(cp[other], 127)], -1 - cp[other]).astype(np.int32))
             at = at[hit]
             if not len(at):
                 break
             own = at[piece >= 0]
-            ends.append(node[own + n - 1])
+            ends.append(node[own + (n - 1)])
             starts.append(start_of[own])
             ids.append(piece[piece >= 0])
+        edge = np.concatenate([[0], np.cumsum(np.bincount(place))])
+        del sums, powers, inverse, at, hit, piece, own, node, left, place, start_of
         # Long pieces stand first at a node: they are mostly the likely ones.
-        end, start, piece = (np.concatenate(x[::-1]) for x in (ends, starts, ids))
+        end = np.concatenate(ends[::-1])
+        del ends
         order = digit_order(end)
-        self.end, self.start, self.piece = end[order], start[order], piece[order]
-        self.first = np.searchsorted(self.end, np.arange(len(cp) + 1))
-        weight = np.where(self.piece >= 0, pieces.weight[np.maximum(self.piece, 0)], 4 * pieces.weight[0])
+        many = _narrow(len(end))
+        self.end = end[order]
+        self.first = np.concatenate([np.zeros(1, many), np.cumsum(np.bincount(end, minlength=len(cp)), dtype=many)])
+        del end
+        self.start = np.concatenate(starts[::-1])[order]
+        self.piece = np.concatenate(ids[::-1])[order]
+        del starts, ids, order
+        weight = pieces.weight[np.maximum(self.piece, 0)]
+        weight[self.piece < 0] = 4 * pieces.weight[0]
         alpha = np.zeros(len(cp) + 1)  # the last entry is the beginning's
-        score = np.empty(len(weight))
-        edge = np.searchsorted(np.sort(place), np.arange(int(count.max()) + 1)) if len(count) else np.zeros(1, np.int64)
+        score = weight  # each is read once, before its score is written
         for lo, hi in zip(edge[:-1], edge[1:]):
             a, b = self.first[lo], self.first[hi]
             v = alpha[self.start[a:b]] + weight[a:b]
@@ -208,11 +225,13 @@ class Lattice:
             own = self.end[a:b] - lo
             alpha[lo:hi] = top + np.log(np.add.reduceat(np.exp(v - top[own]), at))
             score[a:b] = v - alpha[lo:hi][own]
-        self.logp = np.minimum(score, 0.0)
+        self.logp = np.minimum(score, 0.0, out=score)
         p = np.exp(self.logp)
         total = np.cumsum(p)
         base = total[self.first[:-1]] - p[self.first[:-1]]
-        self.cut = total - base[self.end]  # probability of an edge and those before it at its node
+        del p
+        total -= base[self.end]
+        self.cut = total  # probability of an edge and those before it at its node
         self.cut[self.first[1:] - 1] = 1.0
 
     def edges(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
@@ -234,7 +253,7 @@ class Lattice:
             state = self.start[e]
             go = state >= 0
             at, state, t = at[go], state[go], t + 1
-        out = np.empty(int(steps.sum()), np.int64)
+        out = np.empty(int(steps.sum()), self.first.dtype)
         base = np.cumsum(steps) - steps
         for t, (at, e) in enumerate(taken):
             out[base[at] + t] = e
@@ -246,15 +265,15 @@ REACH, FLOOR = 37.0, -80.0
 
 
 class _Path:
-    """One sample of a text: its edges and chunks in search order, and the agenda entries it left.
+    """One sample of a text: its edges in search order, and the agenda entries it left.
 
-    Entries whose log mass is under FLOOR are not worked out (-inf) until the agenda's best is so low
-    that one of them could come before it.
+    Log mass falls along a path, so that the entries over FLOOR are its first ones: only those are
+    worked out and held (``rest``, and ``prefix``, the log mass before each), until the agenda's best is
+    so low that one of the others could come before it.
     """
 
-    def __init__(self, r, edge, occ, score, rest, prefix, barred, own):
-        self.r, self.edge, self.occ, self.score, self.rest, self.prefix, self.barred, self.own = r, edge, occ, score, rest, prefix, barred, own
-        self.whole = False
+    def __init__(self, r, edge, score, rest, prefix, barred):
+        self.r, self.edge, self.score, self.rest, self.prefix, self.barred = r, edge, score, rest, prefix, barred
 
 
 def _rest(log_mass: np.ndarray, bound, u: np.ndarray) -> np.ndarray:
@@ -318,15 +337,24 @@ def sample_texts(pieces: Pieces, buf: np.ndarray, offsets: np.ndarray, keys: np.
     number = np.arange(len(start)) - first[text]
     final = lattice.last[kind]
 
-    def entries(r: int, edge: np.ndarray, step: np.ndarray, doc: np.ndarray, before: np.ndarray, bound: np.ndarray, low: bool = False) -> np.ndarray:
+    def entries(r: int, edge: np.ndarray, step: np.ndarray, doc: np.ndarray, before: np.ndarray, bound: np.ndarray) -> np.ndarray:
         """The agenda entry each choice leaves for its other edges."""
         node = lattice.end[edge]
-        at = np.flatnonzero((lattice.first[node + 1] - lattice.first[node] > 1) & ((before > FLOOR) != low))
+        at = np.flatnonzero(lattice.first[node + 1] - lattice.first[node] > 1)
         out = np.full(len(edge), -np.inf)
         u = _uniform(mix(keys[doc[at]] + U(2 * r + 1) * _ODD) + step[at].astype(U) * _GOLD)
         out[at] = _rest(before[at] + _log1mexp(lattice.logp[edge[at]]), bound[at], u)
         return out
 
+    def heads(r: int, edge: np.ndarray, at: np.ndarray, doc: np.ndarray, base: np.ndarray, step: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each run of drawn edges the part over FLOOR: (where its entries end, all entries in turn, the log mass before each)."""
+        total = np.concatenate([[0.0], np.cumsum(lattice.logp[edge])])
+        begin = total[at[:-1]]
+        count = np.clip(np.searchsorted(-total, base - begin - FLOOR), at[:-1], at[1:]) - at[:-1]
+        own, run = ragged(at[:-1], count), np.repeat(np.arange(len(count)), count)
+        before = base[run] + (total[own] - begin[run])
+        return np.cumsum(count), entries(r, edge[own], own - at[run] + step[run], doc[run], before, bound[run]), before
+
     # A closure that named itself would keep the whole block alive until the next collection of cycles.
     def best_entry(d: int) -> tuple[float, _Path | None, int]:
         while True:
@@ -334,25 +362,21 @@ def sample_texts(pieces: Pieces, buf: np.ndarray, offsets: np.ndarray, keys: np.
             for p in paths[d]:
                 if len(p.rest) and p.rest[s := int(p.rest.argmax())] > best:
                     best, path, where = p.rest[s], p, s
-            late = [p for p in paths[d] if not p.whole] if best < FLOOR + REACH else []
+            late = [p for p in paths[d] if len(p.rest) < len(p.edge)] if best < FLOOR + REACH else []
             if not late:
                 return best, path, where
             for p in late:
-                own, n = slice(p.own, None), len(p.edge) - p.own
-                p.rest[own] = np.maximum(p.rest[own], entries(p.r, p.edge[own], np.arange(p.own, len(p.edge)), np.full(n, d), p.prefix[own], np.full(n, p.score), True))
-                p.whole = True
+                begin, n = len(p.rest), len(p.edge) - len(p.rest)
+                before = np.concatenate([[0.0], np.cumsum(lattice.logp[p.edge[:-1]])])[begin:]
+                p.rest = np.concatenate([p.rest, entries(p.r, p.edge[begin:], np.arange(begin, len(p.edge)), np.full(n, d), before, np.full(n, p.score))])
+                p.prefix = np.concatenate([p.prefix, before])
 
     seeds = lambda r, doc, occ: mix(keys[doc] + U(2 * r) * _ODD) + (occ.astype(U) << U(24)) * _GOLD
     edge, steps = lattice.draw(final, seeds(0, text, number))
-    occ = np.repeat(number, steps)
-    doc = np.repeat(text, steps)
-    at = np.searchsorted(doc, np.arange(n + 1))
-    logp = lattice.logp[edge]
-    total = np.concatenate([[0.0], np.cumsum(logp)])
-    prefix = total[:-1] - total[at[doc]]
+    at = np.concatenate([[0], np.cumsum(steps)])[first]
     root = -np.log(-np.log(_uniform(mix(keys + U(77)))))
-    rest = entries(0, edge, np.arange(len(edge)) - at[doc], doc, prefix, root[doc])
-    paths: list[list[_Path]] = [[_Path(0, edge[at[d] : at[d + 1]], occ[at[d] : at[d + 1]], root[d], rest[at[d] : at[d + 1]], prefix[at[d] : at[d + 1]], {}, 0)] for d in range(n)]
+    upto, rest, prefix = heads(0, edge, at, np.arange(n), np.zeros(n), np.zeros(n, np.int64), root)
+    paths: list[list[_Path]] = [[_Path(0, edge[a:b], score, rest[c:d], prefix[c:d], {})] for a, b, c, d, score in zip(at.tolist(), at[1:].tolist(), [0, *upto.tolist()], upto.tolist(), root)]
     kappa = np.full(n, -np.inf)
     for r in range(1, k + 1):
         jobs = []
@@ -377,49 +401,39 @@ def sample_texts(pieces: Pieces, buf: np.ndarray, offsets: np.ndarray, keys: np.
             continue
         # The other chunks of all texts that branch are drawn anew, together.
         ds = np.array([j[0] for j in jobs])
-        at_occ = np.array([j[1].occ[j[2]] for j in jobs])
+        at_occ = np.array([np.count_nonzero(lattice.start[j[1].edge[: j[2]]] < 0) for j in jobs])  # chunks that end before
         count = first[ds + 1] - first[ds] - at_occ  # the branching chunk's rest, and those behind it
         where = ragged(first[ds] + at_occ, count)
         head = np.cumsum(count) - count
         nodes = final[where]
         nodes[head] = lattice.start[[j[3] for j in jobs]]
         edge, steps = lattice.draw(nodes, seeds(r, text[where], number[where]))
-        occ = np.repeat(number[where], steps)
-        job = np.repeat(np.repeat(np.arange(len(jobs)), count), steps)
-        at = np.searchsorted(job, np.arange(len(jobs) + 1))
-        logp = lattice.logp[edge]
-        total = np.concatenate([[0.0], np.cumsum(logp)])
+        at = np.concatenate([[0], np.cumsum(steps)])[np.append(head, len(where))]
         base = np.array([j[1].prefix[j[2]] + lattice.logp[j[3]] for j in jobs])
-        prefix = base[job] + total[:-1] - total[at[job]] if len(edge) else np.zeros(0)
-        before = np.array([j[2] + 1 for j in jobs])
-        bound = np.array([j[6] for j in jobs])
-        rest = entries(r, edge, np.arange(len(edge)) - at[job] + before[job], ds[job], prefix, bound[job]) if len(edge) else np.zeros(0)
+        upto, rest, prefix = heads(r, edge, at, ds, base, np.array([j[2] + 1 for j in jobs]), np.array([j[6] for j in jobs]))
         for i, (d, p, s, new, left, barred, best) in enumerate(jobs):
-            own = slice(at[i], at[i + 1])
+            own = slice(upto[i - 1] if i else 0, upto[i])
             mass = p.prefix[s] + math.log(left) if left > 0 else -math.inf
             kept = np.array([mass - math.log(math.exp(mass - best) - math.log(keep_[d])) if left > 0 else -math.inf])
-            paths[d].append(_Path(r, np.concatenate([p.edge[:s], [new], edge[own]]), np.concatenate([p.occ[: s + 1], occ[own]]), best, np.concatenate([np.full(s, -np.inf), kept, rest[own]]), np.concatenate([p.prefix[: s + 1], prefix[own]]), {s: barred}, s + 1))
+            whole = np.concatenate([p.edge[:s], np.array([new], edge.dtype), edge[at[i] : at[i + 1]]])
+            paths[d].append(_Path(r, whole, best, np.concatenate([np.full(s, -np.inf), kept, rest[own]]), np.concatenate([p.prefix[: s + 1], prefix[own]]), {s: barred}))
     # Texts without a chunk have one empty sample; all others' paths are turned round together.
     every = [(d, r, p) for d in range(n) for r, p in enumerate(paths[d])]
     steps = np.array([len(p.edge) for _, _, p in every])
-    owner = np.repeat(np.arange(len(every)), steps)
-    edge, occ = np.concatenate([p.edge for _, _, p in every]), np.concatenate([p.occ for _, _, p in every])
+    edge = np.concatenate([p.edge for _, _, p in every])
     # Chunks stand in order, each searched from its end: turn each one round.
-    new = np.ones(len(edge) + 1, bool)
-    new[1:-1] = (occ[1:] != occ[:-1]) | (owner[1:] != owner[:-1])
-    cut = np.flatnonzero(new)
+    cut = np.append(0, np.flatnonzero(lattice.start[edge] < 0) + 1)
     turn = np.repeat(cut[:-1] + cut[1:] - 1, np.diff(cut)) - np.arange(len(edge))
     ids, ends = lattice.piece[edge[turn]], np.cumsum(steps)
-    if (ids < 0).any():
+    if len(other := np.flatnonzero(ids < 0)):
+        kinds, kind = np.unique(ids[other], return_inverse=True)
+        spelled = [pieces.bytes[list(chr(-1 - i).encode())] for i in kinds.tolist()]
+        length = np.array([len(x) for x in spelled])
         wide = np.ones(len(ids), np.int64)
-        spelled = {i: pieces.bytes[list(chr(-1 - i).encode())] for i in np.unique(ids[ids < 0]).tolist()}
-        for i, own in spelled.items():
-            wide[ids == i] = len(own)
+        wide[other] = length[kind]
         put = np.cumsum(wide) - wide
-        whole = np.repeat(ids, wide)
-        for i, own in spelled.items():
-            whole[ragged(put[ids == i], wide[ids == i])] = np.tile(own, int((ids == i).sum()))
-        ids, ends = whole, np.concatenate([[0], np.cumsum(wide)])[ends]
+        ids, ends = np.repeat(ids, wide), np.append(put, len(ids) + (wide - 1).sum())[ends]
+        ids[ragged(put[other], wide[other])] = np.concatenate(spelled)[ragged((np.cumsum(length) - length)[kind], length[kind])]
     some = np.flatnonzero(steps)
     log_p = np.zeros(len(every))
     log_p[some] = np.add.reduceat(lattice.logp[edge], (np.cumsum(steps) - steps)[some])

@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -227,6 +228,31 @@ def test_samples_do_not_depend_on_partitions(spark):
     assert lattice.sample_encodings(df.limit(0)).count() == 0
 
 
+def test_sampling_takes_little_memory_for_a_batch():
+    """An executor's heap leaves two workers some hundred MB each, whatever a batch holds."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"{w}{'aeiou'[w % 5]}n{'stre'[w % 4 :]}ing{w % 97}" for w in rng.integers(0, 1 << 40, 60).tolist()) for _ in range(1500)]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    run = lattice._sampler(lattice.model_path(), lattice.K_QUERY, lattice.SHARPNESS, True, True)
+    assert sum(x.num_rows for x in run(iter([batch.slice(0, 2)]))) == 8  # the vocabulary is there from now on
+    tracemalloc.start()
+    try:
+        assert sum(x.num_rows for x in run(iter([batch]))) == 4 * len(texts)
+        assert tracemalloc.get_traced_memory()[1] < 150e6, tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+
+
+def test_samples_do_not_depend_on_blocks(monkeypatch):
+    rows = corpus() + [(9001, "日本語 𝔸 word " * 300)]
+    batch = pa.record_batch([pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.string())], ["doc_id", "text"])
+    out = []
+    for size in (1, 1 << 12, 1 << 20):
+        monkeypatch.setattr(lattice, "BLOCK", size)
+        out.append([(r["doc_id"], r["sample"], r["ids"], r["decoded_sha256"]) for x in lattice._sampler(lattice.model_path(), 4, 1.0, True, True)(iter([batch])) for r in x.to_pylist()])
+    assert out[0] == out[1] == out[2]
+
+
 # Chat ----------------------------------------------------------------------------------------------
 
 CONV = "conv_id long, turn long, role string, text string"
