@@ -31,6 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -58,15 +59,29 @@ class Vocabulary:
     size: int
     hashed: int
 
+    @cached_property
+    def slots(self) -> tuple[int, np.ndarray]:
+        """(bits to drop, where the hashes with the bits left begin): some eight slots for each word, 2**20 at most."""
+        bits = min(20, 3 + max(1, len(self.hash)).bit_length())
+        return 64 - bits, np.searchsorted(self.hash >> U(64 - bits), np.arange((1 << bits) + 1, dtype=U)).astype(np.int32)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "slots"}  # each worker finds them itself
+
     def ids(self, h: np.ndarray) -> np.ndarray:
         """Ids from 1; 0 is the edge of a text."""
-        out = np.empty(len(h), np.int32)
-        at, hit = np.zeros(0, np.int64), np.zeros(len(h), bool)
-        if len(self.hash):
-            at = np.minimum(np.searchsorted(self.hash, h), len(self.hash) - 1)
-            hit = self.hash[at] == h
-            out[hit] = self.id[at[hit]] + 1
-        out[~hit] = self.size + 1 + (h[~hit] >> U(20)) % U(self.hashed)
+        out = (self.size + 1 + ((h >> U(20)) % U(self.hashed)).view(np.int64)).astype(np.int32)
+        drop, first = self.slots
+        slot = (h >> U(drop)).view(np.int64)
+        at, end = first[slot], first[slot + 1]
+        own = np.flatnonzero(at < end)
+        at, end = at[own], end[own]
+        while len(own):  # the words of a slot in turn
+            hit = self.hash[at] == h[own]
+            out[own[hit]] = self.id[at[hit]] + 1
+            at += 1
+            more = np.flatnonzero(~hit & (at < end))
+            own, at, end = own[more], at[more], end[more]
         return out
 
     def targets(self, ids: np.ndarray, w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -231,19 +246,32 @@ class Network:
             grad /= n
             self._adapt(k, grad, rate, own)
         h, back = h[:, :-1], back[:, :-1]
-        back = back * (1 - h * h) / np.float32(n)
+        slope = 1 - h * h
+        slope /= np.float32(n)
+        back = back * slope
         self._adapt("bias", back.sum(0), rate)
         for k in range(len(self.places)):
             order = digit_order(context[:, k])
             ids = context[order, k]
             first = np.flatnonzero(np.diff(ids, prepend=-1))
-            self._adapt("embed", np.add.reduceat(np.take(back, order, 0), first), rate, (k, ids[first]))
-
-    def _adapt(self, name, grad: np.ndarray, rate: float, at=...) -> None:
-        grad = grad * np.float32(64)  # per 1/64 of a batch, so that the sums start small beside it
-        total = self.sums[name][at] + grad * grad
-        self.sums[name][at] = total
-        self.p[name][at] -= rate * grad / np.sqrt(total)
+            self._adapt("embed", _run_sums(np.take(back, order, 0), first), rate, ids[first], k)
+
+    def _adapt(self, name, grad: np.ndarray, rate: float, at=..., place=...) -> None:
+        """Changes ``grad`` as well."""
+        p, sums = self.p[name][place], self.sums[name][place]
+        grad *= np.float32(64)  # per 1/64 of a batch, so that the sums start small beside it
+        total = grad * grad
+        total += sums[at] if at is ... else np.take(sums, at, 0)
+        sums[at] = total
+        np.sqrt(total, out=total)
+        grad *= np.float32(rate)
+        grad /= total
+        p[at] -= grad
+
+
+def _run_sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The sums of runs of float32 rows, run k from row ``first[k]``; two columns at a time, as one complex number."""
+    return np.add.reduceat(x.view(np.complex64) if x.shape[1] % 2 == 0 else x, first).view(np.float32)
 
 
 def _positions(texts: pa.Array, vocab: Vocabulary, net: Network, mask: int, spelled: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:

@@ -3,6 +3,8 @@
 import base64
 import hashlib
 import json
+import math
+import pickle
 import random
 import re
 
@@ -372,6 +374,46 @@ def test_gradient_steps_lower_the_loss():
     assert net.log_probs(context, y).mean() > before + 2
 
 
+@pytest.mark.parametrize("n", [0, 1, 500, 300_000])
+def test_words_are_found_by_slots(n):
+    """Also where many words share a slot; the slots stay behind when the vocabulary is sent."""
+    rng = np.random.default_rng(2)
+    h = np.unique(np.concatenate([rng.integers(0, 1 << 64, n, np.uint64), np.arange(min(n, 40), dtype=np.uint64), np.uint64(2**64 - 1) - np.arange(min(n, 40), dtype=np.uint64)]))
+    vocab = scoring.Vocabulary(h, rng.permutation(len(h)).astype(np.int64), len(h) + 5, 17)
+    asked = np.concatenate([h, rng.integers(0, 1 << 64, 1000, np.uint64), np.arange(80, dtype=np.uint64)])
+    known = dict(zip(h.tolist(), vocab.id.tolist()))
+    assert vocab.ids(asked).tolist() == [known[x] + 1 if x in known else vocab.size + 1 + (x >> 20) % 17 for x in asked.tolist()]
+    assert len(vocab.slots[1]) <= (1 << 20) + 1
+    sent = pickle.loads(pickle.dumps(vocab))
+    assert "slots" not in vars(sent) and (sent.ids(asked) == vocab.ids(asked)).all()
+
+
+@pytest.mark.parametrize("hidden", [1, 7, 32])
+def test_a_step_changes_what_it_met(hidden):
+    """One step against the gradient of the loss: sums over equal ids, place by place, then the adaptive rate."""
+    rng = np.random.default_rng(5)
+    net = scoring.Network(64 + 1, (4, 2, 8), hidden=hidden)
+    context, y = rng.integers(0, 65, (300, 4)).astype(np.int32), rng.integers(1, 65, 300).astype(np.int32)
+    context[:200, 1] = 3
+    before = {k: v.copy() for k, v in net.p.items()}
+    net.step(context, y, 0.1)
+    for name in ("embed", "bias"):
+        for at in [(0, context[0, 0], 0), (1, 3, hidden - 1), (3, context[7, 3], 0)] if name == "embed" else [(0,), (hidden - 1,)]:
+            loss = []
+            for d in (1e-2, -1e-2):
+                moved = scoring.Network(64 + 1, (4, 2, 8), hidden=hidden)
+                moved.p = {k: v.copy() for k, v in before.items()}
+                moved.p[name][at] += d
+                loss.append(-moved.log_probs(context, y).mean())
+            grad = 64 * (loss[0] - loss[1]) / 2e-2
+            assert net.p[name][at] - before[name][at] == pytest.approx(-0.1 * grad / math.sqrt(0.1 + grad * grad), abs=2e-3)
+            assert net.sums[name][at] == pytest.approx(0.1 + grad * grad, rel=0.03)
+    missed = np.setdiff1d(np.arange(65), context[:, 2])
+    assert len(missed) == 0 or (net.p["embed"][2, missed] == before["embed"][2, missed]).all()
+    x, first = rng.standard_normal((50, hidden)).astype(np.float32), np.array([0, 1, 2, 30, 49])
+    assert np.allclose(scoring._run_sums(x, first), [part.sum(0) for part in np.split(x, first[1:])], atol=1e-5)
+
+
 def plain_log_probs(net, vocab, table, text):
     """Every position of a text by itself: neighbours, tanh, the softmax digit by digit, and spelling, in plain loops."""
     import math
