@@ -97,6 +97,7 @@ class Pieces:
         slot, place, times = np.unique(self.hash >> U(44), return_index=True, return_counts=True)
         self.slot = np.full(1 << 20, -1, np.int32)
         self.slot[slot] = np.where(times == 1, place, -2)
+        self.taken = self.slot != -1  # a quarter of the slots' memory
         # Rank in the vocabulary's order; bytes stand at its end.
         self.weight = -sharpness * np.log(np.arange(n) - own[0] + 1 + SHIFT, where=np.arange(n) >= own[0], out=np.full(n, np.log(n + SHIFT)))
         self.weight[: own[0]] = -sharpness * np.log(n + SHIFT)
@@ -135,12 +136,12 @@ class Pieces:
 
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places in h, piece ids) of the hashes that begin a piece."""
-        k = self.slot[h >> U(44)]
-        at = np.flatnonzero(k != -1)
-        k = k[at].astype(np.int64)
-        several = k == -2
-        k[several] = np.minimum(np.searchsorted(self.hash, h[at[several]]), len(self.hash) - 1)
-        hit = self.hash[k] == h[at]
+        slot = (h >> U(44)).view(np.int64)
+        at = np.flatnonzero(self.taken[slot])
+        h, k = h[at], self.slot[slot[at]].astype(np.int64)
+        several = np.flatnonzero(k == -2)
+        k[several] = np.minimum(np.searchsorted(self.hash, h[several]), len(self.hash) - 1)
+        hit = np.flatnonzero(self.hash[k] == h)
         return at[hit], self.id[k[hit]]
 
 
@@ -176,15 +177,16 @@ class Lattice:
         left = np.repeat(count.astype(near), count) - place  # characters from here to the chunk's end
         start_of = np.append(near(-1), node[:-1])
         start_of[begin] = -1
-        powers, inverse = _power(len(cp))
-        sums = np.zeros(len(cp) + 1, U)
-        np.cumsum(cp.astype(U) * powers, out=sums[1:])
+        powers, wide = _power(pieces.longest)[0], cp.astype(U)
+        sums = wide  # of the characters from each place on
         ends, starts, ids = [], [], []
         at = np.arange(len(cp), dtype=near)
         for n in range(1, pieces.longest + 1):
             if n > 1:
-                at = at[left[at] >= n]
-            hit, piece = pieces.find(pieces.key((sums[at + n] - sums[at]) * inverse[at], n))
+                more = np.flatnonzero(left[at] >= n)
+                at = at[more]
+                sums = sums[more] + wide[at + (n - 1)] * powers[n - 1]
+            hit, piece = pieces.find(pieces.key(sums, n))
             if n == 1:
                 known = np.zeros(len(cp), bool)
                 known[at[hit[piece >= 0]]] = True
@@ -193,26 +195,28 @@ class Lattice:
                 ends.append(node[other])
                 starts.append(start_of[other])
                 ids.append(np.where(cp[other] < 128, pieces.bytes[np.minimum(cp[other], 127)], -1 - cp[other]).astype(np.int32))
-            at = at[hit]
+            at, sums = at[hit], sums[hit]
             if not len(at):
                 break
-            own = at[piece >= 0]
+            whole = np.flatnonzero(piece >= 0)
+            own = at[whole]
             ends.append(node[own + (n - 1)])
             starts.append(start_of[own])
-            ids.append(piece[piece >= 0])
+            ids.append(piece[whole])
         edge = np.concatenate([[0], np.cumsum(np.bincount(place))])
-        del sums, powers, inverse, at, hit, piece, own, node, left, place, start_of
-        # Long pieces stand first at a node: they are mostly the likely ones.
-        end = np.concatenate(ends[::-1])
-        del ends
-        order = digit_order(end)
-        many = _narrow(len(end))
-        self.end = end[order]
-        self.first = np.concatenate([np.zeros(1, many), np.cumsum(np.bincount(end, minlength=len(cp)), dtype=many)])
-        del end
-        self.start = np.concatenate(starts[::-1])[order]
-        self.piece = np.concatenate(ids[::-1])[order]
-        del starts, ids, order
+        del wide, sums, at, hit, piece, whole, own, node, left, place, start_of
+        degree = sum(np.bincount(x, minlength=len(cp)) for x in ends) if ends else np.zeros(0, np.int64)
+        self.first = np.append(0, np.cumsum(degree)).astype(_narrow(int(degree.sum()) + 1))
+        self.end, self.start, self.piece = np.repeat(np.arange(len(cp), dtype=near), degree), np.empty(self.first[-1], near), np.empty(self.first[-1], np.int32)
+        del degree
+        # Long pieces stand first at a node: they are mostly the likely ones.  No two of a length end there.
+        free = self.first[:-1].copy()
+        while ends:
+            end = ends.pop()
+            put = free[end]
+            free[end] += 1
+            self.start[put], self.piece[put] = starts.pop(), ids.pop()
+        del end, put, free
         weight = pieces.weight[np.maximum(self.piece, 0)]
         weight[self.piece < 0] = 4 * pieces.weight[0]
         alpha = np.zeros(len(cp) + 1)  # the last entry is the beginning's
@@ -245,14 +249,14 @@ class Lattice:
     def draw(self, node: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sample from each node back to its chunk's beginning: (edges of all paths in turn, steps of each)."""
         at, taken, steps = np.flatnonzero(node >= 0), [], np.zeros(len(node), np.int64)
-        state, t = node[at], 0
+        state, seed = node[at], seed[at]
         while len(at):
-            e = self.edges(state, _uniform(seed[at] + U(t) * _GOLD))
+            e = self.edges(state, _uniform(seed))
             taken.append((at, e))
-            steps[at] += 1
             state = self.start[e]
-            go = state >= 0
-            at, state, t = at[go], state[go], t + 1
+            go = np.flatnonzero(state >= 0)
+            steps[at] = len(taken)  # those that go on are counted again
+            at, state, seed = at[go], state[go], seed[go] + _GOLD
         out = np.empty(int(steps.sum()), self.first.dtype)
         base = np.cumsum(steps) - steps
         for t, (at, e) in enumerate(taken):
@@ -261,7 +265,7 @@ class Lattice:
 
 
 #: -log of the largest uniform below 1 is over e**-37, so an entry is at most REACH above its log mass.
-REACH, FLOOR = 37.0, -80.0
+REACH, FLOOR = 37.0, -50.0
 
 
 class _Path:
@@ -285,7 +289,10 @@ def _rest(log_mass: np.ndarray, bound, u: np.ndarray) -> np.ndarray:
 def _log1mexp(x: np.ndarray) -> np.ndarray:
     """log(1 - exp(x)) of x <= 0."""
     with np.errstate(divide="ignore"):
-        return np.where(x > -0.6931, np.log(-np.expm1(x)), np.log1p(-np.exp(x)))
+        out = np.log1p(-np.exp(x))
+        near = np.flatnonzero(x > -0.6931)
+        out[near] = np.log(-np.expm1(x[near]))
+        return out
 
 
 def _chunks(pieces: Pieces, buf: np.ndarray, offsets: np.ndarray):
