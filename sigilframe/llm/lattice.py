@@ -204,7 +204,7 @@ class Lattice:
             starts.append(start_of[own])
             ids.append(piece[whole])
         edge = np.concatenate([[0], np.cumsum(np.bincount(place))])
-        del wide, sums, at, hit, piece, whole, own, node, left, place, start_of
+        del wide, sums, at, hit, piece, node, left, place, start_of
         degree = sum(np.bincount(x, minlength=len(cp)) for x in ends) if ends else np.zeros(0, np.int64)
         self.first = np.append(0, np.cumsum(degree)).astype(_narrow(int(degree.sum()) + 1))
         self.end, self.start, self.piece = np.repeat(np.arange(len(cp), dtype=near), degree), np.empty(self.first[-1], near), np.empty(self.first[-1], np.int32)
